@@ -115,3 +115,95 @@ def simhash_components(docs: DataFrame, words: int = 3, seed: int = 42) -> DataF
     roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(roots, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def word_fingerprints(docs: DataFrame, prints: int, seed: int = 42) -> DataFrame:
+    """(doc_id, fps array<long>): ``prints`` independent fingerprints of the distinct words of each text."""
+    mixes = (np.arange(1, prints + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+    def mixed(h: np.ndarray) -> np.ndarray:
+        """The hashes under every mix: rows are mixes."""
+        x = (h[None, :] ^ (h[None, :] >> np.uint64(31))) * mixes[:, None]
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(32))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash_of = xxhash.xxh64_intdigest
+        for batch in batches:
+            raw, offsets = text_buffers(batch.column(1))
+            out = np.zeros((batch.num_rows, prints), np.uint64)
+            for i in range(batch.num_rows):
+                parts = set(raw[offsets[i] : offsets[i + 1]].tobytes().translate(_LOWER).split())
+                if parts:
+                    h = mixed(np.array([hash_of(w, seed) for w in parts], np.uint64))
+                    out[i] = majority_bits(list(h))
+            values = pa.ListArray.from_arrays(np.arange(0, out.size + 1, prints, dtype=np.int32), pa.array(out.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["doc_id", "fps"])
+
+    return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, fps array<long>")
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b) with ``similar``: Jaccard similarity of the shingle sets at least that.
+
+    Texts of documents in no pair are not read further; each side is a join on its id.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_buffers(batch.column(1))
+            packed = [np.unique(shingle_hashes(raw[offsets[i] : offsets[i + 1]].tobytes(), words)).tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= similarity * max(len(p), len(q)) else 0
+                same.append(both >= similarity * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], names=["a", "b", "similar"])
+
+    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b"))).distinct()
+    packed = materialize(texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, shingles binary"), "shingles")
+    left = pairs.join(packed.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    return left.join(packed.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, similar boolean")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 16, radius: int = 2) -> DataFrame:
+    """(doc_id, group_id): groups of documents linked by a word-shingle similarity of at least ``similarity``.
+
+    Candidates come from covering tables of ``prints`` independent SimHash fingerprints of the words:
+    one print finds a pair at the least similarity about one time in five, all together nearly always.
+    In each bucket the other members are compared with the least one; those that it doesn't match meet
+    again without it, until none is left. Exact copies are one entry. group_id is the smallest doc_id
+    of the group. Documents without words are copies of each other; a null doc_id is left out.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id is not null")
+    body = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    keys = materialize(source.select("doc_id", *body), "bodies")
+    firsts = materialize(keys.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")), "firsts")
+    # Copies take part in the tables of no use: only first copies are listed.
+    prints_of = word_fingerprints(source, prints).join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    masks = covering_masks(radius)
+    slots = F.flatten(F.transform("fps", lambda fp, i: F.array(*[F.xxhash64(i, F.lit(t), fp.bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])))
+    rows = prints_of.select("doc_id", F.explode(slots).alias("bucket"))
+    edges = None
+    while True:
+        led = rows.withColumn("leader", F.min("doc_id").over(Window.partitionBy("bucket"))).where("leader <> doc_id")
+        rows = materialize(led, "led")
+        pairs = materialize(rows.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+        if pairs.isEmpty():
+            break
+        judged = materialize(similar_pairs(pairs, source, words, similarity), "judged")
+        good = judged.where("similar").select("a", "b")
+        edges = good if edges is None else edges.unionAll(good)
+        bad = judged.where("not similar").select(F.col("a").alias("leader"), F.col("b").alias("doc_id"))
+        rows = rows.join(bad, ["leader", "doc_id"], "left_semi").select("doc_id", "bucket")
+    named = firsts
+    if edges is None:
+        named = named.withColumn("group_id", F.col("first"))
+    else:
+        linked = connected_components(edges, "near")
+        named = named.join(linked, F.col("first") == F.col("node"), "left").withColumn("group_id", F.coalesce("component", "first"))
+    return keys.join(named.select("h1", "h2", "group_id"), ["h1", "h2"]).select("doc_id", "group_id")
