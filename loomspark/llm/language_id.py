@@ -159,8 +159,8 @@ def training_sample(docs: DataFrame, per_language: int = 300, max_bytes: int = 1
     return out
 
 
-def identify(docs: DataFrame, model: PpmModel) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): language, its posterior, bits per byte.
+def identify(docs: DataFrame, model: PpmModel, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): language, its posterior, bits per byte, ``keep`` columns.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing was
     learned. Equal code lengths go to the language that sorts first. Extra columns are ignored.
@@ -182,10 +182,10 @@ def identify(docs: DataFrame, model: PpmModel) -> DataFrame:
                 letters = batch.column(3).to_numpy(zero_copy_only=False)
                 lang = [m.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letters, strict=True)]
                 score, rate = np.where(letters, post, 0.0), np.where(letters, least / size, 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], names=SCHEMA.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(score), pa.array(rate), *batch.columns[4:]], names=[*SCHEMA.names, *keep])
 
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return ready.mapInArrow(predict, SCHEMA)
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), *keep)
+    return ready.mapInArrow(predict, T.StructType([*SCHEMA.fields, *[docs.schema[c] for c in keep]]))
 
 
 def language_id(docs: DataFrame, per_language: int = 300) -> DataFrame:
