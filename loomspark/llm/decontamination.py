@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_buffers
 
@@ -145,8 +146,8 @@ def _blocks(benchmark: DataFrame) -> list[list[int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """One row per row of ``docs``: is some item of ``benchmark`` covered to ``cover`` or more?
+def decontaminate(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: is some item of ``benchmark`` covered to ``cover`` or more? ``keep`` columns follow.
 
     item_id and coverage are those of the best covered item (ties: the smallest id; null and 0 if no
     item shares a seed), n_items counts the items covered to ``cover``. Null or empty texts and items
@@ -156,12 +157,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     nothing = [F.lit(False).alias("contaminated"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_items")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *nothing, F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *nothing, F.col("text").cast("string").alias("_scanned"), *keep)
+    schema = T.StructType([*T._parse_datatype_string(f"{SCHEMA}, _scanned string").fields, *[docs.schema[c] for c in keep]])
     for ids in _blocks(bench):
         block = bench.where(F.col("item_id").between(ids[0], ids[-1])).collect() if ids else []
         shared = spark.sparkContext.broadcast(sorted({(r[0], (r[1] or "").encode()) for r in block}))
-        rows = rows.mapInArrow(_scanner(shared, cover), f"{SCHEMA}, text string")
-    return rows.drop("text")
+        rows = rows.mapInArrow(_scanner(shared, cover), schema)
+    return rows.drop("_scanned")
 
 
 def _scanner(shared, cover: float):
@@ -185,7 +187,7 @@ def _scanner(shared, cover: float):
                         share[i], best[i] = got, item_id
                 hit[i] = share[i] >= cover
             new = [pa.array(hit, pa.bool_()), pa.array(best, pa.int64()), pa.array(share, pa.float64()), pa.array(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *new, batch.column(5)], names=[*(x.split()[0] for x in SCHEMA.split(", ")), "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new, *batch.columns[5:]], names=batch.schema.names)
 
     return scan
 
