@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontamination, language_id, license_scan, packing, pii, sharding, simhash
+from . import ann, decontamination, language_id, license_scan, line_dedup, packing, pii, sharding, simhash, suffix_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,10 +32,18 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
@@ -46,8 +54,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_id, op2_adaptive_scan, op3_shard_compaction, op4_pii_spans, op5_best_fit_packing, op7_simhash, op9_license_scan, op10_decontamination)
+    for f in (op1_language_id, op2_adaptive_scan, op3_shard_compaction, op4_pii_spans, op5_best_fit_packing, op6_suffix_dedup, op7_simhash, op8_line_dedup, op9_license_scan, op10_decontamination)
 }
 
 #: Where SQL can say the same; the others are tested against brute force, see tests/llm.
-ORACLES: dict[str, str] = {"op3_shard_compaction": sharding.oracle(), "op9_license_scan": license_scan.oracle()}
+ORACLES: dict[str, str] = {"op3_shard_compaction": sharding.oracle(), "op8_line_dedup": line_dedup.oracle(), "op9_license_scan": license_scan.oracle()}
