@@ -281,4 +281,4 @@ def short_label(c: Column, most: int = 35) -> Column:
 
 
 def unfenced(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?m)^```\w*\s*|```\s*$", ""))
+    return F.regexp_replace(F.regexp_replace(c, r"(?m)^```\w*\s*|```\s*$", ""), r"^\s+|\s+$", "")
