@@ -225,7 +225,7 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return steps
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, rows_per_group: int = 200_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, rows_per_group: int = 2_000) -> DataFrame:
     """``pieces`` (PIECES) with sequence_id and offset; pieces longer than the capacity are an error.
 
     Equal lengths are ranked by (salt, doc_id, piece, start, ids_crc32); repeated rows get places of
@@ -233,15 +233,14 @@ def pack(pieces: DataFrame, capacity: int = 2048, rows_per_group: int = 200_000)
     """
     spark = pieces.sparkSession
     pieces = materialize(pieces.select(*PIECES.names), "pieces")
-    total = pieces.count()
-    salts = max(1, -(-total // rows_per_group))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    groups = salted.groupBy("length", "salt").count()
-    counts = {int(r[0]): int(r[1]) for r in groups.groupBy("length").agg(F.sum("count")).collect()}
+    counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` lengths
     if counts and not 0 < min(counts) <= max(counts) <= capacity:
         raise ValueError("a piece is empty or longer than the capacity")
     steps = plan_packing(counts, capacity)
     shared = spark.sparkContext.broadcast(np.array(sorted(steps), np.int64).reshape(-1, 6))
+    salts = F.broadcast(spark.createDataFrame([(n, -(-c // rows_per_group)) for n, c in counts.items()], "length long, salts int"))
+    salted = pieces.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), "salts").cast("int"))
+    groups = salted.groupBy("length", "salt").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = groups.select("length", "salt", before.alias("base"))
     number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))

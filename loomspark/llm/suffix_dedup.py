@@ -35,6 +35,8 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 _ASK = np.dtype([("anchor", "<u8"), ("at", "<i8"), ("hot", "u1")])
+#: First byte of a mark: settled anchors, or anchors whose surroundings are asked for.
+SPOTS, ASKS = b"s", b"a"
 _SPAN = np.dtype([("a", "<i8"), ("b", "<i8")])
 _WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("at", "<i8")])
 
@@ -225,7 +227,7 @@ def _settle_buckets(most: int):
         blobs: list[bytes] = []
         for k, doc, spots, asks, entries in zip(*[t.column(i).to_pylist() for i in range(5)], strict=True):
             if k < 0:
-                out.append((doc, spots, asks))
+                out += [(doc, tag + x) for tag, x in ((SPOTS, spots), (ASKS, asks)) if x]
             else:
                 marks.append(asks or b"")
                 if entries:
@@ -245,10 +247,10 @@ def _settle_buckets(most: int):
             open_ = ~settled & (hot | (bodies > most * 100) | ((bodies > 1) & (least < most)))[group]
             asks = np.zeros(int(open_.sum()), _ASK)
             asks["anchor"], asks["at"], asks["hot"] = anchor[open_], at[open_], (hot | (bodies > most * 100))[group][open_]
-            out += [(k, v.astype("<i8").tobytes(), None) for k, v in _by_doc(doc[settled], at[settled])]
-            out += [(k, None, v.tobytes()) for k, v in _by_doc(doc[open_], asks)]
-        cols = list(zip(*out, strict=True)) or [()] * 3
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "spots", "asks"])
+            out += [(k, SPOTS + v.astype("<i8").tobytes()) for k, v in _by_doc(doc[settled], at[settled])]
+            out += [(k, ASKS + v.tobytes()) for k, v in _by_doc(doc[open_], asks)]
+        cols = list(zip(*out, strict=True)) or [()] * 2
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary()), strict=True)], names=["doc_id", "mark"])
 
     return run
 
@@ -264,7 +266,7 @@ def _answer(length: int, buckets: int):
             found: dict[int, list[bytes]] = {}
             windows: dict[int, list[bytes]] = {}
             for i, (doc, asked) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                asks = np.unique(np.concatenate([np.frombuffer(x, _ASK) for x in asked]))
+                asks = np.unique(np.concatenate([np.frombuffer(x, _ASK, offset=1) for x in asked if x[:1] == ASKS]))
                 part = raw[offsets[i] : offsets[i + 1]]
                 n = len(part)
                 asks = asks[asks["at"] + GRAM <= n]
@@ -388,12 +390,14 @@ def _cut(length: int):
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
             out = []
-            for i, (spots, spans) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for i, (marks, spans) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 part = raw[offsets[i] : offsets[i + 1]]
                 n = len(part)
                 edge = np.zeros(n + 1, np.int64)
-                for x in spots or ():
-                    at = np.frombuffer(x, "<i8")
+                for x in marks or ():
+                    if x[:1] != SPOTS:
+                        continue
+                    at = np.frombuffer(x, "<i8", offset=1)
                     at = at[at < n]
                     np.add.at(edge, np.maximum(at - (length - GRAM), 0), 1)
                     np.add.at(edge, np.minimum(at + length, n), -1)
@@ -423,16 +427,18 @@ def repeated_passages(docs: DataFrame, length: int = 50, bucket_bytes: int = BUC
         raise ValueError(f"length is at least {3 * MODULUS}")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = max(1, -(-text_bytes(source) // bucket_bytes))
-    mapped = source.where("doc_id is not null").mapInArrow(_map_blocks(length, buckets, block_bytes, hot), MAPPED)
-    settled = mapped.groupBy("bucket").applyInArrow(_settle_buckets(hot), "doc_id long, spots binary, asks binary")
-    by_doc = settled.groupBy("doc_id").agg(F.collect_list("spots").alias("spots"), F.collect_list("asks").alias("asks"))
+    # A null id is in neither join below; both then deal out the same rows, and the second reads the first one's exchange.
+    keyed = source.where("doc_id is not null")
+    mapped = keyed.mapInArrow(_map_blocks(length, buckets, block_bytes, hot), MAPPED)
+    settled = mapped.groupBy("bucket").applyInArrow(_settle_buckets(hot), "doc_id long, mark binary")
+    by_doc = settled.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
     answer, kind = _answer(length, buckets)
-    # The texts are dealt out by doc_id once; both joins below read the same exchange.
-    open_ = source.join(by_doc.where(F.size("asks") > 0).select(F.col("doc_id").alias("k"), "asks").hint("shuffle_hash"), F.col("doc_id") == F.col("k")).select("doc_id", "text", "asks")
-    answers = open_.mapInArrow(answer, "bucket int, found binary, windows binary")
+    asking = by_doc.where(F.exists("marks", lambda m: F.substring(m, 1, 1) == F.lit(ASKS))).select(F.col("doc_id").alias("k"), "marks")
+    answers = keyed.join(asking.hint("shuffle_hash"), F.col("doc_id") == F.col("k")).select("doc_id", "text", "marks").mapInArrow(answer, "bucket int, found binary, windows binary")
     spans = answers.groupBy("bucket").applyInArrow(_sort_bucket(length, kind), "doc_id long, spans binary")
-    marks = by_doc.select("doc_id", F.col("spots").alias("x"), F.lit(None).cast("array<binary>").alias("y"))
-    marks = marks.unionAll(spans.select("doc_id", F.lit(None).cast("array<binary>"), F.array("spans")))
-    marks = marks.groupBy("doc_id").agg(F.flatten(F.collect_list("x")).alias("spots"), F.flatten(F.collect_list("y")).alias("spans"))
-    marked = source.join(marks.withColumnRenamed("doc_id", "k").hint("shuffle_hash"), F.col("doc_id") == F.col("k"), "left").select("doc_id", "text", "spots", "spans")
-    return marked.mapInArrow(_cut(length), SCHEMA)
+    every = by_doc.select("doc_id", F.col("marks").alias("x"), F.lit(None).cast("array<binary>").alias("y"))
+    every = every.unionAll(spans.select("doc_id", F.lit(None).cast("array<binary>"), F.array("spans")))
+    every = every.groupBy("doc_id").agg(F.flatten(F.collect_list("x")).alias("marks"), F.flatten(F.collect_list("y")).alias("spans"))
+    marked = keyed.join(every.withColumnRenamed("doc_id", "k").hint("shuffle_hash"), F.col("doc_id") == F.col("k"), "left").select("doc_id", "text", "marks", "spans")
+    without = source.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("marks"), F.lit(None).cast("array<binary>").alias("spans"))
+    return marked.mapInArrow(_cut(length), SCHEMA).unionAll(without.mapInArrow(_cut(length), SCHEMA))
