@@ -77,7 +77,7 @@ def ttr(spark, d):
 
 
 @query("""WITH s AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: trim(s)), lambda s: length(s) > 5), lambda s: len(list_filter(string_split_regex(s, '\\s+'), lambda t: t <> ''))::DOUBLE) AS n FROM documents)
-SELECT doc_id, coalesce(round(round(list_avg(n), 3), 2), 0) AS mean, CASE WHEN len(n) < 2 THEN 0 ELSE round(round(list_var_pop(n), 3), 2) END AS variance FROM s""")
+SELECT doc_id, coalesce(round(list_avg(n)::DECIMAL(18, 3), 2), 0)::DOUBLE AS mean, CASE WHEN len(n) < 2 THEN 0 ELSE round(list_var_pop(n)::DECIMAL(18, 3), 2)::DOUBLE END AS variance FROM s""")
 def sentence_variance(spark, d):
     rows = _docs(spark, d).select("doc_id", T.sentence_rhythm(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("r"))
     return rows.select("doc_id", F.round("r.mean", 2).alias("mean"), F.round("r.variance", 2).alias("variance"))
