@@ -119,13 +119,7 @@ def simhash_components(docs: DataFrame, words: int = 3, seed: int = 42) -> DataF
 
 def word_fingerprints(docs: DataFrame, prints: int, seed: int = 42) -> DataFrame:
     """(doc_id, fps array<long>): ``prints`` independent fingerprints of the distinct words of each text."""
-    mixes = (np.arange(1, prints + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-    def mixed(h: np.ndarray) -> np.ndarray:
-        """The hashes under every mix: rows are mixes."""
-        x = (h[None, :] ^ (h[None, :] >> np.uint64(31))) * mixes[:, None]
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(32))
+    weights = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_of = xxhash.xxh64_intdigest
@@ -134,26 +128,46 @@ def word_fingerprints(docs: DataFrame, prints: int, seed: int = 42) -> DataFrame
             out = np.zeros((batch.num_rows, prints), np.uint64)
             for i in range(batch.num_rows):
                 parts = set(raw[offsets[i] : offsets[i + 1]].tobytes().translate(_LOWER).split())
-                if parts:
-                    h = mixed(np.array([hash_of(w, seed) for w in parts], np.uint64))
-                    out[i] = majority_bits(list(h))
+                h = np.fromiter((hash_of(w, seed) for w in parts), np.uint64, len(parts))
+                ones = np.zeros((prints, BITS), np.int64)
+                for a in range(0, len(h), 1 << 12):
+                    cell = _mixed(h[a : a + (1 << 12)], prints).astype("<u8")
+                    ones += np.unpackbits(cell.view(np.uint8).reshape(prints, -1, 8), axis=2, bitorder="little").sum(1, dtype=np.int64)
+                out[i] = ((2 * ones > len(h)) * weights).sum(1, dtype=np.uint64)
             values = pa.ListArray.from_arrays(np.arange(0, out.size + 1, prints, dtype=np.int32), pa.array(out.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["doc_id", "fps"])
 
     return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, fps array<long>")
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The rows of ``pairs`` (a, b) with ``similar``: Jaccard similarity of the shingle sets at least that.
+def _mixed(h: np.ndarray, n: int) -> np.ndarray:
+    """The hashes under ``n`` independent mixes, one row each."""
+    mixes = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    x = (h[None, :] ^ (h[None, :] >> np.uint64(31))) * mixes[:, None]
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-    Texts of documents in no pair are not read further; each side is a join on its id.
-    """
+
+def shingle_sets(texts: DataFrame, words: int, mins: int) -> DataFrame:
+    """(id, shingles, mins) of ``texts`` (doc_id, text): the sorted set of shingle hashes, and its least under ``mins`` mixes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
-            packed = [np.unique(shingle_hashes(raw[offsets[i] : offsets[i + 1]].tobytes(), words)).tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "shingles"])
+            packed, least = [], np.full((batch.num_rows, mins), np.iinfo(np.uint64).max, np.uint64)
+            for i in range(batch.num_rows):
+                h = np.unique(shingle_hashes(raw[offsets[i] : offsets[i + 1]].tobytes(), words))
+                for a in range(0, len(h), 1 << 14):
+                    least[i] = np.minimum(least[i], _mixed(h[a : a + (1 << 14)], mins).min(1))
+                packed.append(h.tobytes())
+            values = pa.ListArray.from_arrays(np.arange(0, least.size + 1, mins, dtype=np.int32), pa.array(least.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), values], names=["id", "shingles", "mins"])
+
+    return texts.select("doc_id", "text").mapInArrow(sets, "id long, shingles binary, mins array<long>")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b) with ``similar``: Jaccard similarity of the ``sets`` (id, shingles) at least that."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,20 +178,25 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: fl
                 same.append(both >= similarity * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], names=["a", "b", "similar"])
 
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b"))).distinct()
-    packed = materialize(texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, shingles binary"), "shingles")
-    left = pairs.join(packed.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    return left.join(packed.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, similar boolean")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    return left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, similar boolean")
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, key) with the least member of their bucket as ``leader``, which leaves the bucket."""
+    return rows.withColumn("leader", F.min("doc_id").over(Window.partitionBy("key"))).where("leader <> doc_id")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 16, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 16, radius: int = 2, mins: int = 24) -> DataFrame:
     """(doc_id, group_id): groups of documents linked by a word-shingle similarity of at least ``similarity``.
 
     Candidates come from covering tables of ``prints`` independent SimHash fingerprints of the words:
     one print finds a pair at the least similarity about one time in five, all together nearly always.
-    In each bucket the other members are compared with the least one; those that it doesn't match meet
-    again without it, until none is left. Exact copies are one entry. group_id is the smallest doc_id
-    of the group. Documents without words are copies of each other; a null doc_id is left out.
+    In each bucket the least member leads: it is compared with the others and leaves, as do those that
+    it matches. The rest of all buckets with one leader is split by two more min-hashes of the shingles
+    and meets again, until none is left: members that are not similar part after few rounds and are not
+    compared in all pairs. No pair is judged twice. Exact copies are one entry. group_id is the smallest doc_id of
+    the group. Documents without words are copies of each other; a null doc_id is left out.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id is not null")
     body = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
@@ -187,19 +206,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, pr
     prints_of = word_fingerprints(source, prints).join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     masks = covering_masks(radius)
     slots = F.flatten(F.transform("fps", lambda fp, i: F.array(*[F.xxhash64(i, F.lit(t), fp.bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])))
-    rows = prints_of.select("doc_id", F.explode(slots).alias("bucket"))
-    edges = None
-    while True:
-        led = rows.withColumn("leader", F.min("doc_id").over(Window.partitionBy("bucket"))).where("leader <> doc_id")
-        rows = materialize(led, "led")
-        pairs = materialize(rows.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        judged = materialize(similar_pairs(pairs, source, words, similarity), "judged")
-        good = judged.where("similar").select("a", "b")
-        edges = good if edges is None else edges.unionAll(good)
-        bad = judged.where("not similar").select(F.col("a").alias("leader"), F.col("b").alias("doc_id"))
-        rows = rows.join(bad, ["leader", "doc_id"], "left_semi").select("doc_id", "bucket")
+    rows = prints_of.select("doc_id", F.explode(slots).alias("key"))
+    led = _led(rows).select("leader", "doc_id").distinct().withColumn("key", F.xxhash64("leader"))
+    led = materialize(led.withColumn("slot", F.pmod("key", F.lit(mins)).cast("int")), "led")
+    # The texts are read and shuffled once more, for the shingles of those that share a bucket.
+    ids = led.select("doc_id").unionAll(led.select("leader")).distinct()
+    sets = materialize(shingle_sets(source.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), words, mins), "shingles")
+    known, turn = None, 0
+    while not led.isEmpty():
+        pairs = led.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+        new = pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")
+        judged = materialize(similar_pairs(new, sets, similarity), "judged")
+        known = judged if known is None else known.unionAll(judged)
+        apart = known.where("not similar").select(F.col("a").alias("leader"), F.col("b").alias("doc_id"))
+        least = [F.element_at("mins", F.pmod(F.col("slot") + i, F.lit(mins)) + 1) for i in (2 * turn, 2 * turn + 1)]
+        rows = led.join(apart, ["leader", "doc_id"], "left_semi").join(sets.select(F.col("id").alias("doc_id"), "mins"), "doc_id")
+        led, turn = materialize(_led(rows.select("doc_id", F.xxhash64("key", *least).alias("key"), "slot")), "led"), turn + 1
+    edges = None if known is None else known.where("similar").select("a", "b")
     named = firsts
     if edges is None:
         named = named.withColumn("group_id", F.col("first"))
