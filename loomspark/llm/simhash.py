@@ -166,20 +166,25 @@ def shingle_sets(texts: DataFrame, words: int, mins: int) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(sets, "id long, shingles binary, mins array<long>")
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The rows of ``pairs`` (a, b) with ``similar``: Jaccard similarity of the ``sets`` (id, shingles) at least that."""
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float, split: tuple[int, ...]) -> DataFrame:
+    """The rows of ``pairs`` (leader, doc_id, key, slot) with ``similar``: Jaccard similarity of their ``sets`` at least that.
+
+    ``key`` is split by the document's min-hashes number slot + i for each i of ``split``.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= similarity * max(len(p), len(q)) else 0
                 same.append(both >= similarity * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], names=["a", "b", "similar"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same, pa.bool_())], names=[*batch.schema.names[:4], "similar"])
 
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    return left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, similar boolean")
+    least = [F.element_at("mins", F.pmod(F.col("slot") + i, F.size("mins")) + 1) for i in split]
+    left = pairs.join(sets.select(F.col("id").alias("leader"), F.col("shingles").alias("x")), "leader")
+    both = left.join(sets.select(F.col("id").alias("doc_id"), F.col("shingles").alias("y"), "mins"), "doc_id")
+    return both.select("leader", "doc_id", F.xxhash64("key", *least).alias("key"), "slot", "x", "y").mapInArrow(compare, "leader long, doc_id long, key long, slot int, similar boolean")
 
 
 def _led(rows: DataFrame) -> DataFrame:
@@ -187,7 +192,7 @@ def _led(rows: DataFrame) -> DataFrame:
     return rows.withColumn("leader", F.min("doc_id").over(Window.partitionBy("key"))).where("leader <> doc_id")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 16, radius: int = 2, mins: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 16, radius: int = 2, mins: int = 32) -> DataFrame:
     """(doc_id, group_id): groups of documents linked by a word-shingle similarity of at least ``similarity``.
 
     Candidates come from covering tables of ``prints`` independent SimHash fingerprints of the words:
@@ -212,17 +217,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, pr
     # The texts are read and shuffled once more, for the shingles of those that share a bucket.
     ids = led.select("doc_id").unionAll(led.select("leader")).distinct()
     sets = materialize(shingle_sets(source.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), words, mins), "shingles")
-    known, turn = None, 0
-    while not led.isEmpty():
-        pairs = led.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-        new = pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")
-        judged = materialize(similar_pairs(new, sets, similarity), "judged")
-        known = judged if known is None else known.unionAll(judged)
-        apart = known.where("not similar").select(F.col("a").alias("leader"), F.col("b").alias("doc_id"))
-        least = [F.element_at("mins", F.pmod(F.col("slot") + i, F.lit(mins)) + 1) for i in (2 * turn, 2 * turn + 1)]
-        rows = led.join(apart, ["leader", "doc_id"], "left_semi").join(sets.select(F.col("id").alias("doc_id"), "mins"), "doc_id")
-        led, turn = materialize(_led(rows.select("doc_id", F.xxhash64("key", *least).alias("key"), "slot")), "led"), turn + 1
-    edges = None if known is None else known.where("similar").select("a", "b")
+    edges, turn = None, 0
+    while True:
+        judged = materialize(similar_pairs(led, sets, similarity, tuple(range(4 * turn, 4 * turn + 4))), "judged")
+        if judged.isEmpty():
+            break
+        good = judged.where("similar").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+        edges = good if edges is None else edges.unionAll(good)
+        led, turn = _led(judged.where("not similar").select("doc_id", "key", "slot")), turn + 1
     named = firsts
     if edges is None:
         named = named.withColumn("group_id", F.col("first"))
