@@ -240,11 +240,11 @@ def _settle_buckets(most: int):
             new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
             group = np.cumsum(new) - 1
             bodies = np.bincount(group, weights=~same)
-            least, most = np.full(group[-1] + 1, np.iinfo(np.int64).max), np.full(group[-1] + 1, np.iinfo(np.int64).min)
+            least, largest = np.full(group[-1] + 1, np.iinfo(np.int64).max), np.full(group[-1] + 1, np.iinfo(np.int64).min)
             np.minimum.at(least, group, doc)
-            np.maximum.at(most, group, doc)
+            np.maximum.at(largest, group, doc)
             hot = np.isin(anchor[new], np.frombuffer(b"".join(marks), "<u8"))
-            open_ = ~settled & (hot | (bodies > most * 100) | ((bodies > 1) & (least < most)))[group]
+            open_ = ~settled & (hot | (bodies > most * 100) | ((bodies > 1) & (least < largest)))[group]
             asks = np.zeros(int(open_.sum()), _ASK)
             asks["anchor"], asks["at"], asks["hot"] = anchor[open_], at[open_], (hot | (bodies > most * 100))[group][open_]
             out += [(k, SPOTS + v.astype("<i8").tobytes()) for k, v in _by_doc(doc[settled], at[settled])]
