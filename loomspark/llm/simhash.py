@@ -25,6 +25,8 @@ from pyspark.sql.window import Window
 from .common import connected_components, materialize, row_slices, text_buffers
 
 BITS = 64
+#: Longs in the parity sketch of a shingle set.
+SKETCH = 8
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -117,118 +119,174 @@ def simhash_components(docs: DataFrame, words: int = 3, seed: int = 42) -> DataF
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def word_fingerprints(docs: DataFrame, prints: int, seed: int = 42) -> DataFrame:
-    """(doc_id, fps array<long>): ``prints`` independent fingerprints of the distinct words of each text."""
-    weights = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
+def shingle_set(raw: bytes, words: int) -> np.ndarray:
+    """The sorted set of shingle hashes; a text without words has one stand-in, so that all such texts are alike."""
+    h = np.unique(shingle_hashes(raw, words))
+    return h if len(h) else np.zeros(1, np.uint64)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of = xxhash.xxh64_intdigest
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of ``texts`` (doc_id, text): the sorted set of shingle hashes, eight bytes each."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
-            out = np.zeros((batch.num_rows, prints), np.uint64)
-            for i in range(batch.num_rows):
-                parts = set(raw[offsets[i] : offsets[i + 1]].tobytes().translate(_LOWER).split())
-                h = np.fromiter((hash_of(w, seed) for w in parts), np.uint64, len(parts))
-                ones = np.zeros((prints, BITS), np.int64)
-                for a in range(0, len(h), 1 << 12):
-                    cell = _mixed(h[a : a + (1 << 12)], prints).astype("<u8")
-                    ones += np.unpackbits(cell.view(np.uint8).reshape(prints, -1, 8), axis=2, bitorder="little").sum(1, dtype=np.int64)
-                out[i] = ((2 * ones > len(h)) * weights).sum(1, dtype=np.uint64)
-            values = pa.ListArray.from_arrays(np.arange(0, out.size + 1, prints, dtype=np.int32), pa.array(out.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["doc_id", "fps"])
+            packed = [shingle_set(raw[offsets[i] : offsets[i + 1]].tobytes(), words).tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, fps array<long>")
+    return texts.select("doc_id", "text").mapInArrow(sets, "id long, shingles binary")
 
 
-def _mixed(h: np.ndarray, n: int) -> np.ndarray:
-    """The hashes under ``n`` independent mixes, one row each."""
-    mixes = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    x = (h[None, :] ^ (h[None, :] >> np.uint64(31))) * mixes[:, None]
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+def frequent_shingles(texts: DataFrame, words: int, sample: int = 5000, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about ``sample`` texts hold, sorted, and how many texts hold them.
 
+    They only order the shingles for ``prefixes``: any order gives the same links, this one fewer candidates.
+    """
+    step = max(1, texts.count() // sample)
 
-def shingle_sets(texts: DataFrame, words: int, mins: int) -> DataFrame:
-    """(id, shingles, mins) of ``texts`` (doc_id, text): the sorted set of shingle hashes, and its least under ``mins`` mixes."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
-            packed, least = [], np.full((batch.num_rows, mins), np.iinfo(np.uint64).max, np.uint64)
             for i in range(batch.num_rows):
-                h = np.unique(shingle_hashes(raw[offsets[i] : offsets[i + 1]].tobytes(), words))
-                for a in range(0, len(h), 1 << 14):
-                    least[i] = np.minimum(least[i], _mixed(h[a : a + (1 << 14)], mins).min(1))
-                packed.append(h.tobytes())
-            values = pa.ListArray.from_arrays(np.arange(0, least.size + 1, mins, dtype=np.int32), pa.array(least.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), values], names=["id", "shingles", "mins"])
+                h = shingle_set(raw[offsets[i] : offsets[i + 1]].tobytes(), words)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["token"])
 
-    return texts.select("doc_id", "text").mapInArrow(sets, "id long, shingles binary, mins array<long>")
+    dealt = texts.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
+    counts = dealt.mapInArrow(hashes, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    rows = counts.orderBy(F.desc("n"), "token").limit(most).collect()
+    tokens = np.array([x["token"] for x in rows], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.array([x["n"] for x in rows], np.int64)[order]
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float, split: tuple[int, ...]) -> DataFrame:
-    """The rows of ``pairs`` (leader, doc_id, key, slot) with ``similar``: Jaccard similarity of their ``sets`` at least that.
+def prefixes(texts: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, n, tokens, sketch) of ``texts`` (doc_id, text): the size of the shingle set, its prefix and its parity sketch.
 
-    ``key`` is split by the document's min-hashes number slot + i for each i of ``split``.
+    In one order of all shingles (rare first), two sets of Jaccard similarity s share one of their
+    first n - ceil(s n) + 1 shingles. The sketch holds, for each of ``SKETCH`` x 64 cells, whether
+    an odd number of shingles falls in it: two sketches never differ in more bits than their sets
+    differ in shingles.
     """
+    known, held = common
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_buffers(batch.column(1))
+            sizes, tokens, sketches = [], [], np.zeros((batch.num_rows, SKETCH), np.uint64)
+            for i in range(batch.num_rows):
+                h = shingle_set(raw[offsets[i] : offsets[i + 1]].tobytes(), words)
+                length = len(h) - least_shared(similarity * len(h)) + 1
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    first = h[np.argsort(np.where(known[at] == h, held[at], 0), kind="stable")[:length]]
+                else:
+                    first = h[:length]
+                odd = np.bincount((h % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+                sketches[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+                sizes.append(len(h))
+                tokens.append(first.view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
+            cells = pa.ListArray.from_arrays(np.arange(0, sketches.size + 1, SKETCH, dtype=np.int32), pa.array(sketches.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), lists, cells], names=["id", "n", "tokens", "sketch"])
+
+    return texts.select("doc_id", "text").mapInArrow(digest, "id long, n int, tokens array<long>, sketch array<long>")
+
+
+def least_shared(x: float) -> int:
+    """The least whole number that is not below ``x``, rounding errors of ``x`` aside."""
+    return int(np.ceil(x - 1e-9))
+
+
+def can_be_similar(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose sizes and sketches leave room for ``similarity``; no similar pair is lost."""
+    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), *[F.col("sketch")[i].alias(f"{c}_{i}") for i in range(SKETCH)])
+    apart = sum((F.bit_count(F.col(f"a_{i}").bitwiseXOR(F.col(f"b_{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("a_0").bitwiseXOR(F.col("b_0"))))
+    total = F.col("n_a") + F.col("n_b")
+    room = total - 2 * F.ceil(total * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))
+    near = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity) - F.lit(1e-6)) & (apart <= room)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose ``sets`` have at least that Jaccard similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = []
-            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= similarity * max(len(p), len(q)) else 0
-                same.append(both >= similarity * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same, pa.bool_())], names=[*batch.schema.names[:4], "similar"])
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                same.append(both >= least_shared(similarity * (len(p) + len(q) - both)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    least = [F.element_at("mins", F.pmod(F.col("slot") + i, F.size("mins")) + 1) for i in split]
-    left = pairs.join(sets.select(F.col("id").alias("leader"), F.col("shingles").alias("x")), "leader")
-    both = left.join(sets.select(F.col("id").alias("doc_id"), F.col("shingles").alias("y"), "mins"), "doc_id")
-    return both.select("leader", "doc_id", F.xxhash64("key", *least).alias("key"), "slot", "x", "y").mapInArrow(compare, "leader long, doc_id long, key long, slot int, similar boolean")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _led(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, key) with the least member of their bucket as ``leader``, which leaves the bucket."""
-    return rows.withColumn("leader", F.min("doc_id").over(Window.partitionBy("key"))).where("leader <> doc_id")
+def candidate_pairs(shared: DataFrame, linked: DataFrame | None, turn: int) -> DataFrame:
+    """(a, b): pairs of documents of one bucket (token) of ``shared`` (token, id) that are not ``linked`` yet.
 
-
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 16, radius: int = 2, mins: int = 32) -> DataFrame:
+    Turn 0: every member and the least one. Turn 1: every member outside the bucket's largest group
+    and one member of that group. Turn 2: all pairs of different groups.
+    """
+    if linked is None:
+        now = shared.withColumn("group", F.col("id"))
+    else:
+        now = shared.join(linked.select(F.col("node").alias("id"), "component"), "id", "left").select("token", "id", F.coalesce("component", "id").alias("group"))
+    if turn == 0:
+        least = now.groupBy("token").agg(F.min("id").alias("other"))
+        pairs = now.join(least, "token").where("id <> other")
+    else:
+        groups = now.groupBy("token", "group").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "token")).alias("lead"))
+        main = groups.groupBy("token").agg(F.max(F.struct("n", "group", "lead")).alias("m"), F.count("*").alias("groups")).where("groups > 1")
+        main = main.select("token", F.col("m.group").alias("main"), F.col("m.lead").alias("lead"))
+        outside = now.join(main, "token").where("group <> main")
+        if turn == 1:
+            pairs = outside.withColumn("other", F.col("lead"))
+        else:
+            others = now.select("token", F.col("id").alias("other"), F.col("group").alias("other_group"))
+            pairs = outside.join(others, "token").where("group <> other_group and (other_group = main or id < other)")
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, group_id): groups of documents linked by a word-shingle similarity of at least ``similarity``.
 
-    Candidates come from covering tables of ``prints`` independent SimHash fingerprints of the words:
-    one print finds a pair at the least similarity about one time in five, all together nearly always.
-    In each bucket the least member leads: it is compared with the others and leaves, as do those that
-    it matches. The rest of all buckets with one leader is split by two more min-hashes of the shingles
-    and meets again, until none is left: members that are not similar part after few rounds and are not
-    compared in all pairs. No pair is judged twice. Exact copies are one entry. group_id is the smallest doc_id of
-    the group. Documents without words are copies of each other; a null doc_id is left out.
+    Exact: a pair of that similarity shares a shingle of both prefixes (see ``prefixes``), so all
+    candidates meet in the buckets of the prefix shingles, and a candidate is dropped only where sizes
+    or sketches exclude the similarity, or where both documents are in one group already. Two turns of
+    comparisons with one member of each bucket find most groups, so that the last turn, which takes all
+    pairs of different groups in each bucket, does not compare the copies of one text in all pairs.
+    Exact copies are one entry. group_id is the smallest doc_id of the group. Documents without words
+    are copies of each other; a null doc_id is left out.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id is not null")
     body = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
     keys = materialize(source.select("doc_id", *body), "bodies")
     firsts = materialize(keys.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")), "firsts")
-    # Copies take part in the tables of no use: only first copies are listed.
-    prints_of = word_fingerprints(source, prints).join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    masks = covering_masks(radius)
-    slots = F.flatten(F.transform("fps", lambda fp, i: F.array(*[F.xxhash64(i, F.lit(t), fp.bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])))
-    rows = prints_of.select("doc_id", F.explode(slots).alias("key"))
-    led = _led(rows).select("leader", "doc_id").distinct().withColumn("key", F.xxhash64("leader"))
-    led = materialize(led.withColumn("slot", F.pmod("key", F.lit(mins)).cast("int")), "led")
-    # The texts are read and shuffled once more, for the shingles of those that share a bucket.
-    ids = led.select("doc_id").unionAll(led.select("leader")).distinct()
-    sets = materialize(shingle_sets(source.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), words, mins), "shingles")
-    edges, turn = None, 0
-    while True:
-        judged = materialize(similar_pairs(led, sets, similarity, tuple(range(4 * turn, 4 * turn + 4))), "judged")
-        if judged.isEmpty():
-            break
-        good = judged.where("similar").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+    # Copies take part in the buckets of no use: only first copies are listed.
+    only = firsts.select(F.col("first").alias("id")).distinct()
+    listed = materialize(prefixes(source, words, similarity, frequent_shingles(source, words)).join(only, "id", "left_semi"), "prefixes")
+    rows = listed.select("id", F.explode("tokens").alias("token"))
+    full = rows.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("token")
+    shared = materialize(rows.join(full, "token", "left_semi").select("token", "id").distinct(), "shared")
+    sketches = listed.select("id", "n", "sketch").distinct()
+    edges, linked = None, None
+    for turn in range(3):
+        pairs = materialize(can_be_similar(candidate_pairs(shared, linked, turn), sketches, similarity).distinct(), "candidates")
+        if pairs.isEmpty():
+            continue
+        # The texts are read once more, for the shingles of those that are compared.
+        ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
+        sets = materialize(shingle_sets(source.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), words), "shingles")
+        good = materialize(similar_pairs(pairs, sets, similarity), "similar")
         edges = good if edges is None else edges.unionAll(good)
-        led, turn = _led(judged.where("not similar").select("doc_id", "key", "slot")), turn + 1
+        linked = connected_components(edges, "near")
     named = firsts
-    if edges is None:
+    if linked is None:
         named = named.withColumn("group_id", F.col("first"))
     else:
-        linked = connected_components(edges, "near")
         named = named.join(linked, F.col("first") == F.col("node"), "left").withColumn("group_id", F.coalesce("component", "first"))
     return keys.join(named.select("h1", "h2", "group_id"), ["h1", "h2"]).select("doc_id", "group_id")

@@ -307,6 +307,45 @@ def test_near_copies_are_grouped(spark):
     assert all(out[20 + 2 * i] == out[21 + 2 * i] == out[i] == i for i in range(20))
 
 
+def grouped_by_all_pairs(texts, words=5, similarity=0.8):
+    """The groups of near_duplicates by comparing every pair."""
+    parts = [t.split() for t in texts]
+    sets = [{tuple(p[i : i + words]) for i in range(max(1, len(p) - words + 1))} for p in parts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return group
+
+
+def replaced(r, words, at, n):
+    return words[:at] + ["".join(r.choice("klmnopq") for _ in range(6)) for _ in range(n)] + words[at + n :]
+
+
+def test_near_copies_inside_one_template_against_all_pairs(spark):
+    r = random.Random(31)
+    base = prose(300, 200).split()
+    # A chain: the last is near the middle one only.
+    middle = replaced(r, base, 20, 14)
+    texts = [" ".join(base), " ".join(middle), " ".join(replaced(r, middle, 120, 14))]
+    for _ in range(60):
+        # Families are unlike each other and the template; the two members of one are at 0.80 to 0.85.
+        family = base
+        for at in r.sample(range(10, 190, 10), 5):
+            family = replaced(r, family, at, 1)
+        near = family
+        for at in r.sample(range(15, 190, 10), 4):
+            near = replaced(r, near, at, 1)
+        texts += [" ".join(family), " ".join(near)]
+    want = grouped_by_all_pairs(texts)
+    assert len(set(want)) > 40 and want[0] == want[1] == want[2]
+    out = {o["doc_id"]: o["group_id"] for o in simhash.near_duplicates(frame(spark, texts)).collect()}
+    assert [out[i] for i in range(len(texts))] == want
+
+
 # --- lines
 
 
