@@ -346,6 +346,21 @@ def test_near_copies_inside_one_template_against_all_pairs(spark):
     assert [out[i] for i in range(len(texts))] == want
 
 
+def test_near_copies_with_one_block_appended_or_replaced(spark):
+    r = random.Random(32)
+    texts = []
+    for i in range(40):
+        base = prose(400 + i, 400).split()
+        share = 0.80 + 0.05 * i / 40
+        # Appended: 396 shingles of 396 + n. Replaced: n words cost n + 4 shingles on both sides.
+        n = int(396 / share) - 396 if i % 2 else int(396 * (1 - share) / (1 + share)) - 4
+        texts += [" ".join(base), " ".join(replaced(r, base, 400 if i % 2 else 150, n))]
+    want = grouped_by_all_pairs(texts)
+    assert want == [i - i % 2 for i in range(80)]
+    out = {o["doc_id"]: o["group_id"] for o in simhash.near_duplicates(frame(spark, texts)).collect()}
+    assert [out[i] for i in range(80)] == want
+
+
 # --- lines
 
 
