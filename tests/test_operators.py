@@ -84,6 +84,15 @@ def test_density_clusters(spark):
     assert len({out[i] for i in range(0, 30, 2)}) == 1 and len({out[i] for i in range(1, 30, 2)}) == 1 and out[0] != out[1]
 
 
+def test_density_clusters_do_not_depend_on_blocks(spark):
+    r = np.random.default_rng(1)
+    points = [*(r.uniform(-50, 50, (250, 2))), *([60.0, 60.0] + 0.01 * r.standard_normal((10, 2))), *([-70.0, 0.0] + 0.01 * r.standard_normal((40, 2)))]
+    frame = spark.createDataFrame([(i, "n", x.tolist()) for i, x in enumerate(points)] + [(900, "one", [0.0, 0.0])], "id int, g string, v array<double>")
+    whole, cut = ({x["id"]: x["cluster"] for x in learned.density_clusters(frame, "id", "v", "g", block=b).collect()} for b in (10_000, 30))
+    assert whole == cut and len(cut) == 301 and cut[900] == -1
+    assert len({cut[i] for i in range(250, 260)}) == 1 and len({cut[i] for i in range(260, 300)}) == 1 and -1 not in (cut[250], cut[260]) and cut[250] != cut[260]
+
+
 def test_sources_round_trip(spark, tmp_path):
     (tmp_path / "silver.csv").write_text('video_id,nicho,titulo,tags\n' + 'v1,comedy,"line one\nline ""two""","[\'A\', \'b\']"\n' + "v2,tech, ,\n")
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "silver.csv"))
