@@ -448,3 +448,32 @@ def test_reordered_passages_are_caught(spark):
     empty = decontamination.decontaminate(frame(spark, texts), bench.limit(0)).collect()
     assert len(empty) == 6 and not any(o["contaminated"] for o in empty)
     assert decontamination.decontaminate(frame(spark, texts).limit(0), bench).collect() == []
+
+
+def test_decontamination_against_all_pairs(spark, monkeypatch):
+    """Whole results, the Spark join included: a benchmark of several slices, repeated items, texts of one word, a null id."""
+    monkeypatch.setattr(decontamination, "ITEMS_PER_SLICE", 3)
+    r = random.Random(12)
+    pool = [prose(800 + i, 12) for i in range(12)]
+    items = [(i, " ".join(r.sample(pool, 3))) for i in range(25)] + [(3, pool[0]), (3, pool[0]), (40, "lone"), (41, "two words"), (42, ""), (43, None)]
+    texts = [" ".join(r.sample(pool, r.randint(1, 6))) + " " + prose(900 + i, 20) for i in range(30)] + ["lone", "a lone. b", "two, WORDS", "", None, LONG + " " + items[5][1], pool[0]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontamination.decontaminate(frame(spark, [*texts, texts[0]], ids=[*range(len(texts)), None]), bench).collect()
+    words = lambda t: decontamination.words((t or "").encode())
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    want = {}
+    for i, t in enumerate(texts):
+        best = {}
+        for item, body in items:
+            w = words(body)
+            k = min(4, len(w))
+            if k and grams(words(t), k) & grams(w, k):
+                number = {x: n for n, x in enumerate([*words(t), *w])}
+                n = slow_tiles([number[x] for x in words(t)], [number[x] for x in w], min(3, len(w))) if i != len(texts) - 2 else None
+                best[item] = max(best.get(item, 0), n / len(w)) if n is not None else 1.0
+        share = max(best.values(), default=0.0)
+        want[i] = (share >= 0.6, min((k for k, v in best.items() if v == share), default=None), share, sum(v >= 0.6 for v in best.values()))
+    got = {o["doc_id"]: (o["contaminated"], o["item_id"], o["coverage"], o["n_items"]) for o in out}
+    long = len(texts) - 2
+    assert got[long][0] and {**got, long: 0, None: 0} == {**want, long: 0, None: 0}
+    assert got[None] == got[0] and len(out) == len(texts) + 1
