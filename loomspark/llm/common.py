@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (plain local tests) is a temporary folder made and set.
+    Only in local mode is a temporary folder made and set where the setting is absent; on a cluster
+    such a folder would be one machine's own, so there the setting is required.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="loomspark-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -36,17 +39,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove an intermediate table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table of ``materialize`` that nothing reads any more."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/"
+    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
+        if folder.split(":", 1)[-1].rstrip("/") in parent:
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def broadcast_if_few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows (of a few numbers each), else for a shuffled hash join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("shuffle_hash")
+
+
 def text_buffers(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and its n + 1 row offsets; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -103,6 +114,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         )
         small = materialize(small, name)
         same = now.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == small.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(now)
         now = small
         if same:
             break

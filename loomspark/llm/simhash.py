@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, materialize, row_slices, text_buffers
+from .common import broadcast_if_few, connected_components, discard, materialize, row_slices, text_buffers
 
 BITS = 64
 #: Longs in the parity sketch of a shingle set.
@@ -126,15 +126,21 @@ def shingle_set(raw: bytes, words: int) -> np.ndarray:
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of ``texts`` (doc_id, text): the sorted set of shingle hashes, eight bytes each."""
+    """(id, shingles) of ``texts`` (doc_id, text): the set of shingle hashes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
-            packed = [shingle_set(raw[offsets[i] : offsets[i + 1]].tobytes(), words).tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "shingles"])
+            for a, b in row_slices(offsets, 1 << 21):
+                own = [shingle_set(raw[offsets[i] : offsets[i + 1]].tobytes(), words) for i in range(a, b)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(own)], names=["id", "shingles"])
 
-    return texts.select("doc_id", "text").mapInArrow(sets, "id long, shingles binary")
+    return texts.select("doc_id", "text").mapInArrow(sets, "id long, shingles array<long>")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)))
 
 
 def frequent_shingles(texts: DataFrame, words: int, sample: int = 5000, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
@@ -172,23 +178,22 @@ def prefixes(texts: DataFrame, words: int, similarity: float, common: tuple[np.n
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
-            sizes, tokens, sketches = [], [], np.zeros((batch.num_rows, SKETCH), np.uint64)
-            for i in range(batch.num_rows):
-                h = shingle_set(raw[offsets[i] : offsets[i + 1]].tobytes(), words)
-                length = len(h) - least_shared(similarity * len(h)) + 1
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    first = h[np.argsort(np.where(known[at] == h, held[at], 0), kind="stable")[:length]]
-                else:
-                    first = h[:length]
-                odd = np.bincount((h % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
-                sketches[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
-                sizes.append(len(h))
-                tokens.append(first.view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
-            cells = pa.ListArray.from_arrays(np.arange(0, sketches.size + 1, SKETCH, dtype=np.int32), pa.array(sketches.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), lists, cells], names=["id", "n", "tokens", "sketch"])
+            for a, b in row_slices(offsets, 1 << 21):
+                sizes, tokens, sketches = [], [], np.zeros((b - a, SKETCH), np.uint64)
+                for i in range(a, b):
+                    h = shingle_set(raw[offsets[i] : offsets[i + 1]].tobytes(), words)
+                    length = len(h) - least_shared(similarity * len(h)) + 1
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        first = h[np.argsort(np.where(known[at] == h, held[at], 0), kind="stable")[:length]]
+                    else:
+                        first = h[:length]
+                    odd = np.bincount((h % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+                    sketches[i - a] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+                    sizes.append(len(h))
+                    tokens.append(first)
+                cells = pa.ListArray.from_arrays(np.arange(0, sketches.size + 1, SKETCH, dtype=np.int32), pa.array(sketches.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int32()), _lists(tokens), cells], names=["id", "n", "tokens", "sketch"])
 
     return texts.select("doc_id", "text").mapInArrow(digest, "id long, n int, tokens array<long>, sketch array<long>")
 
@@ -198,56 +203,54 @@ def least_shared(x: float) -> int:
     return int(np.ceil(x - 1e-9))
 
 
-def can_be_similar(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose sizes and sketches leave room for ``similarity``; no similar pair is lost."""
-    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), *[F.col("sketch")[i].alias(f"{c}_{i}") for i in range(SKETCH)])
-    apart = sum((F.bit_count(F.col(f"a_{i}").bitwiseXOR(F.col(f"b_{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("a_0").bitwiseXOR(F.col("b_0"))))
-    total = F.col("n_a") + F.col("n_b")
+def can_be_similar(similarity: float) -> Column:
+    """Do sizes and sketches of two sides (n, sketch and other_n, other_sketch) leave room for ``similarity``? No similar pair is lost."""
+    apart = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("other_sketch")[i])) for i in range(1, SKETCH)), F.bit_count(F.col("sketch")[0].bitwiseXOR(F.col("other_sketch")[0])))
+    total = F.col("n") + F.col("other_n")
     room = total - 2 * F.ceil(total * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))
-    near = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity) - F.lit(1e-6)) & (apart <= room)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
+    return (F.least("n", "other_n") >= F.greatest("n", "other_n") * F.lit(similarity) - F.lit(1e-6)) & (apart <= room)
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose ``sets`` have at least that Jaccard similarity."""
+    """The rows of ``pairs`` (a, b) whose ``sets`` have at least that Jaccard similarity.
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                same.append(both >= least_shared(similarity * (len(p) + len(q) - both)))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
-
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    Two joins and an array function, row by row: no batch of sets is ever held, and a document with
+    very many partners is a skewed join, which adaptive execution splits.
+    """
+    side = lambda c, s: sets.select(F.col("id").alias(c), F.col("shingles").alias(s))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.ceil((F.size("x") + F.size("y")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))).select("a", "b")
 
 
-def candidate_pairs(shared: DataFrame, linked: DataFrame | None, turn: int) -> DataFrame:
-    """(a, b): pairs of documents of one bucket (token) of ``shared`` (token, id) that are not ``linked`` yet.
+def candidate_pairs(shared: DataFrame, sketches: DataFrame, linked: DataFrame | None, turn: int, similarity: float) -> DataFrame:
+    """(a, b): pairs of documents of one bucket (token) of ``shared`` (token, id) that may be similar and are not ``linked`` yet.
 
     Turn 0: every member and the least one. Turn 1: every member outside the bucket's largest group
-    and one member of that group. Turn 2: all pairs of different groups.
+    and one member of that group. Turn 2: members of different groups. A pair is judged by sizes and
+    sketches (id, n, sketch) where it meets, so one that cannot be similar is never written or shuffled.
     """
+    other = sketches.select(F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("sketch").alias("other_sketch"))
     if linked is None:
         now = shared.withColumn("group", F.col("id"))
     else:
         now = shared.join(linked.select(F.col("node").alias("id"), "component"), "id", "left").select("token", "id", F.coalesce("component", "id").alias("group"))
     if turn == 0:
         least = now.groupBy("token").agg(F.min("id").alias("other"))
-        pairs = now.join(least, "token").where("id <> other")
+        pairs = now.join(least, "token").where("id <> other").select("id", "other").distinct()
     else:
         groups = now.groupBy("token", "group").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "token")).alias("lead"))
         main = groups.groupBy("token").agg(F.max(F.struct("n", "group", "lead")).alias("m"), F.count("*").alias("groups")).where("groups > 1")
         main = main.select("token", F.col("m.group").alias("main"), F.col("m.lead").alias("lead"))
         outside = now.join(main, "token").where("group <> main")
         if turn == 1:
-            pairs = outside.withColumn("other", F.col("lead"))
+            pairs = outside.select("id", F.col("lead").alias("other")).distinct()
         else:
-            others = now.select("token", F.col("id").alias("other"), F.col("group").alias("other_group"))
-            pairs = outside.join(others, "token").where("group <> other_group and (other_group = main or id < other)")
+            own = outside.join(sketches, "id")
+            open_ = now.join(main.select("token"), "token", "left_semi").withColumnsRenamed({"id": "other", "group": "other_group"}).join(other, "other")
+            pairs = own.join(open_, "token").where((F.col("group") != F.col("other_group")) & ((F.col("other_group") == F.col("main")) | (F.col("id") < F.col("other"))) & can_be_similar(similarity))
+    if turn < 2:
+        pairs = pairs.join(sketches, "id").join(other, "other").where(can_be_similar(similarity))
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
@@ -257,10 +260,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     Exact: a pair of that similarity shares a shingle of both prefixes (see ``prefixes``), so all
     candidates meet in the buckets of the prefix shingles, and a candidate is dropped only where sizes
     or sketches exclude the similarity, or where both documents are in one group already. Two turns of
-    comparisons with one member of each bucket find most groups, so that the last turn, which takes all
-    pairs of different groups in each bucket, does not compare the copies of one text in all pairs.
-    Exact copies are one entry. group_id is the smallest doc_id of the group. Documents without words
-    are copies of each other; a null doc_id is left out.
+    comparisons with one member of each bucket find most groups, so that the last turn, which looks at
+    all members of different groups in each bucket, does not compare the copies of one text with each
+    other. Exact copies are one entry. group_id is the smallest doc_id of the group. Documents without
+    words, null and empty texts included, are copies of each other; a null doc_id is left out. Repeated
+    rows give repeated rows, an empty table gives none, other columns are ignored.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id is not null")
     body = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
@@ -272,21 +276,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     rows = listed.select("id", F.explode("tokens").alias("token"))
     full = rows.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("token")
     shared = materialize(rows.join(full, "token", "left_semi").select("token", "id").distinct(), "shared")
-    sketches = listed.select("id", "n", "sketch").distinct()
-    edges, linked = None, None
+    sketches = listed.select("id", "n", "sketch")
+    edges, linked, used = None, None, [firsts, listed, shared]
     for turn in range(3):
-        pairs = materialize(can_be_similar(candidate_pairs(shared, linked, turn), sketches, similarity).distinct(), "candidates")
+        pairs = materialize(candidate_pairs(shared, sketches, linked, turn, similarity), "candidates")
+        used.append(pairs)
         if pairs.isEmpty():
             continue
         # The texts are read once more, for the shingles of those that are compared.
-        ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-        sets = materialize(shingle_sets(source.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), words), "shingles")
+        ids = broadcast_if_few(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct())
+        sets = materialize(shingle_sets(source.join(ids, "doc_id", "left_semi"), words), "shingles")
         good = materialize(similar_pairs(pairs, sets, similarity), "similar")
+        discard(sets)
+        used.append(good)
         edges = good if edges is None else edges.unionAll(good)
         linked = connected_components(edges, "near")
+        used.append(linked)
     named = firsts
     if linked is None:
         named = named.withColumn("group_id", F.col("first"))
     else:
         named = named.join(linked, F.col("first") == F.col("node"), "left").withColumn("group_id", F.coalesce("component", "first"))
-    return keys.join(named.select("h1", "h2", "group_id"), ["h1", "h2"]).select("doc_id", "group_id")
+    named = materialize(named.select("h1", "h2", "group_id"), "named")
+    for table in used:
+        discard(table)
+    return keys.join(named, ["h1", "h2"]).select("doc_id", "group_id")
