@@ -14,6 +14,7 @@ of text, so a key or a variant costs the same however long the line is.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import row_slices, text_buffers, text_bytes
-from .suffix_dedup import _by_doc, _mix, _pack, _runs, _unpack
+from .suffix_dedup import _by_doc, _mix, _pack, _runs, _runs_of, _unpack
 
 #: Shorter lines are never duplicates: such strings repeat by chance in clean documents.
 MIN_CHARS, PARTS, QUANTUM = 30, 4, 4
@@ -129,11 +130,10 @@ def _map_lines(buckets: int, min_chars: int, max_edits: int, block_bytes: int, m
                 rows = [(-1 - k % buckets, k, EXACT + v.astype("<i8").tobytes(), None, None, None) for k, v in _by_doc(doc[order[gone]], number[order[gone]])]
                 # What an earlier row of the block equals is settled; one line of each kind goes on.
                 kept = np.sort(order[~same])
-                parts = {k: [b"", None, None] for k in range(buckets)}
-                to = (h1[kept] % np.uint64(buckets)).astype(np.int64)
-                for k in np.unique(to):
-                    own = kept[to == k]
-                    parts[int(k)][1] = _pack(h1[own], h2[own], doc[own], number[own])
+                parts = defaultdict(lambda: [b"", None, None])
+                for k, spot in _runs_of((h1[kept] % np.uint64(buckets)).astype(np.int64)):
+                    own = kept[spot]
+                    parts[k][1] = _pack(h1[own], h2[own], doc[own], number[own])
                 if max_edits:
                     found = [(key[on], kept[on]) for key, on, _, _ in block.middles(kept)]
                     key, line = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
@@ -145,13 +145,8 @@ def _map_lines(buckets: int, min_chars: int, max_edits: int, block_bytes: int, m
                     for k, v in _by_doc((names[size > most] >> np.uint64(16)).astype(np.int64) % buckets, names[size > most]):
                         parts[k][0] = v.astype("<u8").tobytes()
                     key, line = key[~hot], line[~hot]
-                    to = (key >> np.uint64(16)).astype(np.int64) % buckets
-                    turn = np.argsort(to, kind="stable")
-                    cuts = np.searchsorted(to[turn], np.arange(buckets + 1))
-                    for k in range(buckets):
-                        own = turn[cuts[k] : cuts[k + 1]]
-                        if len(own):
-                            parts[k][2] = _pack(key[own], h1[line[own]], doc[line[own]], number[line[own]])
+                    for k, own in _runs_of((key >> np.uint64(16)).astype(np.int64) % buckets):
+                        parts[k][2] = _pack(key[own], h1[line[own]], doc[line[own]], number[line[own]])
                 rows += [(k, None, None, *v) for k, v in parts.items() if any(v)]
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in MAPPED.split(", ")])

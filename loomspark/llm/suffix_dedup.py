@@ -1,17 +1,19 @@
 """Removal of repeated passages by blockwise suffix sorting with a difference cover.
 
-Only suffixes that can tie over ``length`` bytes are ever sorted:
+A later copy of a whole text is taken out first. Of the others only suffixes that can tie over
+``length`` bytes are ever sorted:
 
 1. Every window of ``length`` bytes names an anchor, the least hashed ``GRAM``-byte string in it, so
-   equal windows name equal anchors at equal offsets. Anchors go to buckets by their hash. An anchor
+   equal windows name equal anchors at equal offsets. Anchors go to blocks by their hash. An anchor
    whose whole surroundings (all windows that can name it) occur in an earlier document settles
-   itself by one hash; copies and the inside of shared passages end here.
-2. The rest, at the edges of shared passages, ask for their surroundings. One bucket of suffixes at a
-   time is sorted in bounded memory: suffixes are ordered by their first bytes, and those that tie by
-   the precomputed rank of a cover sample inside. Samples stand at the positions of a difference
-   cover modulo 16, so a few ranks serve the suffixes of every offset.
+   itself by 88 bits of hashes; copies and the inside of shared passages end here.
+2. The rest, at the edges of shared passages, ask for their surroundings. In a block of them the
+   suffixes are dealt to buckets by their leading byte and one bucket at a time is sorted: by the
+   leading 16 bytes, and long ties by the precomputed ranks of a cover sample. Samples stand at the
+   positions of a difference cover modulo 16, so a few ranks serve the suffixes of every offset.
+   Equal suffixes are compared once more byte by byte.
 3. An anchor with very many different surroundings in one block of text is not collected: its
-   windows are spread by their own hashes instead.
+   windows are spread by their own 128 hash bits instead.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices, text_buffers, text_bytes
+from .common import broadcast_if_few, materialize, row_slices, text_buffers, text_bytes
 
 GRAM = 18
 #: Text bytes for each bucket; bytes of a block; different surroundings that make an anchor hot.
@@ -34,9 +36,9 @@ MODULUS, COVER = 16, (0, 1, 2, 5, 8)
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
-_ASK = np.dtype([("anchor", "<u8"), ("at", "<i8"), ("hot", "u1")])
-#: First byte of a mark: settled anchors, or anchors whose surroundings are asked for.
-SPOTS, ASKS = b"s", b"a"
+#: What becomes of an anchor: it is settled, or its surroundings (or, of a hot one, its windows) are asked for.
+SETTLED, ASKED, HOT_ASKED = 0, 1, 2
+MARK = "doc_id long, kind int, anchor long, at long"
 _SPAN = np.dtype([("a", "<i8"), ("b", "<i8")])
 _WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("at", "<i8")])
 
@@ -167,7 +169,17 @@ def _settle(anchor: np.ndarray, body: np.ndarray, doc: np.ndarray) -> tuple[np.n
     return order, d > d[first] if len(d) else np.zeros(0, bool), same
 
 
-MAPPED = "bucket int, doc_id long, spots binary, asks binary, entries binary"
+MAPPED = "bucket int, doc_ids array<long>, kinds array<int>, anchors array<long>, ats array<long>, hot binary, entries binary"
+#: Marks in a row that a block of text passes on.
+MARKS_PER_ROW = 4096
+
+
+def _runs_of(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, places) of each distinct value; one sort, however many values there may be."""
+    order = np.argsort(values, kind="stable")
+    cuts = np.flatnonzero(np.diff(values[order])) + 1
+    for own in np.split(order, cuts) if len(order) else ():
+        yield int(values[own[0]]), own
 
 
 def _map_blocks(length: int, buckets: int, block_bytes: int, most: int):
@@ -196,42 +208,34 @@ def _map_blocks(length: int, buckets: int, block_bytes: int, most: int):
                 place = (at - starts)[order]
                 d, an, bo = doc[order], anchor[order], body[order]
                 rows = []
-                asks = np.zeros(int((hot & ~settled).sum()), _ASK)
-                asks["anchor"], asks["at"], asks["hot"] = an[hot & ~settled], place[hot & ~settled], 1
-                spots = {k: v.astype("<i8").tobytes() for k, v in _by_doc(d[settled], place[settled])}
-                wants = {k: v.tobytes() for k, v in _by_doc(d[hot & ~settled], asks)}
-                rows += [(-1 - k % buckets, k, spots.get(k), wants.get(k), None) for k in spots.keys() | wants.keys()]
+                marked = np.flatnonzero(settled | hot)
+                for i in range(0, len(marked), MARKS_PER_ROW):
+                    own = marked[i : i + MARKS_PER_ROW]
+                    kinds = np.where(settled[own], SETTLED, HOT_ASKED)
+                    rows.append((-1 - (i + a) % buckets, d[own], kinds, np.where(settled[own], 0, an[own].view(np.int64)), place[own], None, None))
                 # One entry of a hot anchor stays, so that its bucket learns of it and turns the others over as well.
                 kept = ~settled & (~hot | new_anchor)
                 an, bo, d, place, mark = an[kept], bo[kept], d[kept], place[kept], hot[kept]
-                to = (an % np.uint64(buckets)).astype(np.int64)
-                turn = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[turn], np.arange(buckets + 1))
-                for k in range(buckets):
-                    own = turn[cuts[k] : cuts[k + 1]]
-                    if len(own):
-                        # Byte 0 of the body is not sent; the mark of a hot anchor travels as a body of its own kind.
-                        plain = own[~mark[own]]
-                        blob = _pack(an[plain], bo[plain], d[plain], place[plain]) if len(plain) else None
-                        rows.append((k, None, None, np.ascontiguousarray(an[own[mark[own]]] & ~np.uint64(0xFFFF)).astype("<u8").tobytes(), blob))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "doc_id", "spots", "asks", "entries"])
+                for k, own in _runs_of((an % np.uint64(buckets)).astype(np.int64)):
+                    plain = own[~mark[own]]
+                    blob = _pack(an[plain], bo[plain], d[plain], place[plain]) if len(plain) else None
+                    # Of an anchor six bytes are sent; the mark of a hot one travels apart.
+                    rows.append((k, None, None, None, None, np.ascontiguousarray(an[own[mark[own]]] & ~np.uint64(0xFFFF)).astype("<u8").tobytes(), blob))
+                kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in MAPPED.split(", ")])
 
     return run
 
 
 def _settle_buckets(most: int):
     def run(t: pa.Table) -> pa.Table:
-        """One bucket: settles anchors by their surroundings and asks for those that stay open."""
-        out: list[tuple] = []
-        marks: list[bytes] = []
-        blobs: list[bytes] = []
-        for k, doc, spots, asks, entries in zip(*[t.column(i).to_pylist() for i in range(5)], strict=True):
-            if k < 0:
-                out += [(doc, tag + x) for tag, x in ((SPOTS, spots), (ASKS, asks)) if x]
-            else:
-                marks.append(asks or b"")
-                if entries:
-                    blobs.append(entries)
+        """One bucket: settles anchors by their surroundings and asks for those that stay open; a row for each mark."""
+        out = [pa.table([pa.array([], x) for x in (pa.int64(), pa.int32(), pa.int64(), pa.int64())], names=["doc_id", "kind", "anchor", "at"])]
+        marks = b"".join(x for x in t.column("hot").to_pylist() if x)
+        blobs = [x for x in t.column("entries").to_pylist() if x]
+        if t.column("doc_ids").null_count < t.num_rows:
+            passed = [pa.concat_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in [t.column(n)]]).drop_null().flatten() for n in ("doc_ids", "kinds", "anchors", "ats")]
+            out.append(pa.table(passed, names=out[0].column_names))
         if blobs:
             anchor, body, doc, at = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
             blobs.clear()
@@ -240,21 +244,30 @@ def _settle_buckets(most: int):
             new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
             group = np.cumsum(new) - 1
             bodies = np.bincount(group, weights=~same)
-            least, largest = np.full(group[-1] + 1, np.iinfo(np.int64).max), np.full(group[-1] + 1, np.iinfo(np.int64).min)
-            np.minimum.at(least, group, doc)
-            np.maximum.at(largest, group, doc)
-            hot = np.isin(anchor[new], np.frombuffer(b"".join(marks), "<u8"))
-            open_ = ~settled & (hot | (bodies > most * 100) | ((bodies > 1) & (least < largest)))[group]
-            asks = np.zeros(int(open_.sum()), _ASK)
-            asks["anchor"], asks["at"], asks["hot"] = anchor[open_], at[open_], (hot | (bodies > most * 100))[group][open_]
-            out += [(k, SPOTS + v.astype("<i8").tobytes()) for k, v in _by_doc(doc[settled], at[settled])]
-            out += [(k, ASKS + v.tobytes()) for k, v in _by_doc(doc[open_], asks)]
-        cols = list(zip(*out, strict=True)) or [()] * 2
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary()), strict=True)], names=["doc_id", "mark"])
+            firsts = np.flatnonzero(new)
+            least, largest = np.minimum.reduceat(doc, firsts), np.maximum.reduceat(doc, firsts)
+            hot = np.isin(anchor[new], np.frombuffer(marks, "<u8")) | (bodies > most * 100)
+            open_ = ~settled & (hot | ((bodies > 1) & (least < largest)))[group]
+            told = settled | open_
+            kind = np.where(settled, SETTLED, np.where(hot[group], HOT_ASKED, ASKED))[told]
+            out.append(pa.table([pa.array(doc[told]), pa.array(kind, pa.int32()), pa.array(np.where(kind == SETTLED, 0, anchor[told].view(np.int64))), pa.array(at[told])], names=out[0].column_names))
+        return pa.concat_tables(out)
 
     return run
 
 
+def _pairs(asks: pa.Scalar, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (anchor, place) of a list of structs, as far as they lie in a text of ``n`` bytes."""
+    every = asks.values if asks.is_valid else None
+    if every is None or not len(every):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    anchor, at = (np.asarray(every.field(k)).astype(np.int64) for k in ("anchor", "at"))
+    order = np.lexsort((anchor, at))
+    anchor, at = anchor[order], at[order]
+    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1])]) & (at + GRAM <= n)
+    return anchor[new].view(np.uint64), at[new]
+
+
 def _answer(length: int, buckets: int):
     """Each document sends the surroundings asked for, by anchor; hot anchors' windows, by window."""
     width = -(-(2 * length - GRAM) // 8) * 8
@@ -265,31 +278,26 @@ def _answer(length: int, buckets: int):
             raw, offsets = text_buffers(batch.column(1))
             found: dict[int, list[bytes]] = {}
             windows: dict[int, list[bytes]] = {}
-            for i, (doc, asked) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                asks = np.unique(np.concatenate([np.frombuffer(x, _ASK, offset=1) for x in asked if x[:1] == ASKS]))
+            for i, doc in enumerate(batch.column(0).to_pylist()):
                 part = raw[offsets[i] : offsets[i + 1]]
                 n = len(part)
-                asks = asks[asks["at"] + GRAM <= n]
-                plain, hot = asks[asks["hot"] == 0], asks[asks["hot"] == 1]
-                if len(plain):
-                    at = plain["at"]
+                (anchor, at), hot = _pairs(batch.column(2)[i], n), _pairs(batch.column(3)[i], n)[1]
+                if len(at):
                     rows = np.zeros(len(at), kind)
-                    rows["anchor"], rows["doc"], rows["at"] = plain["anchor"], doc, at
+                    rows["anchor"], rows["doc"], rows["at"] = anchor, doc, at
                     rows["left"], rows["right"] = np.minimum(at, length - GRAM), np.minimum(n - at, length)
                     rows["text"] = surroundings(part, np.zeros(len(at), np.int64), np.full(len(at), n), at, length, width)
-                    to = (plain["anchor"] >> np.uint64(16)) % np.uint64(buckets)
-                    for k in np.unique(to):
-                        found.setdefault(int(k), []).append(rows[to == k].tobytes())
+                    for k, own in _runs_of(((anchor >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)):
+                        found.setdefault(k, []).append(rows[own].tobytes())
                 if len(hot):
-                    starts = np.unique((hot["at"][:, None] - np.arange(length - GRAM + 1)[None, :]).ravel())
+                    starts = np.unique((hot[:, None] - np.arange(length - GRAM + 1)[None, :]).ravel())
                     starts = starts[(starts >= 0) & (starts + length <= n)]
                     own = np.zeros(len(starts), _WINDOW)
                     own["doc"], own["at"] = doc, starts
                     own["h1"] = _rolled(part, length)[starts]
                     own["h2"] = _mix(_rolled(part[::-1], length)[n - length - starts])
-                    to = own["h1"] % np.uint64(buckets)
-                    for k in np.unique(to):
-                        windows.setdefault(int(k), []).append(own[to == k].tobytes())
+                    for k, mine in _runs_of((own["h1"] % np.uint64(buckets)).astype(np.int64)):
+                        windows.setdefault(k, []).append(own[mine].tobytes())
             out = [(k, b"".join(v), None) for k, v in found.items()] + [(-1 - k, None, b"".join(v)) for k, v in windows.items()]
             cols = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "found", "windows"])
@@ -309,51 +317,54 @@ def _ranks(columns: np.ndarray) -> np.ndarray:
 def sort_suffixes(text: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last window offset of each row that an earlier document's row ties with (-1: none).
 
-    Row positions are aligned modulo ``MODULUS``, so for a window offset every row finds its cover
-    sample at the same distance. A tie over ``length`` bytes is a tie of the first 16 bytes, of the
-    rank of the sample, which spans the middle, and of the last 16 bytes.
+    Every window offset of a row begins a suffix. Suffixes are dealt to buckets by their leading byte,
+    and one bucket at a time is sorted by the leading 16 bytes. What still ties is ordered by the rank
+    of the cover sample inside, which spans the middle, and by the last 16 bytes; row positions are
+    aligned modulo ``MODULUS``, so suffixes of one offset find their sample at the same distance, and
+    suffixes of different offsets name different anchors. Neighbours that tie throughout are verified
+    byte by byte against the earliest of them.
     """
     before, n = length - GRAM, len(text)
     middle = length - MODULUS + 1
+    offsets = before + 1
     wide = np.concatenate([text, np.zeros((n, 16), np.uint8)], 1)
-    heads: dict[int, np.ndarray] = {}
-    samples: dict[int, np.ndarray] = {}
-
-    def packed(at: int, size: int) -> np.ndarray:
-        cell = np.zeros((n, -(-size // 8) * 8), np.uint8)
-        cell[:, :size] = wide[:, at : at + size]
-        return cell.view(">u8").astype(np.uint64)
-
-    def head(at: int) -> np.ndarray:
-        if at not in heads:
-            heads[at] = _ranks(packed(at, 16))
-        return heads[at]
-
-    def sample(at: int) -> np.ndarray:
-        if at not in samples:
-            samples[at] = _ranks(packed(at, middle))
-        return samples[at]
-
-    first, last = np.full(n, -1), np.full(n, -1)
-    by_doc = np.argsort(doc, kind="stable")
-    for o in range(before + 1):
-        there = by_doc[((before - left <= o) & (o + length <= before + right))[by_doc]]
-        if len(there) < 2:
+    step = np.array([next(d for d in range(MODULUS) if (o + d) % MODULUS in COVER) for o in range(offsets)])
+    samples = np.unique(np.arange(offsets) + step)
+    ranks = np.zeros((len(samples), n), np.uint32)
+    for i, at in enumerate(samples):
+        cell = np.zeros((n, -(-middle // 8) * 8), np.uint8)
+        cell[:, :middle] = wide[:, at : at + middle]
+        ranks[i] = _ranks(cell.view(">u8").astype(np.uint64))
+    sample_of = np.searchsorted(samples, np.arange(offsets) + step)
+    ends = np.lib.stride_tricks.sliding_window_view(wide, 16, axis=1)
+    whole = np.lib.stride_tricks.sliding_window_view(wide, length, axis=1)
+    spots = np.arange(offsets)[None, :]
+    there = np.flatnonzero((before - left[:, None] <= spots) & (spots + length <= before + right[:, None]))
+    lead = wide[there // offsets, there % offsets]
+    first, last = np.full(n, offsets), np.full(n, -1)
+    for _, own in _runs_of(lead.astype(np.int64)):
+        r, o = there[own] // offsets, there[own] % offsets
+        head = ends[r, o].view(">u8").astype(np.uint64)
+        order = np.lexsort((head[:, 1], head[:, 0]))
+        tied = np.zeros(len(order), bool)
+        tied[1:] = (head[order][1:] == head[order][:-1]).all(1)
+        group = np.cumsum(~tied)
+        both = tied | np.append(tied[1:], False)
+        r, o, group = r[order][both], o[order][both], group[both]
+        if not len(r):
             continue
-        step = next(d for d in range(MODULUS) if (o + d) % MODULUS in COVER)
-        # Three ranks below n fit one word: buckets are far smaller than 2^21 rows, larger ones are ranked again.
-        key = head(o) * np.uint64(n + 1) + sample(o + step)
-        if n >= 1 << 21:
-            key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-        key = key * np.uint64(n + 1) + head(o + length - 16) if n < 1 << 21 else _ranks(np.stack([key, head(o + length - 16)], 1))
-        own = key[there]
-        order = np.argsort(own, kind="stable")
-        rows = there[order]
-        run = _runs(np.concatenate([[False], own[order][1:] == own[order][:-1]]))
-        hit = rows[doc[rows] > doc[rows[run]]]
-        last[hit] = o
-        first[hit[first[hit] < 0]] = o
-    return first, last
+        tail = ends[r, o + length - 16].view(">u8").astype(np.uint64)
+        rank = ranks[sample_of[o], r]
+        order = np.lexsort((doc[r], tail[:, 1], tail[:, 0], rank, o, group))
+        r, o, group, tail, rank = r[order], o[order], group[order], tail[order], rank[order]
+        tied = np.zeros(len(r), bool)
+        tied[1:] = (group[1:] == group[:-1]) & (o[1:] == o[:-1]) & (rank[1:] == rank[:-1]) & (tail[1:] == tail[:-1]).all(1)
+        run = _runs(tied)
+        hit = np.flatnonzero(doc[r] > doc[r[run]])
+        hit = hit[(whole[r[hit], o[hit]] == whole[r[run[hit]], o[run[hit]]]).all(1)]
+        np.minimum.at(first, r[hit], o[hit])
+        np.maximum.at(last, r[hit], o[hit])
+    return np.where(last < 0, -1, first), last
 
 
 def _sort_bucket(length: int, kind: np.dtype):
@@ -390,14 +401,12 @@ def _cut(length: int):
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
             out = []
-            for i, (marks, spans) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for i, (marks, spans, copy) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 part = raw[offsets[i] : offsets[i + 1]]
                 n = len(part)
                 edge = np.zeros(n + 1, np.int64)
-                for x in marks or ():
-                    if x[:1] != SPOTS:
-                        continue
-                    at = np.frombuffer(x, "<i8", offset=1)
+                if marks.is_valid:
+                    at = np.asarray(marks.values).astype(np.int64)
                     at = at[at < n]
                     np.add.at(edge, np.maximum(at - (length - GRAM), 0), 1)
                     np.add.at(edge, np.minimum(at + length, n), -1)
@@ -406,7 +415,7 @@ def _cut(length: int):
                     s = s[s["a"] < n]
                     np.add.at(edge, s["a"], 1)
                     np.add.at(edge, np.minimum(s["b"], n), -1)
-                gone = edge[:-1].cumsum() > 0
+                gone = edge[:-1].cumsum() > 0 if not copy else np.full(n, n >= length)
                 runs = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
                 out.append((n, int(gone.sum()), runs, hashlib.sha256(part[~gone].tobytes()).hexdigest()))
             cols = list(zip(*out, strict=True)) or [()] * 4
@@ -421,24 +430,31 @@ def repeated_passages(docs: DataFrame, length: int = 50, bucket_bytes: int = BUC
     A byte goes if a string of ``length`` bytes over it also starts in a document with a smaller
     doc_id. A null text is empty; rows of one doc_id are one document, so repeated rows remove nothing
     from each other and give equal results; a null doc_id takes no part. An empty table gives no
-    rows, extra columns are ignored. ``length`` is at least 48, so that two ends and a sample span it.
+    rows, texts of any length are taken whole, and extra columns are ignored. ``length`` is at least 48,
+    so that two ends and a sample span it.
     """
     if length < 3 * MODULUS:
         raise ValueError(f"length is at least {3 * MODULUS}")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # A later copy of a whole text goes as one, and whatever it holds the first one holds as well.
+    body = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    keys = source.where("doc_id is not null and text is not null").select("doc_id", *body)
+    firsts = keys.groupBy(*("h1", "h2")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    texts = keys.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("texts"))  # rows of one id with different texts are no copies
+    copies = keys.join(firsts, ["h1", "h2"]).where("doc_id > first").select("doc_id").distinct().join(texts, "doc_id").where("texts = 1")
+    copies = broadcast_if_few(materialize(copies.select(F.col("doc_id").alias("copy")), "copies"))
+    keyed = source.where("doc_id is not null").join(copies, F.col("doc_id") == F.col("copy"), "left").select("doc_id", "text", F.col("copy").isNotNull().alias("copy"))
+    own = keyed.where("not copy").select("doc_id", "text")
     buckets = max(1, -(-text_bytes(source) // bucket_bytes))
-    # A null id is in neither join below; both then deal out the same rows, and the second reads the first one's exchange.
-    keyed = source.where("doc_id is not null")
-    mapped = keyed.mapInArrow(_map_blocks(length, buckets, block_bytes, hot), MAPPED)
-    settled = mapped.groupBy("bucket").applyInArrow(_settle_buckets(hot), "doc_id long, mark binary")
-    by_doc = settled.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
+    mapped = own.mapInArrow(_map_blocks(length, buckets, block_bytes, hot), MAPPED)
+    settled = materialize(mapped.groupBy("bucket").applyInArrow(_settle_buckets(hot), MARK), "marks")
+    spots = settled.where(f"kind = {SETTLED}").groupBy("doc_id").agg(F.collect_list("at").alias("spots"))
+    ask = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("anchor", "at")))
+    asking = settled.where(f"kind <> {SETTLED}").groupBy(F.col("doc_id").alias("k")).agg(ask(ASKED).alias("asks"), ask(HOT_ASKED).alias("hot"))
     answer, kind = _answer(length, buckets)
-    asking = by_doc.where(F.exists("marks", lambda m: F.substring(m, 1, 1) == F.lit(ASKS))).select(F.col("doc_id").alias("k"), "marks")
-    answers = keyed.join(asking.hint("shuffle_hash"), F.col("doc_id") == F.col("k")).select("doc_id", "text", "marks").mapInArrow(answer, "bucket int, found binary, windows binary")
-    spans = answers.groupBy("bucket").applyInArrow(_sort_bucket(length, kind), "doc_id long, spans binary")
-    every = by_doc.select("doc_id", F.col("marks").alias("x"), F.lit(None).cast("array<binary>").alias("y"))
-    every = every.unionAll(spans.select("doc_id", F.lit(None).cast("array<binary>"), F.array("spans")))
-    every = every.groupBy("doc_id").agg(F.flatten(F.collect_list("x")).alias("marks"), F.flatten(F.collect_list("y")).alias("spans"))
-    marked = keyed.join(every.withColumnRenamed("doc_id", "k").hint("shuffle_hash"), F.col("doc_id") == F.col("k"), "left").select("doc_id", "text", "marks", "spans")
-    without = source.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("marks"), F.lit(None).cast("array<binary>").alias("spans"))
+    answers = own.join(asking.hint("shuffle_hash"), F.col("doc_id") == F.col("k")).select("doc_id", "text", "asks", "hot").mapInArrow(answer, "bucket int, found binary, windows binary")
+    spans = answers.groupBy("bucket").applyInArrow(_sort_bucket(length, kind), "doc_id long, spans binary").groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    named = lambda df: df.withColumnRenamed("doc_id", "k").hint("shuffle_hash")
+    marked = keyed.join(named(spots), F.col("doc_id") == F.col("k"), "left").drop("k").join(named(spans), F.col("doc_id") == F.col("k"), "left").select("doc_id", "text", "spots", "spans", "copy")
+    without = source.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<long>").alias("spots"), F.lit(None).cast("array<binary>").alias("spans"), F.lit(False).alias("copy"))
     return marked.mapInArrow(_cut(length), SCHEMA).unionAll(without.mapInArrow(_cut(length), SCHEMA))
