@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,15 +34,26 @@ def has_run(toks: Column, n: int = 3) -> Column:
     return let(toks, lambda t: F.exists(indices(F.size(t) - (n - 1)), lambda i: F.size(F.array_distinct(F.slice(t, i + 1, F.lit(n)))) == 1))
 
 
-def window_pairs(toks: Column, width: int = 5) -> Column:
-    """Sorted pairs of different tokens at most ``width`` apart, repeats included."""
+def shifted(df: DataFrame, toks: Column, by: Sequence[str], width: int) -> DataFrame:
+    """(by, _i, _n, _0 .. _width): one row for each token of a row, with its place, the number of tokens, and those that follow it (null: none).
+
+    The token array is zipped with itself shifted, so pairs and n-grams are plain columns of one row.
+    """
+    rows = df.select(*by, toks.alias("_t"))
+    zipped = F.arrays_zip(*[(F.slice("_t", F.lit(k + 1), F.greatest(F.size("_t"), F.lit(1))) if k else F.col("_t")).alias(f"_{k}") for k in range(width + 1)])
+    return rows.select(*by, F.size("_t").alias("_n"), F.posexplode(zipped).alias("_i", "_z")).select(*by, "_i", "_n", *[F.col(f"_z.{k}").alias(k) for k in (f"_{j}" for j in range(width + 1))])
+
+
+def window_pairs(df: DataFrame, toks: Column, by: Sequence[str] = (), width: int = 5) -> DataFrame:
+    """(by, a, b): sorted pairs of different tokens at most ``width`` apart, repeats included."""
+    pairs = F.array(*[F.struct(F.least("_0", f"_{k}").alias("a"), F.greatest("_0", f"_{k}").alias("b")) for k in range(1, width + 1)])
+    return shifted(df, toks, by, width).select(*by, F.inline(pairs)).where("a <> b")
 
-    def after(t: Column, i: Column) -> Column:
-        here = F.get(t, i)
-        later = F.filter(F.slice(t, i + 2, F.lit(width)), lambda x: x != here)
-        return F.transform(later, lambda x: F.struct(F.least(here, x).alias("a"), F.greatest(here, x).alias("b")))
 
-    return let(toks, lambda t: F.flatten(F.transform(indices(F.size(t)), lambda i: after(t, i))))
+def ngram_rows(df: DataFrame, toks: Column, by: Sequence[str] = (), sizes: Sequence[int] = (2,)) -> DataFrame:
+    """(by, term): all n-grams of the given sizes."""
+    terms = F.array(*[F.when(F.col(f"_{n - 1}").isNotNull(), F.concat_ws(" ", *[f"_{k}" for k in range(n)])) for n in sizes])
+    return shifted(df, toks, by, max(sizes) - 1).select(*by, F.explode(terms).alias("term")).where("term is not null")
 
 
 def max_repeat(toks: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import words as W
-from .positional import let
+from .positional import has_run, let, max_repeat
 
 EMOJI = r"[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}](?:[\x{FE0F}\x{1F3FB}-\x{1F3FF}]|\x{200D}[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]\x{FE0F}?)*"
 URL = r"https?://\S+"
@@ -105,9 +105,14 @@ def emojis(c: Column) -> Column:
 
 def emoji_positions(c: Column) -> Column:
     """(emoji, posicao) for each emoji code point: first fifth, last fifth or between."""
-    n = F.char_length(c)
-    chars = F.transform(F.split(c, ""), lambda ch, i: F.struct(ch.alias("emoji"), position_class(i, n).alias("posicao")))
-    return F.filter(chars, lambda e: e["emoji"].rlike(rf"^(?:{EMOJI})$"))
+
+    def spots(text: Column) -> Column:
+        size = F.char_length(text)
+        chars = F.transform(F.split(text, ""), lambda ch, i: F.struct(ch.alias("emoji"), position_class(i, size).alias("posicao")))
+        return F.filter(chars, lambda e: e["emoji"].rlike(rf"^(?:{EMOJI})$"))
+
+    # Most texts hold none; the others are taken apart once.
+    return F.when(c.rlike(EMOJI), let(c, spots)).otherwise(F.array().cast("array<struct<emoji:string,posicao:string>>"))
 
 
 def position_class(at: Column, size: Column) -> Column:
@@ -199,6 +204,13 @@ def cta(c: Column) -> Column:
     return F.struct(label.alias("intensidade"), F.round(score, 3).alias("score"), place.alias("posicao"))
 
 
+def cta_terms(c: Column) -> Column:
+    """Words of the sentences of three or more words that hold a verb of a call to action."""
+    verb = r"(?U)\b(" + "|".join(W.CTA_VERBS) + r")\b"
+    acts = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[.!?]+"), lambda s: s.rlike(verb) & (F.size(F.split(F.trim(s), r"\s+")) >= 3))
+    return F.filter(F.regexp_extract_all(F.array_join(acts, " "), F.lit(r"(?U)\w+"), F.lit(0)), lambda t: (F.char_length(t) >= 3) & ~t.isin(*W.STOP_WORDS))
+
+
 def has_person(c: Column) -> Column:
     return F.coalesce(F.lower(c).rlike(r"(?U)\b(" + "|".join(W.PERSON_WORDS) + r")s?\b"), F.lit(False))
 
@@ -282,3 +294,147 @@ def short_label(c: Column, most: int = 35) -> Column:
 
 def unfenced(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?m)^```\w*\s*|```\s*$", ""), r"^\s+|\s+$", "")
+
+
+def letter_run_caps(c: Column, letters: str = "A-Za-zÀ-ÖØ-öø-ÿ") -> Column:
+    """Share of letter runs longer than one letter that are capitals throughout, among all letter runs."""
+    runs = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"[{letters}]+"), F.lit(0))
+    return ratio(F.size(F.filter(runs, is_caps)), F.size(runs), 3)
+
+
+def repeats_word(c: Column, times: int = 5, stop: Sequence[str] = tuple(W.STOP_WORDS)) -> Column:
+    """Does a word of three or more of the letters a-z, no stop word, occur at least ``times`` times?"""
+    return max_repeat(F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\b[a-z]{3,}\b"), F.lit(0)), lambda t: ~t.isin(*stop))) >= times
+
+
+def emoji_set(c: Column) -> Column:
+    """The distinct emoji, sorted, in one string."""
+    return F.array_join(F.array_sort(F.array_distinct(emojis(c))), "")
+
+
+def emoji_category(name: Column, categories: dict[str, str] = W.EMOJI_CATEGORIES) -> Column:
+    """Category of an emoji by a part of its name; the first that fits, else outro."""
+    out = F.lit("outro")
+    for part, category in reversed(categories.items()):
+        out = F.when(F.lower(name).contains(part), category).otherwise(out)
+    return out
+
+
+def emoji_name(emoji: Column, names: dict[str, str] = W.EMOJI_NAMES) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), emoji)
+
+
+def word_class(term: Column) -> Column:
+    return F.when(term.isin(*W.ACTION_WORDS), "acao").when(term.isin(*W.EMOTIONAL_WORDS), "emocional").otherwise("tematica")
+
+
+def keyword_list(url_terms: Column, category: Column, text: Column, tags: Column) -> Column:
+    """Slugs, the category if there is one, hashtags of a text and tags as one sorted list without repeats, comma separated."""
+    own = F.when(category.isNotNull(), F.array(category)).otherwise(F.array().cast("array<string>"))
+    every = F.transform(F.concat(F.coalesce(url_terms, F.array()), own, hashtags(text), F.coalesce(tags, F.array())), lambda t: F.lower(F.trim(t)))
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(every, lambda t: t != ""))), ", ")
+
+
+def seo_completeness(description: Column, terms: Column, text: Column) -> Column:
+    """1 for a description, up to 3 for a fifth of the number of terms, and one for each hashtag, mention and emoji."""
+    return F.when(blank(description), 0).otherwise(1) + F.least(F.lit(3.0), F.size(terms) / 5.0) + F.size(hashtags(text)) + mention_count(text) + F.size(emojis(text))
+
+
+def title_score(c: Column, similarity: Column) -> Column:
+    return similarity + F.size(emojis(c)) + F.size(hashtags(c)) + length_score(F.char_length(F.coalesce(c, F.lit(""))))
+
+
+def thumbnail_score(cover: Column, scene: Column) -> Column:
+    """Cover text counts 1, and up to 1 more the nearer it is to eight words or fewer; a scene up to 1 for 15 words."""
+    n = F.size(ws_tokens(cover))
+    words = F.when(blank(cover), 0.0).otherwise(1 + F.greatest(F.lit(0.0), 1 - F.greatest(n - 8, F.lit(0)) / 8.0))
+    return words + F.when(blank(scene), 0.0).otherwise(F.least(F.lit(1.0), F.size(ws_tokens(scene)) / 15.0))
+
+
+def description_score(c: Column) -> Column:
+    return F.size(hashtags(c)) + F.size(emojis(c)) + F.least(F.lit(1.0), F.size(ws_tokens(F.substring(c, 1, 100))) / 15.0)
+
+
+def tag_cues(c: Column) -> Column:
+    """Only cues in square brackets, repeats included."""
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\[.*?\]"), F.lit(0))
+
+
+def percent(a: Column, b: Column, floor: float = 0.0) -> Column:
+    """a / b in percent, rounded, at least ``floor`` and at most 100; 0 of nothing is the floor."""
+    return F.least(F.lit(100.0), F.greatest(F.lit(float(floor)), F.round(F.coalesce(F.try_divide(100.0 * a, b), F.lit(0.0)))))
+
+
+def normal_name(c: Column, low: int = 2, high: int = 50) -> Column:
+    """Trimmed lower case; null if its length is out of bounds."""
+    out = F.lower(F.trim(c))
+    return F.when(F.char_length(out).between(low, high), out)
+
+
+def valid_email(c: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(c)).rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), F.lit(False))
+
+
+def strong_password(c: Column, least: int = 8) -> Column:
+    """Long enough, with a lower-case and an upper-case letter, a digit and another character."""
+    checks = [F.char_length(c) >= least, c.rlike("[a-z]"), c.rlike("[A-Z]"), c.rlike("[0-9]"), c.rlike("[^A-Za-z0-9]")]
+    return F.coalesce(checks[0] & checks[1] & checks[2] & checks[3] & checks[4], F.lit(False))
+
+
+def first_number(c: Column) -> Column:
+    """The first number in a text, with a point or a comma."""
+    return F.regexp_replace(F.regexp_extract(c, r"([0-9]+(?:[.,][0-9]+)?)", 1), ",", ".").try_cast("double")
+
+
+def audio_category(cue: Column) -> Column:
+    """musica, riso, aplauso or efeito by the words of a cue."""
+    low = F.lower(cue)
+    return F.when(low.rlike("music|song|♪"), "musica").when(low.rlike("laugh"), "riso").when(low.rlike("applau|clap|cheer"), "aplauso").otherwise("efeito")
+
+
+def chunks(c: Column, size: int = 1500) -> Column:
+    """Parts of at most ``size`` characters that end at a word; white space is single blanks. A longer word stands cut."""
+    plain = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    return F.transform(F.regexp_extract_all(plain, F.lit(rf"\S.{{0,{size - 1}}}(?=\s|$)|\S{{1,{size}}}"), F.lit(0)), lambda x: F.rtrim(x))
+
+
+def language_by_words(c: Column, default: str = "desconhecido", least: int = 10, first: int = 500) -> Column:
+    """The language whose short words the first ``first`` characters hold most (ties: the first code); ``default`` below ``least`` characters or hits."""
+    low = F.filter(F.regexp_extract_all(F.lower(F.substring(F.coalesce(c, F.lit("")), 1, first)), F.lit(r"(?U)\w+"), F.lit(0)), lambda t: t != "")
+    hits = lambda ws: F.size(F.filter(low, lambda t: t.isin(*ws)))
+    best = F.array_max(F.array(*[F.struct(hits(ws).alias("n"), F.lit(-i).alias("i"), F.lit(code).alias("code")) for i, (code, ws) in enumerate(sorted(W.LANGUAGE_WORDS.items()))]))
+    return F.when((F.char_length(F.coalesce(c, F.lit(""))) < least) | (best["n"] == 0), default).otherwise(best["code"])
+
+
+def is_english(c: Column) -> Column:
+    """No letters or at most two words count as English; else the short words decide, and none of them means English."""
+    return (F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"\p{L}")) == 0) | (F.size(ws_tokens(c)) <= 2) | language_by_words(c, "en", 0).isin("en")
+
+
+def polarity(c: Column) -> Column:
+    """(positive - negative) / (positive + negative) words; 0 without any."""
+    toks = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
+    hits = lambda ws: F.size(F.filter(toks, lambda t: t.isin(*ws)))
+    return let(F.struct(hits(W.POSITIVE_WORDS).alias("p"), hits(W.NEGATIVE_WORDS).alias("n")), lambda s: ratio(s["p"] - s["n"], s["p"] + s["n"]))
+
+
+def sentiment(score: Column, edge: float = 0.05) -> Column:
+    """positivo, negativo or neutro."""
+    return F.when(score >= edge, "positivo").when(score <= -edge, "negativo").otherwise("neutro")
+
+
+def emotion_impact(toks: Column, most: float = 1.0) -> Column:
+    """Words of an impact emotion among all words, a word counting once for each of its emotions, at most ``most``."""
+    hits = lambda ws: F.size(F.filter(toks, lambda t: t.isin(*ws)))
+    total = sum((hits(ws) for ws in list(W.EMOTIONS.values())[1:]), hits(W.EMOTIONS["fear"]))
+    return F.least(F.lit(float(most)), ratio(total, F.size(toks), 3))
+
+
+def noise_flags(c: Column) -> Column:
+    """What a transcript holds besides words: bracketed cues, asides, note signs, a word three times in a row."""
+    has = lambda p: F.coalesce(c.rlike(p), F.lit(False))
+    return F.struct(has(r"\[.*?\]").alias("colchetes"), has(r"\(.*?\)").alias("parenteses"), has("♪").alias("nota"), has_run(ws_tokens(c)).alias("repeticao"))
+
+
+def all_equal(*columns: Column) -> Column:
+    return F.size(F.array_distinct(F.array(*columns))) == 1

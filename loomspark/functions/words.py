@@ -1,6 +1,7 @@
 """Word lists.
 
-Fixed values: they decide results and are kept as plain text in natural order.
+Fixed values: they decide results and are kept as plain text in natural order. They stand in for
+lexicons and parsers that are not available, see the README.
 """
 
 #: Stop words that content tokens leave out (the same list on every side of a comparison).
@@ -32,3 +33,38 @@ CATEGORIES = {
     "purchase": "conversion",
     "signup": "conversion",
 }
+
+POSITIVE_WORDS = "good great best love happy nice amazing easy free win perfect beautiful fun enjoy".split()
+NEGATIVE_WORDS = "bad worst hate sad wrong fail problem terrible ugly lose angry fear danger pain".split()
+#: Emotions that count towards impact, by word.
+EMOTIONS = {
+    "fear": "fear danger scared horror".split(),
+    "anger": "angry hate rage fight".split(),
+    "surprise": "shocking sudden unbelievable wow".split(),
+    "anticipation": "soon next waiting ready".split(),
+    "disgust": "gross ugly dirty nasty".split(),
+}
+#: Classes of words in a vocabulary report; other words are thematic.
+ACTION_WORDS = "make get go do take use try watch play build cut run".split()
+EMOTIONAL_WORDS = POSITIVE_WORDS + NEGATIVE_WORDS
+#: Categories of emoji by a part of their name, looked up in this order.
+EMOJI_CATEGORIES = {"face": "rosto", "heart": "coracao", "hand": "mao", "fire": "simbolo", "star": "simbolo"}
+#: Names of common emoji.
+EMOJI_NAMES = {
+    "😂": "face with tears of joy",
+    "😍": "smiling face with heart-eyes",
+    "😱": "face screaming in fear",
+    "❤": "red heart",
+    "👍": "thumbs up hand",
+    "👏": "clapping hands",
+    "🔥": "fire",
+    "⭐": "star",
+    "🎉": "party popper",
+}
+#: The commonest short words of a language; a text is taken for the language whose words it holds most.
+LANGUAGE_WORDS = {
+    "de": "der die und das ist von mit nicht ein eine den zu".split(),
+    "en": "the and of to in is that are for it was with".split(),
+    "es": "el la de que en y los del las por con una".split(),
+    "fr": "le la de et les des est en que dans un une".split(),
+}

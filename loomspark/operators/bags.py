@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .stats import top_rows
+from ..functions.positional import ngram_rows
+from .stats import few, top_rows, with_groups
 
 
 def exploded(df: DataFrame, terms: Column, keys: Sequence[str], name: str = "term") -> DataFrame:
@@ -23,11 +25,17 @@ def top_terms(df: DataFrame, terms: Column, by: Sequence[str], k: int) -> DataFr
     return top_rows(term_counts(df, terms, by), by, [F.desc("n"), F.asc("term")], k, rank="rank")
 
 
+def top_counts(terms: DataFrame, by: Sequence[str], k: int, columns: Sequence[str] = ("term",)) -> DataFrame:
+    """The ``k`` commonest rows of ``columns`` in each group of an exploded table, with ``n`` and ``rank``."""
+    counts = terms.groupBy(*by, *columns).agg(F.count("*").alias("n"))
+    return top_rows(counts, by, [F.desc("n"), *map(F.asc, columns)], k, rank="rank")
+
+
 def filtered_bag(df: DataFrame, terms: Column, keep: Column, by: Sequence[str], k: int) -> DataFrame:
     """Top terms of the rows that ``keep``; a group with fewer than ``k`` of them adds its counts over all rows."""
     both = df.select(*by, keep.alias("_keep"), F.explode(terms).alias("term")).groupBy(*by, "term").agg(F.count_if("_keep").alias("inner"), F.count("*").alias("whole"))
     some = both.groupBy(*by).agg(F.count_if(F.col("inner") > 0).alias("distinct_inner"))
-    joined = both.join(some, list(by))
+    joined = with_groups(both, some, by)
     n = F.when(F.col("distinct_inner") < k, F.col("inner") + F.col("whole")).otherwise(F.col("inner"))
     return top_rows(joined.withColumn("n", n).where("n > 0").select(*by, "term", "n"), by, [F.desc("n"), F.asc("term")], k, rank="rank")
 
@@ -58,23 +66,59 @@ def cooccurrence(df: DataFrame, terms: Column, by: Sequence[str], k: int = 10) -
     A row's terms are first cut down to the top terms (k for each group), so pairs stay few per row.
     """
     top = top_terms(df, terms, by, k).groupBy(*by).agg(F.collect_set("term").alias("_top"))
-    rows = df.select(*by, terms.alias("_terms")).join(F.broadcast(top) if not by else top, list(by))
+    rows = with_groups(df.select(*by, terms.alias("_terms")), top, by)
     own = rows.select(*by, F.array_sort(F.array_intersect(F.array_distinct("_terms"), "_top")).alias("_own"))
     pairs = F.flatten(F.transform("_own", lambda a, i: F.transform(F.slice("_own", i + 2, F.lit(k)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return own.select(*by, F.explode(pairs).alias("p")).groupBy(*by, "p.a", "p.b").agg(F.count("*").alias("n"))
 
 
-def tfidf(df: DataFrame, terms: Column, row: str, sublinear: bool = False) -> DataFrame:
-    """(row, term, tf, score): idf = ln((1 + n) / (1 + df)) + 1, rows scaled to unit length."""
-    tf = df.select(row, F.explode(terms).alias("term")).groupBy(row, "term").agg(F.count("*").alias("tf"))
-    size = df.agg(F.count("*").alias("_docs"))
-    dfs = tf.groupBy("term").agg(F.count("*").alias("_df"))
-    idf = F.log((1.0 + F.col("_docs")) / (1.0 + F.col("_df"))) + 1
+def tfidf_of(rows: DataFrame, row: str, n_rows: Column | int | None = None, sublinear: bool = False, features: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(row, keep, term, tf, score) of an exploded table (row, keep, term) that is dealt out by ``row``.
+
+    idf = ln((1 + n) / (1 + df)) + 1, rows scaled to unit length. ``features`` keeps the terms that are
+    commonest in all rows (ties: in the order of the term). Document frequencies are one aggregate; a
+    vocabulary of up to 200,000 terms is broadcast, so that a row's terms never leave its task.
+    """
+    tf = rows.groupBy(row, *keep, "term").agg(F.count("*").alias("tf"))
+    words = tf.groupBy("term").agg(F.count("*").alias("_df"), F.sum("tf").alias("_all"))
+    if features:
+        words = words.orderBy(F.desc("_all"), "term").limit(features)
+    if n_rows is None:
+        n_rows = rows.agg(F.count_distinct(row)).first()[0]
+    idf = few(words.select("term", "_df"), 200_000).withColumn("_idf", F.log((1.0 + F.lit(n_rows)) / (1.0 + F.col("_df"))) + 1)
     weight = (1 + F.log("tf")) if sublinear else F.col("tf")
-    raw = tf.join(dfs, "term").crossJoin(F.broadcast(size)).select(row, "term", "tf", (weight * idf).alias("_w"))
-    norm = raw.groupBy(row).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norm, row).select(row, "term", "tf", (F.col("_w") / F.col("_norm")).alias("score"))
+    raw = tf.join(idf, "term").withColumn("_w", weight * F.col("_idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(row)))
+    return raw.select(row, *keep, "term", "tf", (F.col("_w") / norm).alias("score"))
+
+
+def tfidf(df: DataFrame, terms: Column, row: str, sublinear: bool = False, features: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(row, keep, term, tf, score) of a table with one row for each ``row``; see ``tfidf_of``. The texts are shuffled once, their terms never."""
+    dealt = df.repartition(F.col(row))
+    return tfidf_of(dealt.select(row, *keep, F.explode(terms).alias("term")), row, df.count(), sublinear, features, keep)
 
 
 def mean_tfidf(scores: DataFrame, n_rows: int | Column) -> DataFrame:
     return scores.groupBy("term").agg((F.sum("score") / n_rows).alias("mean_score"))
+
+
+def ngram_tfidf(df: DataFrame, toks: Column, row: str, sizes: Sequence[int], features: int, k: int) -> DataFrame:
+    """(term, mean_score): the ``k`` n-grams of the given sizes with the largest mean TF-IDF."""
+    n = df.count()
+    rows = ngram_rows(df.repartition(F.col(row)), toks, [row], sizes)
+    return mean_tfidf(tfidf_of(rows, row, n, features=features), n).orderBy(F.desc("mean_score"), "term").limit(k)
+
+
+def contrast(df: DataFrame, terms: Column, row: str, side: Column, k: int | None = None, features: int | None = None) -> DataFrame:
+    """(term, diff): mean TF-IDF of the rows where ``side`` is true less that of the rows where it is false.
+
+    Fitted on both kinds of rows together; a null ``side`` is neither. ``k``: so many terms each way.
+    """
+    rows = df.withColumn("_side", side).where("_side is not null")
+    sizes = rows.agg(F.count_if("_side"), F.count_if(~F.col("_side"))).first()
+    scores = tfidf(rows, terms, row, features=features, keep=["_side"])
+    part = lambda own, n: F.coalesce(F.sum(F.when(own, F.col("score"))), F.lit(0.0)) / F.lit(float(max(n, 1)))
+    out = scores.groupBy("term").agg((part(F.col("_side"), sizes[0]) - part(~F.col("_side"), sizes[1])).alias("diff"), F.count("*").alias("rows"))
+    if k is None:
+        return out
+    return out.orderBy(F.desc("diff"), "term").limit(k).unionByName(out.orderBy("diff", "term").limit(k)).distinct()

@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stats import percentiles, with_groups
+
+#: Texts that stand for a missing one.
 SENTINELS = ("", "[]", "nan", "None", "none", "NaN")
 
 
@@ -41,20 +44,19 @@ def length_band(df: DataFrame, column: str, low: int, high: int, by: str) -> Dat
     """
     inside = F.char_length(column).between(low, high)
     some = df.groupBy(by).agg(F.max(inside).alias("_some"))
-    return df.join(some, by).where(inside | ~F.coalesce("_some", F.lit(False))).drop("_some")
+    return with_groups(df, some, [by]).where(inside | ~F.coalesce("_some", F.lit(False))).drop("_some")
 
 
 def dynamic_minimum(df: DataFrame, value: Column, by: str, floor: float) -> DataFrame:
     """Rows whose value is at least max(floor, median - standard deviation) of its group."""
     rows = df.withColumn("_value", value)
     cut = rows.groupBy(by).agg(F.greatest(F.lit(float(floor)), F.median("_value") - F.coalesce(F.stddev_samp("_value"), F.lit(0.0))).alias("_cut"))
-    return rows.join(cut, by).where(F.col("_value") >= F.col("_cut")).drop("_value", "_cut")
+    return with_groups(rows, cut, [by]).where(F.col("_value") >= F.col("_cut")).drop("_value", "_cut")
 
 
 def above_quantile(df: DataFrame, column: str, q: float, by: Sequence[str] = (), strict: bool = False) -> DataFrame:
-    cut = df.groupBy(*by).agg(F.percentile(column, F.lit(q)).alias("_cut"))
-    joined = df.join(cut, list(by)) if by else df.crossJoin(F.broadcast(cut))  # one row
-    return joined.where(F.col(column) > F.col("_cut") if strict else F.col(column) >= F.col("_cut")).drop("_cut")
+    cut = percentiles(df, column, (q,), by).select(*by, F.col("p")[0].alias("_cut"))
+    return with_groups(df, cut, by).where(F.col(column) > F.col("_cut") if strict else F.col(column) >= F.col("_cut")).drop("_cut")
 
 
 def where_given(df: DataFrame, **equal) -> DataFrame:

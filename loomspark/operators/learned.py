@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import HashingTF, IDF, Normalizer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, Normalizer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,8 +18,12 @@ from .stats import top_rows
 
 
 def scaled(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
-    rows = VectorAssembler(inputCols=list(columns), outputCol="_raw", handleInvalid="skip").transform(df)
-    return StandardScaler(inputCol="_raw", outputCol=out, withMean=True).fit(rows).transform(rows).drop("_raw")
+    """``columns`` as one vector, each with mean 0 and population deviation 1 (0 where all values are equal)."""
+    rows = df.na.drop(subset=list(columns))
+    aggs = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+    rows = rows.crossJoin(F.broadcast(rows.agg(*aggs)))  # one row
+    rows = rows.withColumns({f"_z_{c}": F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")), F.lit(0.0)) for c in columns})
+    return VectorAssembler(inputCols=[f"_z_{c}" for c in columns], outputCol=out).transform(rows).drop(*[f"_{p}_{c}" for c in columns for p in "msz"])
 
 
 def kmeans_by_silhouette(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = tuple(range(2, 9)), seed: int = 42) -> DataFrame:
@@ -42,7 +46,9 @@ def kmeans_by_silhouette(df: DataFrame, columns: Sequence[str], ks: Sequence[int
     return out.withColumns({"formato": F.concat(F.lit("formato_"), (F.col("prediction") + 1).cast("string")), "k": F.lit(best[1])}).drop("features", "prediction")
 
 
-def text_clusters(df: DataFrame, tokens: str, k: int, dims: int = 1 << 12, seed: int = 42) -> DataFrame:
+def text_clusters(df: DataFrame, tokens: str, k: int | None = None, dims: int = 1 << 12, seed: int = 42) -> DataFrame:
+    """Rows with the ``cluster`` of their hashed TF-IDF vector; k is min(5, max(2, n // 5)) by default."""
+    k = k or min(5, max(2, df.count() // 5))
     tf = HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=dims).transform(df)
     unit = Normalizer(inputCol="_idf", outputCol="features").transform(IDF(inputCol="_tf", outputCol="_idf").fit(tf).transform(tf))
     return KMeans(k=k, seed=seed, maxIter=10).fit(unit).transform(unit).drop("_tf", "_idf", "features").withColumnRenamed("prediction", "cluster")

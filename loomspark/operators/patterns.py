@@ -1,4 +1,4 @@
-"""Pattern documents: one nested row per niche, from one scalar aggregate and several top-k bags."""
+"""Pattern documents: one nested row per niche, from two scalar aggregates, one pass over all terms and one over the examples."""
 
 from __future__ import annotations
 
@@ -7,75 +7,203 @@ from pyspark.sql import functions as F
 
 from ..functions import positional as P
 from ..functions import text as T
-from .bags import top_terms
-from .stats import mode, top_rows
+from .stats import few, mode, top_rows, with_groups
+
+#: Columns of a video besides niche, id and text. Those that a table lacks are null.
+INPUTS = {
+    "titulo": "string", "descricao": "string", "palavras_chave": "array<string>", "texto_capa": "string", "cena": "string", "dia": "string", "janela": "string",
+    "duracao": "double", "faixa": "string", "taxa_conversao": "double", "taxa_discussao": "double", "formato": "string",
+}
+#: Bags of the document: how many of the commonest terms each one keeps.
+BAGS = {
+    "vocabulario": 30, "moldes": 10, "pares": 10, "inicio": 10, "meio": 10, "fim": 10, "titulo": 20, "titulo_emojis": 5, "descricao": 20, "descricao_emojis": 5,
+    "hashtags": 15, "shorttail": 15, "midtail": 15, "longtail": 15, "capa": 20, "capa_emojis": 5, "cena": 15, "pistas": 5, "slots": 3, "cta": 10,
+}
+ARC = ("inicio", "meio", "fim")
 
 
 def features(df: DataFrame, niche: str = "nicho", text: str = "texto") -> DataFrame:
-    """Row features that the aggregates need, worked out once. Tokens come first, so each is parsed once."""
+    """Row features that the aggregates need. Tokens come first, so each text is parsed once for a scan."""
+    rows = df.withColumns({c: F.lit(None).cast(t) for c, t in INPUTS.items() if c not in df.columns})
     t = F.col(text)
-    base = df.withColumns({"_toks": T.ws_tokens(t), "_content": T.content_tokens(t), "_first": T.first_line(t)})
-    parts = P.thirds(F.col("_content"))
-    return base.select(
-        *df.columns, "_content",
-        F.size("_toks").alias("n_words"), T.trimmed_length(F.col("_first")).alias("titulo_comprimento"), T.caps_ratio(F.col("_first")).alias("titulo_caps"),
-        T.impact_score(F.col("_first")).alias("titulo_impacto"), T.opening_formula(F.col("_first")).alias("titulo_formula"), T.hook(t).alias("gancho"),
-        T.opening_formula(t).alias("gancho_formula"), T.sentence_rhythm(t).alias("ritmo"), T.cta(t).alias("cta"), T.is_dialogue(t).alias("dialogo"),
-        (P.max_repeat(F.col("_content")) >= 5).alias("repeticao"), parts.alias("_partes"), P.ngrams(F.col("_content"), 2).alias("_bigramas"),
-        T.has_link(t).alias("tem_link"), T.dominant_cue(t).alias("audio"),
-    )
-
-
-def _bag(df: DataFrame, terms: Column, niche: str, k: int, name: str) -> DataFrame:
-    top = top_terms(df, terms, [niche], k)
-    return top.groupBy(niche).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias(name))
+    rows = rows.withColumn("titulo", F.coalesce("titulo", T.first_line(t))).withColumn("descricao", F.coalesce("descricao", t))
+    rows = rows.withColumns({"_toks": T.ws_tokens(t), "_content": T.content_tokens(t), "_chave": T.keyword_tails(F.coalesce("palavras_chave", F.array().cast("array<string>")))})
+    rows = rows.withColumn("_partes", P.thirds(F.col("_content")))
+    tone = lambda part: T.sentiment(T.polarity(F.array_join(f"_partes.{part}", " "))).alias(part)
+    return rows.select(
+        *df.columns, *[c for c in INPUTS if c not in df.columns], "_content", "_partes", "_chave",
+        F.size("_toks").alias("n_words"), T.trimmed_length(F.col("titulo")).alias("titulo_comprimento"), T.caps_ratio(F.col("titulo")).alias("titulo_caps"),
+        T.impact_score(F.col("titulo")).alias("titulo_impacto"), T.opening_formula(F.col("titulo")).alias("titulo_formula"), T.sentiment(T.polarity(F.col("titulo"))).alias("titulo_tom"),
+        T.hook(t).alias("gancho"), T.opening_formula(t).alias("gancho_formula"), T.sentence_rhythm(t).alias("ritmo"), T.cta(F.col("descricao")).alias("cta"), T.is_dialogue(t).alias("dialogo"),
+        T.repeats_word(t).alias("repeticao"), P.max_repeat(F.col("_content")).alias("maior_repeticao"), T.has_link(F.col("descricao")).alias("tem_link"), T.dominant_cue(t).alias("audio"),
+        (F.size(T.tag_cues(t)) > 0).alias("tem_pista"), T.pace(F.size("_toks"), F.col("duracao")).alias("pace"), T.emotion_impact(T.tokens(t)).alias("densidade_impacto"), F.struct(*map(tone, ARC)).alias("tom"),
+    ).withColumns({"gancho_tom": T.sentiment(T.polarity(F.col("gancho"))), "gancho_impacto": T.impact_score(F.col("gancho")), "gancho_palavras": F.size(T.ws_tokens(F.col("gancho")))})
 
 
 def pattern_scalars(rows: DataFrame, niche: str = "nicho") -> DataFrame:
     """Modes, medians and shares of each niche in one aggregate."""
     share = lambda c: F.avg(F.col(c).cast("int"))
+    first = lambda c: F.char_length(T.first_line(F.col(c)))
+    some = lambda c: F.when(F.trim(c) != "", F.col(c))
+    tails = {k: F.median(F.when(F.size("palavras_chave") > 0, F.col(f"_chave.proporcao.{k}"))).alias(f"_{k}") for k in ("shorttail", "midtail", "longtail")}
     return rows.groupBy(niche).agg(
-        F.count("*").alias("n"), mode("titulo_formula").alias("titulo_formula"), F.median("titulo_comprimento").alias("titulo_comprimento"),
-        F.avg("titulo_caps").alias("titulo_caps"), (F.avg("titulo_impacto") >= 0.3).alias("usar_pontuacao"), mode("gancho_formula").alias("gancho_formula"),
-        F.median(F.char_length("gancho")).alias("gancho_comprimento"), F.median("n_words").alias("palavras"), F.median("ritmo.mean").alias("frase_media"),
-        F.median("ritmo.variance").alias("frase_variancia"), mode("cta.intensidade").alias("cta_intensidade"), F.median("cta.score").alias("cta_score"),
-        mode("cta.posicao").alias("cta_posicao"), share("dialogo").alias("taxa_dialogo"), share("repeticao").alias("taxa_repeticao"), share("tem_link").alias("taxa_link"),
-        mode("audio").alias("audio_dominante"),
+        F.count("*").alias("n"), mode("titulo_formula").alias("titulo_formula"), F.median("titulo_comprimento").alias("titulo_comprimento"), mode("titulo_tom").alias("titulo_tom"),
+        F.avg("titulo_caps").alias("titulo_caps"), (F.avg("titulo_impacto") >= 0.3).alias("usar_pontuacao"), mode("gancho_formula").alias("gancho_formula"), mode("gancho_tom").alias("gancho_tom"),
+        F.median(F.char_length("gancho")).alias("gancho_comprimento"), F.median("gancho_palavras").alias("gancho_palavras"), F.coalesce(F.stddev_samp("gancho_palavras"), F.lit(0.0)).alias("gancho_desvio"),
+        (F.avg("gancho_impacto") >= 0.3).alias("gancho_pontuacao"), F.median("n_words").alias("palavras"), F.median("ritmo.mean").alias("frase_media"), F.median("ritmo.variance").alias("frase_variancia"),
+        F.median("pace").alias("pace"), F.median("densidade_impacto").alias("densidade_impacto"), mode("cta.intensidade").alias("cta_intensidade"), F.median("cta.score").alias("cta_score"),
+        mode("cta.posicao").alias("cta_posicao"), share("dialogo").alias("taxa_dialogo"), share("repeticao").alias("taxa_repeticao"), F.median("maior_repeticao").alias("maior_repeticao"), share("tem_link").alias("taxa_link"),
+        mode("audio").alias("audio_dominante"), share("tem_pista").alias("taxa_audio"), F.median(T.trimmed_length(F.col("descricao"))).alias("descricao_comprimento"), F.median(first("descricao")).alias("descricao_linha"),
+        mode(T.sentiment(T.polarity(T.first_line(F.col("descricao"))))).alias("descricao_tom"), F.median(F.size(T.hashtags(F.col("descricao")))).alias("n_hashtags"), *tails.values(),
+        F.median(F.char_length(some("texto_capa"))).alias("capa_comprimento"), F.median(T.caps_ratio(F.col("texto_capa"))).alias("capa_caps"), F.avg(T.has_person(F.col("cena")).cast("int")).alias("presenca"),
+        mode(T.sentiment(T.polarity(F.coalesce("cena", F.lit(""))))).alias("cena_tom"), F.median("taxa_conversao").alias("conversao"), F.median("taxa_discussao").alias("discussao"),
+        F.percentile("taxa_discussao", F.lit(0.75)).alias("discussao_alta"), mode("formato").alias("formato"), *[mode(f"tom.{p}").alias(f"tom_{p}") for p in ARC],
+    )
+
+
+def structure_patterns(rows: DataFrame, scalars: DataFrame, niche: str = "nicho") -> DataFrame:
+    """(niche, estrutura_geral): the commonest format of each niche, the medians of its rows and the style they mean."""
+    own = with_groups(rows, scalars.select(niche, F.col("formato").alias("_formato"), "taxa_dialogo"), [niche]).where(F.col("formato").eqNullSafe(F.col("_formato")))
+    found = own.groupBy(niche).agg(F.round(F.median("pace"), 3).alias("pace"), F.median("n_words").cast("int").alias("palavras"), mode("faixa").alias("faixa"), (F.avg(F.col("repeticao").cast("int")) >= 0.3).alias("repete"), F.first("taxa_dialogo").alias("dialogo"))
+    style = (
+        F.when((F.col("pace") >= 4.0) & (F.col("palavras") <= 150), "impacto_rapido").when(F.col("repete") & (F.col("pace") >= 3.5), "esquete_com_hook")
+        .when(F.col("palavras") >= 400, "narrativa").otherwise("esquete")
     )
+    fields = (style.alias("estrutura_blocos"), F.col("faixa").alias("faixa_duracao"), F.col("palavras").alias("limite_palavras"), (F.round("dialogo", 3) >= 0.3).alias("usa_dialogo"), F.round("dialogo", 3).alias("taxa_dialogo_no_nicho"), F.col("repete").alias("usa_repeticao"))
+    return found.select(niche, F.struct(*fields).alias("estrutura_geral"))
+
+
+def keyword_ratio(short: Column, mid: Column, long: Column) -> Column:
+    """The medians of three shares scaled to a sum of 1; zeros if there are none."""
+    total = F.coalesce(short, F.lit(0.0)) + F.coalesce(mid, F.lit(0.0)) + F.coalesce(long, F.lit(0.0))
+    part = lambda c: F.round(F.coalesce(F.try_divide(F.coalesce(c, F.lit(0.0)), total), F.lit(0.0)), 3)
+    return F.struct(part(short).alias("shorttail"), part(mid).alias("midtail"), part(long).alias("longtail"))
+
+
+def conversion_intensity(rate: Column) -> Column:
+    return F.when(rate >= 5.0, "direto").when(rate >= 2.0, "moderado").otherwise("suave")
+
+
+def pattern_bags(rows: DataFrame, scalars: DataFrame, niche: str = "nicho", bags: dict[str, int] = BAGS) -> DataFrame:
+    """(niche, kind, a, b, n, rank): the commonest terms of every bag of the document, counted in one aggregate.
+
+    A token gives its own term, its third of the text, its bigram and its window pairs; the short lists
+    of a row are a second branch, so that they are not copied for each token. Words of a third count for the rows whose tone there is the
+    niche's, and twice over if those hold too few different words.
+    """
+    tone = scalars.select(niche, *[F.col(f"tom_{p}").alias(f"_{p}") for p in ARC], F.col("cta_intensidade").alias("_cta"), F.col("cta_posicao").alias("_posicao"))
+    rows = with_groups(rows, tone, [niche])
+    tagged = lambda kind, terms, keep=F.lit(True): F.transform(terms, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("a"), F.lit("").alias("b"), keep.alias("keep")))
+    pair = lambda kind, items, a, b: F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), x[a].alias("a"), x[b].alias("b"), F.lit(True).alias("keep")))
+    # No terms of calls to action are looked for in a niche whose descriptions hold none.
+    acts = F.when((F.col("_cta") == "ausente") & (F.col("_posicao") == "ausente"), F.array().cast("array<string>")).otherwise(T.cta_terms(F.col("texto")))
+    lists = {
+        "titulo": lambda: tagged("titulo", T.content_tokens(T.clean_title(F.col("titulo")))),
+        "titulo_emojis": lambda: pair("titulo_emojis", T.emoji_positions(F.coalesce("titulo", F.lit(""))), "emoji", "posicao"),
+        "descricao": lambda: tagged("descricao", T.content_tokens(T.first_line(F.col("descricao")))),
+        "descricao_emojis": lambda: tagged("descricao_emojis", T.emojis(F.col("descricao"))),
+        "hashtags": lambda: tagged("hashtags", T.hashtags(F.col("descricao"))),
+        **{k: lambda k=k: tagged(k, F.col(f"_chave.{k}")) for k in ("shorttail", "midtail", "longtail")},
+        "capa": lambda: tagged("capa", T.content_tokens(T.clean_cover(F.col("texto_capa")))),
+        "capa_emojis": lambda: tagged("capa_emojis", T.emojis(F.col("texto_capa"))),
+        "cena": lambda: tagged("cena", T.content_tokens(F.col("cena"))),
+        "pistas": lambda: tagged("pistas", T.tag_cues(F.col("texto"))),
+        "slots": lambda: F.when(F.col("dia").isNotNull() & F.col("janela").isNotNull(), pair("slots", F.array(F.struct("dia", "janela")), "dia", "janela")).otherwise(F.array()),
+        "cta": lambda: tagged("cta", acts),
+    }
+    small = [f() for k, f in lists.items() if k in bags]
+    every = None if not small else rows.select(niche, F.inline(F.concat(*small))).where("a is not null")
+    ready = rows.select(niche, *[(F.col(f"tom.{p}") == F.col(f"_{p}")).alias(f"_keep_{p}") for p in ARC], "_content")
+    tokens = P.shifted(ready, F.col("_content"), [niche, *[f"_keep_{p}" for p in ARC]], 5)
+    third = F.when(F.col("_i") < F.floor(F.col("_n") * 0.2), "inicio").when(F.col("_i") < F.floor(F.col("_n") * 0.8), "meio").otherwise("fim")
+    toned = F.when(third == "inicio", F.col("_keep_inicio")).when(third == "meio", F.col("_keep_meio")).otherwise(F.col("_keep_fim"))
+    term = lambda kind, a, b=F.lit(""), keep=F.lit(True): F.struct(kind.alias("kind"), a.alias("a"), b.alias("b"), keep.alias("keep"))
+    own = {
+        "vocabulario": [term(F.lit("vocabulario"), F.col("_0"))], "moldes": [term(F.lit("moldes"), F.when(F.col("_1").isNotNull(), F.concat_ws(" ", "_0", "_1")))],
+        "pares": [term(F.lit("pares"), F.when(F.col("_0") != F.col(f"_{k}"), F.least("_0", f"_{k}")), F.greatest("_0", f"_{k}")) for k in range(1, 6)],
+        **dict.fromkeys(ARC[:1], [term(third, F.col("_0"), F.lit(""), F.coalesce(toned, F.lit(False)))]),
+    }
+    own = [x for k, xs in own.items() if k in bags for x in xs]
+    if own:
+        of_tokens = tokens.select(niche, F.inline(F.array(*own))).where("a is not null")
+        every = of_tokens if every is None else of_tokens.unionByName(every)
+    counts = every.groupBy(niche, "kind", "a", "b").agg(F.count_if("keep").alias("inner"), F.count("*").alias("whole"))
+    sizes = F.create_map(*[F.lit(x) for kv in bags.items() for x in kv])
+    some = counts.groupBy(niche, "kind").agg(F.count_if(F.col("inner") > 0).alias("_some"))
+    counts = with_groups(counts, some, [niche, "kind"])
+    total = F.when(F.col("kind").isin(*ARC) & (F.col("_some") < F.element_at(sizes, F.col("kind"))), F.col("inner") + F.col("whole")).otherwise(F.col("inner"))
+    top = top_rows(counts.withColumn("n", total).where("n > 0").select(niche, "kind", "a", "b", "n"), [niche, "kind"], [F.desc("n"), F.asc("a"), F.asc("b")], max(bags.values()), rank="rank")
+    return top.where(F.col("rank") <= F.element_at(sizes, F.col("kind")))
+
+
+def hook_examples(rows: DataFrame, scalars: DataFrame, row: str, niche: str = "nicho", k: int = 3) -> DataFrame:
+    """The ``k`` hooks of each niche with the most impact, of those that are long enough for it and hold no long number; of all if none is."""
+    cut = scalars.select(niche, F.greatest(F.lit(5), F.floor(F.col("gancho_palavras") - F.col("gancho_desvio"))).alias("_cut"))
+    fit = with_groups(rows, cut, [niche]).withColumn("_fit", (F.col("gancho_palavras") >= F.col("_cut")) & ~F.col("gancho").rlike(r"\b\d{4,}\b"))
+    best = top_rows(fit, [niche, "_fit"], [F.desc("gancho_impacto"), F.asc(row)], k)
+    best = top_rows(best, [niche], [F.desc("_fit"), F.desc("gancho_impacto"), F.asc(row)], k, rank="_place").withColumn("_any", F.max("_fit").over(_group(niche)))
+    return best.where(F.col("_fit") | ~F.col("_any")).groupBy(niche).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "gancho"))), lambda s: s["gancho"]).alias("exemplos"))
+
+
+def _group(niche: str):
+    from pyspark.sql.window import Window
+
+    return Window.partitionBy(niche)  # over at most ``k`` rows a niche
 
 
 def pattern_documents(df: DataFrame, niche: str = "nicho", text: str = "texto", row: str = "id") -> DataFrame:
-    """The nested document of each niche: title, hook, rhythm, arc, repetition, call to action, vocabulary."""
+    """The nested document of each niche: five topics of structure and eight of script."""
     rows = features(df, niche, text)
-    out = pattern_scalars(rows, niche)
-    for terms, k, name in (("_content", 30, "vocabulario"), ("_bigramas", 10, "moldes"), ("_partes.inicio", 10, "inicio"), ("_partes.meio", 10, "meio"), ("_partes.fim", 10, "fim")):
-        out = out.join(_bag(rows, F.col(terms), niche, k, name), niche, "left")
-    pairs = rows.select(niche, F.explode(P.window_pairs(F.col("_content"))).alias("p")).groupBy(niche, "p.a", "p.b").agg(F.count("*").alias("c"))
-    pairs = top_rows(pairs, [niche], [F.desc("c"), F.asc("a"), F.asc("b")], 10, rank="rank").groupBy(niche).agg(F.array_sort(F.collect_list(F.struct("rank", "a", "b"))).alias("pares"))
-    out = out.join(pairs, niche, "left")
-    examples = top_rows(rows.where(F.char_length("gancho").between(50, 500)), [niche], [F.desc("titulo_impacto"), F.asc(row)], 3)
-    out = out.join(examples.groupBy(niche).agg(F.sort_array(F.collect_list("gancho")).alias("exemplos")), niche, "left")
-    style = F.when((F.col("taxa_repeticao") >= 0.3) & (F.col("frase_media") <= 8), "esquete_com_hook").when(F.col("palavras") >= 400, "narrativa").otherwise("esquete")
+    scalars = few(pattern_scalars(rows, niche))
+    bags = pattern_bags(rows.withColumnRenamed(text, "texto") if text != "texto" else rows, scalars, niche)
+    entry = F.struct("rank", "a", "b", "n")
+    packed = bags.groupBy(niche).agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, entry))).alias(f"_{k}_bag") for k in BAGS])
+    out = scalars.join(packed, niche, "left").join(hook_examples(rows, scalars, row, niche), niche, "left").join(structure_patterns(rows, scalars, niche), niche, "left")
+    terms = lambda k: F.transform(F.coalesce(f"_{k}_bag", F.array()), lambda s: s["a"])
+    counted = lambda k, name: F.transform(F.coalesce(f"_{k}_bag", F.array()), lambda s: F.struct(s["a"].alias(name), s["n"].alias("frequencia")))
+    slot = lambda s: F.struct(s["a"].alias("dia"), s["b"].alias("janela"), s["n"].alias("quantidade_virais"), F.format_string("%s %s: %.1f%%", s["a"], s["b"], 100.0 * s["n"] / F.col("n")).alias("justificativa"))
+    title = F.struct(
+        F.col("titulo_formula").alias("formula_construcao"), F.col("titulo_comprimento").cast("int").alias("comprimento_alvo_chars"), terms("titulo").alias("termos_obrigatorios"), F.round("titulo_caps", 3).alias("caps_intensidade"),
+        F.transform(F.coalesce("_titulo_emojis_bag", F.array()), lambda s: F.struct(s["a"].alias("emoji"), s["b"].alias("posicao"), s["n"].alias("frequencia"))).alias("emojis"), F.col("usar_pontuacao").alias("usar_pontuacao_impacto"), F.col("titulo_tom").alias("sentimento_alvo"),
+    )
+    described = F.struct(
+        F.col("descricao_comprimento").cast("int").alias("comprimento_alvo_chars"), F.col("descricao_linha").cast("int").alias("primeira_linha_comprimento_alvo"), F.col("descricao_tom").alias("sentimento_primeira_linha"), terms("descricao").alias("termos_seo_obrigatorios"),
+        terms("moldes").alias("moldes_frase"), counted("descricao_emojis", "emoji").alias("emojis"), F.col("cta_posicao").alias("cta_posicao"), F.col("cta_intensidade").alias("cta_intensidade"), F.round("cta_score", 3).alias("cta_score_mediano"),
+        (F.col("taxa_link") >= 0.3).alias("usar_links"), terms("hashtags").alias("hashtags"), F.least(F.col("n_hashtags").cast("int"), F.size(F.coalesce("_hashtags_bag", F.array()))).alias("quantidade_hashtags"),
+    )
+    cover = F.struct(F.col("capa_comprimento").cast("int").alias("comprimento_alvo_chars"), terms("capa").alias("termos_obrigatorios"), F.round("capa_caps", 3).alias("caps_intensidade"), counted("capa_emojis", "emoji").alias("emojis"), F.col("cena_tom").alias("sentimento_alvo"))
+    thumbnail = F.struct(cover.alias("texto_capa"), F.struct(terms("cena").alias("elementos_obrigatorios"), F.round("presenca", 3).alias("presenca_humana")).alias("cena_visual"), F.col("cena_tom").alias("sentimento_visual_alvo"))
+    keys = F.struct(*[terms(k).alias(k) for k in ("shorttail", "midtail", "longtail")], keyword_ratio(F.col("_shorttail"), F.col("_midtail"), F.col("_longtail")).alias("proporcao_ideal"))
+    hook = F.struct(
+        F.col("gancho_formula").alias("formula_abertura"), F.col("gancho_palavras").cast("int").alias("comprimento_alvo_palavras"), F.col("gancho_comprimento").cast("int").alias("comprimento_alvo_chars"), F.col("gancho_tom").alias("sentimento_alvo"),
+        F.col("gancho_pontuacao").alias("usar_pontuacao_impacto"), F.col("exemplos").alias("exemplos_reais"),
+    )
+    rhythm = F.struct(F.round("pace", 3).alias("palavras_por_segundo"), F.round("frase_media", 3).alias("comprimento_medio_frase"), F.round("frase_variancia", 3).alias("variancia_ritmo"), F.round("densidade_impacto", 3).alias("densidade_pontuacao_impacto"), terms("moldes").alias("moldes_frase"))
+    arc = F.struct(*[F.struct(F.col(f"tom_{p}").alias("tom"), terms(p).alias("vocabulario_obrigatorio")).alias(p) for p in ARC])
+    audio = F.struct(F.coalesce("audio_dominante", F.lit("desconhecido")).alias("tipo_dominante"), counted("pistas", "pista").alias("clima_sonoro"), F.round("taxa_audio", 3).alias("frequencia_uso_no_nicho"))
+    calls = F.struct(
+        conversion_intensity(F.col("conversao")).alias("intensidade"), F.col("cta_intensidade").alias("estilo"), F.coalesce(F.col("discussao") >= F.col("discussao_alta"), F.lit(False)).alias("ativar_gatilho_debate"),
+        F.round("discussao", 3).alias("taxa_discussao_mediana"), F.round("cta_score", 3).alias("cta_score_mediano"), F.col("cta_posicao").alias("posicao"), terms("cta").alias("molde_termos"),
+    )
+    repeated = F.struct((F.col("taxa_repeticao") >= 0.3).alias("ativar"), F.round("taxa_repeticao", 3).alias("taxa_no_nicho"), F.col("maior_repeticao").alias("frequencia_media"))
+    words = F.struct(terms("vocabulario").alias("termos_obrigatorios"), F.transform(F.coalesce("_pares_bag", F.array()), lambda s: F.array(s["a"], s["b"])).alias("coocorrencias_obrigatorias"))
+    posting = F.struct(F.transform(F.coalesce("_slots_bag", F.array()), slot).alias("top_3_slots"))
     return out.select(
         niche, "n",
-        F.struct(
-            F.struct(F.col("titulo_formula").alias("formula_construcao"), F.col("titulo_comprimento").cast("int").alias("comprimento_alvo_chars"), F.round("titulo_caps", 3).alias("caps_intensidade"), F.col("usar_pontuacao").alias("usar_pontuacao_impacto")).alias("titulo"),
-            F.struct((F.col("taxa_link") >= 0.3).alias("usar_links"), F.col("moldes").alias("moldes_frase")).alias("descricao"),
-        ).alias("structure_content"),
-        F.struct(
-            F.struct(style.alias("estrutura_blocos"), F.col("palavras").cast("int").alias("limite_palavras"), (F.col("taxa_dialogo") >= 0.3).alias("usa_dialogo"), F.round("taxa_dialogo", 3).alias("taxa_dialogo_no_nicho")).alias("estrutura_geral"),
-            F.struct(F.col("gancho_formula").alias("formula_abertura"), F.col("gancho_comprimento").cast("int").alias("comprimento_alvo_chars"), F.col("exemplos").alias("exemplos_reais")).alias("gancho"),
-            F.struct(F.round("frase_media", 3).alias("comprimento_medio_frase"), F.round("frase_variancia", 3).alias("variancia_ritmo"), F.col("moldes").alias("moldes_frase")).alias("ritmo_linguagem"),
-            F.struct("inicio", "meio", "fim").alias("arco_emocional"),
-            F.struct(F.col("audio_dominante").alias("tipo_dominante")).alias("audio"),
-            F.struct((F.col("taxa_repeticao") >= 0.3).alias("ativar"), F.round("taxa_repeticao", 3).alias("taxa_no_nicho")).alias("repeticao"),
-            F.struct(F.col("cta_intensidade").alias("intensidade"), F.round("cta_score", 3).alias("cta_score_mediano"), F.col("cta_posicao").alias("posicao")).alias("cta"),
-            F.struct(F.col("vocabulario").alias("termos_obrigatorios"), F.transform("pares", lambda p: F.array(p["a"], p["b"])).alias("coocorrencias_obrigatorias")).alias("vocabulario_geral"),
-        ).alias("script_content"),
+        F.struct(title.alias("titulo"), described.alias("descricao"), keys.alias("palavras_chave"), thumbnail.alias("thumbnail"), posting.alias("postagem")).alias("structure_content"),
+        F.struct(F.col("estrutura_geral"), hook.alias("gancho"), rhythm.alias("ritmo_linguagem"), arc.alias("arco_emocional"), audio.alias("audio"), repeated.alias("repeticao"), calls.alias("cta"), words.alias("vocabulario_geral")).alias("script_content"),
     )
 
 
-def missing_fields(documents: DataFrame, required: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Validation report: for each document the required paths that are null."""
-    checks = [F.when(F.col(f"{block}.{name}").isNull(), F.lit(f"{block}.{name}")) for block, names in required.items() for name in names]
-    return documents.withColumn("faltando", F.filter(F.array(*checks), lambda x: x.isNotNull()))
+def missing_fields(documents: DataFrame, required: dict[str, str], key: str = "nicho") -> DataFrame:
+    """Validation of documents given as JSON text: for each one the required paths that are absent, null or empty.
+
+    ``required`` maps a path (``block.topic.field``) to a column with the block's JSON. Lists and texts
+    must not be empty; a document that is no JSON lacks everything.
+    """
+    found = [F.when(_empty(F.get_json_object(F.col(column), f"$.{path}")), F.lit(f"{column}.{path}")) for path, column in required.items()]
+    return documents.select(key, F.filter(F.array(*found), lambda x: x.isNotNull()).alias("faltando"))
+
+
+def _empty(value: Column) -> Column:
+    return value.isNull() | F.trim(value).isin("", "[]", "{}", "null")

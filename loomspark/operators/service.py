@@ -42,6 +42,17 @@ def soft_delete(users: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
     return marked.withColumns({"email": F.when(hit, F.concat("email", F.lit("+deleted_"), stamp)).otherwise(F.col("email")), "deleted_at": F.when(hit, at).otherwise(F.col("deleted_at"))}).drop("_gone")
 
 
+def purge(rows: DataFrame, owners: DataFrame, owner: str) -> DataFrame:
+    """Rows whose ``owner`` is none of ``owners``: what is left when their owners are deleted."""
+    return rows.join(owners.select(owner).distinct(), owner, "left_anti")
+
+
+def sorted_by(df: DataFrame, key: str, keys: dict[str, Column], descending: bool = False, tie: str | None = None) -> DataFrame:
+    """``df`` in the order of one of the named ``keys`` (a collated column sorts as readers of its language expect); an unknown key is an error."""
+    order = keys[key].desc_nulls_last() if descending else keys[key].asc_nulls_last()
+    return df.orderBy(order, *([tie] if tie else []))
+
+
 def link_niches(links: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links after adding those that are new, and the conflicts."""
     keys = ["user_id", "niche_id"]
@@ -80,4 +91,4 @@ def infer(requests: DataFrame, patterns: DataFrame, nearest: DataFrame) -> DataF
     return out.withColumns({"resolved": F.coalesce("_direct", "_near"), "fallback_used": F.col("_direct").isNull() & F.col("_near").isNotNull()}).drop("_direct", "_near")
 
 
-__all__ = ["feedback_stats", "infer", "latest", "link_niches", "lookup", "month_counts", "soft_delete", "totals_and_groups", "unlink_niches", "upsert", "zero_filled"]
+__all__ = ["feedback_stats", "infer", "latest", "link_niches", "lookup", "month_counts", "purge", "soft_delete", "sorted_by", "totals_and_groups", "unlink_niches", "upsert", "zero_filled"]

@@ -6,34 +6,97 @@ on a group statistic are joined back on the group instead of being windowed over
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def few(groups: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table of at most ``most`` rows, read once and marked for a broadcast join; a larger one as it is."""
+    rows = groups.limit(most + 1).collect()
+    return F.broadcast(groups.sparkSession.createDataFrame(rows, groups.schema)) if len(rows) <= most else groups
+
+
+def with_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """``df`` with the columns of ``groups`` (one row a group): few groups are broadcast, so that ``df`` is not shuffled."""
+    return df.join(few(groups), list(by), how) if by else df.crossJoin(F.broadcast(groups))  # without keys it is one row
+
+
+def ranked_values(df: DataFrame, column: str, by: Sequence[str] = (), parts: int = 64) -> DataFrame:
+    """(by, column, n, before): how often each value occurs and how many rows of its group are smaller.
+
+    Values are counted, dealt into ``parts`` ranges by approximate quantiles of the group, and summed up
+    within a range; a small table holds what the ranges before it add. So no group meets in one task,
+    and the result does not depend on where the ranges end.
+    """
+    rows = df.select(*by, F.col(column).alias("_x")).where(F.col("_x").isNotNull())
+    edges = rows.groupBy(*by).agg(F.percentile_approx("_x", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(1000)).alias("_edges"))
+    counts = with_groups(rows.groupBy(*by, "_x").agg(F.count("*").alias("n")), edges, by)
+    counts = counts.withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col("_x")))).drop("_edges")
+    sums = counts.groupBy(*by, "_part").agg(F.sum("n").alias("_sum"))  # at most ``parts`` rows a group
+    behind = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sums.select(*by, "_part", behind(Window.partitionBy(*by).orderBy("_part"), "_sum").alias("_base"))
+    inside = behind(Window.partitionBy(*by, "_part").orderBy("_x"), "n")
+    out = counts.withColumn("_inside", inside).join(few(bases), [*by, "_part"])
+    return out.select(*by, F.col("_x").alias(column), "n", (F.col("_base") + F.col("_inside")).alias("before"))
+
+
+def percentiles(df: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, p): exact percentiles with linear interpolation, in the order of ``shares``."""
+    ranked = ranked_values(df, column, by)
+    ranked = with_groups(ranked, ranked.groupBy(*by).agg(F.sum("n").alias("_total")), by)
+    x = F.col(column).cast("double")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), x))
+
+    aggs = []
+    for i, q in enumerate(shares):
+        k = F.lit(float(q)) * (F.col("_total") - 1)
+        aggs += [at(F.floor(k)).alias(f"_lo{i}"), at(F.ceil(k)).alias(f"_hi{i}"), F.max(k - F.floor(k)).alias(f"_part{i}")]
+    found = ranked.groupBy(*by).agg(*aggs)
+    return found.select(*by, F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}") for i in range(len(shares))]).alias("p"))
+
+
 def describe(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean, median, sample deviation, extremes, quartiles, spread, bias-adjusted skewness and kurtosis."""
+    """Mean, median, sample deviation, extremes, quartiles, spread, zeros and negatives, bias-adjusted skewness and kurtosis."""
     x, n = F.col(column).cast("double"), F.col("n").cast("double")
     agg = df.groupBy(*by).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.percentile(x, F.lit(0.25)).alias("q1"), F.percentile(x, F.lit(0.75)).alias("q3"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"),
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+        F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"), F.count_if(x == 0).alias("zeros"), F.count_if(x < 0).alias("negatives"),
     )
+    agg = with_groups(agg, percentiles(df, column, (0.25, 0.5, 0.75), by), by, "left") if by else agg.crossJoin(F.broadcast(percentiles(df, column, (0.25, 0.5, 0.75))))
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
-    return agg.withColumns({"iqr": F.col("q3") - F.col("q1"), "skew": skew, "kurtosis": kurt, "cv": F.try_divide(F.col("std"), F.col("mean")) * 100}).drop("g1", "g2")
+    p = F.col("p")
+    return agg.withColumns({"median": p[1], "q1": p[0], "q3": p[2], "iqr": p[2] - p[0], "skew": skew, "kurtosis": kurt, "cv": F.try_divide(F.col("std"), F.col("mean")) * 100}).drop("g1", "g2", "p")
 
 
 def tukey(df: DataFrame, column: str, by: Sequence[str], top: int = 3) -> DataFrame:
     """Fences, number and share of outliers, and the ``top`` largest values of each group."""
-    q = df.groupBy(*by).agg(F.percentile(column, F.lit(0.25)).alias("q1"), F.percentile(column, F.lit(0.75)).alias("q3"))
-    q = q.select(*by, (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("high"))
-    out = df.join(F.broadcast(q) if not by else q, list(by)).groupBy(*by, "low", "high").agg(
+    low, high = (F.col("p")[0] - 1.5 * (F.col("p")[1] - F.col("p")[0])).alias("low"), (F.col("p")[1] + 1.5 * (F.col("p")[1] - F.col("p")[0])).alias("high")
+    q = percentiles(df, column, (0.25, 0.75), by).select(*by, low, high)
+    out = with_groups(df.select(*by, column), q, by).groupBy(*by, "low", "high").agg(
         F.count(column).alias("n"), F.count_if((F.col(column) < F.col("low")) | (F.col(column) > F.col("high"))).alias("outliers")
     )
     largest = top_rows(df.select(*by, column).where(F.col(column).isNotNull()), by, [F.desc(column)], top).groupBy(*by).agg(F.reverse(F.array_sort(F.collect_list(column))).alias("largest"))
-    return out.join(largest, list(by)).withColumn("share", F.round(100.0 * F.col("outliers") / F.col("n"), 4))
+    out = out.join(largest, list(by)) if by else out.crossJoin(largest)
+    return out.withColumn("share", F.round(100.0 * F.col("outliers") / F.col("n"), 4))
+
+
+def box_plot(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """The five numbers behind a box plot, and how many values lie beyond the whiskers: (q1, median, q3, low, high, beyond)."""
+    q = percentiles(df, column, (0.25, 0.5, 0.75), by)
+    x, p = F.col(column).cast("double"), F.col("p")
+    inside = x.between(p[0] - 1.5 * (p[2] - p[0]), p[2] + 1.5 * (p[2] - p[0]))
+    out = with_groups(df.select(*by, column).where(F.col(column).isNotNull()), q, by).groupBy(*by, "p")
+    out = out.agg(F.min(F.when(inside, x)).alias("low"), F.max(F.when(inside, x)).alias("high"), F.count_if(~inside).alias("beyond"))
+    return out.select(*by, p[0].alias("q1"), p[1].alias("median"), p[2].alias("q3"), "low", "high", "beyond")
 
 
 def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
@@ -86,25 +149,64 @@ def crosstab_percent(df: DataFrame, row: str, column: str, values: Sequence[str]
 
 
 def average_rank(df: DataFrame, column: str, by: Sequence[str], name: str) -> DataFrame:
-    """Average ranks without a window over all rows: value counts are ranked, then joined back."""
-    counts = df.groupBy(*by, column).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
-    return df.join(ranks, [*by, column])
+    """Average ranks, joined to the rows by their value; nulls have no rank."""
+    ranks = ranked_values(df, column, by).select(*by, column, (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+    return df.join(ranks, [*by, column], "left")
 
 
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rank correlation of rows where both values are there, with t and a strength label."""
+    """Rank correlation of rows where both values are there: n, r, t, and the strength by |r|."""
     rows = df.select(*by, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    if not by:
-        rows, by, drop = rows.withColumn("_all", F.lit(1)), ["_all"], True
-    else:
-        drop = False
     rows = average_rank(average_rank(rows, a, by, "_ra"), b, by, "_rb")
     out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("r"))
     size = F.abs("r")
-    out = out.withColumn("strength", F.when(size >= 0.7, "forte").when(size >= 0.4, "moderada").otherwise("fraca"))
-    return out.drop("_all") if drop else out
+    t = F.try_divide(F.col("r") * F.sqrt(F.greatest(F.col("n") - 2, F.lit(0))), F.sqrt(1 - F.least(F.col("r") * F.col("r"), F.lit(1.0))))
+    return out.withColumns({"t": t, "strength": F.when(size >= 0.7, "forte").when(size >= 0.4, "moderada").otherwise("fraca")})
+
+
+def t_tail(t: np.ndarray, free: np.ndarray, steps: int = 300) -> np.ndarray:
+    """Two-sided tail of Student's t: the regularised incomplete beta function by Lentz's continued fraction."""
+    out = np.full(len(t), np.nan)
+    for i, (v, f) in enumerate(zip(t, free, strict=True)):
+        if not (np.isfinite(v) and f > 0):
+            continue
+        x, a, b = f / (f + v * v), f / 2, 0.5
+        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(max(x, 1e-300)) + b * math.log(max(1 - x, 1e-300)))
+        turned = x > (a + 1) / (a + b + 2)
+        p, q, y = (b, a, 1 - x) if turned else (a, b, x)
+        c, d = 1.0, 1 / ((1 - (p + q) * y / (p + 1)) or 1e-300)
+        h = d
+        for m in range(1, steps):
+            for k in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+                d = 1 / ((1 + k * d) or 1e-300)
+                c = (1 + k / c) or 1e-300
+                h *= d * c
+            if abs(d * c - 1) < 1e-12:
+                break
+        share = front * h / p
+        out[i] = 1 - share if turned else share
+    return out
+
+
+def spearman_test(df: DataFrame, a: str, b: str, by: Sequence[str] = (), least: int = 5, level: float = 0.05) -> DataFrame:
+    """``spearman`` of groups of at least ``least`` rows with the two-sided p-value and whether it is below ``level``."""
+
+    @F.pandas_udf("double")
+    def p_value(t: pd.Series, free: pd.Series) -> pd.Series:  # one value a group
+        return pd.Series(t_tail(t.to_numpy(float), free.to_numpy(float)))
+
+    out = spearman(df, a, b, by).where(F.col("n") >= least).withColumn("p", p_value(F.col("t"), F.col("n") - 2))
+    return out.withColumn("significant", F.coalesce(F.col("p") < level, F.abs("r") == 1))
+
+
+def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, n, r, strength) of every two columns (a before b), each over the rows that have both, strongest first."""
+    out = None
+    for i, a in enumerate(columns):
+        for b in columns[i + 1 :]:
+            one = spearman(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "r", "strength")
+            out = one if out is None else out.unionByName(one)
+    return out.orderBy(F.desc_nulls_last(F.abs("r")), "a", "b")
 
 
 def ols(df: DataFrame, y: Column, x: Column, by: Sequence[str]) -> DataFrame:

@@ -155,7 +155,7 @@ c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY 1)
 SELECT vec_id, c.label AS centroid_label, round(list_cosine_similarity(embedding::DOUBLE[], c), 4) + 0.0 AS cos FROM embeddings CROSS JOIN c""")
 def cosine_cross(spark, d):
     e = table(spark, d, "embeddings")
-    few = vectors.centroids(e, "embedding", ["label"]).withColumnRenamed("label", "centroid_label")  # one row for each label
+    few = stats.few(vectors.centroids(e, "embedding", ["label"]).withColumnRenamed("label", "centroid_label"))  # counted: one row for each label
     return e.crossJoin(few).select("vec_id", "centroid_label", (F.round(vectors.cosine(F.col("embedding"), F.col("centroid")), 4) + 0.0).alias("cos"))
 
 
@@ -235,10 +235,16 @@ def expired_rows(spark, d):
     return filters.expired(table(spark, d, "orders"), F.lit("1995-01-01").cast("timestamp"), "o_orderdate").select("o_custkey").distinct()
 
 
-@query("""WITH r AS (SELECT lower(trim(lang)) AS niche, count(*)::BIGINT AS n FROM documents GROUP BY 1)
-SELECT niche, n, CASE WHEN niche IN ('en', 'fr') THEN niche ELSE 'en' END AS resolved, niche NOT IN ('en', 'fr') AS fallback_used FROM r""")
+_NICHES = """m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL), c AS (SELECT 'n' || label AS niche, label, list(m ORDER BY i) AS c FROM m GROUP BY ALL)"""
+
+
+@query(f"""WITH {_NICHES}, k AS (SELECT * FROM c WHERE label % 3 <> 0), near AS (SELECT a.niche, b.niche AS nearest FROM c a JOIN k b ON a.niche <> b.niche QUALIFY row_number() OVER (PARTITION BY a.niche ORDER BY round(list_cosine_similarity(a.c, b.c), 10) DESC, b.niche DESC) = 1)
+SELECT c.niche, coalesce(k.niche, nearest) AS resolved, k.niche IS NULL AND nearest IS NOT NULL AS fallback_used FROM c LEFT JOIN k USING (niche) LEFT JOIN near USING (niche)""")
 def infer_niche(spark, d):
-    asked = table(spark, d, "documents").groupBy(F.col("lang").alias("niche")).agg(F.count("*").alias("n"))
-    known = spark.createDataFrame([("en",), ("fr",)], "nicho string")
-    near = asked.select("niche", F.lit("en").alias("nearest"))
-    return service.infer(asked, known, near)
+    """Niches whose pattern is known are answered directly, the others by the known niche with the nearest mean vector."""
+    e = table(spark, d, "embeddings")
+    c = vectors.centroids(e, "embedding", ["label"]).withColumn("niche", F.concat(F.lit("n"), F.col("label").cast("string")))
+    known = c.where("label % 3 <> 0").select(F.col("niche").alias("nicho"), F.col("centroid").alias("_c"))
+    pairs = c.join(F.broadcast(known), F.col("niche") != F.col("nicho"))  # a row for each two labels
+    near = pairs.groupBy("niche").agg(F.max_by("nicho", F.struct(F.round(vectors.cosine(F.col("centroid"), F.col("_c")), 10), "nicho")).alias("nearest"))
+    return service.infer(c.select("niche"), known, near).select("niche", "resolved", "fallback_used")

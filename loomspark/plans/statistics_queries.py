@@ -40,7 +40,7 @@ min(l_extendedprice) AS min, max(l_extendedprice) AS max, round(quantile_cont(l_
 round(quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25), 3) AS iqr, round(skewness(l_extendedprice), 4) AS skew, round(kurtosis(l_extendedprice), 4) AS kurtosis,
 round(stddev_samp(l_extendedprice) / avg(l_extendedprice) * 100, 4) AS cv FROM lineitem GROUP BY 1""")
 def describe_numeric(spark, d):
-    out = stats.describe(table(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"])
+    out = stats.describe(table(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"]).drop("zeros", "negatives")
     return rounded(rounded(out, 3, "mean", "median", "std", "q1", "q3", "iqr"), 4, "skew", "kurtosis", "cv")
 
 
@@ -84,7 +84,7 @@ def band_share(spark, d):
 @query("""SELECT lang, round(quantile_cont(n_chars, 0.1), 3) AS p10, round(quantile_cont(n_chars, 0.25), 3) AS p25, round(quantile_cont(n_chars, 0.5), 3) AS p50,
 round(quantile_cont(n_chars, 0.75), 3) AS p75, round(quantile_cont(n_chars, 0.9), 3) AS p90 FROM documents GROUP BY 1""")
 def percentile_battery(spark, d):
-    p = table(spark, d, "documents").groupBy("lang").agg(F.percentile("n_chars", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("p"))
+    p = stats.percentiles(table(spark, d, "documents"), "n_chars", (0.1, 0.25, 0.5, 0.75, 0.9), ["lang"])
     return p.select("lang", *[F.round(F.col("p")[i], 3).alias(f"p{q}") for i, q in enumerate((10, 25, 50, 75, 90))])
 
 
@@ -146,12 +146,13 @@ def stats_rollup(spark, d):
 rank() OVER (PARTITION BY event_type ORDER BY user_id) + (count(*) OVER (PARTITION BY event_type, user_id) - 1) / 2.0 AS b FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL)
 SELECT event_type, count(*)::BIGINT AS n, round(corr(a, b), 5) + 0.0 AS r, CASE WHEN abs(corr(a, b)) >= 0.7 THEN 'forte' WHEN abs(corr(a, b)) >= 0.4 THEN 'moderada' ELSE 'fraca' END AS strength FROM r GROUP BY 1""")
 def spearman_pairs(spark, d):
-    return stats.spearman(table(spark, d, "events"), "value", "user_id", ["event_type"]).withColumn("r", F.round("r", 5) + 0.0)
+    return stats.spearman(table(spark, d, "events"), "value", "user_id", ["event_type"]).drop("t").withColumn("r", F.round("r", 5) + 0.0)
 
 
-@query("SELECT l_returnflag, count(*)::BIGINT AS n, round(regr_slope(ln(1 + l_extendedprice), l_quantity), 6) AS slope, round(regr_intercept(ln(1 + l_extendedprice), l_quantity), 6) AS intercept FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, count(*)::BIGINT AS n, round(regr_slope(ln(1 + l_extendedprice), l_quantity), 6) + 0.0 AS slope, round(regr_intercept(ln(1 + l_extendedprice), l_quantity), 6) + 0.0 AS intercept FROM lineitem GROUP BY 1")
 def ols_by_group(spark, d):
-    return rounded(stats.ols(table(spark, d, "lineitem"), F.log1p("l_extendedprice"), F.col("l_quantity"), ["l_returnflag"]), 6, "slope", "intercept")
+    out = rounded(stats.ols(table(spark, d, "lineitem"), F.log1p("l_extendedprice"), F.col("l_quantity"), ["l_returnflag"]), 6, "slope", "intercept")
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("slope", "intercept")})
 
 
 @query("""WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)
@@ -251,7 +252,7 @@ def triple_repeat(spark, d):
 @query(f"""WITH t AS (SELECT lang, {CONTENT} AS w FROM documents), g AS (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM t), c AS (SELECT lang, term, count(*)::BIGINT AS n FROM g GROUP BY 1, 2)
 SELECT lang, term, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term)::BIGINT AS rank FROM c QUALIFY rank <= 10""")
 def ngrams(spark, d):
-    return bags.top_terms(table(spark, d, "documents"), P.ngrams(_CONTENT(F.col("text")), 2), ["lang"], 10)
+    return bags.top_counts(P.ngram_rows(table(spark, d, "documents"), _CONTENT(F.col("text")), ["lang"]), ["lang"], 10)
 
 
 @query(f"SELECT doc_id, array_to_string(list_slice({WS}, 1, 15), ' ') AS hook, len(list_slice({WS}, 1, 15))::BIGINT AS n FROM documents")
@@ -264,5 +265,4 @@ def hook_tokens(spark, d):
 p AS (SELECT x.lang, least(x.w, y.w) AS a, greatest(x.w, y.w) AS b FROM t x JOIN t y ON x.doc_id = y.doc_id AND y.i > x.i AND y.i <= x.i + 5 AND x.w <> y.w), c AS (SELECT lang, a, b, count(*)::BIGINT AS n FROM p GROUP BY ALL)
 SELECT lang, a, b, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, a, b)::BIGINT AS rank FROM c QUALIFY rank <= 10""")
 def window_pairs(spark, d):
-    pairs = table(spark, d, "documents").select("lang", F.explode(P.window_pairs(_CONTENT(F.col("text")))).alias("p")).groupBy("lang", "p.a", "p.b").agg(F.count("*").alias("n"))
-    return stats.top_rows(pairs, ["lang"], [F.desc("n"), F.asc("a"), F.asc("b")], 10, rank="rank")
+    return bags.top_counts(P.window_pairs(table(spark, d, "documents"), _CONTENT(F.col("text")), ["lang"]), ["lang"], 10, ("a", "b"))

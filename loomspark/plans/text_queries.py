@@ -83,9 +83,11 @@ def sentence_variance(spark, d):
     return rows.select("doc_id", F.round("r.mean", 2).alias("mean"), F.round("r.variance", 2).alias("variance"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '\\p{Latin}') THEN 'latin' ELSE 'ascii_only' END AS script FROM documents""")
+@query("""WITH t AS (SELECT doc_id, text || repeat('слово ', (doc_id % 4)::INT * 40) AS text FROM documents), n AS (SELECT doc_id, len(regexp_extract_all(text, '\\p{Latin}')) AS l, len(regexp_extract_all(text, '\\p{Cyrillic}')) AS c FROM t)
+SELECT doc_id, CASE WHEN l + c = 0 THEN 'ascii_only' WHEN l >= 0.8 * (l + c) THEN 'latin' WHEN c >= 0.8 * (l + c) THEN 'cyrillic' ELSE 'mixed' END AS script FROM n""")
 def script_share(spark, d):
-    return _docs(spark, d).select("doc_id", T.dominant_script(F.col("text")).alias("script"))
+    text = F.concat("text", F.repeat(F.lit("слово "), (F.col("doc_id") % 4 * 40).cast("int")))
+    return _docs(spark, d).select("doc_id", T.dominant_script(text).alias("script"))
 
 
 @query(f"""WITH r AS (SELECT doc_id, 1 + least(3, len(string_split({_FIRST}, ' ')) / 5.0) + len(regexp_extract_all(text, '#{WORD}+')) + len(regexp_extract_all(text, '@{WORD}+')) AS raw FROM documents)
@@ -111,7 +113,7 @@ def pace(spark, d):
     return rows.groupBy("lang").agg(F.round(F.median("p"), 4).alias("pace"), F.round(F.median("p") * 45, 3).alias("max_words"))
 
 
-@query("""SELECT doc_id, CASE WHEN list_contains([{q}], w) OR contains(text, '?') AND false THEN 'pergunta' WHEN list_contains([{q}], w) THEN 'pergunta' WHEN list_contains([{i}], w) THEN 'imperativo' ELSE 'afirmacao' END AS formula
+@query("""SELECT doc_id, CASE WHEN list_contains([{q}], w) THEN 'pergunta' WHEN list_contains([{i}], w) THEN 'imperativo' ELSE 'afirmacao' END AS formula
 FROM (SELECT *, regexp_extract(lower(text), '^[^\\p{{L}}\\p{{M}}\\p{{N}}_]*([\\p{{L}}\\p{{M}}\\p{{N}}_'']+)', 1) AS w FROM documents)""".format(q=", ".join(f"'{w}'" for w in W.QUESTION_WORDS), i=", ".join("'" + w.replace("'", "''") + "'" for w in W.IMPERATIVE_WORDS)))
 def opening_formula(spark, d):
     return _docs(spark, d).select("doc_id", T.opening_formula(F.col("text")).alias("formula"))
@@ -153,15 +155,26 @@ def tfidf_corpus(spark, d):
     return bags.mean_tfidf(scores, n).withColumn("mean_score", F.round("mean_score", 5)).orderBy(F.desc("mean_score"), "term").limit(30)
 
 
-@query(f"""WITH {_TFIDF}, q AS (SELECT doc_id, quality FROM labels), c AS (SELECT count(*) FILTER (quality = 1) AS a, count(*) FILTER (quality = 0) AS b FROM q)
-SELECT term, round(coalesce(sum(score) FILTER (quality = 1), 0) / any_value(a) - coalesce(sum(score) FILTER (quality = 0), 0) / any_value(b), 4) + 0.0 AS diff FROM s JOIN q USING (doc_id), c GROUP BY 1 HAVING count(*) >= 30""")
+_CONTRAST = f"""WITH q AS (SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL), d AS (SELECT documents.*, quality FROM documents JOIN q USING (doc_id)), c AS (SELECT count(*) FILTER (quality = 1) AS a, count(*) FILTER (quality = 0) AS b, count(*) AS docs FROM d),
+tf AS (SELECT doc_id, quality, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, quality, unnest({CONTENT}) AS term FROM d) GROUP BY 1, 2, 3), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+raw AS (SELECT doc_id, quality, term, tf * (ln((1.0 + docs) / (1.0 + df)) + 1) AS w FROM tf JOIN dfs USING (term), c), s AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS score FROM raw),
+x AS (SELECT term, coalesce(sum(score) FILTER (quality = 1), 0) / any_value(a) - coalesce(sum(score) FILTER (quality = 0), 0) / any_value(b) AS diff, count(*) AS n FROM s, c GROUP BY 1)"""
+
+
+def _contrast(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query(f"{_CONTRAST} SELECT term, round(diff, 4) + 0.0 AS diff FROM x WHERE n >= 30")
 def tfidf_contrast(spark, d):
-    scores = _scores(spark, d)[1]
-    labels = table(spark, d, "labels").select("doc_id", "quality")
-    sizes = labels.agg(F.count_if(F.col("quality") == 1).alias("a"), F.count_if(F.col("quality") == 0).alias("b"))
-    joined = scores.join(labels, "doc_id").crossJoin(F.broadcast(sizes))
-    side = lambda q, n: F.coalesce(F.sum(F.when(F.col("quality") == q, F.col("score"))), F.lit(0.0)) / F.first(n)
-    return joined.groupBy("term").agg((F.round(side(1, "a") - side(0, "b"), 4) + 0.0).alias("diff"), F.count("*").alias("_n")).where("_n >= 30").drop("_n")
+    out = bags.contrast(_contrast(spark, d), T.content_tokens(F.col("text")), "doc_id", F.col("quality") == 1)
+    return out.where("rows >= 30").select("term", (F.round("diff", 4) + 0.0).alias("diff"))
+
+
+@query(f"{_CONTRAST}, r AS (SELECT term, round(diff, 5) + 0.0 AS diff FROM x) SELECT * FROM (SELECT * FROM r ORDER BY diff DESC, term LIMIT 10) UNION SELECT * FROM (SELECT * FROM r ORDER BY diff, term LIMIT 10)")
+def tfidf_contrast_top(spark, d):
+    every = bags.contrast(_contrast(spark, d), T.content_tokens(F.col("text")), "doc_id", F.col("quality") == 1).select("term", (F.round("diff", 5) + 0.0).alias("diff"))
+    return every.orderBy(F.desc("diff"), "term").limit(10).unionByName(every.orderBy("diff", "term").limit(10)).distinct()
 
 
 @query("""WITH m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL)
@@ -190,9 +203,8 @@ def niche_similarity(spark, d):
 
 @query(f"""WITH {_CENTROID}, e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 p1 AS (SELECT label, vec_id, v FROM e JOIN c USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY list_cosine_similarity(v, c) DESC, vec_id) = 1),
-p2 AS (SELECT e.label, e.vec_id, e.v FROM e JOIN p1 ON e.label = p1.label AND e.vec_id <> p1.vec_id QUALIFY row_number() OVER (PARTITION BY e.label ORDER BY list_cosine_similarity(e.v, p1.v), e.vec_id) = 1),
-p3 AS (SELECT e.label, e.vec_id FROM e JOIN p1 ON e.label = p1.label AND e.vec_id <> p1.vec_id JOIN p2 ON e.label = p2.label AND e.vec_id <> p2.vec_id
- QUALIFY row_number() OVER (PARTITION BY e.label ORDER BY greatest(list_cosine_similarity(e.v, p1.v), list_cosine_similarity(e.v, p2.v)), e.vec_id) = 1)
-SELECT label, 1::BIGINT AS pick, vec_id FROM p1 UNION ALL SELECT label, 2, vec_id FROM p2 UNION ALL SELECT label, 3, vec_id FROM p3""")
+r AS (SELECT e.label, e.vec_id, e.v FROM e JOIN p1 ON e.label = p1.label AND e.vec_id <> p1.vec_id),
+p2 AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM r a JOIN r b ON a.label = b.label AND a.vec_id < b.vec_id QUALIFY row_number() OVER (PARTITION BY a.label ORDER BY round(list_cosine_similarity(a.v, b.v), 12), a.vec_id, b.vec_id) = 1)
+SELECT label, 1::BIGINT AS pick, vec_id FROM p1 UNION ALL SELECT label, 2, a FROM p2 UNION ALL SELECT label, 3, b FROM p2""")
 def mmr_select(spark, d):
     return vectors.representatives(table(spark, d, "embeddings"), "vec_id", "embedding", ["label"]).withColumn("pick", F.col("pick").cast("long"))
