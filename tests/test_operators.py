@@ -102,7 +102,7 @@ def test_sources_round_trip(spark, tmp_path):
     out = patterns.pattern_documents(docs)
     readers.write_patterns(out, str(tmp_path / "patterns"))
     doc = readers.read_pattern(spark, str(tmp_path / "patterns"), "Comedy").first()
-    assert doc["n"] == 10 and doc["structure_content"]["titulo"]["formula_construcao"] == "pergunta" and doc["script_content"]["cta"]["intensidade"] == "direto"
+    assert doc["n"] == 10 and doc["structure_content"]["titulo"]["formula_construcao"] == "pergunta" and doc["script_content"]["cta"]["estilo"] == "direto"
 
 
 def test_rank_test_has_the_p_values_of_the_t_distribution(spark):
