@@ -34,17 +34,28 @@ class Index:
     probes: int
 
 
+def tame(x: np.ndarray) -> np.ndarray:
+    """Rows scaled by powers of two so that the largest component is near 1: directions stay exactly, norms stay finite."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = tame(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def nearest_centres(x: np.ndarray, centres: np.ndarray, chunk: int = 4096) -> np.ndarray:
+    """For each row the centre with the largest product, ``chunk`` rows at a time."""
+    return np.concatenate([np.zeros(0, np.int64), *[(x[a : a + chunk] @ centres.T).argmax(1) for a in range(0, len(x), chunk)]]).astype(np.int64)
+
+
 def fit_index(sample: np.ndarray, lists: int, rounds: int = 10, seed: int = 11) -> Index:
     """Spherical k-means centres of ``sample`` and a random rotation."""
     rng = np.random.default_rng(seed)
-    x = unit(sample)
+    x = unit(sample).astype(np.float32)
     centres = x[rng.permutation(len(x))[:lists]]
     for _ in range(rounds):
-        near = (x @ centres.T).argmax(1)
+        near = nearest_centres(x, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -52,7 +63,7 @@ def fit_index(sample: np.ndarray, lists: int, rounds: int = 10, seed: int = 11)
     q, r = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))
     # How far down a query's order of lists its nearest vectors of the sample lie.
     asked = rng.permutation(len(x))[:400]
-    near = (x @ centres.T).argmax(1)
+    near = nearest_centres(x, centres)
     place = np.empty((len(asked), len(centres)), np.int64)
     np.put_along_axis(place, (-(x[asked] @ centres.T)).argsort(1, kind="stable"), np.arange(len(centres))[None, :], 1)
     score = x[asked] @ x.T
@@ -97,7 +108,6 @@ def scan_list(base: np.ndarray, queries: np.ndarray, rotation: np.ndarray, k: in
 def usable_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, v array<double>): rows with finite, non-zero vectors of the commonest length (ties: the longer)."""
     v = F.col("embedding").cast("array<double>")
-    # Dividing by the largest component first keeps the norm of huge or tiny vectors finite.
     finite = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     rows = rows.where(finite & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False)))
@@ -111,9 +121,14 @@ def nearest(vectors: DataFrame, k: int = 5, query_every: int = 50, probes: int |
     ``probes`` lists are searched for each query; None takes the number that the index was fitted with.
 
     Score is the cosine in double precision on the original vectors; ties go to the smaller vec_id,
-    a query is no candidate of its own. Null, zero and non-finite vectors and those of another length
-    take no part. Equal vectors are one entry with their k + 1 smallest ids, so copies of one vector
-    cost nothing. A repeated (vec_id, vector) counts once. Extra columns are ignored.
+    a query is no candidate of its own. Null, zero and non-finite vectors take no part, nor do those of
+    another length than the commonest (they have no cosine with the rest), nor rows without an id.
+    Huge and tiny vectors are scaled by powers of two, so only their direction counts. Equal vectors are
+    one entry with their k + 1 smallest ids, so copies of one vector cost nothing. A repeated (vec_id,
+    vector) counts once, an empty table gives no rows, extra columns are ignored.
+
+    The index has at most ``MAX_LISTS`` lists and is fitted on the driver with a bounded sample; beyond
+    ``MAX_LISTS`` squared vectors its lists grow, and with them the work of a query.
     """
     spark = vectors.sparkSession
     usable = usable_vectors(vectors)
@@ -127,14 +142,15 @@ def nearest(vectors: DataFrame, k: int = 5, query_every: int = 50, probes: int |
     share = min(1.0, 2.0 * SAMPLE_PER_LIST * lists / total)
     place = F.pmod(F.xxhash64("v"), F.lit(1 << 30))
     taken = entries.withColumn("place", place).where(F.col("place") < share * float(1 << 30)).orderBy("place").limit(SAMPLE_PER_LIST * lists).select("v")
-    index = fit_index(np.array([r[0] for r in taken.collect()]), lists)
+    sample = taken.toArrow().column("v").combine_chunks()  # at most SAMPLE_PER_LIST * MAX_LISTS vectors, as one array
+    index = fit_index(np.asarray(sample.values).reshape(len(sample), -1), lists)
     shared = spark.sparkContext.broadcast(index)
     probes = probes or index.probes
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                near = (unit(np.array(f.v.tolist())) @ shared.value.centres.T).argmax(1)
+                near = nearest_centres(unit(np.array(f.v.tolist())), shared.value.centres)
                 yield f.assign(list=near.astype(np.int32))
 
     listed = materialize(entries.mapInPandas(assign, "v array<double>, ids array<long>, list int"), "listed")
@@ -175,7 +191,7 @@ def nearest(vectors: DataFrame, k: int = 5, query_every: int = 50, probes: int |
     def scan(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(own) and len(ask):
-            x, q = np.array(own.v.tolist()), np.array(ask.v.tolist())
+            x, q = tame(np.array(own.v.tolist())), tame(np.array(ask.v.tolist()))
             ids = own.ids.tolist()
             norms = np.sqrt((x * x).sum(1))
             # The query's own entry may hold no other id, so one entry more is kept.

@@ -1,6 +1,6 @@
 """Personal data by gradient boosting over candidate spans.
 
-High-recall generators propose overlapping spans of four kinds. The base rules settle spans that
+High-recall generators propose overlapping spans of five kinds, secrets among them. The base rules settle spans that
 match a strict format; the other candidates are described by format and context features and scored
 by boosted trees. The trees are trained on candidates of a bounded sample of documents, labelled by
 the format checks, and on rewritten copies of them in forms the base rules miss. For each kind the
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+#: The first four have base rules; secrets are found by the method alone.
+KINDS = ("email", "ip", "card", "phone", "secret")
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN_TAIL = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -32,7 +34,11 @@ _DIGIT = re.compile("[0-9]")
 #: What the base rules miss: written-out addresses, numbers without the plus sign.
 _SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?[\[(<] ?at ?[\])>] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(<] ?dot ?[\])>] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}", re.I)
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])")
+_ABROAD = re.compile(r"(?<![0-9+.])00[1-9][0-9](?:[\x20().-]?[0-9]){6,13}(?![0-9])")
+_SECRET = re.compile(r"\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|key|auth|bearer)\b[\"']?\x20?[:=]?\x20?[\"']?([A-Za-z0-9_/+=-]{8,256})", re.I)
+_HEX = re.compile(r"(?<![0-9A-Za-z])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,128}(?![0-9A-Za-z])", re.I)
 _CONTEXT = [
+    re.compile(r"token|secret|passw|pwd|api.?key|auth|bearer", re.I),
     re.compile(r"mail|contact|write", re.I),
     re.compile(r"call|phone|tel|mobile|fax|cell", re.I),
     re.compile(r"card|visa|master|pay|credit|iban", re.I),
@@ -73,6 +79,9 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
         found += [(0, a, b, True) for a, b in base_emails(text)]
     if re.search(r"[\[(<] ?at ?[\])>]| at \S{1,63}(?: ?[\[(<] ?dot| dot )", text, re.I):
         found += [(0, m.start(), m.end(), False) for m in _SPELT.finditer(text) if re.search(r"[\[(<]| dot ", m.group(), re.I)]
+    secrets = {(m.start(1), m.end(1)) for m in _SECRET.finditer(text)}
+    secrets |= {(m.start(), m.end()) for m in _HEX.finditer(text)}
+    found += [(4, a, b, False) for a, b in sorted(secrets)]
     if not _DIGIT.search(text):
         return found
     if "." in text:
@@ -83,7 +92,7 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
             found.append((2, m.start(), m.end(), 12 <= len(d) <= 19 and luhn(d)))
     if "+" in text:
         found += [(3, m.start(), m.end(), 9 <= len(_digits(m.group())) <= 15) for m in _PHONE.finditer(text)]
-    found += [(3, m.start(), m.end(), False) for m in _LOCAL_PHONE.finditer(text)]
+    found += [(3, m.start(), m.end(), False) for p in (_LOCAL_PHONE, _ABROAD) for m in p.finditer(text)]
     return found
 
 
@@ -93,8 +102,11 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     groups = [len(g) for g in re.findall("[0-9]+", span)]
     before, after = text[max(0, start - _WINDOW) : start], text[end : end + _WINDOW]
     parts = [int(p[:9]) for p in re.findall("[0-9]+", span)]
+    counts = np.unique(np.frombuffer(span.encode()[:256] or b" ", np.uint8), return_counts=True)[1]
+    share = counts / counts.sum()
     return [
-        *[float(kind == k) for k in range(4)],
+        *[float(kind == k) for k in range(len(KINDS))],
+        -float((share * np.log2(share)).sum()), len(d) / max(1, len(span)), sum(map(str.isupper, span)) / max(1, len(span)), float(bool(re.fullmatch("[0-9a-fA-F]+", span))), float(span[:2] == "00"),
         len(span), len(d), len(groups), max(groups, default=0), min(groups, default=0),
         float(span[:1] == "+"), span.count("("), span.count("."), span.count("-"), span.count(" "), span.count("@"),
         float(bool(re.search(r"[\[(<] ?at", span, re.I))), float(bool(re.search(r"dot", span, re.I))),
@@ -198,30 +210,63 @@ def _rewritten(text: str, kind: int, start: int, end: int, rng: np.random.Genera
     return None
 
 
-def train(texts: list[str], precision: float = 0.98, most_rows: int = 8000, seed: int = 7) -> PiiModel | None:
-    """Trees and thresholds from at most ``most_rows`` candidates of ``texts``; None if there are none."""
+def _planted(text: str, rng: np.random.Generator) -> list[tuple[str, int, int, bool]]:
+    """Forms that no base rule knows put into a text: a secret, a plain word in its place, a number abroad, a running number."""
+    letters = np.array(list("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    size = int(rng.integers(16, 64))
+    secret = "".join(letters[rng.integers(0, (16, 36, 62)[rng.integers(3)], size)])
+    words = re.findall("[A-Za-z]{8,}", text) or ["documents"]
+    abroad = "0049" + "".join(map(str, rng.integers(0, 10, 9)))
+    cut = text.find(" ", len(text) // 2) + 1
+    out = []
+    for lead, value, good in (
+        (("token = ", "api_key: ", "password=")[rng.integers(3)], secret, True), (("token ", "key: ", "secret ")[rng.integers(3)], words[rng.integers(len(words))], False),
+        (("call ", "tel ", "fax ")[rng.integers(3)], abroad, True), (("invoice ", "part no. ", "order ")[rng.integers(3)], abroad, False),
+    ):
+        head = text[:cut] + lead
+        out.append((head + value + " " + text[cut:], len(head), len(head) + len(value), good))
+    return out
+
+
+def labelled(texts: list[str], most_rows: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, label, document) of at most ``most_rows`` candidates of ``texts`` and of rewritten copies of them."""
     rng = np.random.default_rng(seed)
-    xs, ys = [], []
-    for text in texts:
+    xs, ys, docs = [], [], []
+
+    def add(text, kind, a, b, label, doc):
+        xs.append(features(text, kind, a, b))
+        ys.append(float(label))
+        docs.append(doc)
+
+    for doc, text in enumerate(texts):
+        if len(xs) >= most_rows:
+            break
         for kind, a, b, settled in candidates(text):
-            if len(xs) >= most_rows:
-                break
-            if settled or kind != 3 or text[a] == "+":
-                xs.append(features(text, kind, a, b))
-                ys.append(settled)
+            if kind < 4 and (settled or kind != 3 or text[a] == "+"):
+                add(text, kind, a, b, settled, doc)
             if settled and (new := _rewritten(text, kind, a, b, rng)):
-                xs.append(features(new[0], kind, new[1], new[2]))
-                ys.append(new[3])
-    if not xs:
+                add(new[0], kind, new[1], new[2], new[3], doc)
+        if doc % 2 == 0:
+            for (new, a, b, good), kind in zip(_planted(text, rng), (4, 4, 3, 3), strict=True):
+                add(new, kind, a, b, good, doc)
+    return np.array(xs, float), np.array(ys), np.array(docs)
+
+
+def train(texts: list[str], precision: float = 0.98, most_rows: int = 8000, seed: int = 7) -> PiiModel | None:
+    """Trees and thresholds from at most ``most_rows`` candidates of ``texts``; None if there are none.
+
+    The thresholds are calibrated on every fourth document, which the trees have not seen.
+    """
+    x, y, docs = labelled(texts, most_rows, seed)
+    if not len(x):
         return None
-    x, y = np.array(xs, float), np.array(ys, float)
-    check = np.arange(len(x)) % 4 == 3
+    check = docs % 4 == 3
     if not (~check).any() or len(x) < 8:
         check[:] = False
     trees = BoostedTrees().fit(x[~check], y[~check])
-    p, kinds = trees.probability(x), x[:, :4].argmax(1)
+    p, kinds = trees.probability(x), x[:, : len(KINDS)].argmax(1)
     thresholds = []
-    for k in range(4):
+    for k in range(len(KINDS)):
         own = (kinds == k) & (check if check.any() else True)
         limit = 0.5
         for t in sorted(set(p[own].round(3)) | {0.5}):
@@ -233,6 +278,18 @@ def train(texts: list[str], precision: float = 0.98, most_rows: int = 8000, seed
     return PiiModel(trees, tuple(thresholds))
 
 
+def held_out_precision(texts: list[str], model: PiiModel, most_rows: int = 8000, seed: int = 8) -> dict[str, tuple[float, float, int]]:
+    """(precision, recall, candidates) of each kind over labelled candidates of ``texts`` that the model was not trained on."""
+    x, y, _ = labelled(texts, most_rows, seed)
+    p, kinds = model.trees.probability(x), x[:, : len(KINDS)].argmax(1)
+    chosen = p >= np.array(model.thresholds)[kinds]
+    out = {}
+    for k, name in enumerate(KINDS):
+        own = kinds == k
+        out[name] = (float(y[own & chosen].mean()) if (own & chosen).any() else 1.0, float(chosen[own & (y > 0)].mean()) if (own & (y > 0)).any() else 1.0, int(own.sum()))
+    return out
+
+
 def training_texts(docs: DataFrame, most: int = 3000, max_bytes: int = 16384) -> list[str]:
     """A bounded sample: at most ``most`` texts of at most ``max_bytes`` bytes that hold a digit or an @, by a hash of the text."""
     rows = docs.select("text").where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes) & F.col("text").rlike("[0-9@]"))
@@ -243,18 +300,25 @@ def training_texts(docs: DataFrame, most: int = 3000, max_bytes: int = 16384) ->
 
 
 def find(text: str, model: PiiModel | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and added spans, each (start, kind, end) in order; added ones overlap no other span."""
+    """Base spans and added spans, each (start, kind, end) in order; added ones overlap no other span, the surest are taken first."""
     found = candidates(text)
     base = sorted((a, k, b) for k, a, b, settled in found if settled)
     rest = [(k, a, b) for k, a, b, settled in found if not settled]
     added: list[tuple[int, int, int]] = []
     if rest and model:
         p = model.trees.probability(np.array([features(text, *c) for c in rest], float))
-        taken = [(a, b) for a, _, b in base]
+        # Base spans of two kinds may overlap; what they cover together is a list of gaps and spans in order.
+        taken: list[tuple[int, int]] = []
+        for a, _, b in base:
+            if taken and a < taken[-1][1]:
+                taken[-1] = (taken[-1][0], max(taken[-1][1], b))
+            else:
+                taken.append((a, b))
         for score, (k, a, b) in sorted(zip(-p, rest, strict=True)):
-            if -score >= model.thresholds[k] and not any(a < y and x < b for x, y in taken):
+            at = bisect_left(taken, (b, 0))  # spans before this one start before b
+            if -score >= model.thresholds[k] and not (at and taken[at - 1][1] > a):
                 added.append((a, k, b))
-                taken.append((a, b))
+                taken.insert(at, (a, b))
     return base, sorted(added)
 
 
@@ -262,7 +326,8 @@ def find_pii(docs: DataFrame, model: PiiModel | None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): base counts and digest, and all spans.
 
     A null text is empty. Offsets are code points, ends exclusive. Without a model only the base
-    rules act. Repeated rows give equal results, an empty table none; extra columns are ignored.
+    rules act. Rows are judged one by one: repeated rows give equal results, a null id changes nothing,
+    an empty table gives no rows, texts of any length are scanned whole, extra columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     write = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
@@ -273,9 +338,9 @@ def find_pii(docs: DataFrame, model: PiiModel | None) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 base, added = find(text or "", shared.value)
                 counts = [sum(k == i for _, k, _ in base) for i in range(4)]
-                rows.append((*counts, hashlib.sha256(write(base).encode()).hexdigest(), write(sorted(base + added)), len(added)))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+                rows.append((*counts, hashlib.sha256(write(base).encode()).hexdigest(), write(sorted(base + added)), len(added), len(base) + len(added)))
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, SCHEMA)

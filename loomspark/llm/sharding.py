@@ -1,11 +1,12 @@
 """Size-tiered compaction of immutable shards under a versioned manifest, with DataFrames only.
 
-Arrivals are appended as small shards and never changed. Compaction sorts them into size tiers
-(powers of ``FANOUT``), orders each tier by arrival and closes an output file whenever the running
-size passes the target; a shard that has the target size already is left alone, and so is a tier
-with a single shard. All merges of one compaction are one Spark job. A version is a manifest table
-plus a commit file: the file is written under another name and renamed, which fails if the version
-exists, so readers see the old set of shards or the new one and never a mixture.
+Arrivals are appended as small shards and never changed. Compaction sorts all shards below the target
+size into size tiers (powers of ``FANOUT``), orders each tier by arrival and closes an output shard
+whenever the running size passes the target; a tier with a single shard is left alone. A merged shard
+that is still below the target stands in the tier of its own size and is merged again with others like
+it. All merges of one compaction are one Spark job. A version is a manifest table plus a commit file
+that is created exclusively, so of two writers one fails, and readers see the old set of shards or the
+new one and never a mixture.
 """
 
 from __future__ import annotations
@@ -25,17 +26,21 @@ BASE_BYTES = 1 << 20
 TARGET_BYTES = 32 << 20
 ARRIVAL_ROWS = 512
 
-#: One row for each shard: the directory under the store, the merged file's number (-1: as it arrived).
+#: One row for each shard: its folder (run and number), first arrival, size and tier; of a merged one, the tier it was merged in and its number there (-1: as it arrived).
 MANIFEST = T.StructType(
     [
-        T.StructField("arrival", T.LongType()),
+        T.StructField("run", T.StringType()),
+        T.StructField("shard", T.LongType()),
+        T.StructField("first", T.LongType()),
         T.StructField("n_rows", T.LongType()),
         T.StructField("n_bytes", T.LongType()),
         T.StructField("tier", T.IntegerType()),
+        T.StructField("from_tier", T.IntegerType()),
         T.StructField("file_no", T.LongType()),
-        T.StructField("run", T.StringType()),
     ]
 )
+#: Stored columns carry this prefix, so that no name of theirs meets one of the store's own.
+OWN = "c_"
 
 
 def tier_of(n_bytes: Column) -> Column:
@@ -56,25 +61,26 @@ class ShardStore:
         return path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def version(self) -> int:
-        """The newest committed version, 0 if there is none."""
+        """The newest committed version, 0 if there is none; a commit that is not written yet does not count."""
         fs, path = self._fs()
         folder = path(f"{self.root}/commits")
-        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        names = [f.getPath().getName() for f in fs.listStatus(folder) if f.getLen() > 0] if fs.exists(folder) else []
         return max((int(n[1:]) for n in names if n.startswith("v")), default=0)
 
     def commit(self, manifest: DataFrame, version: int) -> None:
-        """Publish ``manifest`` as ``version``; raises if somebody has committed that version."""
+        """Publish ``manifest`` as ``version``; raises if somebody has committed, or is committing, that version.
+
+        The commit file is created without overwriting, which the file system grants to one writer only.
+        """
         fs, path = self._fs()
         name = f"{self.root}/manifests/m-{uuid.uuid4().hex}"
-        manifest.select(*MANIFEST.names).coalesce(1).write.parquet(name)
-        fs.mkdirs(path(f"{self.root}/commits"))
-        target, pending = path(f"{self.root}/commits/v{version}"), path(f"{self.root}/commits/pending-{uuid.uuid4().hex}")
-        out = fs.create(pending, False)
+        manifest.select(*MANIFEST.names).write.parquet(name)
+        try:
+            out = fs.create(path(f"{self.root}/commits/v{version}"), False)
+        except Exception as e:
+            raise RuntimeError(f"version {version} is committed already") from e
         out.writeUTF(name)
         out.close()
-        if fs.exists(target) or not fs.rename(pending, target):
-            fs.delete(pending, False)
-            raise RuntimeError(f"version {version} is committed already")
 
     def manifest(self, version: int | None = None) -> DataFrame:
         fs, path = self._fs()
@@ -86,71 +92,67 @@ class ShardStore:
         data.close()
         return self.spark.read.schema(MANIFEST).parquet(name)
 
-    def append(self, rows: DataFrame, arrival: str = "arrival") -> int:
-        """Write each arrival of ``rows`` as a shard of its own and commit; returns the version.
+    def append(self, rows: DataFrame, arrival: Column) -> int:
+        """Write each ``arrival`` of ``rows`` as a shard of its own and commit; returns the version.
 
         ``rows`` are expected in the order they arrived, so a task writes few arrivals.
         """
         version = self.version()
         run = f"runs/a-{uuid.uuid4().hex}"
-        rows.withColumn("_arrival", F.col(arrival)).write.option("compression", "zstd").partitionBy("_arrival").parquet(f"{self.root}/{run}")
-        kept = self.spark.read.parquet(f"{self.root}/{run}")
-        new = kept.groupBy(F.col("_arrival").cast("long").alias("arrival")).agg(F.count("*").alias("n_rows"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("n_bytes"))
-        new = new.select("arrival", "n_rows", "n_bytes", tier_of(F.col("n_bytes")).alias("tier"), F.lit(-1).cast("long").alias("file_no"), F.lit(run).alias("run"))
+        stored = rows.select(*[F.col(f"`{c}`").alias(f"{OWN}{c}") for c in rows.columns], arrival.cast("long").alias("_arrival"), arrival.cast("long").alias("_shard"))
+        stored.write.option("compression", "zstd").partitionBy("_shard").parquet(f"{self.root}/{run}")
+        size = F.sum(F.coalesce(F.octet_length(f"{OWN}text"), F.lit(0)).cast("long")) if "text" in rows.columns else F.lit(0).cast("long")
+        new = self.spark.read.parquet(f"{self.root}/{run}").groupBy(F.col("_shard").cast("long").alias("shard")).agg(F.count("*").alias("n_rows"), size.alias("n_bytes"))
+        new = new.select(F.lit(run).alias("run"), "shard", F.col("shard").alias("first"), "n_rows", "n_bytes", tier_of(F.col("n_bytes")).alias("tier"), F.lit(None).cast("int").alias("from_tier"), F.lit(-1).cast("long").alias("file_no"))
         self.commit(self.manifest(version).unionByName(new), version + 1)
         return version + 1
 
     def compact(self, target_bytes: int = TARGET_BYTES) -> int:
-        """Merge the shards of each tier into files of about ``target_bytes``; returns the version."""
+        """Merge the shards of each tier, merged ones included, into shards of about ``target_bytes``; returns the version."""
         version = self.version()
         old = self.manifest(version)
-        open_ = (F.col("file_no") < 0) & (F.col("n_bytes") < target_bytes)
-        in_tier = Window.partitionBy("tier").orderBy("arrival")
+        in_tier = Window.partitionBy("tier").orderBy("first", "run", "shard")  # one row a shard
         before = F.coalesce(F.sum("n_bytes").over(in_tier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        tiers = old.where(open_).withColumn("file_no", F.floor(before / target_bytes).cast("long"))
+        tiers = old.where(F.col("n_bytes") < target_bytes).withColumn("file_no", F.floor(before / target_bytes).cast("long"))
         size = F.count("*").over(Window.partitionBy("tier", "file_no"))
-        planned = tiers.withColumn("shards", size).where("shards > 1").select("arrival", "tier", "file_no", F.col("run").alias("from_run"))
-        run = f"runs/c-{uuid.uuid4().hex}"
-        runs = [r[0] for r in planned.select("from_run").distinct().collect()]  # one name for each append since the last compaction
+        planned = tiers.withColumn("shards", size).where("shards > 1").withColumn("new", F.col("tier").cast("long") * (1 << 40) + F.col("file_no"))
+        runs = [r[0] for r in planned.select("run").distinct().collect()]  # one name for each append or compaction
         if not runs:
             return version
-        shards = [self.spark.read.parquet(f"{self.root}/{r}").withColumn("_run", F.lit(r)) for r in runs]
-        rows = shards[0]
-        for more in shards[1:]:
-            rows = rows.unionByName(more, allowMissingColumns=True)
-        plan = planned.select(F.col("arrival").alias("_arrival"), F.col("from_run").alias("_run"), F.col("tier").alias("_tier"), F.col("file_no").alias("_file"))
-        rows = rows.withColumn("_arrival", F.col("_arrival").cast("long")).join(self._small(plan), ["_arrival", "_run"])
-        files = planned.select("tier", "file_no").distinct().count()
-        rows = rows.repartition(max(1, files), "_tier", "_file")
-        rows.drop("_run").write.option("compression", "zstd").partitionBy("_tier", "_file").parquet(f"{self.root}/{run}")
-        done = old.join(planned.select("arrival", F.col("from_run").alias("run"), F.col("file_no").alias("new_file")), ["arrival", "run"], "left")
-        merged = F.col("new_file").isNotNull()
-        now = done.select(
-            "arrival", "n_rows", "n_bytes", "tier",
-            F.when(merged, F.col("new_file")).otherwise(F.col("file_no")).alias("file_no"),
-            F.when(merged, F.lit(run)).otherwise(F.col("run")).alias("run"),
-        )
-        self.commit(now, version + 1)
+        run = f"runs/c-{uuid.uuid4().hex}"
+        plan = planned.select(F.col("run").alias("_run"), F.col("shard").alias("_old"), F.col("new").alias("_shard"))
+        rows = self._rows(runs).withColumnRenamed("_shard", "_old").join(self._small(plan), ["_run", "_old"]).drop("_run", "_old")
+        files = planned.select("new").distinct().count()
+        rows.repartition(max(1, files), "_shard").write.option("compression", "zstd").partitionBy("_shard").parquet(f"{self.root}/{run}")
+        merged = planned.groupBy("new", "tier", "file_no").agg(F.min("first").alias("first"), F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"))
+        merged = merged.select(F.lit(run).alias("run"), F.col("new").alias("shard"), "first", "n_rows", "n_bytes", tier_of(F.col("n_bytes")).alias("tier"), F.col("tier").alias("from_tier"), "file_no")
+        self.commit(old.join(planned.select("run", "shard"), ["run", "shard"], "left_anti").unionByName(merged), version + 1)
         return version + 1
 
+    def _rows(self, runs: list[str]) -> DataFrame:
+        out = None
+        for r in runs:
+            part = self.spark.read.parquet(f"{self.root}/{r}").withColumns({"_shard": F.col("_shard").cast("long"), "_run": F.lit(r)})
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out
+
     def _small(self, frame: DataFrame, most: int = 200_000) -> DataFrame:
         """``frame`` for a broadcast join if it has at most ``most`` rows, else as it is."""
         return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version with _arrival, _tier and _file (null: as it arrived)."""
+    def stored(self, version: int | None = None) -> DataFrame:
+        """The rows of a version under their stored names, with _arrival, _run and _shard."""
         manifest = self.manifest(version)
-        keep = self._small(manifest.select(F.col("arrival").alias("_arrival"), F.col("run").alias("_run")).distinct())
-        out = None
-        for r in [x[0] for x in manifest.select("run").distinct().collect()]:
-            part = self.spark.read.parquet(f"{self.root}/{r}").withColumn("_arrival", F.col("_arrival").cast("long")).withColumn("_run", F.lit(r))
-            for c in ("_tier", "_file"):
-                part = part.withColumn(c, (F.col(c) if c in part.columns else F.lit(None)).cast("long"))
-            part = part.join(keep, ["_arrival", "_run"], "left_semi")
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-        if out is None:
+        runs = [x[0] for x in manifest.select("run").distinct().collect()]
+        if not runs:
             raise ValueError("the store has no version yet")
-        return out.drop("_run")
+        keep = manifest.select(F.col("run").alias("_run"), F.col("shard").alias("_shard"))
+        return self._rows(runs).join(self._small(keep), ["_run", "_shard"], "left_semi")
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a version as they were appended."""
+        rows = self.stored(version)
+        return rows.select(*[F.col(f"`{c}`").alias(c.removeprefix(OWN)) for c in rows.columns if c.startswith(OWN)])
 
 
 def compacted_documents(docs: DataFrame, arrival_rows: int = ARRIVAL_ROWS, target_bytes: int = TARGET_BYTES) -> DataFrame:
@@ -158,20 +160,20 @@ def compacted_documents(docs: DataFrame, arrival_rows: int = ARRIVAL_ROWS, targe
 
     One row per row of ``docs``: doc_id, n_bytes (null text: 0), arrival, tier and file_no of the
     arrival (-1: it stays a shard of its own). A null doc_id arrives with the ids below
-    ``arrival_rows``. Repeated rows stay, an empty table gives no rows; all columns of the documents
-    are stored, whatever their names, but for ``_arrival``, ``_tier``, ``_file`` and ``_run``.
+    ``arrival_rows``. Repeated rows stay, an empty table gives no rows; texts of any length and all
+    columns of the documents are stored, whatever their names.
     """
     spark = docs.sparkSession
-    empty = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("arrival"), F.lit(0).cast("long").alias("tier"), F.lit(0).cast("long").alias("file_no"))
     if docs.isEmpty():
-        return empty
+        zero = lambda c: F.lit(0).cast("long").alias(c)
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), zero("n_bytes"), zero("arrival"), zero("tier"), zero("file_no"))
     store = ShardStore(spark, new_path(spark, "shards"))
-    rows = docs.withColumn("_number", F.floor(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) / arrival_rows).cast("long"))
-    store.append(rows, "_number")
+    store.append(docs, F.floor(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) / arrival_rows))
     version = store.compact(target_bytes)
-    placed = store.manifest(version).select(F.col("arrival").alias("_number"), F.col("tier").cast("long").alias("tier"), "file_no")
-    out = store.read(version).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "_number")
-    return out.join(store._small(placed), "_number").select("doc_id", "n_bytes", F.col("_number").alias("arrival"), "tier", "file_no")
+    placed = store.manifest(version).select(F.col("run").alias("_run"), F.col("shard").alias("_shard"), F.coalesce("from_tier", "tier").cast("long").alias("_tier"), F.col("file_no").alias("_file"))
+    out = store.stored(version).join(store._small(placed), ["_run", "_shard"])
+    size = F.coalesce(F.octet_length(f"{OWN}text"), F.lit(0)).cast("long")
+    return out.select(F.col(f"{OWN}doc_id").cast("long").alias("doc_id"), size.alias("n_bytes"), F.col("_arrival").alias("arrival"), F.col("_tier").alias("tier"), F.col("_file").alias("file_no"))
 
 
 def oracle() -> str:
