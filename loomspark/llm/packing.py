@@ -41,7 +41,7 @@ PIECES = T.StructType(
 PLACED = T.StructType([*PIECES.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
 #: A worker keeps its tokenizer and the ids of the chunks it has met, up to this many.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 60_000
 _tokenizers: dict[str, _Encoder] = {}
 #: White space to Python but not to the tokenizer; letters whose lower case depends on their place.
 _CONTROL, _DIRECT = re.compile("[\x1c-\x1f]"), re.compile("[\x1c-\x1fΣİ]")

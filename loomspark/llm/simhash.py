@@ -25,8 +25,9 @@ from pyspark.sql.window import Window
 from .common import broadcast_if_few, connected_components, discard, materialize, row_slices, text_buffers
 
 BITS = 64
-#: Longs in the parity sketch of a shingle set.
+#: Longs in the parity sketch of a shingle set; sets of more shingles than that has cells get a wide sketch as well.
 SKETCH = 8
+LONG = 64 * SKETCH
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -166,12 +167,12 @@ def frequent_shingles(texts: DataFrame, words: int, sample: int = 5000, most: in
 
 
 def prefixes(texts: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, n, tokens, sketch) of ``texts`` (doc_id, text): the size of the shingle set, its prefix and its parity sketch.
+    """(id, n, tokens, sketch, wide) of ``texts`` (doc_id, text): the size of the shingle set, its prefix and its parity sketches.
 
     In one order of all shingles (rare first), two sets of Jaccard similarity s share one of their
     first n - ceil(s n) + 1 shingles. The sketch holds, for each of ``SKETCH`` x 64 cells, whether
     an odd number of shingles falls in it: two sketches never differ in more bits than their sets
-    differ in shingles.
+    differ in shingles. The wide sketch of a long set has a cell for each shingle, rounded up to a power of two.
     """
     known, held = common
 
@@ -179,7 +180,7 @@ def prefixes(texts: DataFrame, words: int, similarity: float, common: tuple[np.n
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
             for a, b in row_slices(offsets, 1 << 21):
-                sizes, tokens, sketches = [], [], np.zeros((b - a, SKETCH), np.uint64)
+                sizes, tokens, wide, sketches = [], [], [], np.zeros((b - a, SKETCH), np.uint64)
                 for i in range(a, b):
                     h = shingle_set(raw[offsets[i] : offsets[i + 1]].tobytes(), words)
                     length = len(h) - least_shared(similarity * len(h)) + 1
@@ -188,14 +189,20 @@ def prefixes(texts: DataFrame, words: int, similarity: float, common: tuple[np.n
                         first = h[np.argsort(np.where(known[at] == h, held[at], 0), kind="stable")[:length]]
                     else:
                         first = h[:length]
-                    odd = np.bincount((h % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
-                    sketches[i - a] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+                    sketches[i - a] = parities(h, 64 * SKETCH)
+                    wide.append(parities(h, 1 << (len(h) - 1).bit_length()) if len(h) > LONG else np.zeros(0, np.uint64))
                     sizes.append(len(h))
                     tokens.append(first)
                 cells = pa.ListArray.from_arrays(np.arange(0, sketches.size + 1, SKETCH, dtype=np.int32), pa.array(sketches.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int32()), _lists(tokens), cells], names=["id", "n", "tokens", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int32()), _lists(tokens), cells, _lists(wide)], names=["id", "n", "tokens", "sketch", "wide"])
 
-    return texts.select("doc_id", "text").mapInArrow(digest, "id long, n int, tokens array<long>, sketch array<long>")
+    return texts.select("doc_id", "text").mapInArrow(digest, "id long, n int, tokens array<long>, sketch array<long>, wide array<long>")
+
+
+def parities(h: np.ndarray, cells: int) -> np.ndarray:
+    """A bit for each of ``cells`` cells: does an odd number of hashes fall in it?"""
+    odd = np.bincount((h % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8").astype(np.uint64)
 
 
 def least_shared(x: float) -> int:
@@ -211,6 +218,23 @@ def can_be_similar(similarity: float) -> Column:
     return (F.least("n", "other_n") >= F.greatest("n", "other_n") * F.lit(similarity) - F.lit(1e-6)) & (apart <= room)
 
 
+def wide_enough(pairs: DataFrame, listed: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b) that the wide sketches leave room for, too, if both sets are long; no similar pair is lost.
+
+    A sketch of half as many cells is the exclusive or of the halves, so sketches of neighbouring sizes compare.
+    """
+    side = lambda c: listed.where(F.col("n") > LONG).select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    half = lambda w: (F.size(w) / 2).cast("int")
+    folded = lambda w: F.zip_with(F.slice(w, F.lit(1), half(w)), F.slice(w, half(w) + 1, half(w)), lambda p, q: p.bitwiseXOR(q))
+    fit = lambda w, other: F.when(F.size(w) > F.size(other), folded(w)).otherwise(F.col(w))
+    bits = F.zip_with(fit("wide_a", "wide_b"), fit("wide_b", "wide_a"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    apart = F.aggregate(bits, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
+    total = F.col("n_a") + F.col("n_b")
+    room = total - 2 * F.ceil(total * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))
+    return both.where(F.col("n_a").isNull() | F.col("n_b").isNull() | (apart <= room)).select("a", "b")
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The rows of ``pairs`` (a, b) whose ``sets`` have at least that Jaccard similarity.
 
@@ -279,7 +303,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     sketches = listed.select("id", "n", "sketch")
     edges, linked, used = None, None, [firsts, listed, shared]
     for turn in range(3):
-        pairs = materialize(candidate_pairs(shared, sketches, linked, turn, similarity), "candidates")
+        pairs = materialize(wide_enough(candidate_pairs(shared, sketches, linked, turn, similarity), listed, similarity), "candidates")
         used.append(pairs)
         if pairs.isEmpty():
             continue

@@ -437,6 +437,19 @@ def test_near_copies_with_one_block_appended_or_replaced(spark):
     assert [out[i] for i in range(80)] == want
 
 
+def test_long_near_copies_against_all_pairs(spark):
+    """Sets beyond the short sketch, their sizes on both sides of a power of two, with unlike ones that share a part."""
+    r = random.Random(33)
+    base = prose(700, 1100, 3000).split()
+    texts = [" ".join(base)]
+    for n in (60, 110, 130, 250, 400):
+        texts += [" ".join(replaced(r, base, 300, n)), " ".join(base + replaced(r, base, 0, n)[:n])]
+    texts += [" ".join(prose(710 + i, 700, 3000).split() + base[:300]) for i in range(3)]
+    out = {o["doc_id"]: o["group_id"] for o in simhash.near_duplicates(frame(spark, texts)).collect()}
+    want = grouped_by_all_pairs(texts)
+    assert [out[i] for i in range(len(texts))] == want and len(set(want)) > 3
+
+
 # --- lines
 
 
