@@ -40,7 +40,7 @@ PIECES = T.StructType(
 )
 PLACED = T.StructType([*PIECES.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-#: A worker keeps its tokenizer and the ids of the chunks it has met, up to this many.
+#: A worker keeps its tokenizer and, within a task, the ids of the chunks it has met, up to this many.
 CACHE_ENTRIES = 60_000
 _tokenizers: dict[str, _Encoder] = {}
 #: White space to Python but not to the tokenizer; letters whose lower case depends on their place.
@@ -98,6 +98,11 @@ class _Encoder:
             return self.mark(head) + self.word(bare) + self.mark(tail)
         return self.direct(c)
 
+    def forget(self) -> None:
+        """Let go of the chunks' ids: workers live on for other tasks, which need the memory."""
+        self.young, self.old = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def known(self, chunks: set[str]) -> dict[str, bytes]:
         if len(self.young) > CACHE_ENTRIES:
             self.old, self.young = self.young, {}
@@ -151,6 +156,7 @@ def tokenize_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None
                     rows += [(doc, k, k * capacity, (len(c) // 4), zlib.crc32(c)) for k in range(-(-len(ids) // (4 * capacity))) for c in [ids[4 * capacity * k : 4 * capacity * (k + 1)]]]
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=PIECES.names)
+        _loaded(path).forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
