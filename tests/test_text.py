@@ -60,9 +60,10 @@ def test_positions(spark, value):
         out = value(lambda c: P.thirds(split(c)), " ".join(map(str, range(n))))
         assert (len(out["inicio"]), len(out["meio"]), len(out["fim"])) == (a, b - a, n - b)
     assert value(lambda c: P.has_run(split(c)), "no no no way") and not value(lambda c: P.has_run(split(c)), "no no way no")
-    pairs = value(lambda c: P.window_pairs(split(c)), "cat dog cat bird")
-    assert sorted((p["a"], p["b"]) for p in pairs) == [("bird", "cat")] * 2 + [("bird", "dog")] + [("cat", "dog")] * 2
+    rows = spark.createDataFrame([("cat dog cat bird",), ("cat",), ("",)], "t string")
+    assert sorted((p["a"], p["b"]) for p in P.window_pairs(rows, split(F.col("t"))).collect()) == [("bird", "cat")] * 2 + [("bird", "dog")] + [("cat", "dog")] * 2
     assert value(lambda c: P.ngrams(split(c), 2), "a b c") == ["a b", "b c"] and value(lambda c: P.ngrams(split(c), 2), "a") == []
+    assert sorted(r["term"] for r in P.ngram_rows(rows, split(F.col("t")), sizes=(2, 3)).collect()) == ["cat bird", "cat dog", "cat dog cat", "dog cat", "dog cat bird"]
     assert value(lambda c: P.max_repeat(split(c)), "b a b c b") == 3
 
 
