@@ -2,9 +2,11 @@
 
 Every rolling word bigram of every text is hashed and joined to the bigrams of the license
 templates. A match votes for the diagonal (word position in the text minus position in the
-template). Votes are added up by diagonal, diagonals at most ``MERGE`` apart are merged so that an
-inserted or dropped word does not split a span, and a span is verified by the share of the template
-bigrams it holds. A base phrase stands wherever one diagonal holds all of its bigrams.
+template). Votes are added up by diagonal, and each diagonal is merged with those at most ``MERGE``
+after it, so that inserted or dropped words do not split a span. A span is verified if it lacks at
+most the two bigrams that one dropped, replaced or two inserted words break, and holds the words in
+which the notice differs from those of other licenses; a notice of five words may lack one bigram.
+A base phrase stands wherever one diagonal holds all of its bigrams.
 """
 
 from __future__ import annotations
@@ -22,33 +24,50 @@ BASE = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Notices that the method looks for besides the base phrases.
+#: Notices that the method looks for besides the base phrases, with their label and
+#: their keys. Words of one key stand together, for what stands between them names another license.
 NOTICES = {
-    "licensed under the gnu general public license version 3": "gpl-3.0",
-    "licensed under the gnu general public license version 2": "gpl-2.0",
-    "gnu lesser general public license": "lgpl",
-    "gnu affero general public license": "agpl",
-    "licensed under the apache license version 2 0": "apache-2.0",
-    "licensed under cc by 4 0": "cc-by-4.0",
-    "licensed under cc by sa 4 0": "cc-by-sa-4.0",
-    "licensed under cc by nc 4 0": "cc-by-nc-4.0",
-    "released under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "subject to the terms of the mozilla public license v 2 0": "mpl-2.0",
-    "this is free and unencumbered software released into the public domain": "unlicense",
-    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "licensed under the gnu general public license version 3": ("gpl-3.0", ("gnu general", "version 3")),
+    "licensed under the gnu general public license version 2": ("gpl-2.0", ("gnu general", "version 2")),
+    "gnu lesser general public license": ("lgpl", ("lesser",)),
+    "gnu affero general public license": ("agpl", ("affero",)),
+    "licensed under the apache license version 2 0": ("apache-2.0", ("apache", "version 2")),
+    "licensed under cc by 4 0": ("cc-by-4.0", ("by 4",)),
+    "licensed under cc by sa 4 0": ("cc-by-sa-4.0", ("by sa 4",)),
+    "licensed under cc by nc 4 0": ("cc-by-nc-4.0", ("by nc 4",)),
+    "released under the mit license": ("mit", ("mit",)),
+    "permission is hereby granted free of charge to any person obtaining a copy of this software": ("mit", ()),
+    "redistribution and use in source and binary forms with or without modification are permitted": ("bsd", ()),
+    "subject to the terms of the mozilla public license v 2 0": ("mpl-2.0", ("mozilla", "v 2")),
+    "this is free and unencumbered software released into the public domain": ("unlicense", ()),
+    "permission to use copy modify and or distribute this software for any purpose": ("isc", ()),
 }
-#: Diagonals this far apart are one span; the share of bigrams that verifies a span.
-MERGE, SHARE = 2, 0.9
+#: A span reaches over diagonals this far apart; bigrams that it may lack, and that one of a short notice may lack.
+MERGE, LACKS, SHORT, SHORT_LACKS = 2, 2, 4, 1
 
 
 def templates() -> list[tuple[int, str, bool, list[str]]]:
     """(template number, label, is a base phrase, words)."""
-    both = [(p, n, True) for p, n in BASE.items()] + [(p, n, False) for p, n in NOTICES.items()]
+    both = [(p, n, True) for p, n in BASE.items()] + [(p, n, False) for p, (n, _) in NOTICES.items()]
     return [(i, label, base, phrase.split()) for i, (phrase, label, base) in enumerate(both)]
 
 
+def verified() -> str:
+    """SQL, of Spark and DuckDB alike: is the span (template, held) a notice? ``held`` are the numbers of its bigrams."""
+    tests = []
+    for t, (phrase, (_, keys)) in enumerate(NOTICES.items(), len(BASE)):
+        words = phrase.split()
+        size = len(words) - 1
+        needs = [f"template = {t}", f"grams >= {size - (SHORT_LACKS if size <= SHORT else LACKS)}"]
+        for key in (k.split() for k in keys):
+            at = next(j for j in range(len(words)) if words[j : j + len(key)] == key)
+            if len(key) == 1:
+                needs.append("(" + " OR ".join(f"array_contains(held, {j})" for j in (at - 1, at) if 0 <= j < size) + ")")
+            needs += [f"array_contains(held, {at + j})" for j in range(len(key) - 1)]
+        tests.append(" AND ".join(needs))
+    return "(" + " OR ".join(tests) + ")"
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
 
@@ -76,27 +95,20 @@ def license_scan(docs: DataFrame) -> DataFrame:
     Repeated rows give equal results each, an empty table gives no rows, extra columns are ignored.
     """
     by_diagonal = votes(docs).groupBy("doc_id", "body", "template", "label", "base", "size", "diagonal").agg(F.collect_set("at").alias("found"))
-    order = Window.partitionBy("doc_id", "body", "template").orderBy("diagonal")
-    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > MERGE).cast("int"), F.lit(0))
+    near = Window.partitionBy("doc_id", "body", "template").orderBy("diagonal").rangeBetween(0, MERGE)
+    whole = F.col("base") & (F.size("found") == F.col("size"))
     spans = (
-        by_diagonal.withColumn("apart", apart)
-        .withColumn("span", F.sum("apart").over(order))
-        .groupBy("doc_id", "body", "template", "label", "base", "size", "span")
-        .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("grams"),
-            F.sum((F.col("base") & (F.size("found") == F.col("size"))).cast("long")).alias("places"),
-            F.min(F.when(F.col("base") & (F.size("found") == F.col("size")), F.col("diagonal"))).alias("first"),
-            F.max(F.when(F.col("base") & (F.size("found") == F.col("size")), F.col("diagonal"))).alias("last"),
-        )
+        by_diagonal.withColumn("held", F.array_distinct(F.flatten(F.collect_list("found").over(near))))
+        .withColumn("grams", F.size("held"))
+        .select("doc_id", "body", "label", "size", "grams", "diagonal", whole.alias("whole"), F.expr(verified()).alias("verified"))
     )
-    share = F.col("grams") / F.col("size")
     found = spans.groupBy("doc_id", "body").agg(
-        F.sum("places").alias("n_base"),
-        F.min("first").cast("long").alias("first_word"),
-        F.max("last").cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("places") > 0, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set(F.when((F.col("places") > 0) | ~F.col("base") & (share >= SHARE), F.col("label")))), ",").alias("labels"),
-        F.max(share).alias("score"),
+        F.count_if("whole").alias("n_base"),
+        F.min(F.when(F.col("whole"), F.col("diagonal"))).cast("long").alias("first_word"),
+        F.max(F.when(F.col("whole"), F.col("diagonal"))).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("whole"), F.col("label")))), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("whole") | F.col("verified"), F.col("label")))), ",").alias("labels"),
+        F.max(F.col("grams") / F.col("size")).alias("score"),
     )
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     same = [every.doc_id.eqNullSafe(found.doc_id), every.body == found.body]
@@ -122,14 +134,11 @@ words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPE
 pairs AS (SELECT doc_id, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM words)),
 votes AS (SELECT DISTINCT doc_id, template, label, base, size, spot, pos - spot AS diagonal FROM pairs JOIN grams ON a = w1 AND b = w2),
 diagonals AS (SELECT doc_id, template, label, base, size, diagonal, list(spot) AS found FROM votes GROUP BY ALL),
-apart AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {MERGE} THEN 1 ELSE 0 END AS apart FROM diagonals),
-numbered AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM apart),
-spans AS (SELECT doc_id, template, label, base, size, span, len(list_distinct(flatten(list(found)))) AS grams,
-  count(*) FILTER (base AND len(found) = size) AS places, min(diagonal) FILTER (base AND len(found) = size) AS first, max(diagonal) FILTER (base AND len(found) = size) AS last
-  FROM numbered GROUP BY ALL),
-found AS (SELECT doc_id, sum(places)::BIGINT AS n_base, min(first)::BIGINT AS first_word, max(last)::BIGINT AS last_word,
-  array_to_string(list_sort(list(DISTINCT label) FILTER (places > 0)), ',') AS base_labels,
-  array_to_string(list_sort(list(DISTINCT label) FILTER (places > 0 OR NOT base AND grams / size >= {SHARE})), ',') AS labels,
+merged AS (SELECT *, list_distinct(flatten(list(found) OVER (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {MERGE} FOLLOWING))) AS held FROM diagonals),
+spans AS (SELECT *, base AND len(found) = size AS whole, {verified()} AS verified FROM (SELECT *, len(held) AS grams FROM merged)),
+found AS (SELECT doc_id, count(*) FILTER (whole) AS n_base, (min(diagonal) FILTER (whole))::BIGINT AS first_word, (max(diagonal) FILTER (whole))::BIGINT AS last_word,
+  array_to_string(list_sort(list(DISTINCT label) FILTER (whole)), ',') AS base_labels,
+  array_to_string(list_sort(list(DISTINCT label) FILTER (whole OR verified)), ',') AS labels,
   max(grams / size)::DOUBLE AS score FROM spans GROUP BY doc_id)
 SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score

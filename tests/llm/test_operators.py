@@ -497,6 +497,36 @@ def test_license_places_and_labels(spark):
     assert (out[4]["n_words"], out[4]["labels"], out[4]["first_word"], out[4]["score"]) == (0, "", None, 0.0) and out[5]["labels"] == ""
 
 
+def test_notices_survive_one_changed_word_and_keep_apart(spark):
+    cases = []
+    for phrase, (label, keys) in license_scan.NOTICES.items():
+        words = phrase.split()
+        tied = {j + i for k in map(str.split, keys) for j in range(len(words)) if words[j : j + len(k)] == k for i in range(1, len(k))}
+        fixed = {j for k in keys for j, w in enumerate(words) if w in k.split()}
+        for j in range(1, len(words) - 1):
+            if j not in tied:
+                cases.append((label, [*words[:j], "really", *words[j:]]))
+            if len(words) > 5 and j not in fixed:
+                cases.append((label, [*words[:j], *words[j + 1 :]]))
+                cases.append((label, [*words[:j], "really", *words[j + 1 :]]))
+    for label, text in [
+        ("lgpl", "licensed under the gnu lesser general public license version 3"),
+        ("gpl", "gnu general public license"),
+        ("gpl,gpl-2.0", "licensed under the gnu general public license version 2"),
+        ("", "released under the bsd license"),
+        ("", "he studied under the mit professor"),
+        ("apache", "licensed under the apache license version 1 1"),
+        ("cc-by", "licensed under cc by nc sa 4 0"),
+        ("cc-by,cc-by-sa-4.0", "licensed under cc by sa 4 0"),
+        ("cc-by", "licensed under cc by 3 0"),
+        ("", "the general public license"),
+    ]:
+        cases.append(("=" + label, text.split()))
+    out = {o["doc_id"]: o["labels"] for o in license_scan.license_scan(frame(spark, ["before it " + " ".join(w) + " and after" for _, w in cases])).collect()}
+    for i, (label, words) in enumerate(cases):
+        assert out[i] == label[1:] if label.startswith("=") else label in out[i].split(","), (label, words, out[i])
+
+
 # --- decontamination
 
 
