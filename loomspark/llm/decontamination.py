@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_slices, text_buffers
+from .common import freeing, materialize, row_slices, text_buffers
 
 SEED, TILE, COVER = 4, 3, 0.6
 #: Bits of the bitmap: so many for each seed of the benchmark, within these bounds (2^27 bits are 16 MB).
 BITS_PER_SEED, LEAST_BITS, MOST_BITS = 512, 1 << 20, 1 << 27
 #: Items of one document that are tiled together; results that are broadcast at most (about 60 bytes each).
 ITEMS_PER_SLICE, MOST_BROADCAST = 64, 200_000
+#: Bytes of text whose seeds are worked out together (about 60 bytes of memory each); a longer text stands alone.
+SLICE_BYTES = 1 << 18
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -105,7 +107,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _power(n: int) -> list[np.ndarray]:
     """Powers of a base and of its inverse modulo 2^64, at least ``n`` of them."""
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(18, int(n - 1).bit_length())
+        size = max(n, SLICE_BYTES + 1)
         up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         _powers[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
@@ -157,7 +159,7 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
-            for a, b in row_slices(offsets, 1 << 20):
+            for a, b in row_slices(offsets, SLICE_BYTES):
                 part, here = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 count = seeds(part, here, [])[2]
                 size = np.minimum(count, SEED)
@@ -166,7 +168,7 @@ def _item_seeds(items: DataFrame) -> DataFrame:
                 row, h = (np.concatenate(x) for x in zip(*own, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(size.astype(np.int32)), _per_row(row, h, b - a)], names=["item_id", "text", "size", "seeds"])
 
-    return items.mapInArrow(run, "item_id long, text string, size int, seeds array<long>")
+    return items.mapInArrow(freeing(run), "item_id long, text string, size int, seeds array<long>")
 
 
 def _bitmap(seeds_of: DataFrame, bits: int) -> np.ndarray:
@@ -186,7 +188,7 @@ def _hits(docs: DataFrame, shared, bits: int, sizes: list[int]) -> DataFrame:
         known = shared.value
         for batch in batches:
             raw, offsets = text_buffers(batch.column(2))
-            for a, b in row_slices(offsets, 1 << 20):
+            for a, b in row_slices(offsets, SLICE_BYTES):
                 row, h, _ = seeds(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], sizes)
                 for k in (0, 29):
                     at = ((h >> np.uint64(k)) % np.uint64(bits)).astype(np.int64)
@@ -196,7 +198,7 @@ def _hits(docs: DataFrame, shared, bits: int, sizes: list[int]) -> DataFrame:
                 part = pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), lists], names=["h1", "h2", "text", "seeds"])
                 yield part.filter(pa.array(np.bincount(row, minlength=b - a) > 0))
 
-    return docs.select("h1", "h2", "text").mapInArrow(run, "h1 long, h2 long, text string, seeds array<long>")
+    return docs.select("h1", "h2", "text").mapInArrow(freeing(run), "h1 long, h2 long, text string, seeds array<long>")
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
@@ -212,7 +214,7 @@ def _tiled(rows: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["h1", "h2", "item_id", "coverage"])
 
-    return rows.select("h1", "h2", "text", "items").mapInArrow(run, "h1 long, h2 long, item_id long, coverage double")
+    return rows.select("h1", "h2", "text", "items").mapInArrow(freeing(run), "h1 long, h2 long, item_id long, coverage double")
 
 
 def coverages(texts: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:

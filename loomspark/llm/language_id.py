@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_buffers
+from .common import give_back, text_buffers
 
 UNDETERMINED = "und"
 
@@ -80,7 +80,7 @@ class PpmModel:
     escapes: dict[int, np.ndarray]
     unseen_bits: float
 
-    def code_lengths(self, raw: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
+    def code_lengths(self, raw: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 17) -> np.ndarray:
         """Bits that each language's tree needs for each row, ``chunk`` bytes at a time, however long a row is."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
         for lo in range(0, len(raw), chunk):
@@ -234,6 +234,7 @@ def identify(docs: DataFrame, model: PpmModel, keep: tuple[str, ...] = ()) -> Da
                 lang = [m.languages[b] for b in best]
                 score, rate = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1), least / np.maximum(np.diff(offsets), 1)
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], names=["lang", "score", "rate"])
+        give_back()
 
     # Nondeterministic to Spark, so that a filter on the result does not make it run twice.
     best = F.arrow_udf(predict, "lang string, score double, rate double").asNondeterministic()

@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_slices, text_buffers, text_bytes
+from .common import freeing, freeing_group, row_slices, text_buffers, text_bytes
 from .suffix_dedup import _by_doc, _mix, _pack, _runs, _runs_of, _unpack
 
 #: Shorter lines are never duplicates: such strings repeat by chance in clean documents.
 MIN_CHARS, PARTS, QUANTUM = 30, 4, 4
 #: Text bytes for each bucket; bytes of a block; different lines that make a key hot in one block.
-BUCKET_BYTES, BLOCK_BYTES, HOT = 48 << 20, 1 << 20, 64
+BUCKET_BYTES, BLOCK_BYTES, HOT = 16 << 20, 1 << 19, 64
 EXACT, ASKS, NEAR = b"x", b"a", b"n"
 _ASK = np.dtype([("key", "<u8"), ("line", "<i8")])
 _VARIANT = np.dtype([("v", "<u8"), ("w", "<u4"), ("kind", "u1"), ("doc", "<i8"), ("line", "<i8")])
@@ -307,8 +307,8 @@ def line_dedup(
     # All joins deal out the same rows by doc_id, so the texts are shuffled once and the exchange is read again.
     keyed = source.where("doc_id is not null")
     buckets = max(1, -(-text_bytes(keyed) // bucket_bytes))
-    mapped = keyed.select("doc_id", "text").mapInArrow(_map_lines(buckets, min_chars, max_edits, block_bytes, hot), MAPPED)
-    settled = mapped.groupBy("bucket").applyInArrow(_settle_lines, "doc_id long, mark binary")
+    mapped = keyed.select("doc_id", "text").mapInArrow(freeing(_map_lines(buckets, min_chars, max_edits, block_bytes, hot)), MAPPED)
+    settled = mapped.groupBy("bucket").applyInArrow(freeing_group(_settle_lines), "doc_id long, mark binary")
     by_doc = settled.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
     every = by_doc
     if max_edits:
@@ -317,7 +317,7 @@ def line_dedup(
     marked = keyed.join(every.withColumnRenamed("doc_id", "k").hint("shuffle_hash"), F.col("doc_id") == F.col("k"), "left").select(*source.columns, "marks")
     schema = T.StructType([*T._parse_datatype_string("doc_id long, text string, n_lines long, n_exact long, n_near long").fields, *[source.schema[c] for c in rest]])
     without = source.where("doc_id is null").withColumn("marks", F.lit(None).cast("array<binary>"))
-    out = marked.mapInArrow(_cut_lines(len(rest)), schema).unionAll(without.mapInArrow(_cut_lines(len(rest)), schema))
+    out = marked.mapInArrow(freeing(_cut_lines(len(rest))), schema).unionAll(without.mapInArrow(freeing(_cut_lines(len(rest))), schema))
     return out.select("doc_id", "text", "n_lines", "n_exact", "n_near", *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])
 
 
@@ -325,8 +325,8 @@ def _near_marks(keyed: DataFrame, rest: list[str], by_doc: DataFrame, buckets: i
     """(doc_id, marks) of the lines that an earlier, different line is one edit from."""
     asking = by_doc.where(F.exists("marks", lambda m: F.substring(m, 1, 1) == F.lit(ASKS))).select(F.col("doc_id").alias("k"), "marks")
     asked = keyed.join(asking.hint("shuffle_hash"), F.col("doc_id") == F.col("k")).select("doc_id", "text", "marks", *rest)
-    variants = asked.mapInArrow(_emit_variants(buckets, min_chars), "bucket int, variants binary")
-    pairs = variants.groupBy("bucket").applyInArrow(_meet, "doc_id long, line_no long, doc2 long, line2 long").distinct()
+    variants = asked.mapInArrow(freeing(_emit_variants(buckets, min_chars)), "bucket int, variants binary")
+    pairs = variants.groupBy("bucket").applyInArrow(freeing_group(_meet), "doc_id long, line_no long, doc2 long, line2 long").distinct()
     # Verification: both lines of each pair are fetched from their documents and compared.
     pair = F.struct("doc_id", "line_no", "doc2", "line2")
     sides = pairs.select(F.explode(F.array(F.struct(F.col("doc_id").alias("k"), F.col("line_no").alias("line"), pair.alias("pair"), F.lit(0).alias("side")), F.struct(F.col("doc2").alias("k"), F.col("line2").alias("line"), pair.alias("pair"), F.lit(1).alias("side")))).alias("s"))
@@ -343,7 +343,7 @@ def _near_marks(keyed: DataFrame, rest: list[str], by_doc: DataFrame, buckets: i
             kinds = [pa.int64()] * 4 + [pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "line_no", "doc2", "line2", "side", "line"])
 
-    texts = found.mapInArrow(fetch, "doc_id long, line_no long, doc2 long, line2 long, side int, line string")
+    texts = found.mapInArrow(freeing(fetch), "doc_id long, line_no long, doc2 long, line2 long, side int, line string")
     both = texts.groupBy("doc_id", "line_no", "doc2", "line2").agg(F.max(F.when(F.col("side") == 0, F.col("line"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("line"))).alias("y"))
     sure = both.where(F.levenshtein("x", "y", 1).between(0, 1)).select("doc_id", "line_no").distinct()
     # A line number as eight little-endian bytes, as in the other marks.

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import freeing, materialize
 
 PIECES = T.StructType(
     [
@@ -101,7 +101,6 @@ class _Encoder:
     def forget(self) -> None:
         """Let go of the chunks' ids: workers live on for other tasks, which need the memory."""
         self.young, self.old = {}, {}
-        pa.default_memory_pool().release_unused()
 
     def known(self, chunks: set[str]) -> dict[str, bytes]:
         if len(self.young) > CACHE_ENTRIES:
@@ -158,7 +157,7 @@ def tokenize_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=PIECES.names)
         _loaded(path).forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(freeing(cut), PIECES)
 
 
 def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -263,7 +262,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, rows_per_group: int = 2_000) -
             offset = step[:, 5] + nth % step[:, 3] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=PLACED.names)
 
-    return ranked.mapInArrow(place, PLACED)
+    return ranked.mapInArrow(freeing(place), PLACED)
 
 
 def best_fit_packing(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None) -> DataFrame:

@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_if_few, connected_components, discard, materialize, row_slices, text_buffers
+from .common import broadcast_if_few, connected_components, discard, freeing, materialize, row_slices, text_buffers
 
 BITS = 64
 #: Longs in the parity sketch of a shingle set; sets of more shingles than that has cells get a wide sketch as well.
 SKETCH = 8
 LONG = 64 * SKETCH
+#: Bytes of text that are digested together; a longer text stands alone.
+SLICE_BYTES = 1 << 18
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -72,12 +74,12 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
-            for a, b in row_slices(offsets, 1 << 22):
+            for a, b in row_slices(offsets, SLICE_BYTES):
                 groups = (shingle_hashes(raw[offsets[i] : offsets[i + 1]].tobytes(), words, seed) for i in range(a, b))
                 fps = np.concatenate([majority_bits([g]) for g in groups])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digest, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(freeing(digest), "doc_id long, fp long")
 
 
 def covering_buckets(distinct: DataFrame, radius: int, column: str = "fp") -> DataFrame:
@@ -132,11 +134,11 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
-            for a, b in row_slices(offsets, 1 << 21):
+            for a, b in row_slices(offsets, SLICE_BYTES):
                 own = [shingle_set(raw[offsets[i] : offsets[i + 1]].tobytes(), words) for i in range(a, b)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(own)], names=["id", "shingles"])
 
-    return texts.select("doc_id", "text").mapInArrow(sets, "id long, shingles array<long>")
+    return texts.select("doc_id", "text").mapInArrow(freeing(sets), "id long, shingles array<long>")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -159,7 +161,7 @@ def frequent_shingles(texts: DataFrame, words: int, sample: int = 5000, most: in
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["token"])
 
     dealt = texts.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
-    counts = dealt.mapInArrow(hashes, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    counts = dealt.mapInArrow(freeing(hashes), "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     rows = counts.orderBy(F.desc("n"), "token").limit(most).collect()
     tokens = np.array([x["token"] for x in rows], np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -179,7 +181,7 @@ def prefixes(texts: DataFrame, words: int, similarity: float, common: tuple[np.n
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
-            for a, b in row_slices(offsets, 1 << 21):
+            for a, b in row_slices(offsets, SLICE_BYTES):
                 sizes, tokens, wide, sketches = [], [], [], np.zeros((b - a, SKETCH), np.uint64)
                 for i in range(a, b):
                     h = shingle_set(raw[offsets[i] : offsets[i + 1]].tobytes(), words)
@@ -196,7 +198,7 @@ def prefixes(texts: DataFrame, words: int, similarity: float, common: tuple[np.n
                 cells = pa.ListArray.from_arrays(np.arange(0, sketches.size + 1, SKETCH, dtype=np.int32), pa.array(sketches.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int32()), _lists(tokens), cells, _lists(wide)], names=["id", "n", "tokens", "sketch", "wide"])
 
-    return texts.select("doc_id", "text").mapInArrow(digest, "id long, n int, tokens array<long>, sketch array<long>, wide array<long>")
+    return texts.select("doc_id", "text").mapInArrow(freeing(digest), "id long, n int, tokens array<long>, sketch array<long>, wide array<long>")
 
 
 def parities(h: np.ndarray, cells: int) -> np.ndarray:
