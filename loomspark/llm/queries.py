@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontamination, language_id, license_scan, line_dedup, negatives, packing, pii, sharding, simhash, spelling, suffix_dedup
+from . import ann, decontamination, language_id, license_scan, line_dedup, negatives, packing, pii, sharding, simhash, spelling, suffix_dedup, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,10 +60,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op13_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_id, op2_adaptive_scan, op3_shard_compaction, op4_pii_spans, op5_best_fit_packing, op6_suffix_dedup, op7_simhash, op8_line_dedup, op9_license_scan, op10_decontamination, op11_spelling_variants, op12_hard_negatives)
+    for f in (op1_language_id, op2_adaptive_scan, op3_shard_compaction, op4_pii_spans, op5_best_fit_packing, op6_suffix_dedup, op7_simhash, op8_line_dedup, op9_license_scan, op10_decontamination, op11_spelling_variants, op12_hard_negatives, op13_warc_archive)
 }
 
 #: Where SQL can say the same; the others are tested against brute force, see tests/llm.
-ORACLES: dict[str, str] = {"op3_shard_compaction": sharding.oracle(), "op8_line_dedup": line_dedup.oracle(), "op9_license_scan": license_scan.oracle(), "op11_spelling_variants": spelling.oracle(), "op12_hard_negatives": negatives.oracle()}
+ORACLES: dict[str, str] = {"op3_shard_compaction": sharding.oracle(), "op8_line_dedup": line_dedup.oracle(), "op9_license_scan": license_scan.oracle(), "op11_spelling_variants": spelling.oracle(), "op12_hard_negatives": negatives.oracle(), "op13_warc_archive": warc.oracle()}
