@@ -1,18 +1,15 @@
-"""Learned models: k by silhouette, text clusters, feature importance, density clusters."""
+"""Learned models: k by silhouette, text clusters, feature importance."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .stats import top_rows
 
@@ -66,132 +63,6 @@ def feature_importance(df: DataFrame, columns: Sequence[str], label: str, trees:
     return df.sparkSession.createDataFrame(pairs, "feature string, importance double")
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of ``x`` and ``y``, by differences (exact copies are at 0), a few rows at a time."""
-    out = np.empty((len(x), len(y)))
-    step = max(1, (1 << 20) // max(1, y.size))
-    for a in range(0, len(x), step):
-        out[a : a + step] = np.sqrt(((x[a : a + step, None] - y[None]) ** 2).sum(2))
-    return out
-
-
-def _spanning_tree(reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prim's tree of a full matrix: ends and lengths of its edges."""
-    n = len(reach)
-    far, near, inside = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
-    a, b, d = np.zeros(max(0, n - 1), int), np.zeros(max(0, n - 1), int), np.zeros(max(0, n - 1))
-    last = 0
-    inside[0] = True
-    for i in range(n - 1):
-        closer = ~inside & (reach[last] < far)
-        far[closer], near[closer] = reach[last][closer], last
-        last = int(np.where(inside, np.inf, far).argmin())
-        a[i], b[i], d[i], inside[last] = near[last], last, far[last], True
-    return a, b, d
-
-
-def _root(parent: list[int], a: int) -> int:
-    while parent[a] != a:
-        parent[a] = parent[parent[a]]
-        a = parent[a]
-    return a
-
-
-def _forest(edges: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    """The edges (a, b, d) of the least spanning forest, shortest first, with their ends as positions in the sorted nodes."""
-    edges = edges.sort_values(["d", "a", "b"], ignore_index=True)
-    nodes, ends = np.unique(edges[["a", "b"]].to_numpy().ravel(), return_inverse=True)
-    parent, kept = list(range(len(nodes))), []
-    for i, (a, b) in enumerate(ends.reshape(-1, 2).tolist()):
-        a, b = _root(parent, a), _root(parent, b)
-        if a != b:
-            parent[a] = b
-            kept.append(i)
-    found = edges.iloc[kept].reset_index(drop=True)
-    return found.assign(p=ends.reshape(-1, 2)[kept, 0], q=ends.reshape(-1, 2)[kept, 1]), nodes
-
-
-def _cut_tree(tree: pd.DataFrame, n: int, least_size: int) -> np.ndarray:
-    """Single linkage over the tree's ``n`` nodes, cut where clusters of ``least_size`` last longest; largest cluster first."""
-    ends, d = tree[["p", "q"]].to_numpy().tolist(), tree["d"].to_numpy()
-    gaps = np.append(np.diff(d), 0.0)
-    parent, size, large, score, best = list(range(n)), [1] * n, 0, -1.0, -1
-    for i, (a, b) in enumerate(ends):
-        a, b = _root(parent, a), _root(parent, b)
-        large -= (size[a] >= least_size) + (size[b] >= least_size)
-        parent[a], size[b] = b, size[a] + size[b]
-        large += size[b] >= least_size
-        if gaps[i] > score and (large > 1 or best < 0 and large):
-            score, best = gaps[i], i
-    parent = list(range(n))
-    for a, b in ends[: best + 1]:
-        parent[_root(parent, a)] = _root(parent, b)
-    roots, first, counts = np.unique([_root(parent, i) for i in range(n)], return_index=True, return_counts=True)
-    order = sorted((i for i in range(len(roots)) if counts[i] >= least_size), key=lambda i: (-counts[i], first[i]))
-    number = {int(roots[i]): k for k, i in enumerate(order)}
-    return np.array([number.get(_root(parent, i), -1) for i in range(n)], int)
-
-
-def density_clusters(df: DataFrame, key: str, vector: str, by: str, least_size: int = 5, least_near: int = 3, block: int = 1000) -> DataFrame:
-    """(by, key, bloco, cluster): density clusters of each whole group, -1 for noise; bloco is always 0.
-
-    A group is dealt by hash into blocks of about ``block`` rows and every two blocks meet in one
-    task, first for the distances to the nearest rows, then for the spanning tree of the mutual
-    reachability distances of their rows. The tree of a group is in the union of these trees, which
-    is reduced to a forest eight at a time, so the blocks do not touch the result. The work grows
-    with the square of a group; the last tree, one edge a row, is cut in one task for each group.
-    """
-    kinds = dict(df.dtypes)
-    sizes = df.groupBy(by).agg(F.count("*").alias("_n"), F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    copy = F.row_number().over(Window.partitionBy(by, key).orderBy(vector))
-    rows = df.select(by, key, vector).withColumn("_copy", copy).join(sizes, by)
-    rows = rows.withColumn("_node", F.xxhash64(key, "_copy")).withColumn("_block", F.pmod("_node", "_blocks").cast("int"))
-
-    def met(frame: DataFrame) -> DataFrame:
-        """Each row once for every block that its own block meets."""
-        other = frame.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        return other.withColumns({"_lo": F.least("_block", "_other"), "_hi": F.greatest("_block", "_other")}).drop("_other", "_blocks")
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, lo = np.array(pdf[vector].tolist(), float), pdf["_lo"].iloc[0]
-        low = (pdf["_block"] == lo).to_numpy()
-        sides = [(low, low)] if lo == pdf["_hi"].iloc[0] else [(low, ~low), (~low, low)]
-        parts = []
-        for own, other in sides:
-            if own.any() and other.any():
-                near = np.sort(_distances(x[own], x[other]), 1)[:, : least_near + 1]
-                parts.append(pd.DataFrame({by: pdf[by][own], "_node": pdf["_node"][own], "near": list(near)}))
-        return pd.concat(parts) if parts else pd.DataFrame({by: pdf[by][:0], "_node": pdf["_node"][:0], "near": []})
-
-    def trees(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, core, node = np.array(pdf[vector].tolist(), float), pdf["core"].to_numpy(), pdf["_node"].to_numpy()
-        a, b, d = _spanning_tree(np.maximum(_distances(x, x), np.maximum(core[:, None], core[None])))
-        lo, hi = int(pdf["_lo"].iloc[0]), int(pdf["_hi"].iloc[0])
-        return pd.DataFrame({by: pdf[by].iloc[0], "part": hi * (hi + 1) // 2 + lo, "a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "d": d})
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _forest(pdf)[0][[by, "part", "a", "b", "d"]]
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree, nodes = _forest(pdf)
-        return pd.DataFrame({by: pdf[by].iloc[0], "_node": nodes, "cluster": _cut_tree(tree, len(nodes), least_size)})
-
-    near = met(rows.select(by, "_node", "_block", "_blocks", vector)).groupBy(by, "_lo", "_hi").applyInPandas(nearest, f"{by} {kinds[by]}, _node long, near array<double>")
-    sorted_near = near.groupBy(by, "_node").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
-    cored = rows.join(sorted_near, [by, "_node"]).withColumn("core", F.element_at("near", F.least(F.lit(least_near), F.col("_n") - 1).cast("int") + 1))
-    # Two blocks hold the pairs inside each of them, so a block meets itself only where it is alone.
-    pairs = met(cored.select(by, "_node", "_block", "_blocks", vector, "core").withColumn("alone", F.col("_blocks") == 1)).where("_lo < _hi or alone")
-    edge = f"{by} {kinds[by]}, part long, a long, b long, d double"
-    edges = pairs.drop("alone").groupBy(by, "_lo", "_hi").applyInPandas(trees, edge)
-    blocks = int(sizes.agg(F.max("_blocks")).first()[0] or 0)
-    parts = blocks * (blocks + 1) // 2
-    while parts > 8:
-        edges = edges.withColumn("part", F.floor(F.col("part") / 8)).groupBy(by, "part").applyInPandas(forest, edge)
-        parts = -(-parts // 8)
-    found = edges.groupBy(by).applyInPandas(cut, f"{by} {kinds[by]}, _node long, cluster int")
-    return rows.join(found, [by, "_node"], "left").select(by, key, F.lit(0).alias("bloco"), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-
-
 def cluster_terms(df: DataFrame, cluster: str, tokens: str, k: int = 6) -> DataFrame:
     counts = df.select(cluster, F.explode(tokens).alias("term")).groupBy(cluster, "term").agg(F.count("*").alias("n"))
     return top_rows(counts, [cluster], [F.desc("n"), F.asc("term")], k, rank="rank")

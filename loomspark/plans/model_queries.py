@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
-from ..operators import learned, patterns, stats
+from ..operators import density, learned, patterns, stats
 from ..operators.stats import few
 from ..sources.readers import table
 from .statistics_queries import CONTENT, STOP, TOKENS, WORD, WS
@@ -181,4 +181,4 @@ def rf_importance(spark, d):
 
 @query()
 def density_cluster(spark, d):
-    return learned.density_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    return density.density_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
