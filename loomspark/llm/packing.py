@@ -60,7 +60,8 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        #: Literals of special tokens, which the tokenizer takes as one id wherever they stand.
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.model = self.whole.model
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
@@ -122,7 +123,7 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
 
     The tokenizer splits at white space before anything else, so a text's ids are those of its
     white-space chunks in a row, and a chunk met before need not be encoded again. Texts whose
-    lower case or white space depends on more than the chunk take the direct way.
+    lower case or white space depends on more than the chunk, or that hold a special literal, take the direct way.
     """
     encoder = _loaded(path)
     out: list[bytes] = [b""] * len(texts)
@@ -130,7 +131,9 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     for i, t in enumerate(texts):
         if not t:
             continue
-        if t.isascii() and not _CONTROL.search(t) or not _DIRECT.search(t) and unicodedata.is_normalized("NFC", t):
+        if any(s in t for s in encoder.special):
+            out[i] = encoder.direct(t)
+        elif t.isascii() and not _CONTROL.search(t) or not _DIRECT.search(t) and unicodedata.is_normalized("NFC", t):
             chunks[i] = t.lower().split()
         else:
             out[i] = encoder.direct(t)
