@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts and benchmark items are word sequences. Runs of ``SEED`` shared words are the seeds that a Spark
-join brings together: a fixed-size bitmap of the benchmark's seeds first drops the seeds of a document
+Texts and benchmark items are word sequences. Runs of ``SEED`` shared words, as short as the shortest
+tile, are the seeds that a Spark join brings together. An item joins by its rarer seeds only: with the
+commonest ones alone, too few of its words could be covered. A fixed-size bitmap of these seeds first drops the seeds of a document
 that no item has, so only what is left is shuffled. Each joined pair of a document and an item is tiled:
 of all unmarked common runs of at least ``TILE`` words, found by running Karp-Rabin hashes, the longest
 are marked first and never overlap, until none is left. The share of the item's words under tiles flags
@@ -18,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import freeing, materialize, row_slices, text_buffers
 
-SEED, TILE, COVER = 4, 3, 0.6
+TILE, COVER = 3, 0.6
+SEED = TILE
 #: Bits of the bitmap: so many for each seed of the benchmark, within these bounds (2^27 bits are 16 MB).
 BITS_PER_SEED, LEAST_BITS, MOST_BITS = 512, 1 << 20, 1 << 27
 #: Items of one document that are tiled together; results that are broadcast at most (about 60 bytes each).
@@ -143,18 +146,18 @@ def seeds(raw: np.ndarray, offsets: np.ndarray, sizes: list[int]) -> tuple[np.nd
     return at, h, np.bincount(row, minlength=rows)
 
 
-def _per_row(row: np.ndarray, h: np.ndarray, n: int) -> pa.ListArray:
-    """The distinct hashes of each of ``n`` rows as lists of longs."""
+def _per_row(row: np.ndarray, h: np.ndarray, n: int, repeats: bool = False) -> pa.ListArray:
+    """The hashes of each of ``n`` rows as lists of longs, each once unless ``repeats``."""
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    new[1:] = repeats | (row[1:] != row[:-1]) | (h[1:] != h[:-1])
     ends = np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=n))]).astype(np.int32)
     return pa.ListArray.from_arrays(ends, pa.array(h[new].view(np.int64)))
 
 
 def _item_seeds(items: DataFrame) -> DataFrame:
-    """(item_id, text, size, seeds): the seed size of each item (its own length if shorter; 0: no word) and its seeds."""
+    """(item_id, text, words, size, seeds): the seed size of each item (its own length if shorter; 0: no word) and all its seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,9 +169,22 @@ def _item_seeds(items: DataFrame) -> DataFrame:
                 own = [seeds(part, here, [k])[:2] for k in range(1, SEED + 1)]
                 own = [(r[size[r] == k + 1], h[size[r] == k + 1]) for k, (r, h) in enumerate(own)]
                 row, h = (np.concatenate(x) for x in zip(*own, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(size.astype(np.int32)), _per_row(row, h, b - a)], names=["item_id", "text", "size", "seeds"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(count.astype(np.int64)), pa.array(size.astype(np.int32)), _per_row(row, h, b - a, True)], names=["item_id", "text", "words", "size", "seeds"])
 
-    return items.mapInArrow(freeing(run), "item_id long, text string, size int, seeds array<long>")
+    return items.mapInArrow(freeing(run), "item_id long, text string, words long, size int, seeds array<long>")
+
+
+def _rare_seeds(items: DataFrame, cover: float) -> DataFrame:
+    """(item_id, seed): the seeds of which a text must share one to cover ``cover`` of an item.
+
+    A seed's place covers at most ``SEED`` words, so a covered item has shared seeds at a least number of
+    places; the commonest seeds (by the items that have them) with fewer places together prove nothing alone.
+    """
+    rows = items.select("item_id", "words", F.xxhash64("item_id", "text").alias("entry"), F.explode("seeds").alias("seed")).groupBy("entry", "item_id", "words", "seed").agg(F.count("*").alias("places"))
+    rows = rows.join(rows.groupBy("seed").agg(F.count("*").alias("held")), "seed")
+    needed = F.greatest(F.ceil(F.ceil(cover * F.col("words") - 1e-9) / SEED), F.lit(1))
+    so_far = F.sum("places").over(Window.partitionBy("entry").orderBy(F.desc("held"), "seed"))
+    return rows.withColumn("so_far", so_far).where(F.col("so_far") >= needed).select("item_id", "seed").distinct()
 
 
 def _bitmap(seeds_of: DataFrame, bits: int) -> np.ndarray:
@@ -218,7 +234,7 @@ def _tiled(rows: DataFrame) -> DataFrame:
 
 
 def coverages(texts: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """(h1, h2, item_id, coverage, n_items) of each text (h1, h2, text) that shares a seed with an item.
+    """(h1, h2, item_id, coverage, n_items) of each text (h1, h2, text) that covers an item to ``cover`` or more.
 
     Equal texts are one entry, so a group of copies is tiled once. A text with very many items is tiled
     in slices of about ``ITEMS_PER_SLICE`` items, so nothing that grows with the benchmark meets in one row.
@@ -227,7 +243,7 @@ def coverages(texts: DataFrame, benchmark: DataFrame, cover: float = COVER) -> D
     body = ["h1", "h2"]
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").distinct()
     items = materialize(_item_seeds(items).where("size > 0"), "items")
-    seeds_of = items.select("item_id", F.explode("seeds").alias("seed")).distinct()
+    seeds_of = materialize(_rare_seeds(items, cover), "seeds")
     size = seeds_of.agg(F.approx_count_distinct("seed")).first()[0]
     bits = 1 << min(MOST_BITS, max(LEAST_BITS, BITS_PER_SEED * size)).bit_length() - 1
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``SEED`` numbers
@@ -237,17 +253,17 @@ def coverages(texts: DataFrame, benchmark: DataFrame, cover: float = COVER) -> D
     slices = pairs.groupBy(*body).agg(F.ceil(F.count("*") / ITEMS_PER_SLICE).cast("int").alias("slices"))
     dealt = pairs.join(slices, body).select(*body, "item_id", F.pmod(F.xxhash64("item_id"), "slices").alias("slice"))
     sliced = dealt.join(items.select("item_id", F.col("text").alias("item")), "item_id").groupBy(*body, "slice").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
-    best = _tiled(sliced.join(hits, body)).groupBy(*body, "item_id").agg(F.max("coverage").alias("coverage"))
+    best = _tiled(sliced.join(hits, body)).where(F.col("coverage") >= cover).groupBy(*body, "item_id").agg(F.max("coverage").alias("coverage"))
     top = F.max(F.struct("coverage", (-F.col("item_id")).alias("least")))
-    return best.groupBy(*body).agg(top.alias("top"), F.count_if(F.col("coverage") >= cover).alias("n_items")).select(*body, (-F.col("top.least")).alias("item_id"), "top.coverage", "n_items")
+    return best.groupBy(*body).agg(top.alias("top"), F.count("*").alias("n_items")).select(*body, (-F.col("top.least")).alias("item_id"), "top.coverage", "n_items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: is some item of ``benchmark`` covered to ``cover`` or more? ``keep`` columns follow.
 
-    item_id and coverage are those of the best covered item (ties: the smallest id; null and 0 if no
-    item shares a seed), n_items counts the items covered to ``cover``. Null or empty texts and items
-    share nothing, an item without id is left out; items shorter than a seed must occur whole; of an
+    item_id and coverage are those of the best of the items covered to ``cover`` (ties: the smallest id; null and 0 if there is
+    none), n_items counts them. Null or empty texts and items
+    share nothing, an item without id is left out; items shorter than a tile must occur whole; of an
     item_id with several texts the best covered one counts. Repeated rows and null ids give the results
     of their texts, empty tables are allowed, very long texts are taken whole, and other columns than
     those of ``keep`` are ignored, whatever their names.
