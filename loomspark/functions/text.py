@@ -204,6 +204,12 @@ def cta(c: Column) -> Column:
     return F.struct(label.alias("intensidade"), F.round(score, 3).alias("score"), place.alias("posicao"))
 
 
+def cta_sentences(c: Column) -> Column:
+    """Sentences of three or more words that hold a verb of a call to action."""
+    verb = r"(?iU)\b(" + "|".join(W.CTA_VERBS) + r")\b"
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[.!?]+"), F.trim), lambda s: s.rlike(verb) & (F.size(F.split(s, r"\s+")) >= 3))
+
+
 def cta_terms(c: Column) -> Column:
     """Words of the sentences of three or more words that hold a verb of a call to action."""
     verb = r"(?U)\b(" + "|".join(W.CTA_VERBS) + r")\b"

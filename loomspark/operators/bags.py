@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.positional import ngram_rows
-from .stats import few, top_rows, with_groups
+from .stats import top_rows, with_groups
 
 
 def exploded(df: DataFrame, terms: Column, keys: Sequence[str], name: str = "term") -> DataFrame:
@@ -72,22 +72,21 @@ def cooccurrence(df: DataFrame, terms: Column, by: Sequence[str], k: int = 10) -
     return own.select(*by, F.explode(pairs).alias("p")).groupBy(*by, "p.a", "p.b").agg(F.count("*").alias("n"))
 
 
-def tfidf_of(rows: DataFrame, row: str, n_rows: Column | int | None = None, sublinear: bool = False, features: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def tfidf_of(rows: DataFrame, row: str, n_rows: DataFrame | None = None, sublinear: bool = False, features: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(row, keep, term, tf, score) of an exploded table (row, keep, term) that is dealt out by ``row``.
 
     idf = ln((1 + n) / (1 + df)) + 1, rows scaled to unit length. ``features`` keeps the terms that are
-    commonest in all rows (ties: in the order of the term). Document frequencies are one aggregate; a
-    vocabulary of up to 200,000 terms is broadcast, so that a row's terms never leave its task.
+    commonest in all rows (ties: in the order of the term); so many are broadcast, and a row's terms never
+    leave its task. Without it the whole vocabulary is joined by term. ``n_rows`` is a table of one number, by default the rows that have terms.
     """
     tf = rows.groupBy(row, *keep, "term").agg(F.count("*").alias("tf"))
     words = tf.groupBy("term").agg(F.count("*").alias("_df"), F.sum("tf").alias("_all"))
     if features:
         words = words.orderBy(F.desc("_all"), "term").limit(features)
-    if n_rows is None:
-        n_rows = rows.agg(F.count_distinct(row)).first()[0]
-    idf = few(words.select("term", "_df"), 200_000).withColumn("_idf", F.log((1.0 + F.lit(n_rows)) / (1.0 + F.col("_df"))) + 1)
+    n_rows = (rows.agg(F.count_distinct(row)) if n_rows is None else n_rows).toDF("_rows")
+    idf = words.select("term", "_df").crossJoin(F.broadcast(n_rows)).select("term", (F.log((1.0 + F.col("_rows")) / (1.0 + F.col("_df"))) + 1).alias("_idf"))
     weight = (1 + F.log("tf")) if sublinear else F.col("tf")
-    raw = tf.join(idf, "term").withColumn("_w", weight * F.col("_idf"))
+    raw = tf.join(F.broadcast(idf) if features else idf, "term").withColumn("_w", weight * F.col("_idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(row)))
     return raw.select(row, *keep, "term", "tf", (F.col("_w") / norm).alias("score"))
 
@@ -95,30 +94,37 @@ def tfidf_of(rows: DataFrame, row: str, n_rows: Column | int | None = None, subl
 def tfidf(df: DataFrame, terms: Column, row: str, sublinear: bool = False, features: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(row, keep, term, tf, score) of a table with one row for each ``row``; see ``tfidf_of``. The texts are shuffled once, their terms never."""
     dealt = df.repartition(F.col(row))
-    return tfidf_of(dealt.select(row, *keep, F.explode(terms).alias("term")), row, df.count(), sublinear, features, keep)
+    return tfidf_of(dealt.select(row, *keep, F.explode(terms).alias("term")), row, row_count(df), sublinear, features, keep)
 
 
-def mean_tfidf(scores: DataFrame, n_rows: int | Column) -> DataFrame:
-    return scores.groupBy("term").agg((F.sum("score") / n_rows).alias("mean_score"))
+def row_count(df: DataFrame) -> DataFrame:
+    """The number of rows as a table, so that nothing runs while a plan is made."""
+    return df.agg(F.count("*").alias("_rows"))
 
 
-def ngram_tfidf(df: DataFrame, toks: Column, row: str, sizes: Sequence[int], features: int, k: int) -> DataFrame:
+def mean_tfidf(scores: DataFrame, n_rows: DataFrame) -> DataFrame:
+    """(term, mean_score) over all rows, those without the term included; ``n_rows`` is a table of one number."""
+    sums = scores.groupBy("term").agg(F.sum("score").alias("_sum"))
+    return sums.crossJoin(F.broadcast(n_rows.toDF("_rows"))).select("term", (F.col("_sum") / F.col("_rows")).alias("mean_score"))
+
+
+def ngram_tfidf(df: DataFrame, toks: Column, row: str, sizes: Sequence[int], features: int, k: int, sublinear: bool = False) -> DataFrame:
     """(term, mean_score): the ``k`` n-grams of the given sizes with the largest mean TF-IDF."""
-    n = df.count()
     rows = ngram_rows(df.repartition(F.col(row)), toks, [row], sizes)
-    return mean_tfidf(tfidf_of(rows, row, n, features=features), n).orderBy(F.desc("mean_score"), "term").limit(k)
+    return mean_tfidf(tfidf_of(rows, row, row_count(df), sublinear, features), row_count(df)).orderBy(F.desc("mean_score"), "term").limit(k)
 
 
-def contrast(df: DataFrame, terms: Column, row: str, side: Column, k: int | None = None, features: int | None = None) -> DataFrame:
+def contrast(df: DataFrame, terms: Column, row: str, side: Column, k: int | None = None, features: int | None = None, sublinear: bool = False) -> DataFrame:
     """(term, diff): mean TF-IDF of the rows where ``side`` is true less that of the rows where it is false.
 
     Fitted on both kinds of rows together; a null ``side`` is neither. ``k``: so many terms each way.
     """
     rows = df.withColumn("_side", side).where("_side is not null")
-    sizes = rows.agg(F.count_if("_side"), F.count_if(~F.col("_side"))).first()
-    scores = tfidf(rows, terms, row, features=features, keep=["_side"])
-    part = lambda own, n: F.coalesce(F.sum(F.when(own, F.col("score"))), F.lit(0.0)) / F.lit(float(max(n, 1)))
-    out = scores.groupBy("term").agg((part(F.col("_side"), sizes[0]) - part(~F.col("_side"), sizes[1])).alias("diff"), F.count("*").alias("rows"))
+    sizes = rows.agg(F.greatest(F.count_if("_side"), F.lit(1)).alias("_own"), F.greatest(F.count_if(~F.col("_side")), F.lit(1)).alias("_others"))
+    scores = tfidf(rows, terms, row, sublinear, features, keep=["_side"])
+    part = lambda own: F.coalesce(F.sum(F.when(own, F.col("score"))), F.lit(0.0))
+    out = scores.groupBy("term").agg(part(F.col("_side")).alias("_a"), part(~F.col("_side")).alias("_b"), F.count("*").alias("rows"))
+    out = out.crossJoin(F.broadcast(sizes)).select("term", (F.col("_a") / F.col("_own") - F.col("_b") / F.col("_others")).alias("diff"), "rows")
     if k is None:
         return out
     return out.orderBy(F.desc("diff"), "term").limit(k).unionByName(out.orderBy("diff", "term").limit(k)).distinct()

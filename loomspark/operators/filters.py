@@ -50,7 +50,8 @@ def length_band(df: DataFrame, column: str, low: int, high: int, by: str) -> Dat
 def dynamic_minimum(df: DataFrame, value: Column, by: str, floor: float) -> DataFrame:
     """Rows whose value is at least max(floor, median - standard deviation) of its group."""
     rows = df.withColumn("_value", value)
-    cut = rows.groupBy(by).agg(F.greatest(F.lit(float(floor)), F.median("_value") - F.coalesce(F.stddev_samp("_value"), F.lit(0.0))).alias("_cut"))
+    spread = rows.groupBy(by).agg(F.coalesce(F.stddev_samp("_value"), F.lit(0.0)).alias("_spread"))
+    cut = with_groups(percentiles(rows, "_value", (0.5,), [by]), spread, [by]).select(by, F.greatest(F.lit(float(floor)), F.col("p")[0] - F.col("_spread")).alias("_cut"))
     return with_groups(rows, cut, [by]).where(F.col("_value") >= F.col("_cut")).drop("_value", "_cut")
 
 

@@ -1,13 +1,22 @@
-"""Pattern documents: one nested row per niche, from two scalar aggregates, one pass over all terms and one over the examples."""
+"""Pattern documents: one nested row per niche.
+
+The features of all rows are worked out once and stored; scalars, term bags, examples and meanings are
+aggregates over columns of that table, so texts are parsed once however many topics a document has.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import positional as P
 from ..functions import text as T
-from .stats import few, mode, top_rows, with_groups
+from ..session import new_folder, stored
+from . import density, terms, vectors
+from .embedding import Encoder, HashedGrams, embedded
+from .stats import mode, top_rows, with_groups
 
 #: Columns of a video besides niche, id and text. Those that a table lacks are null.
 INPUTS = {
@@ -29,6 +38,16 @@ def features(df: DataFrame, niche: str = "nicho", text: str = "texto") -> DataFr
     rows = rows.withColumn("titulo", F.coalesce("titulo", T.first_line(t))).withColumn("descricao", F.coalesce("descricao", t))
     rows = rows.withColumns({"_toks": T.ws_tokens(t), "_content": T.content_tokens(t), "_chave": T.keyword_tails(F.coalesce("palavras_chave", F.array().cast("array<string>")))})
     rows = rows.withColumn("_partes", P.thirds(F.col("_content")))
+    tagged = lambda kind, items: F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("a"), F.lit("").alias("b"), F.lit(True).alias("keep")))
+    pair = lambda kind, items, a, b: F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), x[a].alias("a"), x[b].alias("b"), F.lit(True).alias("keep")))
+    lists = {
+        "titulo": tagged("titulo", T.content_tokens(T.clean_title(F.col("titulo")))), "titulo_emojis": pair("titulo_emojis", T.emoji_positions(F.coalesce("titulo", F.lit(""))), "emoji", "posicao"),
+        "descricao": tagged("descricao", T.content_tokens(T.first_line(F.col("descricao")))), "descricao_emojis": tagged("descricao_emojis", T.emojis(F.col("descricao"))),
+        "hashtags": tagged("hashtags", T.hashtags(F.col("descricao"))), **{k: tagged(k, F.col(f"_chave.{k}")) for k in ("shorttail", "midtail", "longtail")},
+        "capa": tagged("capa", T.content_tokens(T.clean_cover(F.col("texto_capa")))), "capa_emojis": tagged("capa_emojis", T.emojis(F.col("texto_capa"))), "cena": tagged("cena", T.content_tokens(F.col("cena"))),
+        "pistas": tagged("pistas", T.tag_cues(t)), "cta": tagged("cta", T.cta_terms(t)),
+        "slots": F.when(F.col("dia").isNotNull() & F.col("janela").isNotNull(), pair("slots", F.array(F.struct("dia", "janela")), "dia", "janela")).otherwise(F.array()),
+    }
     tone = lambda part: T.sentiment(T.polarity(F.array_join(f"_partes.{part}", " "))).alias(part)
     return rows.select(
         *df.columns, *[c for c in INPUTS if c not in df.columns], "_content", "_partes", "_chave",
@@ -37,6 +56,7 @@ def features(df: DataFrame, niche: str = "nicho", text: str = "texto") -> DataFr
         T.hook(t).alias("gancho"), T.opening_formula(t).alias("gancho_formula"), T.sentence_rhythm(t).alias("ritmo"), T.cta(F.col("descricao")).alias("cta"), T.is_dialogue(t).alias("dialogo"),
         T.repeats_word(t).alias("repeticao"), P.max_repeat(F.col("_content")).alias("maior_repeticao"), T.has_link(F.col("descricao")).alias("tem_link"), T.dominant_cue(t).alias("audio"),
         (F.size(T.tag_cues(t)) > 0).alias("tem_pista"), T.pace(F.size("_toks"), F.col("duracao")).alias("pace"), T.emotion_impact(T.tokens(t)).alias("densidade_impacto"), F.struct(*map(tone, ARC)).alias("tom"),
+        T.cta_sentences(t).alias("_chamadas"), *[c.alias(f"_bag_{k}") for k, c in lists.items()],
     ).withColumns({"gancho_tom": T.sentiment(T.polarity(F.col("gancho"))), "gancho_impacto": T.impact_score(F.col("gancho")), "gancho_palavras": F.size(T.ws_tokens(F.col("gancho")))})
 
 
@@ -93,25 +113,9 @@ def pattern_bags(rows: DataFrame, scalars: DataFrame, niche: str = "nicho", bags
     """
     tone = scalars.select(niche, *[F.col(f"tom_{p}").alias(f"_{p}") for p in ARC], F.col("cta_intensidade").alias("_cta"), F.col("cta_posicao").alias("_posicao"))
     rows = with_groups(rows, tone, [niche])
-    tagged = lambda kind, terms, keep=F.lit(True): F.transform(terms, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("a"), F.lit("").alias("b"), keep.alias("keep")))
-    pair = lambda kind, items, a, b: F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), x[a].alias("a"), x[b].alias("b"), F.lit(True).alias("keep")))
     # No terms of calls to action are looked for in a niche whose descriptions hold none.
-    acts = F.when((F.col("_cta") == "ausente") & (F.col("_posicao") == "ausente"), F.array().cast("array<string>")).otherwise(T.cta_terms(F.col("texto")))
-    lists = {
-        "titulo": lambda: tagged("titulo", T.content_tokens(T.clean_title(F.col("titulo")))),
-        "titulo_emojis": lambda: pair("titulo_emojis", T.emoji_positions(F.coalesce("titulo", F.lit(""))), "emoji", "posicao"),
-        "descricao": lambda: tagged("descricao", T.content_tokens(T.first_line(F.col("descricao")))),
-        "descricao_emojis": lambda: tagged("descricao_emojis", T.emojis(F.col("descricao"))),
-        "hashtags": lambda: tagged("hashtags", T.hashtags(F.col("descricao"))),
-        **{k: lambda k=k: tagged(k, F.col(f"_chave.{k}")) for k in ("shorttail", "midtail", "longtail")},
-        "capa": lambda: tagged("capa", T.content_tokens(T.clean_cover(F.col("texto_capa")))),
-        "capa_emojis": lambda: tagged("capa_emojis", T.emojis(F.col("texto_capa"))),
-        "cena": lambda: tagged("cena", T.content_tokens(F.col("cena"))),
-        "pistas": lambda: tagged("pistas", T.tag_cues(F.col("texto"))),
-        "slots": lambda: F.when(F.col("dia").isNotNull() & F.col("janela").isNotNull(), pair("slots", F.array(F.struct("dia", "janela")), "dia", "janela")).otherwise(F.array()),
-        "cta": lambda: tagged("cta", acts),
-    }
-    small = [f() for k, f in lists.items() if k in bags]
+    without = (F.col("_cta") == "ausente") & (F.col("_posicao") == "ausente")
+    small = [F.when(without, F.array()).otherwise(F.col("_bag_cta")) if k == "cta" else F.col(f"_bag_{k}") for k in bags if f"_bag_{k}" in rows.columns]
     every = None if not small else rows.select(niche, F.inline(F.concat(*small))).where("a is not null")
     ready = rows.select(niche, *[(F.col(f"tom.{p}") == F.col(f"_{p}")).alias(f"_keep_{p}") for p in ARC], "_content")
     tokens = P.shifted(ready, F.col("_content"), [niche, *[f"_keep_{p}" for p in ARC]], 5)
@@ -136,54 +140,145 @@ def pattern_bags(rows: DataFrame, scalars: DataFrame, niche: str = "nicho", bags
     return top.where(F.col("rank") <= F.element_at(sizes, F.col("kind")))
 
 
-def hook_examples(rows: DataFrame, scalars: DataFrame, row: str, niche: str = "nicho", k: int = 3) -> DataFrame:
-    """The ``k`` hooks of each niche with the most impact, of those that are long enough for it and hold no long number; of all if none is."""
-    cut = scalars.select(niche, F.greatest(F.lit(5), F.floor(F.col("gancho_palavras") - F.col("gancho_desvio"))).alias("_cut"))
-    fit = with_groups(rows, cut, [niche]).withColumn("_fit", (F.col("gancho_palavras") >= F.col("_cut")) & ~F.col("gancho").rlike(r"\b\d{4,}\b"))
-    best = top_rows(fit, [niche, "_fit"], [F.desc("gancho_impacto"), F.asc(row)], k)
-    best = top_rows(best, [niche], [F.desc("_fit"), F.desc("gancho_impacto"), F.asc(row)], k, rank="_place").withColumn("_any", F.max("_fit").over(_group(niche)))
-    return best.where(F.col("_fit") | ~F.col("_any")).groupBy(niche).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "gancho"))), lambda s: s["gancho"]).alias("exemplos"))
+#: What a topic's candidate terms are compared as, the least cosine, the least length and the number that stay.
+MEANINGS = {
+    "titulo": ("this video is about %s", 0.28, 4, 20), "descricao": ("this video is about %s", 0.28, 4, 20), "moldes": ("this video description contains the phrase %s", 0.28, 0, 10),
+    "capa": ("this video thumbnail text says %s", 0.28, 4, 15), "cena": ("this video thumbnail scene shows %s", 0.28, 4, 15), "gancho": ("this video hook starts with %s", 0.25, 4, 15), "cta": ("call to action asking viewer to %s", 0.3, 0, 10),
+}
+#: The two labels between which a sentence is a call to action or not, the margin, and the sentences that a niche needs.
+CALL, NO_CALL, CALL_MARGIN, LEAST_CALLS = "subscribe like comment share follow the channel call to action", "narrative context storytelling describing events or dialogue", 0.05, 3
+#: Topics with examples, and how many each has.
+EXAMPLES, EXAMPLE_COUNT = ("titulo", "descricao", "capa", "gancho"), 3
+
 
+def topic_texts(rows: DataFrame, row: str, niche: str = "nicho") -> DataFrame:
+    """(niche, topic, row, text, toks): the texts whose meanings the document is about, one for each row and topic, calls to action one for each sentence."""
+    content = lambda c: T.content_tokens(F.col(c))
+    bag = lambda k: F.transform(f"_bag_{k}", lambda s: s["a"])
+    topic = lambda name, text, toks: F.struct(F.lit(name).alias("topic"), F.coalesce(text, F.lit("")).alias("text"), toks.alias("toks"))
+    grams = F.filter(content("descricao"), lambda t: t.rlike("^[a-z]{3,}$"))
+    runs = lambda g, n: F.transform(P.indices(F.size(g) - n + 1), lambda i: F.array_join(F.slice(g, i + 1, n), " "))
+    two_three = P.let(grams, lambda g: F.concat(runs(g, 2), runs(g, 3)))
+    clean = F.transform("_chamadas", lambda s: topic("cta", s, F.array().cast("array<string>")))
+    topics = F.array(
+        topic("titulo", T.clean_title(F.col("titulo")), bag("titulo")), topic("descricao", F.col("descricao"), content("descricao")), topic("moldes", F.col("descricao"), two_three),
+        topic("capa", T.clean_cover(F.col("texto_capa")), bag("capa")), topic("cena", F.col("cena"), bag("cena")), topic("gancho", F.col("gancho"), content("gancho")),
+    )
+    long = rows.select(niche, F.col(row).alias("row"), F.inline(F.concat(topics, clean)))
+    return long.withColumn("toks", F.when(F.col("topic") == "cta", content("text")).otherwise(F.col("toks")))
 
-def _group(niche: str):
-    from pyspark.sql.window import Window
 
-    return Window.partitionBy(niche)  # over at most ``k`` rows a niche
+def meant_terms(texts: DataFrame, vectors_of: Callable[[DataFrame], DataFrame], niche: str = "nicho", k: int = 50) -> DataFrame:
+    """(niche, topic, term, rank): of the ``k`` candidates with the largest mean TF-IDF of each topic those near its mean text, in the order of the candidates.
 
+    A sentence counts as a call to action if it is nearer to the one label than to the other by the margin; a
+    niche with fewer than LEAST_CALLS of them has no terms there. Only distinct texts and phrases are encoded.
+    """
+    spark = texts.sparkSession
+    labels = spark.createDataFrame([(CALL,), (NO_CALL,)], "text string")
+    of_texts = terms.candidate_terms(texts.where("topic <> 'cta'").withColumn("part", F.xxhash64("row")), F.col("toks"), "part", [niche, "topic"], k, k)
+    by_text = texts.join(vectors_of(texts.select("text")), "text")
+    label_vectors = vectors_of(labels)
+    label = lambda t: label_vectors.where(F.col("text") == t).select(F.col("vector").alias("_v"))  # noqa: E731  # one row
+    calls = by_text.where("topic = 'cta'").crossJoin(F.broadcast(label(CALL).toDF("_call"))).crossJoin(F.broadcast(label(NO_CALL).toDF("_other")))
+    calls = terms.zero_shot(calls, "vector", F.col("_call"), F.col("_other"), CALL_MARGIN).select(niche, "topic", "row", "text", "toks", "vector")
+    calls = stored(calls, "calls")
+    enough = calls.groupBy(niche).agg(F.count("*").alias("_calls")).where(F.col("_calls") >= LEAST_CALLS)
+    calls = with_groups(calls, enough, [niche]).drop("_calls")
+    called = terms.candidate_terms(calls.withColumn("part", F.xxhash64("row", "text")), F.col("toks"), "part", [niche, "topic"], k, k)
+    candidates = stored(of_texts.unionByName(called), "candidates")  # at most ``k`` for each niche and topic
+    centres = vectors.centroids(by_text.where("topic <> 'cta'").select(niche, "topic", "vector").unionByName(calls.select(niche, "topic", "vector")), "vector", [niche, "topic"])
+    rule = lambda i: F.element_at(F.create_map(*[F.lit(x) for t, r in MEANINGS.items() for x in (t, r[i])]), F.col("topic"))
+    phrased = candidates.withColumn("text", F.replace(rule(0), F.lit("%s"), F.col("term")))
+    scored = with_groups(phrased.join(vectors_of(phrased.select("text")), "text"), centres, [niche, "topic"])
+    near = scored.where((vectors.cosine(F.col("vector"), F.col("centroid")) >= rule(1)) & (F.char_length("term") >= rule(2))).select(niche, "topic", "term", F.col("rank").alias("_rank"))
+    kept = top_rows(near, [niche, "topic"], [F.asc("_rank")], max(r[3] for r in MEANINGS.values()), rank="rank")
+    return kept.where(F.col("rank") <= rule(3)).drop("_rank")
 
-def pattern_documents(df: DataFrame, niche: str = "nicho", text: str = "texto", row: str = "id") -> DataFrame:
-    """The nested document of each niche: five topics of structure and eight of script."""
-    rows = features(df, niche, text)
-    scalars = few(pattern_scalars(rows, niche))
-    bags = pattern_bags(rows.withColumnRenamed(text, "texto") if text != "texto" else rows, scalars, niche)
+
+def diverse_examples(texts: DataFrame, vector: DataFrame, niche: str = "nicho", k: int = EXAMPLE_COUNT) -> DataFrame:
+    """(niche, topic, exemplos): the first ``k`` of the picks of each density cluster, in the order of the clusters.
+
+    ``texts`` is (niche, topic, row, text). A cluster gives the text nearest to its mean and, from three texts on, the two
+    others that are least alike; where no cluster has a text the whole topic is taken for one. Texts of fewer than three
+    words take part in the clusters but are no examples.
+    """
+    rows = texts.join(vector, "text").withColumn("_id", F.xxhash64(niche, "topic", "row"))
+    rows = stored(rows.withColumn("_group", F.xxhash64(F.coalesce(niche, F.lit("")), F.col(niche).isNull(), "topic")), "examples")
+    found = density.density_clusters(rows, "_id", "vector", "_group")
+    fit = rows.join(found, ["_group", "_id"]).where(F.size(T.ws_tokens(F.col("text"))) >= 3)
+    some = fit.groupBy("_group").agg(F.max(F.col("cluster") >= 0).alias("_some"))
+    pool = stored(fit.join(some, "_group").where(F.col("cluster").cast("int") >= F.when(F.col("_some"), 0).otherwise(-1)), "pool")
+    picks = vectors.representatives(pool, "_id", "vector", ["_group", "cluster"])
+    pairs = pool.groupBy("_group", "cluster").agg(F.count("*").alias("_n"))
+    picks = picks.join(pairs, ["_group", "cluster"]).where((F.col("pick") == 1) | (F.col("_n") > 2) | (F.col("cluster") < 0))
+    ordered = top_rows(picks, ["_group"], [F.asc("cluster"), F.asc("pick"), F.asc("_id")], k, rank="_place")
+    shown = ordered.join(pool.select("_group", "_id", niche, "topic", "text"), ["_group", "_id"])
+    return shown.groupBy(niche, "topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "text"))), lambda s: s["text"]).alias("exemplos"))
+
+
+def example_texts(rows: DataFrame, scalars: DataFrame, row: str, niche: str = "nicho") -> DataFrame:
+    """(niche, topic, row, text): the texts that may be examples. Descriptions of 50 to 500 characters and hooks that are
+    long enough for their niche and hold no long number; all of a niche's where none is.
+    """
+    cut = scalars.select(niche, F.greatest(F.lit(5), F.floor(F.col("gancho_palavras") - F.col("gancho_desvio"))).alias("_cut"))
+    size = F.char_length(F.trim("text"))
+    topics = F.array(*[F.struct(F.lit(t).alias("topic"), F.coalesce(c, F.lit("")).alias("text")) for t, c in (("titulo", "titulo"), ("descricao", "descricao"), ("capa", "texto_capa"), ("gancho", "gancho"))])
+    long = with_groups(rows, cut, [niche]).select(niche, F.col(row).alias("row"), "_cut", F.inline(topics))
+    fit = F.when(F.col("topic") == "descricao", size.between(50, 500)).when(F.col("topic") == "gancho", (F.size(T.ws_tokens(F.col("text"))) >= F.col("_cut")) & ~F.col("text").rlike(r"\b\d{4,}\b")).otherwise(True)
+    long = long.withColumn("_fit", fit).drop("_cut")
+    some = long.groupBy(niche, "topic").agg(F.max("_fit").alias("_any"))
+    return with_groups(long, some, [niche, "topic"]).where(F.col("_fit") | ~F.col("_any")).drop("_fit", "_any")
+
+
+def pattern_documents(df: DataFrame, niche: str = "nicho", text: str = "texto", row: str = "id", load: Callable[[], Encoder] = HashedGrams, cache: str | None = None) -> DataFrame:
+    """The nested document of each niche: five topics of structure and eight of script.
+
+    Features, vectors and examples are stored tables of the shared folder. ``load`` makes the model of text vectors,
+    ``cache`` is the folder that remembers them over runs. A null niche is a niche.
+    """
+    rows = stored(features(df, niche, text), "features")
+    scalars = stored(pattern_scalars(rows, niche), "scalars")  # one row a niche
+    bags = pattern_bags(rows, scalars, niche)
+    memory = cache or new_folder(df.sparkSession, "vectors")
+    vectors_of = lambda texts: embedded(texts, "text", load, cache=memory)
+    meant = meant_terms(stored(topic_texts(rows, row, niche), "topics"), vectors_of, niche)
+    shown = example_texts(rows, scalars, row, niche)
+    examples = diverse_examples(shown, vectors_of(shown), niche)
     entry = F.struct("rank", "a", "b", "n")
     packed = bags.groupBy(niche).agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, entry))).alias(f"_{k}_bag") for k in BAGS])
-    out = scalars.join(packed, niche, "left").join(hook_examples(rows, scalars, row, niche), niche, "left").join(structure_patterns(rows, scalars, niche), niche, "left")
+    own = meant.groupBy(niche).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("topic") == k, F.struct("rank", "term")))), lambda s: s["term"]).alias(f"_{k}_meant") for k in MEANINGS])
+    texts = examples.groupBy(niche).agg(*[F.max(F.when(F.col("topic") == k, F.col("exemplos"))).alias(f"_{k}_examples") for k in EXAMPLES])
+    out = scalars
+    for part in (packed, own, texts, structure_patterns(rows, scalars, niche)):
+        out = with_groups(out, part, [niche], "left")
+    none = F.array().cast("array<string>")
+    meant_of, examples_of = (lambda k: F.coalesce(f"_{k}_meant", none)), (lambda k: F.coalesce(f"_{k}_examples", none))
     terms = lambda k: F.transform(F.coalesce(f"_{k}_bag", F.array()), lambda s: s["a"])
     counted = lambda k, name: F.transform(F.coalesce(f"_{k}_bag", F.array()), lambda s: F.struct(s["a"].alias(name), s["n"].alias("frequencia")))
     slot = lambda s: F.struct(s["a"].alias("dia"), s["b"].alias("janela"), s["n"].alias("quantidade_virais"), F.format_string("%s %s: %.1f%%", s["a"], s["b"], 100.0 * s["n"] / F.col("n")).alias("justificativa"))
     title = F.struct(
-        F.col("titulo_formula").alias("formula_construcao"), F.col("titulo_comprimento").cast("int").alias("comprimento_alvo_chars"), terms("titulo").alias("termos_obrigatorios"), F.round("titulo_caps", 3).alias("caps_intensidade"),
-        F.transform(F.coalesce("_titulo_emojis_bag", F.array()), lambda s: F.struct(s["a"].alias("emoji"), s["b"].alias("posicao"), s["n"].alias("frequencia"))).alias("emojis"), F.col("usar_pontuacao").alias("usar_pontuacao_impacto"), F.col("titulo_tom").alias("sentimento_alvo"),
+        F.col("titulo_formula").alias("formula_construcao"), F.col("titulo_comprimento").cast("int").alias("comprimento_alvo_chars"), meant_of("titulo").alias("termos_obrigatorios"), terms("titulo").alias("termos_frequentes"), F.round("titulo_caps", 3).alias("caps_intensidade"),
+        F.transform(F.coalesce("_titulo_emojis_bag", F.array()), lambda s: F.struct(s["a"].alias("emoji"), s["b"].alias("posicao"), s["n"].alias("frequencia"))).alias("emojis"), F.col("usar_pontuacao").alias("usar_pontuacao_impacto"), F.col("titulo_tom").alias("sentimento_alvo"), examples_of("titulo").alias("exemplos_reais"),
     )
     described = F.struct(
-        F.col("descricao_comprimento").cast("int").alias("comprimento_alvo_chars"), F.col("descricao_linha").cast("int").alias("primeira_linha_comprimento_alvo"), F.col("descricao_tom").alias("sentimento_primeira_linha"), terms("descricao").alias("termos_seo_obrigatorios"),
-        terms("moldes").alias("moldes_frase"), counted("descricao_emojis", "emoji").alias("emojis"), F.col("cta_posicao").alias("cta_posicao"), F.col("cta_intensidade").alias("cta_intensidade"), F.round("cta_score", 3).alias("cta_score_mediano"),
-        (F.col("taxa_link") >= 0.3).alias("usar_links"), terms("hashtags").alias("hashtags"), F.least(F.col("n_hashtags").cast("int"), F.size(F.coalesce("_hashtags_bag", F.array()))).alias("quantidade_hashtags"),
+        F.col("descricao_comprimento").cast("int").alias("comprimento_alvo_chars"), F.col("descricao_linha").cast("int").alias("primeira_linha_comprimento_alvo"), F.col("descricao_tom").alias("sentimento_primeira_linha"), meant_of("descricao").alias("termos_seo_obrigatorios"), terms("descricao").alias("termos_primeira_linha"),
+        meant_of("moldes").alias("moldes_frase"), counted("descricao_emojis", "emoji").alias("emojis"), F.col("cta_posicao").alias("cta_posicao"), F.col("cta_intensidade").alias("cta_intensidade"), F.round("cta_score", 3).alias("cta_score_mediano"),
+        (F.col("taxa_link") >= 0.3).alias("usar_links"), terms("hashtags").alias("hashtags"), F.least(F.col("n_hashtags").cast("int"), F.size(F.coalesce("_hashtags_bag", F.array()))).alias("quantidade_hashtags"), examples_of("descricao").alias("exemplos_reais"),
     )
-    cover = F.struct(F.col("capa_comprimento").cast("int").alias("comprimento_alvo_chars"), terms("capa").alias("termos_obrigatorios"), F.round("capa_caps", 3).alias("caps_intensidade"), counted("capa_emojis", "emoji").alias("emojis"), F.col("cena_tom").alias("sentimento_alvo"))
-    thumbnail = F.struct(cover.alias("texto_capa"), F.struct(terms("cena").alias("elementos_obrigatorios"), F.round("presenca", 3).alias("presenca_humana")).alias("cena_visual"), F.col("cena_tom").alias("sentimento_visual_alvo"))
+    cover = F.struct(F.col("capa_comprimento").cast("int").alias("comprimento_alvo_chars"), meant_of("capa").alias("termos_obrigatorios"), terms("capa").alias("termos_frequentes"), F.round("capa_caps", 3).alias("caps_intensidade"), counted("capa_emojis", "emoji").alias("emojis"), F.col("cena_tom").alias("sentimento_alvo"))
+    thumbnail = F.struct(cover.alias("texto_capa"), F.struct(meant_of("cena").alias("elementos_obrigatorios"), F.round("presenca", 3).alias("presenca_humana")).alias("cena_visual"), F.col("cena_tom").alias("sentimento_visual_alvo"), examples_of("capa").alias("exemplos_reais"))
     keys = F.struct(*[terms(k).alias(k) for k in ("shorttail", "midtail", "longtail")], keyword_ratio(F.col("_shorttail"), F.col("_midtail"), F.col("_longtail")).alias("proporcao_ideal"))
     hook = F.struct(
         F.col("gancho_formula").alias("formula_abertura"), F.col("gancho_palavras").cast("int").alias("comprimento_alvo_palavras"), F.col("gancho_comprimento").cast("int").alias("comprimento_alvo_chars"), F.col("gancho_tom").alias("sentimento_alvo"),
-        F.col("gancho_pontuacao").alias("usar_pontuacao_impacto"), F.col("exemplos").alias("exemplos_reais"),
+        meant_of("gancho").alias("termos_obrigatorios"), F.col("gancho_pontuacao").alias("usar_pontuacao_impacto"), examples_of("gancho").alias("exemplos_reais"),
     )
     rhythm = F.struct(F.round("pace", 3).alias("palavras_por_segundo"), F.round("frase_media", 3).alias("comprimento_medio_frase"), F.round("frase_variancia", 3).alias("variancia_ritmo"), F.round("densidade_impacto", 3).alias("densidade_pontuacao_impacto"), terms("moldes").alias("moldes_frase"))
     arc = F.struct(*[F.struct(F.col(f"tom_{p}").alias("tom"), terms(p).alias("vocabulario_obrigatorio")).alias(p) for p in ARC])
     audio = F.struct(F.coalesce("audio_dominante", F.lit("desconhecido")).alias("tipo_dominante"), counted("pistas", "pista").alias("clima_sonoro"), F.round("taxa_audio", 3).alias("frequencia_uso_no_nicho"))
     calls = F.struct(
         conversion_intensity(F.col("conversao")).alias("intensidade"), F.col("cta_intensidade").alias("estilo"), F.coalesce(F.col("discussao") >= F.col("discussao_alta"), F.lit(False)).alias("ativar_gatilho_debate"),
-        F.round("discussao", 3).alias("taxa_discussao_mediana"), F.round("cta_score", 3).alias("cta_score_mediano"), F.col("cta_posicao").alias("posicao"), terms("cta").alias("molde_termos"),
+        F.round("discussao", 3).alias("taxa_discussao_mediana"), F.round("cta_score", 3).alias("cta_score_mediano"), F.col("cta_posicao").alias("posicao"), meant_of("cta").alias("molde_termos"), terms("cta").alias("termos_frequentes"),
     )
     repeated = F.struct((F.col("taxa_repeticao") >= 0.3).alias("ativar"), F.round("taxa_repeticao", 3).alias("taxa_no_nicho"), F.col("maior_repeticao").alias("frequencia_media"))
     words = F.struct(terms("vocabulario").alias("termos_obrigatorios"), F.transform(F.coalesce("_pares_bag", F.array()), lambda s: F.array(s["a"], s["b"])).alias("coocorrencias_obrigatorias"))

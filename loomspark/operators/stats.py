@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,51 +17,104 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def few(groups: DataFrame, most: int = 10_000) -> DataFrame:
-    """A table of at most ``most`` rows, read once and marked for a broadcast join; a larger one as it is."""
-    rows = groups.limit(most + 1).collect()
-    return F.broadcast(groups.sparkSession.createDataFrame(rows, groups.schema)) if len(rows) <= most else groups
+#: Groups with sketches of their own (the largest ones), their least rows, and the accuracy of a sketch.
+HEAVY_GROUPS, HEAVY_ROWS, ACCURACY = 10_000, 200_000, 20_000
 
 
 def with_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
-    """``df`` with the columns of ``groups`` (one row a group): few groups are broadcast, so that ``df`` is not shuffled."""
-    return df.join(few(groups), list(by), how) if by else df.crossJoin(F.broadcast(groups))  # without keys it is one row
+    """``df`` with the columns of ``groups`` (one row a group, a null key is a group); without keys ``groups`` is one row.
 
+    Adaptive execution broadcasts the groups where they turn out small; nothing runs while the plan is made.
+    """
+    if not by:
+        return df.crossJoin(F.broadcast(groups))
+    other = groups.select(*[F.col(k).alias(f"_by{i}") for i, k in enumerate(by)], *[c for c in groups.columns if c not in by])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_by{i}")) for i, k in enumerate(by)])
+    return df.join(other, same, how).drop(*[f"_by{i}" for i in range(len(by))])
 
-def ranked_values(df: DataFrame, column: str, by: Sequence[str] = (), parts: int = 64) -> DataFrame:
-    """(by, column, n, before): how often each value occurs and how many rows of its group are smaller.
 
-    Values are counted, dealt into ``parts`` ranges by approximate quantiles of the group, and summed up
-    within a range; a small table holds what the ranges before it add. So no group meets in one task,
-    and the result does not depend on where the ranges end.
-    """
-    rows = df.select(*by, F.col(column).alias("_x")).where(F.col("_x").isNotNull())
-    edges = rows.groupBy(*by).agg(F.percentile_approx("_x", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(1000)).alias("_edges"))
-    counts = with_groups(rows.groupBy(*by, "_x").agg(F.count("*").alias("n")), edges, by)
-    counts = counts.withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col("_x")))).drop("_edges")
-    sums = counts.groupBy(*by, "_part").agg(F.sum("n").alias("_sum"))  # at most ``parts`` rows a group
-    behind = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = sums.select(*by, "_part", behind(Window.partitionBy(*by).orderBy("_part"), "_sum").alias("_base"))
-    inside = behind(Window.partitionBy(*by, "_part").orderBy("_x"), "n")
-    out = counts.withColumn("_inside", inside).join(few(bases), [*by, "_part"])
-    return out.select(*by, F.col("_x").alias(column), "n", (F.col("_base") + F.col("_inside")).alias("before"))
+def _keyed(df: DataFrame, by: Sequence[str], *columns: Column) -> tuple[DataFrame, list[str]]:
+    """``df`` as (keys, columns) with keys of names that clash with nothing; a constant stands for no keys."""
+    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(by)] or [F.lit(0).alias("_k0")]
+    return df.select(*keys, *columns), [f"_k{i}" for i in range(len(keys))]
+
+
+def _unkeyed(df: DataFrame, by: Sequence[str], *columns: Column | str) -> DataFrame:
+    return df.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(by)], *columns)
+
+
+def _with_heavy(rows: DataFrame, heavy: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with what ``heavy`` (at most HEAVY_GROUPS rows, so it can be broadcast) has of their group, else nulls."""
+    return with_groups(rows, F.broadcast(heavy), keys, "left")
 
 
 def percentiles(df: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """(by, p): exact percentiles with linear interpolation, in the order of ``shares``."""
-    ranked = ranked_values(df, column, by)
-    ranked = with_groups(ranked, ranked.groupBy(*by).agg(F.sum("n").alias("_total")), by)
+    """(by, p): exact percentiles with linear interpolation, in the order of ``shares``. A null key is a group; nulls and NaN are no values.
+
+    Two scans and no group in one task. The first sketches the largest groups: a mergeable quantile sketch
+    gives values between which each wanted rank must lie. The second counts what lies outside and
+    keeps only the values inside, about 4 / ACCURACY of a group for each share. Groups below
+    HEAVY_ROWS, or beyond the HEAVY_GROUPS largest, keep their values. A rank that its bracket misses is an error, not a wrong result.
+    """
+    order = sorted(range(len(shares)), key=lambda i: shares[i])
     x = F.col(column).cast("double")
+    rows, keys = _keyed(df, by, x.alias("_x"))
+    rows = rows.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    low, high = ([min(1.0, max(0.0, shares[i] + d / ACCURACY)) for i in order] for d in (-2, 2))
+    edges = lambda points: F.percentile_approx("_x", F.array(*map(F.lit, points)), F.lit(ACCURACY))
+    heavy = rows.groupBy(*keys).agg(F.count("*").alias("_rows"), edges(low).alias("_low"), edges(high).alias("_high"))
+    heavy = heavy.where(F.col("_rows") >= HEAVY_ROWS).orderBy(F.desc("_rows"), *keys).limit(HEAVY_GROUPS).drop("_rows")
+    slot = F.coalesce(F.size(F.filter("_high", lambda e: e < F.col("_x"))), F.lit(0))
+    inside = F.col("_low").isNull() | F.coalesce(F.get("_low", F.col("_slot")) <= F.col("_x"), F.lit(False))
+    marked = _with_heavy(rows, heavy, keys).withColumn("_slot", F.when(F.col("_low").isNull(), 0).otherwise(slot)).withColumn("_v", F.when(inside, F.col("_x")))
+    counts = marked.groupBy(*keys, "_slot", "_v").agg(F.count("*").alias("_n"))
+    # Rows outside stand before the bracket they are below, so this order is that of the values.
+    line = Window.partitionBy(*keys).orderBy("_slot", F.asc_nulls_first("_v"))
+    before = F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumns({"_before": before, "_total": F.sum("_n").over(Window.partitionBy(*keys))})
+    value = F.when(F.col("_v").isNull(), F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")).otherwise(F.col("_v"))
 
     def at(place: Column) -> Column:
-        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), x))
+        return F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_n")), value))
 
     aggs = []
     for i, q in enumerate(shares):
         k = F.lit(float(q)) * (F.col("_total") - 1)
         aggs += [at(F.floor(k)).alias(f"_lo{i}"), at(F.ceil(k)).alias(f"_hi{i}"), F.max(k - F.floor(k)).alias(f"_part{i}")]
-    found = ranked.groupBy(*by).agg(*aggs)
-    return found.select(*by, F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}") for i in range(len(shares))]).alias("p"))
+    found = placed.groupBy(*keys).agg(*aggs)
+    return _unkeyed(found, by, F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}") for i in range(len(shares))]).alias("p"))
+
+
+def median_of(df: DataFrame, values: dict[str, Column], by: Sequence[str]) -> DataFrame:
+    """(by, name...): the exact medians of several expressions, all from one pass of ``percentiles``; groups without a value have nulls."""
+    names = list(values)
+    long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), c.cast("double").alias("_value")) for n, c in values.items()])).alias("_s")).select(*by, "_s.*")
+    p = percentiles(long, "_value", (0.5,), [*by, "_name"])
+    groups = p.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, F.col("p")[0])).alias(n) for n in names])
+    return with_groups(df.select(*by).distinct(), groups, by, "left") if by else groups
+
+
+def ranked_values(rows: DataFrame, keys: Sequence[str], weights: Sequence[Column], parts: int = 64) -> DataFrame:
+    """(keys, _x, centred): of each value of ``_x`` the average ranks less their mean, one for every weight column.
+
+    Values are counted and dealt into ``parts`` ranges (by sketches of the largest groups, the others are one
+    range), summed up within a range, and a small table holds what the ranges before it add. So no
+    large group meets in one task, and the result does not depend on where the ranges end.
+    """
+    names = [f"_w{i}" for i in range(len(weights))]
+    heavy = rows.groupBy(*keys).agg(F.count("*").alias("_rows"), F.percentile_approx("_x", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(1000)).alias("_edges"))
+    heavy = heavy.where(F.col("_rows") >= HEAVY_ROWS).orderBy(F.desc("_rows"), *keys).limit(HEAVY_GROUPS).drop("_rows")
+    part = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col("_x"))), F.lit(0))
+    dealt = _with_heavy(rows, heavy, keys).withColumn("_part", F.when(F.col("_edges").isNull(), 0).otherwise(part))
+    counts = dealt.groupBy(*keys, "_part", "_x").agg(*[F.sum(w).alias(n) for n, w in zip(names, weights, strict=True)])
+    sums = counts.groupBy(*keys, "_part").agg(*[F.sum(n).alias(n) for n in names])  # at most ``parts`` rows a group
+    behind = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    line = Window.partitionBy(*keys).orderBy("_part")
+    bases = sums.select(*keys, "_part", *[(behind(line, n) - (F.sum(n).over(Window.partitionBy(*keys)) + 1) / 2).alias(f"_base{n}") for n in names])
+    within = Window.partitionBy(*keys, "_part").orderBy("_x")
+    inside = counts.withColumns({f"_in{n}": behind(within, n) for n in names})
+    out = with_groups(inside, bases, [*keys, "_part"])
+    return out.select(*keys, "_x", F.array(*[F.col(f"_base{n}") + F.col(f"_in{n}") + (F.col(n) + 1) / 2 for n in names]).alias("centred"))
 
 
 def describe(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -70,7 +124,8 @@ def describe(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
         F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"), F.count_if(x == 0).alias("zeros"), F.count_if(x < 0).alias("negatives"),
     )
-    agg = with_groups(agg, percentiles(df, column, (0.25, 0.5, 0.75), by), by, "left") if by else agg.crossJoin(F.broadcast(percentiles(df, column, (0.25, 0.5, 0.75))))
+    p = percentiles(df, column, (0.25, 0.5, 0.75), by)
+    agg = with_groups(agg, p, by, "left") if by else agg.join(p, F.lit(True), "left")
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
     p = F.col("p")
@@ -85,7 +140,7 @@ def tukey(df: DataFrame, column: str, by: Sequence[str], top: int = 3) -> DataFr
         F.count(column).alias("n"), F.count_if((F.col(column) < F.col("low")) | (F.col(column) > F.col("high"))).alias("outliers")
     )
     largest = top_rows(df.select(*by, column).where(F.col(column).isNotNull()), by, [F.desc(column)], top).groupBy(*by).agg(F.reverse(F.array_sort(F.collect_list(column))).alias("largest"))
-    out = out.join(largest, list(by)) if by else out.crossJoin(largest)
+    out = with_groups(out, largest, by)  # both have a row for each group
     return out.withColumn("share", F.round(100.0 * F.col("outliers") / F.col("n"), 4))
 
 
@@ -148,20 +203,41 @@ def crosstab_percent(df: DataFrame, row: str, column: str, values: Sequence[str]
     return wide.select(row, *[F.round(F.coalesce(F.try_divide(100.0 * F.col(v), total), F.lit(0.0)), 4).alias(v) for v in values])
 
 
-def average_rank(df: DataFrame, column: str, by: Sequence[str], name: str) -> DataFrame:
-    """Average ranks, joined to the rows by their value; nulls have no rank."""
-    ranks = ranked_values(df, column, by).select(*by, column, (F.col("before") + (F.col("n") + 1) / 2).alias(name))
-    return df.join(ranks, [*by, column], "left")
+def rank_correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, a, b, n, r): rank correlation of every two columns (by position), each over the rows that have both.
+
+    Equal rows are one with a weight. All columns are ranked in one long table, a rank for each other column
+    that the row has too, and joined back by value; a frequent value is a skewed join. One aggregate sums up the products of all pairs.
+    """
+    k = len(columns)
+    rows, keys = _keyed(df, by, *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
+    given = [F.col(f"_c{i}").isNotNull() & ~F.isnan(f"_c{i}") for i in range(k)]
+    rows = rows.groupBy(*keys, *[F.when(g, F.col(f"_c{i}")).alias(f"_c{i}") for i, g in enumerate(given)]).agg(F.count("*").alias("_w"))
+    row = [F.xxhash64(F.lit(seed), *keys, *[f"_c{i}" for i in range(k)]).alias(f"_row{seed}") for seed in (0, 1)]  # 128 bits
+    entries = F.filter(F.array(*[F.struct(F.lit(i).alias("_col"), F.col(f"_c{i}").alias("_x")) for i in range(k)]), lambda s: s["_x"].isNotNull())
+    long = rows.select(*keys, *row, "_w", F.array(*[F.col(f"_c{i}").isNotNull() for i in range(k)]).alias("_has"), F.inline(entries))
+    ranks = ranked_values(long, [*keys, "_col"], [F.when(F.get("_has", F.lit(i)), F.col("_w")).otherwise(0) for i in range(k)])
+    both = with_groups(long.drop("_has"), ranks, [*keys, "_col", "_x"])
+    wide = both.groupBy(*keys, "_row0", "_row1").agg(F.first("_w").alias("_w"), *[F.max(F.when(F.col("_col") == i, F.col("centred"))).alias(f"_r{i}") for i in range(k)])
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    entry = lambda i, j: F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.get(f"_r{i}", F.lit(j)).alias("_p"), F.get(f"_r{j}", F.lit(i)).alias("_q"))
+    each = wide.select(*keys, "_w", F.inline(F.array(*[entry(i, j) for i, j in pairs]))).where("_p is not null and _q is not null")
+    product = lambda a, b: F.sum(F.col("_w") * F.col(a) * F.col(b))
+    r = F.try_divide(product("_p", "_q"), F.sqrt(product("_p", "_p") * product("_q", "_q")))
+    found = each.groupBy(*keys, "_i", "_j").agg(F.sum("_w").alias("n"), r.alias("r"))
+    name = lambda c: F.element_at(F.array(*map(F.lit, columns)), F.col(c) + 1)
+    return _unkeyed(found, by, name("_i").alias("a"), name("_j").alias("b"), "n", "r")
+
+
+def _strength(r: Column) -> Column:
+    return F.when(F.abs(r) >= 0.7, "forte").when(F.abs(r) >= 0.4, "moderada").otherwise("fraca")
 
 
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rank correlation of rows where both values are there: n, r, t, and the strength by |r|."""
-    rows = df.select(*by, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    rows = average_rank(average_rank(rows, a, by, "_ra"), b, by, "_rb")
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("r"))
-    size = F.abs("r")
+    """Rank correlation of rows where both values are there: n, r, t, and the strength by |r|. A null key is a group."""
+    out = rank_correlations(df, [a, b], by).drop("a", "b")
     t = F.try_divide(F.col("r") * F.sqrt(F.greatest(F.col("n") - 2, F.lit(0))), F.sqrt(1 - F.least(F.col("r") * F.col("r"), F.lit(1.0))))
-    return out.withColumns({"t": t, "strength": F.when(size >= 0.7, "forte").when(size >= 0.4, "moderada").otherwise("fraca")})
+    return out.withColumns({"t": t, "strength": _strength(F.col("r"))})
 
 
 def t_tail(t: np.ndarray, free: np.ndarray, steps: int = 300) -> np.ndarray:
@@ -201,11 +277,7 @@ def spearman_test(df: DataFrame, a: str, b: str, by: Sequence[str] = (), least:
 
 def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, n, r, strength) of every two columns (a before b), each over the rows that have both, strongest first."""
-    out = None
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            one = spearman(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "r", "strength")
-            out = one if out is None else out.unionByName(one)
+    out = rank_correlations(df, columns).withColumn("strength", _strength(F.col("r")))
     return out.orderBy(F.desc_nulls_last(F.abs("r")), "a", "b")
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import words as W
 from ..operators import density, learned, patterns, stats
-from ..operators.stats import few
 from ..sources.readers import table
 from .statistics_queries import CONTENT, STOP, TOKENS, WORD, WS
 
@@ -61,7 +60,7 @@ _VIDEO = f"""v AS (SELECT doc_id AS id, lang AS nicho, text AS texto, trim(strin
 
 def _bags(spark, d, *kinds):
     rows = patterns.features(videos(spark, d))
-    out = patterns.pattern_bags(rows, few(patterns.pattern_scalars(rows)), bags={k: patterns.BAGS[k] for k in kinds})
+    out = patterns.pattern_bags(rows, patterns.pattern_scalars(rows), bags={k: patterns.BAGS[k] for k in kinds})
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -95,7 +94,7 @@ m AS (SELECT nicho, round(median(p), 3) AS p, floor(median(w))::BIGINT AS w, avg
 SELECT nicho, CASE WHEN p >= 4 AND w <= 150 THEN 'impacto_rapido' WHEN rep AND p >= 3.5 THEN 'esquete_com_hook' WHEN w >= 400 THEN 'narrativa' ELSE 'esquete' END AS estilo, faixa, w AS limite, rep AS repeticao FROM m JOIN g USING (nicho)""")
 def pattern_structure(spark, d):
     rows = patterns.features(videos(spark, d))
-    out = patterns.structure_patterns(rows, few(patterns.pattern_scalars(rows)))
+    out = patterns.structure_patterns(rows, patterns.pattern_scalars(rows))
     e = "estrutura_geral"
     return out.select("nicho", F.col(f"{e}.estrutura_blocos").alias("estilo"), F.col(f"{e}.faixa_duracao").alias("faixa"), F.col(f"{e}.limite_palavras").cast("long").alias("limite"), F.col(f"{e}.usa_repeticao").alias("repeticao"))
 
@@ -113,7 +112,7 @@ e AS (SELECT t.nicho, t.parte, t.tom = dom.tom AS keep, unnest(w) AS term FROM t
 SELECT nicho, parte, tom, term, (CASE WHEN own < 10 THEN i + k ELSE i END)::BIGINT AS n, row_number() OVER (PARTITION BY nicho, parte ORDER BY CASE WHEN own < 10 THEN i + k ELSE i END DESC, term)::BIGINT AS rank FROM n JOIN x USING (nicho, parte) JOIN dom USING (nicho, parte) WHERE CASE WHEN own < 10 THEN i + k ELSE i END > 0 QUALIFY rank <= 10""")
 def pattern_arc(spark, d):
     rows = patterns.features(videos(spark, d))
-    scalars = few(patterns.pattern_scalars(rows))
+    scalars = patterns.pattern_scalars(rows)
     tones = scalars.select("nicho", F.explode(F.array(*[F.struct(F.lit(p).alias("kind"), F.col(f"tom_{p}").alias("tom")) for p in patterns.ARC])).alias("t")).select("nicho", "t.*")
     out = patterns.pattern_bags(rows, scalars, bags={k: patterns.BAGS[k] for k in patterns.ARC}).join(tones, ["nicho", "kind"])
     return out.select("nicho", F.col("kind").alias("parte"), "tom", F.col("a").alias("term"), "n", F.col("rank").cast("long").alias("rank"))

@@ -216,158 +216,34 @@ def emotion_density(spark, d):
     return _docs(spark, d).select("doc_id", T.emotion_impact(T.tokens(F.col("text"))).alias("impacto"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, {CONTENT} AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS term FROM t), c AS (SELECT doc_id, term, count(*)::BIGINT AS n FROM g GROUP BY 1, 2)
-SELECT doc_id, term, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term)::BIGINT AS rank FROM c QUALIFY rank <= 10""")
-def row_ngrams(spark, d):
-    dealt = _docs(spark, d).repartition(F.col("doc_id"))
-    return bags.top_counts(P.ngram_rows(dealt, T.content_tokens(F.col("text")), ["doc_id"], (2, 3)), ["doc_id"], 10)
+def _ngram_sql(sizes: tuple[int, ...], features: int) -> str:
+    grams = " || ".join(f"list_transform(range(1, len(w) - {n - 2}), lambda i: " + " || ' ' || ".join(f"w[i + {k}]" for k in range(n)) + ")" for n in sizes)
+    return f"""WITH t AS (SELECT doc_id, {CONTENT} AS w FROM documents), g AS (SELECT doc_id, unnest({grams}) AS term FROM t), tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2),
+w AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 QUALIFY row_number() OVER (ORDER BY sum(tf) DESC, term) <= {features}), raw AS (SELECT doc_id, term, tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS w FROM tf JOIN w USING (term)),
+x AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS score FROM raw), m AS (SELECT term, round(sum(score) / (SELECT count(*) FROM documents), 6) AS m FROM x GROUP BY 1) SELECT term, round(m, 5) AS mean_score FROM m ORDER BY m DESC, term LIMIT 20"""
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {CONTENT} AS w FROM documents)), p AS (SELECT x.doc_id, least(x.w, y.w) AS a, greatest(x.w, y.w) AS b FROM t x JOIN t y ON x.doc_id = y.doc_id AND y.i > x.i AND y.i <= x.i + 5 AND x.w <> y.w), c AS (SELECT doc_id, a, b, count(*)::BIGINT AS n FROM p GROUP BY ALL)
-SELECT doc_id, a, b, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, a, b)::BIGINT AS rank FROM c QUALIFY rank <= 10""")
-def row_pairs(spark, d):
-    dealt = _docs(spark, d).repartition(F.col("doc_id"))
-    return bags.top_counts(P.window_pairs(dealt, T.content_tokens(F.col("text")), ["doc_id"]), ["doc_id"], 10, ("a", "b"))
-
-
-_FIRST = "trim(string_split(trim(text), chr(10))[1])"
-
-
-@query(f"""WITH x AS (SELECT lang, list_distinct({TOKENS}) AS body, list_distinct(list_filter(regexp_extract_all(lower({_FIRST}), '{WORD}+'), lambda t: length(t) >= 3)) AS head FROM documents)
-SELECT lang, round(median(CASE WHEN len(head) = 0 THEN 0 ELSE round(100.0 * len(list_intersect(head, body)) / len(head), 3) END), 3) AS overlap FROM x GROUP BY 1""")
-def overlap_medians(spark, d):
-    head = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(T.first_line(F.col("text"))), F.lit(r"(?U)\w+"), F.lit(0)), lambda t: F.char_length(t) >= 3))
-    rows = _docs(spark, d).select("lang", head.alias("head"), T.tokens(F.col("text")).alias("body"))
-    return rows.groupBy("lang").agg(F.round(F.median(F.round(100.0 * T.ratio(F.size(F.array_intersect("head", "body")), F.size("head")), 3)), 3).alias("overlap"))
-
-
-@query(f"""WITH t AS (SELECT unnest({CONTENT}) AS term FROM documents) SELECT CASE WHEN list_contains([{', '.join(repr(w) for w in W.ACTION_WORDS)}], term) THEN 'acao' WHEN list_contains([{', '.join(repr(w) for w in W.EMOTIONAL_WORDS)}], term) THEN 'emocional' ELSE 'tematica' END AS classe, count(*)::BIGINT AS n FROM t GROUP BY 1""")
-def word_classes(spark, d):
-    return bags.exploded(_docs(spark, d), T.content_tokens(F.col("text")), []).groupBy(T.word_class(F.col("term")).alias("classe")).agg(F.count("*").alias("n"))
-
-
-_EMOJI = list(W.EMOJI_NAMES.items())
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{next((c for p, c in W.EMOJI_CATEGORIES.items() if p in n), 'outro')}')" for e, n in _EMOJI) + ") AS t(emoji, categoria)")
-def emoji_categories(spark, d):
-    one = table(spark, d, "region").limit(1).select(F.explode(F.array(*[F.lit(e) for e, _ in _EMOJI])).alias("emoji"))
-    return one.select("emoji", T.emoji_category(T.emoji_name(F.col("emoji"))).alias("categoria"))
-
-
-@query("SELECT source, round(avg((len(regexp_extract_all(text, '\\[.*?\\]')) > 0)::INT), 4) AS com_tag, sum(len(regexp_extract_all(text, '\\[.*?\\]')))::BIGINT AS tags FROM documents GROUP BY 1")
-def tag_share(spark, d):
-    tags = F.size(T.tag_cues(F.col("text")))
-    return _docs(spark, d).groupBy("source").agg(F.round(F.avg((tags > 0).cast("int")), 4).alias("com_tag"), F.sum(tags).alias("tags"))
-
-
-# --- scores and keywords
-
-
-@query("""WITH p AS (SELECT page_id, lower(trim(replace(coalesce(try(url_decode(s)), s), '_', ' '))) AS slug, page_id FROM (SELECT page_id, string_split(regexp_replace(trim(url), '/+$', ''), '/')[-1] AS s FROM pages))
-SELECT page_id, array_to_string(list_sort(list_distinct(list_filter([slug, CASE WHEN page_id % 2 = 0 THEN 'humor' END, 'a', 'b tag'], lambda x: x IS NOT NULL AND x <> ''))), ', ') AS chaves FROM p""")
-def keyword_assembly(spark, d):
-    category = F.when(F.col("page_id") % 2 == 0, F.lit("Humor"))
-    keys = T.keyword_list(F.array(T.slug(F.col("url"))), category, F.lit("see #A"), F.array(F.lit(" B tag"), F.lit("a")))
-    return table(spark, d, "pages").select("page_id", keys.alias("chaves"))
-
-
-@query(f"""WITH w AS (SELECT doc_id, len({WS}) AS n, len(list_filter(string_split_regex(left(text, 100), '\\s+'), lambda t: t <> '')) AS h, length({_FIRST}) AS f FROM documents),
-s AS (SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE 1 + greatest(0, 1 - greatest(n - 8, 0) / 8.0) + least(1.0, n / 15.0) END AS capa, least(1.0, h / 15.0) AS descricao, 0.5 + CASE WHEN f BETWEEN 40 AND 70 THEN 1.0 ELSE greatest(0.0, 1 - abs(f - 55) / 55.0) END AS titulo FROM w)
-SELECT doc_id, round(capa, 4)::DOUBLE AS capa, round(descricao, 4)::DOUBLE AS descricao, round(titulo, 4)::DOUBLE AS titulo,
-round(((capa - min(capa) OVER ()) / (max(capa) OVER () - min(capa) OVER ()) + (descricao - min(descricao) OVER ()) / (max(descricao) OVER () - min(descricao) OVER ()) + (titulo - min(titulo) OVER ()) / (max(titulo) OVER () - min(titulo) OVER ())) / 3, 4)::DOUBLE AS clickbait FROM s""")
-def clickbait_parts(spark, d):
-    t = F.col("text")
-    bare = F.regexp_replace(T.first_line(t), "[#@]", " ")
-    rows = _docs(spark, d).select("doc_id", T.thumbnail_score(t, t).alias("capa"), T.description_score(F.regexp_replace(t, "#", " ")).alias("descricao"), T.title_score(bare, F.lit(0.5)).alias("titulo"))
-    edges = stats.min_max(rows.select("doc_id", *[F.col(c).alias(f"m_{c}") for c in ("capa", "descricao", "titulo")]), ["m_capa", "m_descricao", "m_titulo"])
-    mean = (F.col("m_capa") + F.col("m_descricao") + F.col("m_titulo")) / 3
-    return rows.join(edges, "doc_id").select("doc_id", *[F.round(c, 4).alias(c) for c in ("capa", "descricao", "titulo")], F.round(mean, 4).alias("clickbait"))
-
-
-@query("SELECT o_orderstatus, least(100.0, greatest(4.0, round(100.0 * count(*) / (SELECT count(*) FROM orders)))) AS pct FROM orders GROUP BY 1")
-def percent_floor(spark, d):
-    counts = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).select("o_orderstatus", T.percent(F.col("n"), F.col("total"), 4).alias("pct"))
-
-
-@query("SELECT c_custkey, lower(trim(c_name)) AS nome, regexp_matches(lower(c_name) || '@x.y', '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') AS email_ok, regexp_matches(c_name, '[a-z]') AND regexp_matches(c_name, '[A-Z]') AND regexp_matches(c_name, '[0-9]') AND regexp_matches(c_name, '[^A-Za-z0-9]') AND length(c_name) >= 8 AS senha_ok FROM customer")
-def normalise_input(spark, d):
-    c = F.col("c_name")
-    return table(spark, d, "customer").select("c_custkey", T.normal_name(c).alias("nome"), T.valid_email(F.concat(c, F.lit("@x.y"))).alias("email_ok"), T.strong_password(c).alias("senha_ok"))
-
-
-@query("SELECT page_id, try_cast(replace(regexp_extract(url, '([0-9]+(?:[.,][0-9]+)?)', 1), ',', '.') AS DOUBLE) AS numero FROM pages")
-def number_in_text(spark, d):
-    return table(spark, d, "pages").select("page_id", T.first_number(F.col("url")).alias("numero"))
-
-
-@query("WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, md5(t) AS joined, true AS bounded FROM t")
-def chunk_text(spark, d):
-    rows = _docs(spark, d).select("doc_id", T.chunks(F.col("text"), 120).alias("c"))
-    return rows.select("doc_id", F.md5(F.array_join("c", " ")).alias("joined"), F.forall("c", lambda x: F.char_length(x) <= 120).alias("bounded"))
-
-
-# --- sets, arrays, alignment
-
-
-@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(p_name, ' ') || string_split(p_type, ' '))), ',') AS verbos FROM part")
-def set_union(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(F.array_union(F.split("p_name", " "), F.split("p_type", " "))), ",").alias("verbos"))
-
-
-@query("SELECT conv_id, len(list_filter(list(role), lambda r: r IN ('user', 'assistant')))::BIGINT AS kept FROM conversations GROUP BY 1")
-def typed_items(spark, d):
-    roles = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("roles"))
-    return roles.select("conv_id", F.size(F.filter("roles", lambda r: r.isin("user", "assistant"))).cast("long").alias("kept"))
-
-
-@query("SELECT doc_id, quality::BIGINT AS quality, lang FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL")
-def aligned_columns(spark, d):
-    rows = _docs(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return rows.na.drop(subset=["quality", "lang", "n_chars"]).select("doc_id", F.col("quality").cast("long").alias("quality"), "lang")
-
-
-@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.quality::BIGINT AS quality, b.n::BIGINT AS n FROM (SELECT doc_id, quality FROM labels) a FULL JOIN (SELECT doc_id, n_chars AS n FROM documents WHERE doc_id % 3 = 0) b ON a.doc_id = b.doc_id")
-def outer_alignment(spark, d):
-    a = table(spark, d, "labels").select("doc_id", F.col("quality").cast("long").alias("quality"))
-    b = _docs(spark, d).where("doc_id % 3 = 0").select("doc_id", F.col("n_chars").cast("long").alias("n"))
-    return a.join(b, "doc_id", "full")
-
-
-@query("""SELECT n_regionkey, r_name AS regiao, array_to_string(list_sort(list(n_name)), ',') AS nacoes FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""")
-def nested_projection(spark, d):
-    nested = table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.struct("n_name").alias("nation"))).alias("links"))
-    flat = nested.select("n_regionkey", F.explode("links.nation").alias("n")).select("n_regionkey", "n.n_name")
-    names = flat.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("nacoes"))
-    return service.lookup(names, table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("regiao")), ["n_regionkey"], "regiao", "Unknown")
-
-
-@query("""WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 12) AS cos FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id)
-SELECT label, a, b, round(cos, 5) + 0.0 AS cos FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY cos, a, b) = 1""")
-def farthest_pair(spark, d):
-    return vectors.farthest_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", ["label"]).withColumn("cos", F.round("cos", 5) + 0.0)
+def _ngram_scores(spark, d, sizes, features):
+    docs = _docs(spark, d)
+    rows = P.ngram_rows(docs.repartition(F.col("doc_id")), T.content_tokens(F.col("text")), ["doc_id"], sizes)
+    n = bags.row_count(docs)
+    scores = bags.mean_tfidf(bags.tfidf_of(rows, "doc_id", n, features=features), n).withColumn("m", F.round("mean_score", 6))
+    return scores.orderBy(F.desc("m"), "term").limit(20).select("term", F.round("m", 5).alias("mean_score"))
 
 
-# --- candidate terms
+@query(_ngram_sql((2,), 200))
+def tfidf_ngrams(spark, d):
+    return _ngram_scores(spark, d, (2,), 200)
 
 
-@query(f"""WITH t AS (SELECT lang, doc_id, unnest({CONTENT}) AS term FROM documents), s AS (SELECT lang, count(*) AS rows FROM documents GROUP BY 1), tf AS (SELECT lang, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
-w AS (SELECT lang, term, count(*) AS df FROM tf GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sum(tf) DESC, term) <= 50), raw AS (SELECT lang, doc_id, term, tf * (ln((1.0 + rows) / (1.0 + df)) + 1) AS w, rows FROM tf JOIN w USING (lang, term) JOIN s USING (lang)),
-x AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY lang, doc_id)) AS score FROM raw) SELECT lang, term, round(round(sum(score) / any_value(rows), 6), 4) AS score FROM x GROUP BY 1, 2""")
-def candidate_terms(spark, d):
-    return terms.candidate_terms(_docs(spark, d), T.content_tokens(F.col("text")), "doc_id", ["lang"]).select("lang", "term", F.round("score", 4).alias("score"))
+@query(_ngram_sql((3,), 200))
+def tfidf_trigrams(spark, d):
+    return _ngram_scores(spark, d, (3,), 200)
 
 
-@query(f"""WITH t AS (SELECT doc_id, {CONTENT} AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM t), tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2),
-w AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 QUALIFY row_number() OVER (ORDER BY sum(tf) DESC, term) <= 200), raw AS (SELECT doc_id, term, tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS w FROM tf JOIN w USING (term)),
-x AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS score FROM raw), m AS (SELECT term, round(sum(score) / (SELECT count(*) FROM documents), 6) AS m FROM x GROUP BY 1) SELECT term, round(m, 5) AS mean_score FROM m ORDER BY m DESC, term LIMIT 20""")
-def tfidf_ngrams(spark, d):
-    docs = _docs(spark, d)
-    n = docs.count()
-    rows = P.ngram_rows(docs.repartition(F.col("doc_id")), T.content_tokens(F.col("text")), ["doc_id"], (2,))
-    scores = bags.mean_tfidf(bags.tfidf_of(rows, "doc_id", n, features=200), n).withColumn("m", F.round("mean_score", 6))
-    return scores.orderBy(F.desc("m"), "term").limit(20).select("term", F.round("m", 5).alias("mean_score"))
+@query(_ngram_sql((2, 3), 300))
+def tfidf_two_three_grams(spark, d):
+    return _ngram_scores(spark, d, (2, 3), 300)
 
 
 _CENTRE = "m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY 1)"

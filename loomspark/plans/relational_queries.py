@@ -155,8 +155,8 @@ c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY 1)
 SELECT vec_id, c.label AS centroid_label, round(list_cosine_similarity(embedding::DOUBLE[], c), 4) + 0.0 AS cos FROM embeddings CROSS JOIN c""")
 def cosine_cross(spark, d):
     e = table(spark, d, "embeddings")
-    few = stats.few(vectors.centroids(e, "embedding", ["label"]).withColumnRenamed("label", "centroid_label"))  # counted: one row for each label
-    return e.crossJoin(few).select("vec_id", "centroid_label", (F.round(vectors.cosine(F.col("embedding"), F.col("centroid")), 4) + 0.0).alias("cos"))
+    centres = vectors.centroids(e, "embedding", ["label"]).withColumnRenamed("label", "centroid_label")
+    return vectors.with_each(e.select("vec_id", "embedding"), centres, ("centroid_label", "centroid")).select("vec_id", "centroid_label", (F.round(vectors.cosine(F.col("embedding"), F.col("centroid")), 4) + 0.0).alias("cos"))
 
 
 @query("""SELECT strftime(o_orderdate, '%Y-%m') AS mes, count(*)::BIGINT AS n FROM orders GROUP BY 1""")

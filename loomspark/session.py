@@ -1,8 +1,11 @@
-"""A session with the settings that the engine is tuned for."""
+"""A session with the settings that the engine is tuned for, and the folder for tables between jobs."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "loomspark", **settings: str) -> SparkSession:
@@ -17,3 +20,35 @@ def session(name: str = "loomspark", **settings: str) -> SparkSession:
     for k, v in (defaults | settings).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share; a temporary folder stands for it in local mode only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="loomspark-")
+        spark.sparkContext.setCheckpointDir(path)
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read again: worked out once, read by columns, safe from lost executors."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """The finished tables in a folder at a path that Spark can read, by name; none if it does not exist."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = jvm.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.listStatus(target) if fs.exists(target) else []
+    return sorted(f.getPath().toString() for f in found if f.isDirectory() and fs.exists(jvm.Path(f.getPath(), "_SUCCESS")))

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from loomspark.operators import bags, filters, learned, patterns, service, stats, vectors
+from loomspark.operators import bags, filters, patterns, service, stats, vectors
 from loomspark.sources import readers
 
 
@@ -77,22 +77,6 @@ def test_representatives_are_diverse(spark):
     assert picks == [0, 1, 3]  # nearest to the centroid, then the two of the rest that are least alike
 
 
-def test_density_clusters(spark):
-    r = np.random.default_rng(0)
-    rows = [(i, "n", (np.array([10.0 * (i % 2), 0]) + 0.1 * r.standard_normal(2)).tolist()) for i in range(30)]
-    out = {x["id"]: x["cluster"] for x in learned.density_clusters(spark.createDataFrame(rows, "id int, g string, v array<double>"), "id", "v", "g").collect()}
-    assert len({out[i] for i in range(0, 30, 2)}) == 1 and len({out[i] for i in range(1, 30, 2)}) == 1 and out[0] != out[1]
-
-
-def test_density_clusters_do_not_depend_on_blocks(spark):
-    r = np.random.default_rng(1)
-    points = [*(r.uniform(-50, 50, (250, 2))), *([60.0, 60.0] + 0.01 * r.standard_normal((10, 2))), *([-70.0, 0.0] + 0.01 * r.standard_normal((40, 2)))]
-    frame = spark.createDataFrame([(i, "n", x.tolist()) for i, x in enumerate(points)] + [(900, "one", [0.0, 0.0])], "id int, g string, v array<double>")
-    whole, cut = ({x["id"]: x["cluster"] for x in learned.density_clusters(frame, "id", "v", "g", block=b).collect()} for b in (10_000, 30))
-    assert whole == cut and len(cut) == 301 and cut[900] == -1
-    assert len({cut[i] for i in range(250, 260)}) == 1 and len({cut[i] for i in range(260, 300)}) == 1 and -1 not in (cut[250], cut[260]) and cut[250] != cut[260]
-
-
 def test_sources_round_trip(spark, tmp_path):
     (tmp_path / "silver.csv").write_text('video_id,nicho,titulo,tags\n' + 'v1,comedy,"line one\nline ""two""","[\'A\', \'b\']"\n' + "v2,tech, ,\n")
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "silver.csv"))
@@ -112,16 +96,6 @@ def test_rank_test_has_the_p_values_of_the_t_distribution(spark):
     assert [r["g"] for r in out] == ["g"] and 0 < out[0]["p"] < 1 and not out[0]["significant"]
 
 
-def test_percentiles_are_exact_with_ties_and_without_groups(spark):
-    r = np.random.default_rng(4)
-    x = np.concatenate([r.integers(0, 5, 300), r.integers(0, 1000, 200), [7] * 400]).astype(float)
-    rows = spark.createDataFrame([(v,) for v in x.tolist()] + [(None,)], "x double")
-    shares = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
-    assert np.allclose(stats.percentiles(rows, "x", shares).first()["p"], np.quantile(x, shares))
-    ranks = {v["x"]: v["before"] for v in stats.ranked_values(rows, "x").collect()}
-    assert all(n == (x < v).sum() for v, n in ranks.items())
-
-
 def test_farthest_pair_over_blocks(spark):
     r = np.random.default_rng(5)
     x = r.standard_normal((60, 4))
