@@ -1,7 +1,7 @@
 """WARC archives as a Spark data source, and the archive of a table of pages.
 
-``read_warc`` plans whole files into partitions. A task parses a record's headers first; where the
-pushed predicates on type and headers turn a record down, or no column asks for payloads, its block is
+``read_warc`` plans whole files into partitions. A task parses a record's headers first; where
+predicates on type and headers turn a record down, or no column asks for payloads, its block is
 passed over: by a seek in plain files and in gzip members that carry their length (extra field ``sl``),
 by inflating without keeping in other members. ``write_warc`` writes one gzip member a record and lists
 the files of finished tasks in a versioned manifest, so what a lost task left behind is never read.
@@ -15,7 +15,7 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -28,7 +28,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import discard, give_back, materialize, new_path
 
@@ -124,12 +124,19 @@ class Member:
         self.file.seek(8 - len(self.inflate.unused_data), io.SEEK_CUR)  # the trailer
 
 
-def parse_head(record: Plain | Member, first: bytes | None = None) -> tuple[str, dict[str, str]]:
-    """The first line and the fields up to the blank line; folded lines are joined, of repeated fields the first counts."""
+def parse_head(record, first: bytes | None = None) -> tuple[str, dict[str, str]]:
+    """The first line and the fields up to the blank line; folded lines are joined, of repeated fields the first counts.
+
+    The head of a record must end in a blank line; that of an HTTP message may end with its block.
+    """
     status = (first if first is not None else record.line()).decode("utf-8", "replace").strip()
     fields: dict[str, str] = {}
     last = None
-    while (line := record.line()) not in (b"\r\n", b"\n", b""):
+    while (line := record.line()) not in (b"\r\n", b"\n"):
+        if not line:
+            if isinstance(record, Counted):
+                break
+            raise ValueError("the head of a record is cut off")
         text = line.decode("utf-8", "replace").rstrip("\r\n")
         if text[:1] in (" ", "\t") and last:
             fields[last] += " " + text.strip()
@@ -277,6 +284,10 @@ TESTS = {
 }
 
 
+#: Names of the tests for explicit predicates.
+TEST_NAMES = {"=": EqualTo, "in": In, "<": LessThan, "<=": LessThanOrEqual, ">": GreaterThan, ">=": GreaterThanOrEqual, "prefix": StringStartsWith, "suffix": StringEndsWith, "contains": StringContains, "null": IsNull, "not null": IsNotNull}
+
+
 class Wanted:
     """A pushed predicate on a header column."""
 
@@ -294,7 +305,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.path = schema, options["path"]
         self.split = int(options.get("splitbytes") or SPLIT_BYTES)
-        self.wanted: list[Wanted] = []
+        self.wanted = [Wanted(column, TEST_NAMES[test], value) for column, test, value in json.loads(options.get("where") or "[]")]
 
     def partitions(self) -> list[Files]:
         """Whole files in order, about ``splitBytes`` of them in a partition; a larger file stands alone."""
@@ -416,7 +427,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc")`` and ``df.write.format("warc")``. Options: path, splitBytes, fileBytes, level, pushdown."""
+    """``spark.read.format("warc")`` and ``df.write.format("warc")``. Options: path, where, pushdown, splitBytes, fileBytes, level."""
 
     @classmethod
     def name(cls) -> str:
@@ -436,15 +447,24 @@ class WarcSource(DataSource):
         return WarcWriter(schema, self._options(), overwrite)
 
 
-def read_warc(spark: SparkSession, path: str, columns: str = SCHEMA, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, columns: str = SCHEMA, where: Sequence[tuple] = (), pushdown: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The records of an archive folder or file with ``columns`` (a part of ``SCHEMA``); payloads are decoded if they are among them.
 
-    ``path`` is what pyarrow opens: a local path or a URI of file, hdfs, s3 or gs. Push-down needs the session setting
-    ``spark.sql.python.filterPushdown.enabled``, which this sets, as plans are made later.
+    ``path`` is what pyarrow opens: a local path or a URI of file, hdfs, s3 or gs. ``where`` has predicates on header columns that all records
+    must meet, as (column, test, value) with a test of ``TEST_NAMES``; others are passed over in the file.
+
+    ``pushdown`` hands the filters of a query down by themselves. Spark 4.1 keeps what it pushed with the DataFrame: its next query is safe, as
+    it gets a predicate that always holds, but one query that uses the same DataFrame twice with unlike filters is not, so it is off by default. It
+    needs ``spark.sql.python.filterPushdown.enabled``, which is set then, as plans are made later.
     """
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").schema(columns).option("pushdown", "true").option("splitBytes", split_bytes).load(path)
+    reader = spark.read.format("warc").option("splitBytes", split_bytes).option("where", json.dumps([list(w) for w in where]))
+    if not pushdown:
+        return reader.schema(columns).load(path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    asked = StructType.fromDDL(columns)
+    schema = asked if "content_length" in asked.names else StructType([*asked.fields, StructField("content_length", LongType())])
+    return reader.schema(schema).option("pushdown", "true").load(path).where("content_length >= 0").select(*asked.names)
 
 
 def write_warc(df: DataFrame, path: str, mode: str = "append", file_bytes: int = FILE_BYTES) -> None:
@@ -490,8 +510,8 @@ def archived_pages(pages: DataFrame, path: str | None = None, least_bytes: int =
     path = path or new_path(spark, "warc")
     written = page_records(pages, least_bytes)
     write_warc(written, path)
-    found = read_warc(spark, path, "record_id string, warc_type string, refers_to string, payload_digest string, payload_length long, payload binary")
-    found = found.where(F.col("warc_type").isin("response", "revisit"))
+    columns = "record_id string, warc_type string, refers_to string, payload_digest string, payload_length long, payload binary"
+    found = read_warc(spark, path, columns, [("warc_type", "in", ["response", "revisit"])])
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]*)>$", 1).try_cast("long")
     read = F.col("payload").isNotNull()
     return found.select(
