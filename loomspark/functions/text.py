@@ -234,9 +234,13 @@ def keyword_tails(terms: Column) -> Column:
 
 
 def list_literal(c: Column) -> Column:
-    """A list written as text, in brackets or comma separated, as lower-case items."""
+    """A list written as text, in brackets or comma separated, as lower-case items; quoted items may hold commas and escapes."""
     inner = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s*\[|\]\s*$", "")
-    return F.filter(F.transform(F.split(inner, ","), lambda t: F.lower(F.regexp_replace(F.trim(t), r"^['\"]+|['\"]+$", ""))), lambda t: t != "")
+    single, double = r"'(?:[^'\\]|\\.)*'", r'"(?:[^"\\]|\\.)*"'
+    items = F.regexp_extract_all(inner, F.lit(rf"(?:^|,)\s*({single}|{double}|[^,]*?)\s*(?=,|$)"), F.lit(1))
+    quoted = lambda t: t.rlike(f"^(?:{single}|{double})$")
+    bare = lambda t: F.when(quoted(t), F.regexp_replace(F.substring(t, F.lit(2), F.char_length(t) - 2), r"\\(.)", "$1")).otherwise(F.regexp_replace(F.trim(t), r"^['\"]+|['\"]+$", ""))
+    return F.filter(F.transform(items, lambda t: F.lower(F.trim(bare(t)))), lambda t: t != "")
 
 
 def slug(url: Column) -> Column:
@@ -431,9 +435,9 @@ def sentiment(score: Column, edge: float = 0.05) -> Column:
 
 def emotion_impact(toks: Column, most: float = 1.0) -> Column:
     """Words of an impact emotion among all words, a word counting once for each of its emotions, at most ``most``."""
-    hits = lambda ws: F.size(F.filter(toks, lambda t: t.isin(*ws)))
-    total = sum((hits(ws) for ws in list(W.EMOTIONS.values())[1:]), hits(W.EMOTIONS["fear"]))
-    return F.least(F.lit(float(most)), ratio(total, F.size(toks), 3))
+    kinds = F.create_map(*[x for w in sorted(set().union(*W.EMOTIONS.values())) for x in (F.lit(w), F.lit(sum(w in ws for ws in W.EMOTIONS.values())))])
+    share = lambda own: ratio(F.aggregate(own, F.lit(0), lambda n, t: n + F.coalesce(F.element_at(kinds, t), F.lit(0))), F.size(own), 3)
+    return F.least(F.lit(float(most)), F.get(F.transform(F.array(toks), share), F.lit(0)))
 
 
 def noise_flags(c: Column) -> Column:

@@ -108,6 +108,18 @@ def mean_tfidf(scores: DataFrame, n_rows: DataFrame) -> DataFrame:
     return sums.crossJoin(F.broadcast(n_rows.toDF("_rows"))).select("term", (F.col("_sum") / F.col("_rows")).alias("mean_score"))
 
 
+def similarity_to_mean(df: DataFrame, terms: Column, row: str, features: int) -> DataFrame:
+    """(row, sim): the cosine of each row's TF-IDF vector and the mean vector of all rows; rows without a term are left out.
+
+    The mean is a sparse vector of at most ``features`` terms, so it is broadcast and a row's terms stay in their task.
+    """
+    scores = tfidf(df, terms, row, features=features)
+    mean = mean_tfidf(scores, row_count(df))
+    size = mean.agg(F.sqrt(F.sum(F.col("mean_score") * F.col("mean_score"))).alias("_size"))
+    near = scores.join(F.broadcast(mean), "term").groupBy(row).agg(F.sum(F.col("score") * F.col("mean_score")).alias("_dot"))
+    return near.crossJoin(F.broadcast(size)).select(row, F.try_divide(F.col("_dot"), F.col("_size")).alias("sim"))
+
+
 def ngram_tfidf(df: DataFrame, toks: Column, row: str, sizes: Sequence[int], features: int, k: int, sublinear: bool = False) -> DataFrame:
     """(term, mean_score): the ``k`` n-grams of the given sizes with the largest mean TF-IDF."""
     rows = ngram_rows(df.repartition(F.col(row)), toks, [row], sizes)

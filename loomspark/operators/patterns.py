@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import positional as P
 from ..functions import text as T
-from ..session import new_folder, stored
+from ..session import new_folder, spread, stored
 from . import density, terms, vectors
 from .embedding import Encoder, HashedGrams, embedded
 from .stats import mode, top_rows, with_groups
@@ -205,7 +205,7 @@ def diverse_examples(texts: DataFrame, vector: DataFrame, niche: str = "nicho",
     """
     rows = texts.join(vector, "text").withColumn("_id", F.xxhash64(niche, "topic", "row"))
     rows = stored(rows.withColumn("_group", F.xxhash64(F.coalesce(niche, F.lit("")), F.col(niche).isNull(), "topic")), "examples")
-    found = density.density_clusters(rows, "_id", "vector", "_group")
+    found = stored(density.density_clusters(rows, "_id", "vector", "_group"), "clusters")
     fit = rows.join(found, ["_group", "_id"]).where(F.size(T.ws_tokens(F.col("text"))) >= 3)
     some = fit.groupBy("_group").agg(F.max(F.col("cluster") >= 0).alias("_some"))
     pool = stored(fit.join(some, "_group").where(F.col("cluster").cast("int") >= F.when(F.col("_some"), 0).otherwise(-1)), "pool")
@@ -237,7 +237,7 @@ def pattern_documents(df: DataFrame, niche: str = "nicho", text: str = "texto",
     Features, vectors and examples are stored tables of the shared folder. ``load`` makes the model of text vectors,
     ``cache`` is the folder that remembers them over runs. A null niche is a niche.
     """
-    rows = stored(features(df, niche, text), "features")
+    rows = stored(features(spread(df), niche, text), "features")
     scalars = stored(pattern_scalars(rows, niche), "scalars")  # one row a niche
     bags = pattern_bags(rows, scalars, niche)
     memory = cache or new_folder(df.sparkSession, "vectors")

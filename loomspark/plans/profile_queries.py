@@ -246,15 +246,6 @@ def word_classes(spark, d):
     return bags.exploded(_docs(spark, d), T.content_tokens(F.col("text")), []).groupBy(T.word_class(F.col("term")).alias("classe")).agg(F.count("*").alias("n"))
 
 
-_EMOJI = list(W.EMOJI_NAMES.items())
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{next((c for p, c in W.EMOJI_CATEGORIES.items() if p in n), 'outro')}')" for e, n in _EMOJI) + ") AS t(emoji, categoria)")
-def emoji_categories(spark, d):
-    one = table(spark, d, "region").limit(1).select(F.explode(F.array(*[F.lit(e) for e, _ in _EMOJI])).alias("emoji"))
-    return one.select("emoji", T.emoji_category(T.emoji_name(F.col("emoji"))).alias("categoria"))
-
-
 @query("SELECT source, round(avg((len(regexp_extract_all(text, '\\[.*?\\]')) > 0)::INT), 4) AS com_tag, sum(len(regexp_extract_all(text, '\\[.*?\\]')))::BIGINT AS tags FROM documents GROUP BY 1")
 def tag_share(spark, d):
     tags = F.size(T.tag_cues(F.col("text")))
@@ -272,14 +263,22 @@ def keyword_assembly(spark, d):
     return table(spark, d, "pages").select("page_id", keys.alias("chaves"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, len({WS}) AS n, len(list_filter(string_split_regex(left(text, 100), '\\s+'), lambda t: t <> '')) AS h, length({_FIRST}) AS f FROM documents),
-s AS (SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE 1 + greatest(0, 1 - greatest(n - 8, 0) / 8.0) + least(1.0, n / 15.0) END AS capa, least(1.0, h / 15.0) AS descricao, 0.5 + CASE WHEN f BETWEEN 40 AND 70 THEN 1.0 ELSE greatest(0.0, 1 - abs(f - 55) / 55.0) END AS titulo FROM w)
+_TITLE_TERMS = CONTENT.replace("lower(text)", f"lower({_FIRST})")
+
+
+@query(f"""WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TITLE_TERMS}) AS term FROM documents) GROUP BY 1, 2), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 QUALIFY row_number() OVER (ORDER BY sum(tf) DESC, term) <= 5000),
+raw AS (SELECT doc_id, term, tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS w FROM tf JOIN dfs USING (term)), u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS score FROM raw),
+m AS (SELECT term, sum(score) / (SELECT count(*) FROM documents) AS m FROM u GROUP BY 1), c AS (SELECT doc_id, sum(score * m) / (SELECT sqrt(sum(m * m)) FROM m) AS sim FROM u JOIN m USING (term) GROUP BY 1),
+w AS (SELECT doc_id, coalesce(sim, 0) AS sim, len({WS}) AS n, len(list_filter(string_split_regex(left(text, 100), '\\s+'), lambda t: t <> '')) AS h, length({_FIRST}) AS f FROM documents LEFT JOIN c USING (doc_id)),
+s AS (SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE 1 + greatest(0, 1 - greatest(n - 8, 0) / 8.0) + least(1.0, n / 15.0) END AS capa, least(1.0, h / 15.0) AS descricao, sim + CASE WHEN f BETWEEN 40 AND 70 THEN 1.0 ELSE greatest(0.0, 1 - abs(f - 55) / 55.0) END AS titulo FROM w)
 SELECT doc_id, round(capa, 4)::DOUBLE AS capa, round(descricao, 4)::DOUBLE AS descricao, round(titulo, 4)::DOUBLE AS titulo,
 round(((capa - min(capa) OVER ()) / (max(capa) OVER () - min(capa) OVER ()) + (descricao - min(descricao) OVER ()) / (max(descricao) OVER () - min(descricao) OVER ()) + (titulo - min(titulo) OVER ()) / (max(titulo) OVER () - min(titulo) OVER ())) / 3, 4)::DOUBLE AS clickbait FROM s""")
 def clickbait_parts(spark, d):
     t = F.col("text")
     bare = F.regexp_replace(T.first_line(t), "[#@]", " ")
-    rows = _docs(spark, d).select("doc_id", T.thumbnail_score(t, t).alias("capa"), T.description_score(F.regexp_replace(t, "#", " ")).alias("descricao"), T.title_score(bare, F.lit(0.5)).alias("titulo"))
+    near = bags.similarity_to_mean(_docs(spark, d), T.content_tokens(T.first_line(t)), "doc_id", 5000)
+    rows = _docs(spark, d).join(near, "doc_id", "left")
+    rows = rows.select("doc_id", T.thumbnail_score(t, t).alias("capa"), T.description_score(F.regexp_replace(t, "#", " ")).alias("descricao"), T.title_score(bare, F.coalesce("sim", F.lit(0.0))).alias("titulo"))
     edges = stats.min_max(rows.select("doc_id", *[F.col(c).alias(f"m_{c}") for c in ("capa", "descricao", "titulo")]), ["m_capa", "m_descricao", "m_titulo"])
     mean = (F.col("m_capa") + F.col("m_descricao") + F.col("m_titulo")) / 3
     return rows.join(edges, "doc_id").select("doc_id", *[F.round(c, 4).alias(c) for c in ("capa", "descricao", "titulo")], F.round(mean, 4).alias("clickbait"))
@@ -407,64 +406,6 @@ def zero_shot(spark, d):
     return terms.zero_shot(e.crossJoin(F.broadcast(both)), "embedding", F.col("a"), F.col("b")).select("vec_id", (F.round("sim", 4) + 0.0).alias("sim"))
 
 
-# --- operators that the tables only reach through constants
-
-
-_HOOKS = "(1, 'Why is this the best secret?'), (2, 'Stop making this mistake'), (3, '7 lies exposed!'), (4, 'a quiet day')"
-
-
-@query(f"SELECT id, t LIKE 'Why%' OR contains(t, '?') AS question, t LIKE 'Stop%' AS imperative, contains(t, 'mistake') AS problem, contains(t, 'secret') OR contains(t, 'best') AS promise, contains(t, 'exposed') AS polemic, regexp_matches(t, '^[0-9]') AS number, regexp_matches(t, '[?!]') AS mark FROM (VALUES {_HOOKS}) AS h(id, t)")
-def hook_flags(spark, d):
-    rows = spark.sql(f"SELECT * FROM VALUES {_HOOKS} AS h(id, t)")
-    return rows.select("id", T.hook_flags(F.col("t")).alias("f")).select("id", "f.*")
-
-
-@query("SELECT * FROM (VALUES (1, 'direto', 0.9, 'inicio'), (2, 'suave', 0.2, 'fim'), (3, 'ausente', 0.0, 'ausente')) AS t(id, intensidade, score, posicao)")
-def cta_rules(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES (1, 'Subscribe and like now, watch the story of a house on a hill'), (2, 'this is a long story of a house, share'), (3, 'nothing here') AS t(id, t)")
-    out = rows.select("id", T.cta(F.col("t")).alias("c")).select("id", "c.*")
-    return out.select("id", "intensidade", F.col("score").cast("decimal(2,1)").alias("score"), "posicao")
-
-
-@query("SELECT * FROM (VALUES (1, '[music] (laughs) ♪', 'hi there', true, 'musica'), (2, '', 'plain words', false, 'efeito')) AS t(id, pistas, limpo, dialogo, audio)")
-def transcript_cleaning(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES (1, '>> Ann: [music] hi (laughs) [music] ♪ >> Bob: there'), (2, 'plain  words') AS t(id, t)")
-    t = F.col("t")
-    cues = F.array_join(T.audio_cues(t), " ")
-    return rows.select("id", cues.alias("pistas"), T.clean_transcript(t).alias("limpo"), T.is_dialogue(t).alias("dialogo"), T.audio_category(cues).alias("audio"))
-
-
-@query("SELECT * FROM (VALUES ('🔥', 'inicio', 1), ('😂', 'fim', 2)) AS t(emoji, posicao, id)")
-def emoji_places(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES (1, '🔥 what a day it was today'), (2, 'what a day it was 😂') AS t(id, t)")
-    return rows.select("id", F.explode(T.emoji_positions(F.col("t"))).alias("e")).select("e.emoji", "e.posicao", "id")
-
-
-@query("SELECT * FROM (VALUES (1, 'big news', 'big news', '🎉🔥')) AS t(id, titulo, capa, emojis)")
-def title_cleaning(spark, d):
-    rows = spark.sql("SELECT 1 AS id, 'big news #now @me 🔥🎉🔥' AS t, 'big news ann_123 #x' AS c")
-    return rows.select("id", T.clean_title(F.col("t")).alias("titulo"), T.clean_cover(F.col("c")).alias("capa"), T.emoji_set(F.col("t")).alias("emojis"))
-
-
-@query("SELECT * FROM (VALUES (1, 0.5, true), (2, 0.0, false)) AS t(id, share, farm)")
-def link_farms(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES (1, 'text\nhttp://a.b/c'), (2, 'no link\n\nat all') AS t(id, t)")
-    share = T.link_line_share(F.col("t"))
-    return rows.select("id", share.cast("decimal(2,1)").alias("share"), (share >= 0.5).alias("farm"))
-
-
-@query("SELECT * FROM (VALUES (1, 'http and @user', true, 'Tech Review', 'ab'), (2, 'x', false, 'Humor', 'cd')) AS t(id, limpo, pessoa, rotulo, curto)")
-def label_cleaning(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES (1, 'http://a.b and @ann', 'two women', 'tech_review', 'ab文'), (2, 'x', 'a house', 'humor', 'cd') AS t(id, t, s, k, l)")
-    return rows.select("id", T.sentiment_input(F.col("t")).alias("limpo"), T.has_person(F.col("s")).alias("pessoa"), T.title_case(F.col("k")).alias("rotulo"), T.short_label(F.col("l")).alias("curto"))
-
-
-@query("SELECT * FROM (VALUES (1, 'a,b', '{\"x\": 1}'), (2, 'c,d', 'y')) AS t(id, itens, json)")
-def literal_lists(spark, d):
-    rows = spark.sql("""SELECT 1 AS id, "['A', 'b']" AS t, '```json\n{"x": 1}\n```' AS j UNION ALL SELECT 2, 'c, D', 'y'""")
-    return rows.select("id", F.array_join(T.list_literal(F.col("t")), ",").alias("itens"), T.unfenced(F.col("j")).alias("json"))
-
-
 # --- service writes
 
 
