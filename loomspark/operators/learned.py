@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import HashingTF, IDF, Normalizer, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+from .bags import tfidf
 from .stats import top_rows
 
 
@@ -43,12 +46,42 @@ def kmeans_by_silhouette(df: DataFrame, columns: Sequence[str], ks: Sequence[int
     return out.withColumns({"formato": F.concat(F.lit("formato_"), (F.col("prediction") + 1).cast("string")), "k": F.lit(best[1])}).drop("features", "prediction")
 
 
-def text_clusters(df: DataFrame, tokens: str, k: int | None = None, dims: int = 1 << 12, seed: int = 42) -> DataFrame:
-    """Rows with the ``cluster`` of their hashed TF-IDF vector; k is min(5, max(2, n // 5)) by default."""
-    k = k or min(5, max(2, df.count() // 5))
-    tf = HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=dims).transform(df)
-    unit = Normalizer(inputCol="_idf", outputCol="features").transform(IDF(inputCol="_tf", outputCol="_idf").fit(tf).transform(tf))
-    return KMeans(k=k, seed=seed, maxIter=10).fit(unit).transform(unit).drop("_tf", "_idf", "features").withColumnRenamed("prediction", "cluster")
+def text_clusters(df: DataFrame, text: str, tokens: Column, row: str, k: int | None = None, features: int = 200, starts: int = 3, seed: int = 42) -> DataFrame:
+    """(cluster, n, termos, amostras, proximas): k-means over TF-IDF vectors of the ``features`` commonest terms (sublinear, unit length).
+
+    ``termos`` are the six heaviest terms of a centre, ``amostras`` its first three texts by ``row``, ``proximas`` the three nearest to
+    the centre (ties: the smaller row). k is min(5, max(2, n // 5)) by default; below 2 k rows there are no clusters. The
+    best of ``starts`` runs counts. The vocabulary is all that comes to the driver. Rows without a term are zero vectors.
+    """
+    spark = df.sparkSession
+    result = f"cluster int, n long, termos array<string>, amostras array<{dict(df.dtypes)[text]}>, proximas array<{dict(df.dtypes)[text]}>"
+    n = df.count()
+    k = k or min(5, max(2, n // 5))
+    scores = tfidf(df, tokens, row, sublinear=True, features=features).persist()
+    try:
+        vocabulary = sorted(r[0] for r in scores.select("term").distinct().collect())  # at most ``features``
+        if n < 2 * k or not vocabulary:
+            return spark.createDataFrame([], result)
+        own = scores.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("term", "score"))).alias("_own"))
+        weights = F.transform(F.array(*map(F.lit, vocabulary)), lambda t: F.coalesce(F.element_at("_own", t), F.lit(0.0)))
+        rows = df.join(own, row, "left").select(F.col(row).alias("_row"), F.col(text).alias("_text"), F.coalesce(weights, F.array_repeat(F.lit(0.0), len(vocabulary))).alias("_v"))
+        rows = rows.withColumn("features", array_to_vector("_v")).persist()
+        models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(rows) for i in range(starts)]
+        best = min(models, key=lambda m: m.summary.trainingCost)
+        centres = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(best.clusterCenters())], "cluster int, _c array<double>")  # k rows
+        named = F.zip_with(F.array(*map(F.lit, vocabulary)), "_c", lambda t, w: F.struct((-w).alias("less"), t.alias("term")))
+        heavy = F.transform(F.slice(F.array_sort(named), 1, 6), lambda s: s["term"])
+        found = stored(best.transform(rows).select("_row", "_text", "_v", F.col("prediction").alias("cluster")), "clusters")
+        rows.unpersist()
+    finally:
+        scores.unpersist()
+    far = F.aggregate(F.zip_with("_v", "_c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    placed = found.join(F.broadcast(centres), "cluster").select("cluster", "_row", "_text", F.round(far, 12).alias("_far"))
+    first, near = top_rows(placed, ["cluster"], [F.asc("_row")], 3, rank="_p"), top_rows(placed, ["cluster"], [F.asc("_far"), F.asc("_row")], 3, rank="_p")
+    listed = lambda part, name: part.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_text"))), lambda s: s["_text"]).alias(name))
+    sizes = placed.groupBy("cluster").agg(F.count("*").alias("n"))
+    out = sizes.join(F.broadcast(centres.select("cluster", heavy.alias("termos"))), "cluster").join(listed(first, "amostras"), "cluster").join(listed(near, "proximas"), "cluster")
+    return out.select("cluster", "n", "termos", "amostras", "proximas")
 
 
 def feature_importance(df: DataFrame, columns: Sequence[str], label: str, trees: int = 200, least_rows: int = 20) -> DataFrame | None:
@@ -61,8 +94,3 @@ def feature_importance(df: DataFrame, columns: Sequence[str], label: str, trees:
     model = RandomForestClassifier(labelCol="_y", numTrees=trees, maxDepth=5, seed=42).fit(ready)
     pairs = [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)]
     return df.sparkSession.createDataFrame(pairs, "feature string, importance double")
-
-
-def cluster_terms(df: DataFrame, cluster: str, tokens: str, k: int = 6) -> DataFrame:
-    counts = df.select(cluster, F.explode(tokens).alias("term")).groupBy(cluster, "term").agg(F.count("*").alias("n"))
-    return top_rows(counts, [cluster], [F.desc("n"), F.asc("term")], k, rank="rank")

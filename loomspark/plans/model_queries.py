@@ -167,8 +167,9 @@ def kmeans_select_k(spark, d):
 
 @query()
 def kmeans_text(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", T.content_tokens(F.col("text")).alias("tokens"))
-    return learned.cluster_terms(learned.text_clusters(docs, "tokens"), "cluster", "tokens")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    latin = F.filter(T.content_tokens(F.col("text")), lambda t: t.rlike("^[a-z]{3,}$"))
+    return learned.text_clusters(docs, "text", latin, "doc_id")
 
 
 @query()
