@@ -6,7 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..session import stored
+from ..sources.transactions import TableSet
 from .stats import month_counts, top_rows
 
 
@@ -92,3 +95,52 @@ def infer(requests: DataFrame, patterns: DataFrame, nearest: DataFrame) -> DataF
 
 
 __all__ = ["feedback_stats", "infer", "latest", "link_niches", "lookup", "month_counts", "purge", "soft_delete", "sorted_by", "totals_and_groups", "unlink_niches", "upsert", "zero_filled"]
+
+
+def registrations(users: DataFrame, batch: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``batch`` (name, email, niche) with ``status``: ``conflict`` where the address is taken, ``duplicate`` where an earlier row has it, else ``registered``.
+
+    Addresses are compared without case and outer blanks; a row without one is ``invalid``. ``order`` is total within an address.
+    """
+    key = F.lower(F.trim("email"))
+    taken = users.select(key.alias("_email")).where("_email is not null").distinct().withColumn("_taken", F.lit(True))
+    first = F.row_number().over(Window.partitionBy("_email").orderBy(*order))
+    rows = batch.withColumn("_email", key).withColumn("_first", first).join(taken, "_email", "left")
+    status = F.when(F.coalesce("_email", F.lit("")) == "", "invalid").when(F.col("_taken"), "conflict").when(F.col("_first") > 1, "duplicate").otherwise("registered")
+    return rows.withColumn("status", status).drop("_taken", "_first").withColumnRenamed("_email", "address")
+
+
+def register(tables: TableSet, batch: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Register a batch in ``users``, ``niches`` and ``user_niches`` under one commit; the rows with their status.
+
+    A niche that does not exist is made. Ids are digests of the address and the niche's name, so a repeated attempt makes the same rows.
+    """
+    last: list[DataFrame] = []
+    digest = lambda c: F.md5(F.lower(F.trim(c)))
+
+    def change(store: TableSet, base: int) -> dict:
+        found = stored(registrations(store.read("users", base), batch, order), "registrations")
+        last[:] = [found]
+        fresh = found.where("status = 'registered'")
+        known = store.read("niches", base).select(F.lower(F.trim("name")).alias("_name"))
+        niches = fresh.where("niche is not null").select(F.lower(F.trim("niche")).alias("_name"), "niche").groupBy("_name").agg(F.min("niche").alias("name"))
+        niches = niches.join(known, "_name", "left_anti").select(digest("name").alias("id"), "name")
+        links = fresh.where("niche is not null").select(digest("address").alias("user_id"), digest("niche").alias("niche_id"))
+        return {"append": {"users": fresh.select(digest("address").alias("id"), "name", F.col("address").alias("email")), "niches": niches, "user_niches": links}}
+
+    tables.transact(change)
+    return last[0]
+
+
+def create_generations(tables: TableSet, requests: DataFrame) -> DataFrame:
+    """Append the requests (user_id, niche_id, content) whose user has the niche to ``generations``; all requests with ``accepted``."""
+    last: list[DataFrame] = []
+
+    def change(store: TableSet, base: int) -> dict:
+        own = store.read("user_niches", base).select("user_id", "niche_id").distinct().withColumn("_own", F.lit(True))
+        found = stored(requests.join(own, ["user_id", "niche_id"], "left").withColumn("accepted", F.coalesce("_own", F.lit(False))).drop("_own"), "requests")
+        last[:] = [found]
+        return {"append": {"generations": found.where("accepted").drop("accepted")}}
+
+    tables.transact(change)
+    return last[0]

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
-from ..operators import bags, stats
+from ..operators import bags, service, stats
+from ..session import new_folder
 from ..sources.readers import table
+from ..sources.transactions import TableSet
 from .statistics_queries import TOKENS, WORD
 
 QUERIES: dict = {}
@@ -206,3 +208,38 @@ def null_group_statistics(spark, d):
     rows = table(spark, d, "documents").join(labels, "doc_id", "left").select("quality", "n_chars")
     out = stats.with_groups(stats.describe(rows, "n_chars", ["quality"]), stats.tukey(rows, "n_chars", ["quality"]).select("quality", "outliers"), ["quality"])
     return out.select("quality", "n", *[F.round(c, 3).alias(c) for c in ("mean", "median", "q1", "q3")], "outliers")
+
+
+_BATCH = "b AS (SELECT c_custkey AS seq, c_name AS name, lower(c_name) || '@x.y' AS email, c_mktsegment AS niche FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey + 1000000000, c_name, '  ' || upper(c_name) || '@X.Y', 'late' FROM customer WHERE c_custkey % 6 = 3)"
+
+
+@query(f"""WITH {_BATCH}, u AS (SELECT DISTINCT lower(c_name) || '@x.y' AS email FROM customer WHERE c_custkey % 2 = 0), k AS (SELECT *, lower(trim(email)) AS address FROM b),
+s AS (SELECT *, CASE WHEN address IN (SELECT email FROM u) THEN 'conflict' WHEN row_number() OVER (PARTITION BY address ORDER BY seq) > 1 THEN 'duplicate' ELSE 'registered' END AS status FROM k)
+SELECT status, count(*)::BIGINT AS n, (SELECT count(*) FROM u) + (SELECT count(*) FROM s WHERE status = 'registered') AS users, (SELECT count(DISTINCT c_mktsegment) FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 6 = 3) AS niches, (SELECT count(*) FROM s WHERE status = 'registered') AS links FROM s GROUP BY 1""")
+def register_users(spark, d):
+    """Customers with even keys are users already; the others register in one batch, some of them twice."""
+    c = table(spark, d, "customer")
+    email = F.concat(F.lower("c_name"), F.lit("@x.y"))
+    store = TableSet(spark, new_folder(spark, "users"))
+    old = c.where("c_custkey % 2 = 0")
+    none = spark.createDataFrame([], "user_id string, niche_id string")
+    store.commit(0, append={"users": old.select(F.md5(email).alias("id"), F.col("c_name").alias("name"), email.alias("email")), "niches": old.select(F.md5(F.lower("c_mktsegment")).alias("id"), F.col("c_mktsegment").alias("name")).distinct(), "user_niches": none})
+    batch = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("long").alias("seq"), F.col("c_name").alias("name"), email.alias("email"), F.col("c_mktsegment").alias("niche"))
+    twice = c.where("c_custkey % 6 = 3").select((F.col("c_custkey") + F.lit(1_000_000_000)).cast("long").alias("seq"), F.col("c_name").alias("name"), F.concat(F.lit("  "), F.upper("c_name"), F.lit("@X.Y")).alias("email"), F.lit("late").alias("niche"))
+    found = service.register(store, batch.unionByName(twice), [F.asc("seq")])
+    size = lambda name: store.read(name).agg(F.count("*").alias(name))
+    out = found.groupBy("status").agg(F.count("*").alias("n"))
+    for name in ("users", "niches", "user_niches"):
+        out = out.crossJoin(F.broadcast(size(name)))
+    return out.withColumnRenamed("user_niches", "links")
+
+
+@query("SELECT o_orderkey, o_custkey % 4 = o_orderkey % 4 AS accepted FROM orders WHERE o_orderkey % 8 < 4")
+def create_generations(spark, d):
+    """Orders as requests: a customer has the niche of its key's remainder, a request is for that of the order's key."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    store = TableSet(spark, new_folder(spark, "generations"))
+    links = o.select(F.col("o_custkey").cast("string").alias("user_id"), (F.col("o_custkey") % 4).cast("string").alias("niche_id")).distinct()
+    requests = o.where("o_orderkey % 8 < 4").select(F.col("o_custkey").cast("string").alias("user_id"), (F.col("o_orderkey") % 4).cast("string").alias("niche_id"), "o_orderkey")
+    store.commit(0, append={"user_niches": links, "generations": requests.limit(0), "users": c.select("c_custkey")})
+    return service.create_generations(store, requests).select("o_orderkey", "accepted")
