@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import model_queries, planted_queries, profile_queries, relational_queries, statistics_queries, text_queries
+from . import model_queries, planted_queries, profile_queries, relational_queries, report_queries, statistics_queries, text_queries
 
-_MODULES = (relational_queries, statistics_queries, text_queries, model_queries, profile_queries, planted_queries)
+_MODULES = (relational_queries, statistics_queries, text_queries, model_queries, profile_queries, planted_queries, report_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
 
