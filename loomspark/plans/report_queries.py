@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import profile
+from ..operators import language, profile
 from ..sources.readers import table
 from .statistics_queries import WS
 
@@ -13,10 +13,11 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str):
+def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
+        if sql:
+            ORACLES[f.__name__] = sql
         return f
 
     return add
@@ -52,3 +53,21 @@ UNION ALL SELECT grupo, unnest(CASE WHEN r = 1 THEN ['categoria', 'dominante'] E
 ({" UNION ALL ".join(f"SELECT grupo, '{c}' AS campo, {c} AS chave, count(*) AS n FROM g WHERE {c} IS NOT NULL GROUP BY ALL" for c in _CATEGORIES)})) WHERE r <= 3""")
 def niche_profile(spark, d):
     return _profile(spark, d).withColumn("valor", F.round("valor", 4) + 0.0)
+
+
+_GRAMS = " || ".join(f"list_transform(range(1, length(w) - {k - 2}), lambda i: substring(w, i::INT, {k}))" for k in language.SIZES)
+
+
+@query(f"""WITH w AS (SELECT doc_id, lang, ' ' || unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}]+')) || ' ' AS w FROM documents), c AS (SELECT doc_id, lang, w, count(*) AS n FROM w GROUP BY ALL), g AS (SELECT doc_id, lang, n, unnest({_GRAMS}) AS gram FROM c),
+d AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY sum(n) DESC, gram) AS rank FROM g WHERE gram <> ' ' GROUP BY doc_id, gram QUALIFY rank <= {language.RANKS}),
+p AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) AS rank FROM g WHERE gram <> ' ' AND lang IS NOT NULL GROUP BY lang, gram QUALIFY rank <= {language.RANKS}),
+m AS (SELECT doc_id, lang, sum({language.RANKS} - abs(d.rank - p.rank)) AS near FROM d JOIN p USING (gram) GROUP BY ALL), b AS (SELECT doc_id, lang, near FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY near DESC, lang) = 1)
+SELECT x.doc_id, b.lang AS detected, coalesce(round(near / (k * {language.RANKS}.0), 4), 0)::DOUBLE AS score FROM (SELECT DISTINCT doc_id FROM documents) x LEFT JOIN b USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS k FROM d GROUP BY 1) s USING (doc_id)""")
+def language_detect(spark, d):
+    docs = table(spark, d, "documents")
+    return language.detect(docs, "text", "doc_id", language.profiles(docs, "text", "lang"), "lang").withColumn("score", F.round("score", 4))
+
+
+@query()
+def stemmed_bigrams(spark, d):
+    return language.stemmed_grams(table(spark, d, "documents"), T.content_tokens(F.col("text")), "doc_id", 20)
