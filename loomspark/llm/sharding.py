@@ -5,8 +5,8 @@ size into size tiers (powers of ``FANOUT``), orders each tier by arrival and clo
 whenever the running size passes the target; a tier with a single shard is left alone. A merged shard
 that is still below the target stands in the tier of its own size and is merged again with others like
 it. All merges of one compaction are one Spark job. A version is a manifest table plus a commit file
-that is created exclusively, so of two writers one fails, and readers see the old set of shards or the
-new one and never a mixture.
+that is renamed into its place without replacing, so of two writers one fails, a writer that dies stops no other, and
+readers see the old set of shards or the new one and never a mixture.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,19 +69,28 @@ class ShardStore:
         return max((int(n[1:]) for n in names if n.startswith("v")), default=0)
 
     def commit(self, manifest: DataFrame, version: int) -> None:
-        """Publish ``manifest`` as ``version``; raises if somebody has committed, or is committing, that version.
+        """Publish ``manifest`` as ``version``; raises if somebody has committed that version.
 
-        The commit file is created without overwriting, which the file system grants to one writer only.
+        The commit is a finished draft that is renamed to the version's name without replacing, which the file system grants
+        to one writer only. A writer that dies before leaves a draft, which nobody looks at, and stops no other.
         """
         fs, path = self._fs()
         name = f"{self.root}/manifests/m-{uuid.uuid4().hex}"
         manifest.select(*MANIFEST.names).write.parquet(name)
-        try:
-            out = fs.create(path(f"{self.root}/commits/v{version}"), False)
-        except Exception as e:
-            raise RuntimeError(f"version {version} is committed already") from e
+        draft = path(f"{self.root}/drafts/{uuid.uuid4().hex}")
+        out = fs.create(draft)
         out.writeUTF(name)
         out.close()
+        fs.mkdirs(path(f"{self.root}/commits"))
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        none = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+        files = hadoop.FileContext.getFileContext(path(self.root).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            files.rename(draft, path(f"{self.root}/commits/v{version}"), none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            raise RuntimeError(f"version {version} is committed already") from e
 
     def manifest(self, version: int | None = None) -> DataFrame:
         fs, path = self._fs()

@@ -196,6 +196,18 @@ def test_of_two_writers_one_commits(spark, tmp_path):
     assert other.read().count() == 200
 
 
+def test_a_dead_writer_stops_no_other(spark, tmp_path):
+    """It dies between its manifest and the commit, with an empty or a finished draft: the next append takes its version."""
+    from pyspark.sql import functions as F
+
+    store = sharding.ShardStore(spark, str(tmp_path))
+    rows = spark.range(10).selectExpr("id AS doc_id", "'t' AS text")
+    store.append(rows, F.lit(0))
+    (tmp_path / "drafts" / "dead").write_bytes(b"")
+    store.manifest().write.parquet(str(tmp_path / "manifests" / "m-dead"))
+    assert store.append(rows, F.lit(1)) == 2 and store.read().count() == 20
+
+
 # --- personal data
 
 
