@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..session import new_folder, spread, stored
 from . import density, terms, vectors
 from .embedding import Encoder, HashedGrams, embedded
-from .stats import mode, top_rows, with_groups
+from .stats import median_of, mode, percentiles, top_rows, with_groups
 
 #: Columns of a video besides niche, id and text. Those that a table lacks are null.
 INPUTS = {
@@ -61,30 +61,34 @@ def features(df: DataFrame, niche: str = "nicho", text: str = "texto") -> DataFr
 
 
 def pattern_scalars(rows: DataFrame, niche: str = "nicho") -> DataFrame:
-    """Modes, medians and shares of each niche in one aggregate."""
+    """Modes, means and shares of each niche in one aggregate, and its medians, all in one pass of exact quantiles."""
     share = lambda c: F.avg(F.col(c).cast("int"))
     first = lambda c: F.char_length(T.first_line(F.col(c)))
     some = lambda c: F.when(F.trim(c) != "", F.col(c))
-    tails = {k: F.median(F.when(F.size("palavras_chave") > 0, F.col(f"_chave.proporcao.{k}"))).alias(f"_{k}") for k in ("shorttail", "midtail", "longtail")}
-    return rows.groupBy(niche).agg(
-        F.count("*").alias("n"), mode("titulo_formula").alias("titulo_formula"), F.median("titulo_comprimento").alias("titulo_comprimento"), mode("titulo_tom").alias("titulo_tom"),
-        F.avg("titulo_caps").alias("titulo_caps"), (F.avg("titulo_impacto") >= 0.3).alias("usar_pontuacao"), mode("gancho_formula").alias("gancho_formula"), mode("gancho_tom").alias("gancho_tom"),
-        F.median(F.char_length("gancho")).alias("gancho_comprimento"), F.median("gancho_palavras").alias("gancho_palavras"), F.coalesce(F.stddev_samp("gancho_palavras"), F.lit(0.0)).alias("gancho_desvio"),
-        (F.avg("gancho_impacto") >= 0.3).alias("gancho_pontuacao"), F.median("n_words").alias("palavras"), F.median("ritmo.mean").alias("frase_media"), F.median("ritmo.variance").alias("frase_variancia"),
-        F.median("pace").alias("pace"), F.median("densidade_impacto").alias("densidade_impacto"), mode("cta.intensidade").alias("cta_intensidade"), F.median("cta.score").alias("cta_score"),
-        mode("cta.posicao").alias("cta_posicao"), share("dialogo").alias("taxa_dialogo"), share("repeticao").alias("taxa_repeticao"), F.median("maior_repeticao").alias("maior_repeticao"), share("tem_link").alias("taxa_link"),
-        mode("audio").alias("audio_dominante"), share("tem_pista").alias("taxa_audio"), F.median(T.trimmed_length(F.col("descricao"))).alias("descricao_comprimento"), F.median(first("descricao")).alias("descricao_linha"),
-        mode(T.sentiment(T.polarity(T.first_line(F.col("descricao"))))).alias("descricao_tom"), F.median(F.size(T.hashtags(F.col("descricao")))).alias("n_hashtags"), *tails.values(),
-        F.median(F.char_length(some("texto_capa"))).alias("capa_comprimento"), F.median(T.caps_ratio(F.col("texto_capa"))).alias("capa_caps"), F.avg(T.has_person(F.col("cena")).cast("int")).alias("presenca"),
-        mode(T.sentiment(T.polarity(F.coalesce("cena", F.lit(""))))).alias("cena_tom"), F.median("taxa_conversao").alias("conversao"), F.median("taxa_discussao").alias("discussao"),
-        F.percentile("taxa_discussao", F.lit(0.75)).alias("discussao_alta"), mode("formato").alias("formato"), *[mode(f"tom.{p}").alias(f"tom_{p}") for p in ARC],
+    tails = {f"_{k}": F.when(F.size("palavras_chave") > 0, F.col(f"_chave.proporcao.{k}")) for k in ("shorttail", "midtail", "longtail")}
+    medians = {
+        "titulo_comprimento": F.col("titulo_comprimento"), "gancho_comprimento": F.char_length("gancho"), "gancho_palavras": F.col("gancho_palavras"), "palavras": F.col("n_words"), "frase_media": F.col("ritmo.mean"),
+        "frase_variancia": F.col("ritmo.variance"), "pace": F.col("pace"), "densidade_impacto": F.col("densidade_impacto"), "cta_score": F.col("cta.score"), "maior_repeticao": F.col("maior_repeticao"),
+        "descricao_comprimento": T.trimmed_length(F.col("descricao")), "descricao_linha": first("descricao"), "n_hashtags": F.size(T.hashtags(F.col("descricao"))), **tails,
+        "capa_comprimento": F.char_length(some("texto_capa")), "capa_caps": T.caps_ratio(F.col("texto_capa")), "conversao": F.col("taxa_conversao"), "discussao": F.col("taxa_discussao"),
+    }
+    found = rows.groupBy(niche).agg(
+        F.count("*").alias("n"), mode("titulo_formula").alias("titulo_formula"), mode("titulo_tom").alias("titulo_tom"), F.avg("titulo_caps").alias("titulo_caps"), (F.avg("titulo_impacto") >= 0.3).alias("usar_pontuacao"),
+        mode("gancho_formula").alias("gancho_formula"), mode("gancho_tom").alias("gancho_tom"), F.coalesce(F.stddev_samp("gancho_palavras"), F.lit(0.0)).alias("gancho_desvio"), (F.avg("gancho_impacto") >= 0.3).alias("gancho_pontuacao"),
+        mode("cta.intensidade").alias("cta_intensidade"), mode("cta.posicao").alias("cta_posicao"), share("dialogo").alias("taxa_dialogo"), share("repeticao").alias("taxa_repeticao"), share("tem_link").alias("taxa_link"),
+        mode("audio").alias("audio_dominante"), share("tem_pista").alias("taxa_audio"), mode(T.sentiment(T.polarity(T.first_line(F.col("descricao"))))).alias("descricao_tom"), F.avg(T.has_person(F.col("cena")).cast("int")).alias("presenca"),
+        mode(T.sentiment(T.polarity(F.coalesce("cena", F.lit(""))))).alias("cena_tom"), mode("formato").alias("formato"), *[mode(f"tom.{p}").alias(f"tom_{p}") for p in ARC],
     )
+    high = percentiles(rows, "taxa_discussao", (0.75,), [niche]).select(niche, F.col("p")[0].alias("discussao_alta"))
+    return with_groups(with_groups(found, median_of(rows, medians, [niche]), [niche]), high, [niche], "left")
 
 
 def structure_patterns(rows: DataFrame, scalars: DataFrame, niche: str = "nicho") -> DataFrame:
     """(niche, estrutura_geral): the commonest format of each niche, the medians of its rows and the style they mean."""
     own = with_groups(rows, scalars.select(niche, F.col("formato").alias("_formato"), "taxa_dialogo"), [niche]).where(F.col("formato").eqNullSafe(F.col("_formato")))
-    found = own.groupBy(niche).agg(F.round(F.median("pace"), 3).alias("pace"), F.median("n_words").cast("int").alias("palavras"), mode("faixa").alias("faixa"), (F.avg(F.col("repeticao").cast("int")) >= 0.3).alias("repete"), F.first("taxa_dialogo").alias("dialogo"))
+    medians = median_of(own, {"pace": F.col("pace"), "palavras": F.col("n_words")}, [niche]).select(niche, F.round("pace", 3).alias("pace"), F.col("palavras").cast("int").alias("palavras"))
+    found = own.groupBy(niche).agg(mode("faixa").alias("faixa"), (F.avg(F.col("repeticao").cast("int")) >= 0.3).alias("repete"), F.first("taxa_dialogo").alias("dialogo"))
+    found = with_groups(found, medians, [niche])
     style = (
         F.when((F.col("pace") >= 4.0) & (F.col("palavras") <= 150), "impacto_rapido").when(F.col("repete") & (F.col("pace") >= 3.5), "esquete_com_hook")
         .when(F.col("palavras") >= 400, "narrativa").otherwise("esquete")

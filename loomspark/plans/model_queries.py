@@ -145,8 +145,8 @@ UNION ALL SELECT 'caracteres', round(a.c, 3), round(b.c, 3), round(a.c - b.c, 3)
 def contrast_profile(spark, d):
     joined = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     rows = joined.select("quality", F.size(T.ws_tokens(F.col("text"))).cast("double").alias("palavras"), F.col("n_chars").cast("double").alias("caracteres"))
-    long = rows.unpivot(["quality"], ["palavras", "caracteres"], "metrica", "v")
-    side = lambda q: F.median(F.when(F.col("quality") == q, F.col("v")))
+    long = stats.median_of(rows, {c: F.col(c) for c in ("palavras", "caracteres")}, ["quality"]).unpivot(["quality"], ["palavras", "caracteres"], "metrica", "v")
+    side = lambda q: F.max(F.when(F.col("quality") == q, F.col("v")))
     out = long.groupBy("metrica").agg(side(1).alias("a"), side(0).alias("b"))
     return out.select("metrica", F.round("a", 3).alias("alto"), F.round("b", 3).alias("baixo"), F.round(F.col("a") - F.col("b"), 3).alias("delta"))
 

@@ -87,8 +87,8 @@ def ratio_medians(spark, d):
     n = lambda low, high: F.size(F.filter("n", lambda x: x.between(low, high)))
     words = F.transform(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), ","), lambda x: F.size(T.ws_tokens(x)))
     rows = _docs(spark, d).select("lang", words.alias("n")).select("lang", n(1, 1).alias("a"), n(2, 2).alias("b"), n(3, 1 << 30).alias("c")).where("a + b + c > 0")
-    part = lambda c: F.median(F.round(F.col(c) / (F.col("a") + F.col("b") + F.col("c")), 3)).alias(c)
-    return rows.groupBy("lang").agg(part("a"), part("b"), part("c")).select("lang", keyword_ratio(F.col("a"), F.col("b"), F.col("c")).alias("k")).select("lang", "k.*")
+    share = lambda c: F.round(F.col(c) / (F.col("a") + F.col("b") + F.col("c")), 3)
+    return stats.median_of(rows, {c: share(c) for c in "abc"}, ["lang"]).select("lang", keyword_ratio(F.col("a"), F.col("b"), F.col("c")).alias("k")).select("lang", "k.*")
 
 
 @query(f"SELECT lang, count(*)::BIGINT AS total, count(DISTINCT term)::BIGINT AS distinct_terms FROM (SELECT lang, unnest({TOKENS}) AS term FROM documents) GROUP BY 1")
@@ -99,7 +99,9 @@ def vocabulary_counts(spark, d):
 @query("SELECT event_type, round(median(value) FILTER (value > 0), 4) AS positive_median, (count(*) FILTER (value > 0))::BIGINT AS n FROM events GROUP BY 1")
 def positive_median(spark, d):
     positive = F.when(F.col("value") > 0, F.col("value"))
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.median(positive), 4).alias("positive_median"), F.count(positive).alias("n"))
+    events = table(spark, d, "events")
+    counts = events.groupBy("event_type").agg(F.count(positive).alias("n"))
+    return stats.with_groups(counts, stats.median_of(events, {"m": positive}, ["event_type"]), ["event_type"]).select("event_type", F.round("m", 4).alias("positive_median"), "n")
 
 
 @query("SELECT source, round(avg(exp(ln(1 + n_chars)) - 1), 3) AS mean FROM documents GROUP BY 1")
@@ -133,7 +135,9 @@ def _cross(spark, d):
 @query(f"""WITH {_CROSS}, g AS (SELECT CASE WHEN tom = 'negativo' AND repete THEN 'negativo_repete' WHEN tom = 'negativo' THEN 'negativo' ELSE 'outros' END AS grupo, taxa FROM x) SELECT grupo, count(*)::BIGINT AS n, round(median(taxa), 4) AS mediana FROM g GROUP BY 1""")
 def cross_tone_repetition(spark, d):
     group = F.when((F.col("tom") == "negativo") & F.col("repete"), "negativo_repete").when(F.col("tom") == "negativo", "negativo").otherwise("outros")
-    return _cross(spark, d).groupBy(group.alias("grupo")).agg(F.count("*").alias("n"), F.round(F.median("taxa"), 4).alias("mediana"))
+    rows = _cross(spark, d).select(group.alias("grupo"), "taxa")
+    medians = stats.median_of(rows, {"m": F.col("taxa")}, ["grupo"]).select("grupo", F.round("m", 4).alias("mediana"))
+    return stats.with_groups(rows.groupBy("grupo").agg(F.count("*").alias("n")), medians, ["grupo"])
 
 
 @query(f"WITH {_CROSS} SELECT tom, round(100.0 * count(*) FILTER (repete) / count(*), 4) AS pct FROM x GROUP BY 1")
@@ -144,7 +148,7 @@ def repetition_by_tone(spark, d):
 @query(f"""WITH {_CROSS}, m AS (SELECT source, median(taxa) AS c, median(score) AS s FROM x GROUP BY 1)
 SELECT source, round(c, 3) AS clickbait, round(s, 3) AS score, CASE WHEN c >= 50 AND s >= 20 THEN 'clique' WHEN c < 50 AND s >= 20 THEN 'roteiro' WHEN c >= 50 THEN 'capa_sem_retencao' ELSE 'fraco' END AS quadrante FROM m""")
 def cross_quadrant(spark, d):
-    m = _cross(spark, d).groupBy("source").agg(F.median("taxa").alias("c"), F.median("score").alias("s"))
+    m = stats.median_of(_cross(spark, d), {"c": F.col("taxa"), "s": F.col("score")}, ["source"])
     quadrant = F.when((F.col("c") >= 50) & (F.col("s") >= 20), "clique").when((F.col("c") < 50) & (F.col("s") >= 20), "roteiro").when(F.col("c") >= 50, "capa_sem_retencao").otherwise("fraco")
     return m.select("source", F.round("c", 3).alias("clickbait"), F.round("s", 3).alias("score"), quadrant.alias("quadrante"))
 
@@ -238,7 +242,8 @@ SELECT lang, round(median(CASE WHEN len(head) = 0 THEN 0 ELSE round(100.0 * len(
 def overlap_medians(spark, d):
     head = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(T.first_line(F.col("text"))), F.lit(r"(?U)\w+"), F.lit(0)), lambda t: F.char_length(t) >= 3))
     rows = _docs(spark, d).select("lang", head.alias("head"), T.tokens(F.col("text")).alias("body"))
-    return rows.groupBy("lang").agg(F.round(F.median(F.round(100.0 * T.ratio(F.size(F.array_intersect("head", "body")), F.size("head")), 3)), 3).alias("overlap"))
+    share = F.round(100.0 * T.ratio(F.size(F.array_intersect("head", "body")), F.size("head")), 3)
+    return stats.median_of(rows, {"m": share}, ["lang"]).select("lang", F.round("m", 3).alias("overlap"))
 
 
 @query(f"""WITH t AS (SELECT unnest({CONTENT}) AS term FROM documents) SELECT CASE WHEN list_contains([{', '.join(repr(w) for w in W.ACTION_WORDS)}], term) THEN 'acao' WHEN list_contains([{', '.join(repr(w) for w in W.EMOTIONAL_WORDS)}], term) THEN 'emocional' ELSE 'tematica' END AS classe, count(*)::BIGINT AS n FROM t GROUP BY 1""")

@@ -129,7 +129,8 @@ def crosstab_pct(spark, d):
 
 @query("SELECT l_returnflag, l_linestatus, round(median(l_quantity), 3) AS mediana FROM lineitem GROUP BY 1, 2")
 def median_two_keys(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.median("l_quantity"), 3).alias("mediana"))
+    keys = ["l_returnflag", "l_linestatus"]
+    return rounded(stats.median_of(table(spark, d, "lineitem"), {"mediana": F.col("l_quantity")}, keys), 3, "mediana")
 
 
 @query("SELECT strftime(ts, '%Y-%m') AS mes, count(*)::BIGINT AS n FROM events GROUP BY 1")

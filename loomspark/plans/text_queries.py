@@ -110,7 +110,7 @@ def clickbait(spark, d):
 @query(f"WITH p AS (SELECT lang, len({WS}) / 60.0 AS p FROM documents) SELECT lang, round(median(p), 4) AS pace, round(median(p) * 45, 3) AS max_words FROM p GROUP BY 1")
 def pace(spark, d):
     rows = _docs(spark, d).select("lang", T.pace(F.size(T.ws_tokens(F.col("text"))), F.lit(60.0)).alias("p"))
-    return rows.groupBy("lang").agg(F.round(F.median("p"), 4).alias("pace"), F.round(F.median("p") * 45, 3).alias("max_words"))
+    return stats.median_of(rows, {"m": F.col("p")}, ["lang"]).select("lang", F.round("m", 4).alias("pace"), F.round(F.col("m") * 45, 3).alias("max_words"))
 
 
 @query("""SELECT doc_id, CASE WHEN list_contains([{q}], w) THEN 'pergunta' WHEN list_contains([{i}], w) THEN 'imperativo' ELSE 'afirmacao' END AS formula
