@@ -190,11 +190,11 @@ def opening_formula(c: Column) -> Column:
 
 
 def cta(c: Column) -> Column:
-    """Call to action: (label, score, place) from distinct verbs and urgency words."""
+    """Call to action: (label, score, place) from distinct phrases and words of urgency."""
     low = F.lower(F.coalesce(c, F.lit("")))
     verb = r"(?U)\b(" + "|".join(W.CTA_VERBS) + r")\b"
     n = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(verb), F.lit(1))))
-    urgent = low.rlike(r"(?U)\b(" + "|".join(W.URGENCY_WORDS) + r")\b")
+    urgent = low.rlike("|".join(W.URGENCY_WORDS))
     score = F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), 0.2 * n + F.when(urgent, 0.3).otherwise(0.0)))
     label = (
         F.when(n == 0, "ausente").when((n >= 3) | ((n >= 2) & urgent), "direto").when((n == 2) | urgent, "moderado").otherwise("suave")
@@ -206,13 +206,13 @@ def cta(c: Column) -> Column:
 
 def cta_sentences(c: Column) -> Column:
     """Sentences of three or more words that hold a verb of a call to action."""
-    verb = r"(?iU)\b(" + "|".join(W.CTA_VERBS) + r")\b"
+    verb = r"(?iU)\b(" + "|".join(W.CALL_VERBS) + r")\b"
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[.!?]+"), F.trim), lambda s: s.rlike(verb) & (F.size(F.split(s, r"\s+")) >= 3))
 
 
 def cta_terms(c: Column) -> Column:
     """Words of the sentences of three or more words that hold a verb of a call to action."""
-    verb = r"(?U)\b(" + "|".join(W.CTA_VERBS) + r")\b"
+    verb = r"(?U)\b(" + "|".join(W.CALL_VERBS) + r")\b"
     acts = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[.!?]+"), lambda s: s.rlike(verb) & (F.size(F.split(F.trim(s), r"\s+")) >= 3))
     return F.filter(F.regexp_extract_all(F.array_join(acts, " "), F.lit(r"(?U)\w+"), F.lit(0)), lambda t: (F.char_length(t) >= 3) & ~t.isin(*W.STOP_WORDS))
 

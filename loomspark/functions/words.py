@@ -18,14 +18,24 @@ PROBLEM_WORDS = "problem mistake wrong error fail worst struggle hate".split()
 PROMISE_WORDS = "secret trick hack guarantee easy fast best free".split()
 POLEMIC_WORDS = "nobody everyone truth lie exposed banned scandal".split()
 
+# These lists decide published fields and are taken whole, in their order.
+
 INTENSIFIERS = (
-    "never always best worst secret shocking amazing incredible insane crazy ultimate perfect"
-    " huge must ever only top biggest fastest unbelievable epic extreme viral powerful dangerous banned exposed truth"
+    "never always incredible shocking worst best unbelievable insane absolutely literally extremely terrible amazing awful perfect horrible"
+    " fantastic ridiculous impossible urgent critical crazy mindblowing viral exposed banned secret leaked"
 ).split()
 
-CTA_VERBS = "subscribe follow like share comment click buy save download join visit watch".split()
-URGENCY_WORDS = "now today hurry immediately limited last".split()
-PERSON_WORDS = "man woman person people boy girl child kid face guy lady men women player actor singer teacher student baby father mother friend".split()
+#: Calls to action of a description, and of the sentences of a script.
+CTA_VERBS = (
+    "subscribe|follow|like|comment|share|click|check out|visit|buy|get|download|sign up|join|register|watch|see|learn more|find out|tap|swipe|link in bio"
+    "|turn on|hit the bell|notify|save|bookmark|tag|dm|contact|order|shop"
+).split("|")
+CALL_VERBS = (
+    "subscribe|follow|like|comment|share|click|check out|visit|buy|get|download|sign up|join|watch|learn more|tap|swipe|turn on|hit the bell|save|tag|dm|contact|order|shop"
+).split("|")
+#: Anywhere in a text, also within a word.
+URGENCY_WORDS = "now|today|limited|only|don't miss|hurry|last chance|immediately|exclusive|free|instant".split("|")
+PERSON_WORDS = "person man woman boy girl child kid baby face people human guy lady male female teen adult elder crowd group couple family".split()
 
 CATEGORIES = {
     "click": "interaction",

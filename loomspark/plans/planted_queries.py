@@ -71,11 +71,12 @@ def hook_flags(spark, d):
     return rows.select("doc_id", T.hook_flags(F.col("t")).alias("f")).select("doc_id", "f.*")
 
 
-_CALL = _case(6, {0: ", subscribe and like now", 1: " share", 2: ". Follow, comment and save it", 3: " watch this today", 4: "; Buy, buy, BUY"})
+_CALL = _case(6, {0: ", subscribe and like now", 1: " share", 2: ". Sign up, check out and save it", 3: " watch this today", 4: "; Buy, buy, BUY"})
 _VERBS = "|".join(W.CTA_VERBS)
+_WIDE = _VERBS.replace(" ", "  ")  # separators are doubled, so that two phrases do not share one
 
 
-@query(f"""WITH {_HEAD}, t AS (SELECT doc_id, lower(head || {_CALL[1]} || ' ' || tail) AS low FROM w), f AS (SELECT *, len(list_distinct(list_filter(regexp_extract_all(low, '{WORD}+'), lambda x: x IN {_in(W.CTA_VERBS)}))) AS n, {_any(W.URGENCY_WORDS)} AS urgent FROM t),
+@query(f"""WITH {_HEAD}, t AS (SELECT doc_id, lower(head || {_CALL[1]} || ' ' || tail) AS low FROM w), f AS (SELECT *, len(list_distinct(regexp_extract_all(regexp_replace(' ' || low || ' ', '({_NO})', '\\1\\1', 'g'), '{_NO}({_WIDE}){_NO}', 1))) AS n, regexp_matches(low, '{"|".join(W.URGENCY_WORDS).replace("'", "''")}') AS urgent FROM t),
 g AS (SELECT *, length(regexp_extract(low, '^(.*?(?:^|{_NO}))(?:{_VERBS})(?:{_NO}|$)', 1, 's')) / length(low) AS place FROM f)
 SELECT doc_id, CASE WHEN n = 0 THEN 'ausente' WHEN n >= 3 OR n >= 2 AND urgent THEN 'direto' WHEN n = 2 OR urgent THEN 'moderado' ELSE 'suave' END AS intensidade,
 round(CASE WHEN n = 0 THEN 0.0 ELSE least(1.0, 0.2 * n + CASE WHEN urgent THEN 0.3 ELSE 0 END) END, 3)::DOUBLE AS score, CASE WHEN n = 0 THEN 'ausente' WHEN place <= 0.2 THEN 'inicio' WHEN place >= 0.8 THEN 'fim' ELSE 'meio' END AS posicao FROM g""")
