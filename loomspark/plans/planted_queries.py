@@ -12,6 +12,7 @@ from ..operators import bags, service, stats
 from ..session import new_folder
 from ..sources.readers import table
 from ..sources.transactions import TableSet
+from .profile_queries import _script
 from .statistics_queries import TOKENS, WORD
 
 QUERIES: dict = {}
@@ -244,3 +245,46 @@ def create_generations(spark, d):
     requests = o.where("o_orderkey % 8 < 4").select(F.col("o_custkey").cast("string").alias("user_id"), (F.col("o_orderkey") % 4).cast("string").alias("niche_id"), "o_orderkey")
     store.commit(0, append={"user_niches": links, "generations": requests.limit(0), "users": c.select("c_custkey")})
     return service.create_generations(store, requests).select("o_orderkey", "accepted")
+
+
+_TAGS = _case(4, {0: " #now #tags2 @ann", 1: " @bob @eve 🔥", 2: " #só"})
+
+
+@query(f"""WITH {_HEAD}, t AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE tail || {_TAGS[1]} END AS d, head || {_E1[1]} AS t, len(list_slice(string_split(head || ' ' || tail, ' '), 1, doc_id % 20)) AS k FROM w),
+r AS (SELECT doc_id, CASE WHEN trim(d) = '' THEN 0 ELSE 1 END + least(3.0, k / 5.0) + len(regexp_extract_all(t || ' ' || d, '#{WORD}+')) + len(regexp_extract_all(t || ' ' || d, '@{WORD}+')) + len(regexp_extract_all(t || ' ' || d, '{_FACES}')) AS raw FROM t)
+SELECT doc_id, round(raw, 4)::DOUBLE AS pontos, round((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()), 4)::DOUBLE AS completude FROM r""")
+def seo_completeness(spark, d):
+    described = F.when(F.col("doc_id") % 9 == 0, "  ").otherwise(F.concat("tail", _TAGS[0]()))
+    terms = F.slice(F.split(F.concat_ws(" ", "head", "tail"), " "), F.lit(1), (F.col("doc_id") % 20).cast("int"))
+    rows = _words(spark, d).select("doc_id", described.alias("d"), F.concat("head", _E1[0]()).alias("t"), terms.alias("k"))
+    raw = T.seo_completeness(F.col("d"), F.col("k"), F.concat_ws(" ", "t", "d"))
+    scored = rows.select("doc_id", raw.alias("pontos"), raw.alias("completude"))
+    return stats.min_max(scored, ["completude"]).select("doc_id", F.round("pontos", 4).alias("pontos"), F.round("completude", 4).alias("completude"))
+
+
+_SHOUT = _case(3, {0: "BIG NEWS ", 1: "A I OK Ok "})
+
+
+@query(f"""WITH {_HEAD}, t AS (SELECT doc_id, regexp_extract_all({_SHOUT[1]} || head || ' 123 X9YZ', '[A-Za-zÀ-ÖØ-öø-ÿ]+') AS r FROM w)
+SELECT doc_id, round(len(list_filter(r, lambda x: upper(x) = x AND lower(x) <> x AND length(x) > 1)) / len(r), 3) AS caps FROM t""")
+def letter_run_caps(spark, d):
+    return _words(spark, d).select("doc_id", T.letter_run_caps(F.concat(_SHOUT[0](), "head", F.lit(" 123 X9YZ"))).alias("caps"))
+
+
+@query(f"""WITH {_HEAD} SELECT doc_id, trim(regexp_replace(regexp_replace(lower(head || ' don''t stop -- ' || tail || '!? (e-mail)'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s''-]', ' ', 'g'), '\\s+', ' ', 'g')) AS limpo FROM w""")
+def plain_with_kept_marks(spark, d):
+    return _words(spark, d).select("doc_id", T.plain(F.concat("head", F.lit(" don't stop -- "), "tail", F.lit("!? (e-mail)")), keep="'-").alias("limpo"))
+
+
+_SCRIPTED = "text || CASE WHEN doc_id % 5 = 0 THEN repeat('слово ', 400) WHEN doc_id % 7 = 0 THEN repeat('λόγος ', 400) ELSE '' END"
+
+
+@query(f"""WITH s AS (SELECT {_script("text")} AS texto, {_script("source")} AS origem, {_script("lang")} AS idioma FROM (SELECT {_SCRIPTED} AS text, source, lang FROM documents)), l AS (SELECT 'texto' AS coluna, texto AS script FROM s UNION ALL SELECT 'origem', origem FROM s UNION ALL SELECT 'idioma', idioma FROM s)
+SELECT script, (count(*) FILTER (coluna = 'texto'))::BIGINT AS texto, (count(*) FILTER (coluna = 'origem'))::BIGINT AS origem, (count(*) FILTER (coluna = 'idioma'))::BIGINT AS idioma FROM l GROUP BY 1 ORDER BY count(*) DESC, script LIMIT 8""")
+def script_matrix(spark, d):
+    """Which script rules which column: counts of the eight commonest scripts by column."""
+    docs = table(spark, d, "documents")
+    more = F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit("слово "), F.lit(400))).when(F.col("doc_id") % 7 == 0, F.repeat(F.lit("λόγος "), F.lit(400))).otherwise("")
+    found = docs.select(*[T.dominant_script(c).alias(n) for n, c in (("texto", F.concat("text", more)), ("origem", F.col("source")), ("idioma", F.col("lang")))])
+    wide = stats.pivot_counts(found.unpivot([], ["texto", "origem", "idioma"], "coluna", "script"), "script", "coluna", ["texto", "origem", "idioma"])
+    return wide.orderBy(F.desc(F.col("texto") + F.col("origem") + F.col("idioma")), "script").limit(8)
