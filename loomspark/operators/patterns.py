@@ -6,7 +6,7 @@ aggregates over columns of that table, so texts are parsed once however many top
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,8 +60,8 @@ def features(df: DataFrame, niche: str = "nicho", text: str = "texto") -> DataFr
     ).withColumns({"gancho_tom": T.sentiment(T.polarity(F.col("gancho"))), "gancho_impacto": T.impact_score(F.col("gancho")), "gancho_palavras": F.size(T.ws_tokens(F.col("gancho")))})
 
 
-def pattern_scalars(rows: DataFrame, niche: str = "nicho") -> DataFrame:
-    """Modes, means and shares of each niche in one aggregate, and its medians, all in one pass of exact quantiles."""
+def pattern_scalars(rows: DataFrame, niche: str = "nicho", wanted: Sequence[str] | None = None) -> DataFrame:
+    """Modes, means and shares of each niche in one aggregate, and its medians, all in one pass of exact quantiles; of the medians only those ``wanted``."""
     share = lambda c: F.avg(F.col(c).cast("int"))
     first = lambda c: F.char_length(T.first_line(F.col(c)))
     some = lambda c: F.when(F.trim(c) != "", F.col(c))
@@ -79,8 +79,13 @@ def pattern_scalars(rows: DataFrame, niche: str = "nicho") -> DataFrame:
         mode("audio").alias("audio_dominante"), share("tem_pista").alias("taxa_audio"), mode(T.sentiment(T.polarity(T.first_line(F.col("descricao"))))).alias("descricao_tom"), F.avg(T.has_person(F.col("cena")).cast("int")).alias("presenca"),
         mode(T.sentiment(T.polarity(F.coalesce("cena", F.lit(""))))).alias("cena_tom"), mode("formato").alias("formato"), *[mode(f"tom.{p}").alias(f"tom_{p}") for p in ARC],
     )
-    high = percentiles(rows, "taxa_discussao", (0.75,), [niche]).select(niche, F.col("p")[0].alias("discussao_alta"))
-    return with_groups(with_groups(found, median_of(rows, medians, [niche]), [niche]), high, [niche], "left")
+    medians = {k: c for k, c in medians.items() if wanted is None or k in wanted}
+    if medians:
+        found = with_groups(found, median_of(rows, medians, [niche]), [niche])
+    if wanted is None or "discussao_alta" in wanted:
+        high = percentiles(rows, "taxa_discussao", (0.75,), [niche]).select(niche, F.col("p")[0].alias("discussao_alta"))
+        found = with_groups(found, high, [niche], "left")
+    return found
 
 
 def structure_patterns(rows: DataFrame, scalars: DataFrame, niche: str = "nicho") -> DataFrame:

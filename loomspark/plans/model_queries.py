@@ -56,7 +56,7 @@ def pattern_document(spark, d):
 @query(f"""WITH f AS (SELECT lang AS nicho, len({WS})::BIGINT AS w, length(trim(string_split(trim(text), chr(10))[1])) AS t, regexp_matches(text, 'https?://\\S+') AS l, n_chars % 700 / 100.0 AS c FROM documents)
 SELECT nicho, count(*)::BIGINT AS n, round(median(w), 3) AS palavras, round(median(t), 3) AS titulo_comprimento, round(avg(l::INT), 4) AS taxa_link, round(median(c), 3) AS conversao FROM f GROUP BY 1""")
 def pattern_scalars(spark, d):
-    out = patterns.pattern_scalars(_features(spark, d))
+    out = patterns.pattern_scalars(patterns.features(videos(spark, d)), wanted=("palavras", "titulo_comprimento", "conversao"))
     return out.select("nicho", "n", *[F.round(c, 3).alias(c) for c in ("palavras", "titulo_comprimento")], F.round("taxa_link", 4).alias("taxa_link"), F.round("conversao", 3).alias("conversao"))
 
 
@@ -67,7 +67,7 @@ _VIDEO = f"""v AS (SELECT doc_id AS id, lang AS nicho, text AS texto, trim(strin
 
 def _bags(spark, d, *kinds):
     rows = _features(spark, d, True)
-    out = patterns.pattern_bags(rows, patterns.pattern_scalars(rows), bags={k: patterns.BAGS[k] for k in kinds})
+    out = patterns.pattern_bags(rows, patterns.pattern_scalars(rows, wanted=()), bags={k: patterns.BAGS[k] for k in kinds})
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -90,7 +90,7 @@ def pattern_vocabulary(spark, d):
 @query(f"""WITH {_VIDEO}, m AS (SELECT nicho, round(median(taxa_conversao), 3) AS conversao, median(taxa_discussao) AS disc, quantile_cont(taxa_discussao, 0.75) AS alta FROM v GROUP BY 1)
 SELECT nicho, CASE WHEN conversao >= 5 THEN 'direto' WHEN conversao >= 2 THEN 'moderado' ELSE 'suave' END AS intensidade, disc >= alta AS debate, round(disc, 3) AS discussao FROM m""")
 def pattern_cta(spark, d):
-    s = patterns.pattern_scalars(_features(spark, d))
+    s = patterns.pattern_scalars(patterns.features(videos(spark, d)), wanted=("conversao", "discussao", "discussao_alta"))
     return s.select("nicho", patterns.conversion_intensity(F.round("conversao", 3)).alias("intensidade"), (F.col("discussao") >= F.col("discussao_alta")).alias("debate"), F.round("discussao", 3).alias("discussao"))
 
 
@@ -101,7 +101,7 @@ m AS (SELECT nicho, round(median(p), 3) AS p, floor(median(w))::BIGINT AS w, avg
 SELECT nicho, CASE WHEN p >= 4 AND w <= 150 THEN 'impacto_rapido' WHEN rep AND p >= 3.5 THEN 'esquete_com_hook' WHEN w >= 400 THEN 'narrativa' ELSE 'esquete' END AS estilo, faixa, w AS limite, rep AS repeticao FROM m JOIN g USING (nicho)""")
 def pattern_structure(spark, d):
     rows = _features(spark, d)
-    out = patterns.structure_patterns(rows, patterns.pattern_scalars(rows))
+    out = patterns.structure_patterns(rows, patterns.pattern_scalars(rows, wanted=()))
     e = "estrutura_geral"
     return out.select("nicho", F.col(f"{e}.estrutura_blocos").alias("estilo"), F.col(f"{e}.faixa_duracao").alias("faixa"), F.col(f"{e}.limite_palavras").cast("long").alias("limite"), F.col(f"{e}.usa_repeticao").alias("repeticao"))
 
@@ -119,7 +119,7 @@ e AS (SELECT t.nicho, t.parte, t.tom = dom.tom AS keep, unnest(w) AS term FROM t
 SELECT nicho, parte, tom, term, (CASE WHEN own < 10 THEN i + k ELSE i END)::BIGINT AS n, row_number() OVER (PARTITION BY nicho, parte ORDER BY CASE WHEN own < 10 THEN i + k ELSE i END DESC, term)::BIGINT AS rank FROM n JOIN x USING (nicho, parte) JOIN dom USING (nicho, parte) WHERE CASE WHEN own < 10 THEN i + k ELSE i END > 0 QUALIFY rank <= 10""")
 def pattern_arc(spark, d):
     rows = _features(spark, d, True)
-    scalars = patterns.pattern_scalars(rows)
+    scalars = patterns.pattern_scalars(rows, wanted=())
     tones = scalars.select("nicho", F.explode(F.array(*[F.struct(F.lit(p).alias("kind"), F.col(f"tom_{p}").alias("tom")) for p in patterns.ARC])).alias("t")).select("nicho", "t.*")
     out = patterns.pattern_bags(rows, scalars, bags={k: patterns.BAGS[k] for k in patterns.ARC}).join(tones, ["nicho", "kind"])
     return out.select("nicho", F.col("kind").alias("parte"), "tom", F.col("a").alias("term"), "n", F.col("rank").cast("long").alias("rank"))
