@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .stats import top_rows, with_groups
+from ..session import dealt
+from .stats import top_rows
 
 #: Ranks kept of a profile, sizes of the n-grams.
 RANKS, SIZES = 300, (1, 2, 3)
@@ -40,14 +42,15 @@ def detect(df: DataFrame, text: str, row: str, known: DataFrame, language: str,
     """(row, detected, score): the language whose profile is least out of place with that of the text; a text without letters has none.
 
     The distance of two profiles is the sum of the differences of their ranks, ``ranks`` for an n-gram that a language lacks. ``score``
-    is what is left of the largest distance, from 0 to 1. Ties go to the smaller name. Profiles are ``ranks`` rows for each language.
+    is what is left of the largest distance, from 0 to 1. Ties go to the smaller name. Profiles are ``ranks`` rows for each language
+    and go to every task. The texts are dealt out by row once; words, n-grams and ranks of a row stay in its task.
     """
-    own = top_rows(gram_counts(df, text, [row]), [row], [F.desc("n"), F.asc("gram")], ranks, rank="rank")
-    sizes = own.groupBy(row).agg(F.count("*").alias("_grams"))
-    met = own.select(row, "gram", F.col("rank").alias("_own")).join(known.select(language, "gram", F.col("rank").alias("_rank")), "gram")
-    near = met.groupBy(row, language).agg(F.sum(F.lit(ranks) - F.abs(F.col("_own") - F.col("_rank"))).alias("_near"))
-    best = near.groupBy(row).agg(F.min(F.struct((-F.col("_near")).alias("_less"), language)).alias("_best"))
-    found = with_groups(best, sizes, [row]).select(row, F.col(f"_best.{language}").alias("detected"), (-F.col("_best._less") / (F.col("_grams") * ranks)).alias("score"))
+    own = top_rows(gram_counts(dealt(df.select(row, text), row), text, [row]), [row], [F.desc("n"), F.asc("gram")], ranks, rank="rank")
+    own = own.withColumn("_grams", F.max("rank").over(Window.partitionBy(row)))
+    met = own.select(row, "gram", "_grams", F.col("rank").alias("_own")).join(F.broadcast(known.select(language, "gram", F.col("rank").alias("_rank"))), "gram")
+    near = met.groupBy(row, language).agg(F.first("_grams").alias("_grams"), F.sum(F.lit(ranks) - F.abs(F.col("_own") - F.col("_rank"))).alias("_near"))
+    best = near.groupBy(row).agg(F.first("_grams").alias("_grams"), F.min(F.struct((-F.col("_near")).alias("_less"), language)).alias("_best"))
+    found = best.select(row, F.col(f"_best.{language}").alias("detected"), (-F.col("_best._less") / (F.col("_grams") * ranks)).alias("score"))
     return df.select(row).distinct().join(found, row, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
