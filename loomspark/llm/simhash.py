@@ -169,7 +169,7 @@ def frequent_shingles(texts: DataFrame, words: int, sample: int = 5000, most: in
 
 
 def prefixes(texts: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, n, tokens, sketch, wide) of ``texts`` (doc_id, text): the size of the shingle set, its prefix and its parity sketches.
+    """(id, n, tokens, sketch, wide, fp) of ``texts`` (doc_id, text): the size of the shingle set, its prefix, its parity sketches and its fingerprint.
 
     In one order of all shingles (rare first), two sets of Jaccard similarity s share one of their
     first n - ceil(s n) + 1 shingles. The sketch holds, for each of ``SKETCH`` x 64 cells, whether
@@ -182,7 +182,7 @@ def prefixes(texts: DataFrame, words: int, similarity: float, common: tuple[np.n
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
             for a, b in row_slices(offsets, SLICE_BYTES):
-                sizes, tokens, wide, sketches = [], [], [], np.zeros((b - a, SKETCH), np.uint64)
+                sizes, tokens, wide, prints, sketches = [], [], [], [], np.zeros((b - a, SKETCH), np.uint64)
                 for i in range(a, b):
                     h = shingle_set(raw[offsets[i] : offsets[i + 1]].tobytes(), words)
                     length = len(h) - least_shared(similarity * len(h)) + 1
@@ -195,10 +195,11 @@ def prefixes(texts: DataFrame, words: int, similarity: float, common: tuple[np.n
                     wide.append(parities(h, 1 << (len(h) - 1).bit_length()) if len(h) > LONG else np.zeros(0, np.uint64))
                     sizes.append(len(h))
                     tokens.append(first)
+                    prints.append(majority_bits([h]))
                 cells = pa.ListArray.from_arrays(np.arange(0, sketches.size + 1, SKETCH, dtype=np.int32), pa.array(sketches.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int32()), _lists(tokens), cells, _lists(wide)], names=["id", "n", "tokens", "sketch", "wide"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int32()), _lists(tokens), cells, _lists(wide), pa.array(np.concatenate(prints).view(np.int64))], names=["id", "n", "tokens", "sketch", "wide", "fp"])
 
-    return texts.select("doc_id", "text").mapInArrow(freeing(digest), "id long, n int, tokens array<long>, sketch array<long>, wide array<long>")
+    return texts.select("doc_id", "text").mapInArrow(freeing(digest), "id long, n int, tokens array<long>, sketch array<long>, wide array<long>, fp long")
 
 
 def parities(h: np.ndarray, cells: int) -> np.ndarray:
@@ -249,6 +250,21 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return both.where(shared >= F.ceil((F.size("x") + F.size("y")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))).select("a", "b")
 
 
+def fingerprint_pairs(listed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of ``listed`` (id, n, sketch, fp) that SimHash links and that may be similar.
+
+    Every document and the first of its fingerprint, and the first ones of fingerprints that differ in 2 or fewer bits.
+    """
+    prints = listed.select("id", "fp")
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    own = prints.join(distinct, "fp").where("id <> first").select("id", F.col("first").alias("other"))
+    first = lambda fp, name: distinct.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    linked = link_within_two(distinct).join(first("a", "id"), "a").join(first("b", "other"), "b").select("id", "other")
+    side = listed.select("id", "n", "sketch")
+    pairs = own.unionAll(linked).join(side, "id").join(side.toDF("other", "other_n", "other_sketch"), "other").where(can_be_similar(similarity))
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
 def candidate_pairs(shared: DataFrame, sketches: DataFrame, linked: DataFrame | None, turn: int, similarity: float) -> DataFrame:
     """(a, b): pairs of documents of one bucket (token) of ``shared`` (token, id) that may be similar and are not ``linked`` yet.
 
@@ -264,6 +280,10 @@ def candidate_pairs(shared: DataFrame, sketches: DataFrame, linked: DataFrame |
     if turn == 0:
         least = now.groupBy("token").agg(F.min("id").alias("other"))
         pairs = now.join(least, "token").where("id <> other").select("id", "other").distinct()
+        if linked is not None:  # what fingerprints have linked is not compared again
+            group = linked.select(F.col("node").alias("id"), "component")
+            apart = pairs.join(group, "id", "left").join(group.toDF("other", "other_component"), "other", "left")
+            pairs = apart.where(~F.coalesce(F.col("component") == F.col("other_component"), F.lit(False))).select("id", "other")
     else:
         groups = now.groupBy("token", "group").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "token")).alias("lead"))
         main = groups.groupBy("token").agg(F.max(F.struct("n", "group", "lead")).alias("m"), F.count("*").alias("groups")).where("groups > 1")
@@ -283,7 +303,9 @@ def candidate_pairs(shared: DataFrame, sketches: DataFrame, linked: DataFrame |
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, group_id): groups of documents linked by a word-shingle similarity of at least ``similarity``.
 
-    Exact: a pair of that similarity shares a shingle of both prefixes (see ``prefixes``), so all
+    SimHash comes first: documents of one fingerprint, and of fingerprints within 2 bits (see ``link_within_two``), are
+    candidates, verified exactly. A fingerprint of 64 bits leaves out pairs whose fingerprints are farther apart,
+    so a prefix filter completes the links. Exact: a pair of that similarity shares a shingle of both prefixes (see ``prefixes``), so all
     candidates meet in the buckets of the prefix shingles, and a candidate is dropped only where sizes
     or sketches exclude the similarity, or where both documents are in one group already. Two turns of
     comparisons with one member of each bucket find most groups, so that the last turn, which looks at
@@ -304,8 +326,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     shared = materialize(rows.join(full, "token", "left_semi").select("token", "id").distinct(), "shared")
     sketches = listed.select("id", "n", "sketch")
     edges, linked, used = None, None, [firsts, listed, shared]
-    for turn in range(3):
-        pairs = materialize(wide_enough(candidate_pairs(shared, sketches, linked, turn, similarity), listed, similarity), "candidates")
+    for turn in (None, 0, 1, 2):
+        found = fingerprint_pairs(listed, similarity) if turn is None else candidate_pairs(shared, sketches, linked, turn, similarity)
+        pairs = materialize(wide_enough(found, listed, similarity), "candidates")
         used.append(pairs)
         if pairs.isEmpty():
             continue
